@@ -29,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = f"file://{root[5:]}"
     return root.rstrip("/")
 
 
@@ -48,9 +52,10 @@ def forget(*frames: DataFrame) -> None:
     """Delete the folders of settled frames that no later step reads."""
     for df in frames:
         spark = df.sparkSession
-        for part in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if part.startswith(("file:", "hdfs:", "s3", "gs:", "abfs")) and shared_dir(spark).split(":", 1)[1].lstrip("/") in part:
-                path = spark._jvm.org.apache.hadoop.fs.Path(part)
+        own = shared_dir(spark).split(":", 1)[1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if own in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
