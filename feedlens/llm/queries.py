@@ -22,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_binary import token_files
 
@@ -41,7 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_token_binary, op9_packing, op10_minhash)
+    f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_token_binary, op9_packing, op10_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
