@@ -59,8 +59,8 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """Apply a batch function to every Arrow batch; ``make`` runs once in each task."""
+def each_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]):
+    """A function for mapInArrow from one for a batch; ``make`` runs once in each task."""
 
     def run(batches):
         f = make()
@@ -68,7 +68,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
             if batch.num_rows:
                 yield from f(batch)
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema) -> DataFrame:
+    return df.mapInArrow(each_batch(make), schema)
 
 
 def held_out(key: str, modulus: int, remainder: int):

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,10 +168,37 @@ def judge_lines(docs: DataFrame, rules: LineRules = LineRules(), *, cleaned: boo
                     own = text.slice(lo, hi - lo)
                     changed = pa.array([t is not None for t in texts])
                     new = pa.array(texts, pa.string())
-                    arrays += [pa.compute.if_else(changed, new, own.cast(pa.string())), changed]
+                    arrays += [pc.if_else(changed, new, own.cast(pa.string())), changed]
                     names += ["text", "text_changed"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
         return f
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, SCHEMA + (", text string, text_changed boolean" if cleaned else ""))
+
+
+def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; the lines that fail are gone from their text.
+
+    A column n_chars, if there is one, follows the new text.
+    """
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def make():
+        def f(batch: pa.RecordBatch):
+            text = batch.column(at)
+            for lo, hi, buf, offsets in spans.slices(text):
+                cols, texts = _judge(buf, offsets, rules, True)
+                kept = pa.array(cols[6])
+                changed = pa.array([t is not None for t in texts])
+                new = pc.if_else(changed, pa.array(texts, pa.string()), text.slice(lo, hi - lo).cast(pa.string()))
+                arrays = [c.slice(lo, hi - lo) for c in batch.columns]
+                arrays[at] = new.cast(batch.schema.field(at).type)
+                if chars is not None:
+                    arrays[chars] = pc.if_else(changed, pc.utf8_length(new).cast(batch.schema.field(chars).type), arrays[chars])
+                yield pa.RecordBatch.from_arrays(arrays, batch.schema.names).filter(kept)
+
+        return f
+
+    return map_batches(docs, make, docs.schema)

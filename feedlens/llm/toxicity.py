@@ -240,3 +240,23 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *, threshold: float = 0.7
     """(doc_id, score, predicted) for every row of (doc_id, text); null and empty texts get the score of no evidence."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return _features(rows, model, "doc_id long", True).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicModel, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def make():
+        m = shared.value
+        words = WordRatios(m)
+
+        def f(batch: pa.RecordBatch):
+            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(at), 2 << 20):
+                x = text_features(words.of(buf, starts, ends), counts, m.rules.top)
+                score = 1 / (1 + np.exp(-np.clip(m.curve[0] + x @ m.curve[1:], -30, 30)))
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+
+        return f
+
+    return map_batches(docs, make, docs.schema)
