@@ -48,6 +48,34 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spm import sp_encode
+
+    return sp_encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    turns = table(spark, sf_dir, "conversations")
+    model = chat.fit(turns.where(~F.coalesce(held_out("conv_id", 4, 2), F.lit(True))))
+    found = chat.render(chat.recover_roles(turns, model))
+    return found.select("conv_id", "turn", F.coalesce(held_out("conv_id", 4, 2), F.lit(True)).alias("held_out"), "role_pred", "rendered")
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every document, at places that its id and length choose."""
+    from .token_count import apply_own_edits, build_state
+
+    tokenizer = tokenizer_file("byte_bpe_50k.json")
+    state = build_state(table(spark, sf_dir, "documents"), tokenizer)
+    at = lambda k: F.pmod(F.crc32(F.concat_ws(":", "doc_id", F.lit(k)).cast("binary")), F.length("text") + 1).cast("int")
+    edit = lambda k, remove, insert: F.struct(at(k).alias("at"), F.lit(remove).alias("remove"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(1, 7, ""), edit(2, 0, " and one more"), edit(3, 3, "né, 42"))
+    done = apply_own_edits(state.withColumn("edits", edits), tokenizer)
+    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "bytes_encoded", F.size("leaf_tokens").cast("long").alias("n_leaves"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -63,7 +91,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_token_binary, op4_language_id, op8_toxicity, op9_packing, op10_minhash)
+    f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_token_binary, op4_language_id, op5_sentencepiece, op6_chat_format, op7_token_count, op8_toxicity, op9_packing, op10_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -55,24 +55,33 @@ class ChunkIds:
     """Token ids of chunks, kept by chunk hash in sorted order."""
 
     def __init__(self, path: str, fold: bool, capacity: int = 1_000_000):
+        self.fold, self.capacity, self.cuts = fold, capacity, cuts
+        self.tokenizer = self.load(path)
+        self.reset()
+
+    def load(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.fold, self.capacity = fold, capacity
-        self.reset()
+        return Tokenizer.from_file(path)
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """Ids of each chunk, and a mark of each that stays with it."""
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [e.ids for e in found], np.zeros(len(chunks), np.uint8)
 
     def reset(self):
         self.hashes = np.zeros(0, np.uint64)
         self.where = np.zeros(0, np.int64)
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.marks = np.zeros(0, np.uint8)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _add(self, new: np.ndarray, chunks: list[str]) -> None:
         if len(self.hashes) + len(new) > self.capacity:
             self.reset()
         for lo in range(0, len(chunks), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[lo : lo + 20_000], add_special_tokens=False)]
+            found, marks = self.encode_chunks(chunks[lo : lo + 20_000])
             length = np.fromiter(map(len, found), np.int32, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
             while self.used + len(flat) > len(self.ids):
@@ -82,6 +91,7 @@ class ChunkIds:
             self.used += len(flat)
             base = len(self.start)
             self.start, self.length = np.concatenate([self.start, begin]), np.concatenate([self.length, length])
+            self.marks = np.concatenate([self.marks, marks])
             part = new[lo : lo + 20_000]
             at = np.searchsorted(self.hashes, part)  # both sorted
             self.hashes = np.insert(self.hashes, at, part)
@@ -110,7 +120,7 @@ class ChunkIds:
         if self.fold:
             upper = (buf >= 0x41) & (buf <= 0x5A)
             buf = np.where(upper, buf | 0x20, buf)
-        starts = cuts(buf, offsets)
+        starts = self.cuts(buf, offsets)
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         last = buf[ends - 1] if len(starts) else buf[:0]
         per_text = np.searchsorted(starts, offsets)
@@ -119,6 +129,7 @@ class ChunkIds:
             rows = self.chunk_rows(buf, starts + lead, ends)
         else:
             rows = self.chunk_rows(buf, starts, ends)
+        self.rows, self.per_text = rows, per_text
         length = self.length[rows].astype(np.int64)
         before = np.cumsum(length) - length
         total = int(length.sum())
