@@ -44,32 +44,29 @@ def _condense(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "v long, u long")
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """True while a node has two edges down, or is at both ends of edges."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("u", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes that links (a, b) join to a smaller one; root is the smallest of the component.
 
     Links in either direction, repeated ones and links of a node with itself
-    are allowed; nodes that are their own root aren't returned. Every round
-    sends each edge to the smallest neighbour seen from both ends; the number
-    of rounds grows with the logarithm of the longest chain. Only counts reach
-    the driver.
+    are allowed; nodes that are their own root aren't returned. Each round
+    brings the edges of a node together, contracts what meets in one task to
+    stars, and sends each edge on to its end's own smaller end, so the longest
+    chain halves. A node with very many links costs one row for each task that
+    holds some of them. Nothing but the answer, whether it is done, reaches the driver.
     """
     a, b = links.columns[:2]
-    links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    edges = settle(_condense(links).distinct(), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-    before = mark(edges)
-    while before[0]:
-        both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min(F.least("v", "u")).alias("m"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
-        small = small.select("v", F.col("m").alias("u")).union(small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")))
-        new = settle(small.distinct(), "edges")
-        after = mark(new)
+    links = links.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("u")).where("v <> u")
+    edges = settle(_condense(_condense(links).repartition("v")), "edges")
+    while _unfinished(edges):
+        hop = edges.groupBy("v").agg(F.min("u").alias("next")).withColumnRenamed("v", "u")
+        moved = edges.join(hop, "u", "left").select("v", F.coalesce("next", "u").alias("u"))
+        new = settle(_condense(_condense(moved).repartition("v")), "edges")
         forget(edges)
         edges = new
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import spans
 from .common import forget, map_batches, settle
-from .components import components
+from .components import components, star_forest
 
 U64 = np.uint64
 _STEP, _SIDE, _NAME = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -33,8 +33,9 @@ class NearRules:
 
     A pair at the threshold itself misses all bands with probability
     (1 - threshold ** rows) ** bands, 0.0005 here. ``weighted`` counts how often
-    a shingle occurs; without it shingles are a set. ``rounds`` of comparisons
-    with one pivot for each bucket come before all remaining pairs are compared.
+    a shingle occurs; without it shingles are a set. What one pivot doesn't join
+    is compared pair by pair in buckets of ``small`` at most, in larger ones by
+    tiles of ``tile`` documents a side.
     """
 
     words: int = 5
@@ -42,7 +43,8 @@ class NearRules:
     bands: int = 32
     rows: int = 7
     weighted: bool = False
-    rounds: int = 2
+    small: int = 32
+    tile: int = 256
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -226,6 +228,67 @@ def _verify(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     return map_batches(joined, make, "a long, b long")
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)) numbers of common values of sets, by products of 0/1 matrices."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    row_a, row_b = np.repeat(np.arange(len(a)), list(map(len, a))), np.repeat(np.arange(len(b)), list(map(len, b)))
+    common = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(common):
+        return out
+    at_a, at_b = np.searchsorted(common, flat_a), np.searchsorted(common, flat_b)
+    in_a, in_b = np.append(common, 0)[at_a] == flat_a, np.append(common, 0)[at_b] == flat_b
+    in_a, in_b = in_a & (at_a < len(common)), in_b & (at_b < len(common))
+    order_a, order_b = np.argsort(at_a[in_a], kind="stable"), np.argsort(at_b[in_b], kind="stable")
+    at_a, row_a, at_b, row_b = at_a[in_a][order_a], row_a[in_a][order_a], at_b[in_b][order_b], row_b[in_b][order_b]
+    for lo in range(0, len(common), 4096):
+        x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+        for m, at, row in ((x, at_a, row_a), (y, at_b, row_b)):
+            p, q = np.searchsorted(at, [lo, lo + 4096])
+            m[row[p:q], at[p:q] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def _compare(table: pa.Table, rules: NearRules) -> pa.Table:
+    """One tile of a bucket: a spanning forest of the links between its two blocks (or inside the one)."""
+    table = table.combine_chunks()
+    side, ids, comp = (table.column(c).to_numpy() for c in ("right", "id", "comp"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("shingles")]
+    p, q = np.flatnonzero(~side), np.flatnonzero(side)
+    q = q if len(q) else p
+    if rules.weighted:
+        heavy = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("weights")]
+        near = np.array([[similarity(sets[i], sets[j], heavy[i], heavy[j]) for j in q] for i in p])
+    else:
+        size = np.array(list(map(len, sets)), np.float64)
+        both = _overlaps([sets[i] for i in p], [sets[j] for j in q]).astype(np.float64)
+        near = both / np.maximum(1, size[p][:, None] + size[q][None, :] - both)
+    i, j = np.nonzero((near >= rules.threshold) & (comp[p][:, None] != comp[q][None, :]))
+    v, u = star_forest(ids[p[i]], ids[q[j]])
+    return pa.table({"a": v, "b": u})
+
+
+def _tile_links(rows: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
+    """Links between the components of large buckets, from rows (bucket, id, comp).
+
+    A bucket is dealt into blocks of bounded size, those of a large component
+    apart from the rest; blocks of one component aren't compared.
+    """
+    per = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).withColumn("own", F.col("c") >= rules.tile // 2)
+    per = per.withColumn("part", F.when(F.col("own"), F.col("comp")).otherwise(F.lit(0)))
+    shape = per.groupBy("bucket", "own", "part").agg(F.ceil(F.sum("c") / rules.tile).cast("int").alias("m"))
+    dealt = rows.join(per.select("bucket", "comp", "own", "part"), ["bucket", "comp"]).join(shape, ["bucket", "own", "part"])
+    dealt = dealt.select("bucket", "id", "comp", F.struct("own", "part", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("k")).alias("block"))
+    blocks = shape.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("bucket", F.struct("own", "part", "k").alias("block"))
+    tiles = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "two"), "bucket")
+    tiles = tiles.where("(one < two or (one = two and not one.own)) and not (one.own and two.own and one.part = two.part)")
+    first = dealt.withColumnRenamed("block", "one").join(tiles, ["bucket", "one"]).select("bucket", "one", "two", "id", "comp", F.lit(False).alias("right"))
+    second = dealt.withColumnRenamed("block", "two").join(tiles.where("one <> two"), ["bucket", "two"]).select("bucket", "one", "two", "id", "comp", F.lit(True).alias("right"))
+    full = first.union(second).join(sets.withColumnRenamed("doc_id", "id"), "id")
+    return full.groupBy("bucket", "one", "two").applyInArrow(lambda t: _compare(t, rules), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), *, salts: int = 16) -> DataFrame:
     """(doc_id, copy_of, class_id, kept) of every document with an id.
 
@@ -235,10 +298,10 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), *, salts: i
     is a class of its own; of rows that repeat a doc_id, equal ones share a
     result; null ids are dropped, as nothing could name them.
 
-    All members of a bucket are compared with its smallest one, then, for some
-    rounds, the members outside that one's component with another; what then
-    still lies in different components of one bucket is compared pair by pair.
-    Nothing is capped: a bucket whose members are all in one component is done.
+    All members of a bucket are compared with its smallest one. What then still
+    lies in different components of one bucket is compared pair by pair, in large
+    buckets inside tiles that return a spanning forest. Nothing is capped: a
+    bucket whose members are all in one component is done.
     """
     signed = settle(signatures(docs, rules).where("doc_id is not null"), "signed")
     keys = ["key_a", "key_b"]
@@ -253,29 +316,20 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), *, salts: i
     forget(signed)
     rows = member.where("bands is not null").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    open_rows = settle(rows.join(shared, "bucket").select("bucket", "id", "id", "pivot", "pivot").toDF("bucket", "id", "comp", "pivot", "pivot_comp"), "buckets")
-    sets = settle(_sets(docs, open_rows.select("id").distinct(), rules), "sets")
-    links = comps = None
-    for turn in range(rules.rounds + 1):
-        if turn < rules.rounds:
-            pairs = open_rows.where("comp <> pivot_comp").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        else:
-            left = open_rows.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
-            right = open_rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "bucket").where("ca <> cb and a < b").select("a", "b")
-        found = settle(_verify(pairs.distinct(), sets, rules), "links")
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        if turn == rules.rounds:
-            break
-        labelled = open_rows.select("bucket", "id").join(comps, open_rows.id == comps.node, "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
-        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max(F.struct("comp", "id")).alias("far")).where("low <> far.comp")
-        mixed = mixed.select("bucket", F.col("far.id").alias("pivot"), F.col("far.comp").alias("pivot_comp"))
-        new_rows = settle(labelled.join(mixed, "bucket").select("bucket", "id", "comp", "pivot", "pivot_comp"), "buckets")
-        forget(open_rows)
-        open_rows = new_rows
-        if open_rows.isEmpty():
-            break
-    forget(sets, open_rows)
+    buckets = settle(rows.join(shared, "bucket").select("bucket", "id", "pivot", "n"), "buckets")
+    sets = settle(_sets(docs, buckets.select("id").distinct(), rules), "sets")
+    stars = settle(_verify(buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, rules), "links")
+    comps = components(stars)
+    labelled = buckets.join(comps, buckets.id == comps.node, "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    still = settle(labelled.join(mixed, "bucket"), "mixed")
+    if not still.isEmpty():
+        few = still.where(F.col("n") <= rules.small)
+        left = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
+        right = few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
+        pairs = left.join(right, "bucket").where("ca <> cb and a < b").select("a", "b").distinct()
+        more = settle(_verify(pairs, sets, rules).union(_tile_links(still.where(F.col("n") > rules.small).drop("n"), sets, rules)), "links")
+        comps = components(more.select(F.col("a").alias("v"), F.col("b").alias("u")).union(comps))
+    forget(sets, buckets, still)
     out = member.join(comps, member.copy_of == comps.node, "left").select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
