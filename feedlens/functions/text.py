@@ -37,6 +37,26 @@ def contains_fold(c: Column, term: str) -> Column:
     return ascii_lower(c).contains(term.translate(str.maketrans(_UPPER, _UPPER.lower())))
 
 
+def literal(value: str) -> str:
+    """A text as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_contains(column: str, terms: Iterable[str], *, fold: bool = False) -> str:
+    """SQL text of ``contains_any``: long word lists are parsed at once, which is much faster than to build them call by call."""
+    return "(" + " OR ".join(f"contains({f'lower({column})' if fold else column}, {literal(t.lower() if fold else t)})" for t in terms) + ")"
+
+
+def sql_matches(column: str, patterns: Iterable[str]) -> str:
+    """SQL text: the text matches one of the patterns, without regard to case."""
+    return f"rlike({column}, {literal('(?iu)' + '|'.join(f'(?:{p})' for p in patterns))})"
+
+
+def sql_first_match(column: str, patterns: Iterable[str]) -> str:
+    """SQL text: the first pattern of the list that the text matches, or null."""
+    return "CASE " + " ".join(f"WHEN {sql_matches(column, [p])} THEN {literal(p)}" for p in patterns) + " END"
+
+
 def contains_any(c: Column, terms: Iterable[str], *, fold: bool = False) -> Column:
     return any_of((F.lower(c).contains(t.lower()) if fold else c.contains(t)) for t in terms)
 
@@ -46,15 +66,6 @@ def matches(c: Column, pattern: str) -> Column:
     return c.rlike(f"(?iu){pattern}")
 
 
-def matches_any(c: Column, patterns: Iterable[str]) -> Column:
-    return matches(c, "|".join(f"(?:{p})" for p in patterns))
-
-
-def first_match(c: Column, patterns: Iterable[str]) -> Column:
-    """The first pattern of the list that the text matches."""
-    return F.coalesce(*[F.when(matches(c, p), F.lit(p)) for p in patterns])
-
-
 def split_list(c: Column, mark: str = "|") -> Column:
     """Parts of a joined list, without empty ones; null stays null."""
     return F.filter(F.split(c, f"[{mark}]"), lambda x: x != "")

@@ -13,50 +13,59 @@ from feedlens.functions import text as T
 
 LABEL = "L1 string, L2 array<string>, severity string, confidence double, reason string, source string, rule_name string"
 EMOJI = r"[\x{1F300}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{27BF}]"
+#: The rules in their order, with the L1 of each.
+RULE_L1 = {
+    "empty": "E.无效", "too_short": "E.无效", "pure_emoji": "E.无效", "invalid_kw": "E.无效", "emotion_pos": "D.情绪", "emotion_neg": "D.情绪",
+    "bug_p0": "A.Bug", "suggest": "B.建议", "question": "C.咨询", "bug_general": "A.Bug",
+}
 
 
-def only_marks(s: Column) -> Column:
-    """True for text made of emoji, punctuation and white space alone."""
-    return F.regexp_replace(F.regexp_replace(s, EMOJI, ""), f"(?U)[{C.PUNCTUATION}]+", "") == ""
+def _rule_of(s: str, r: C.TagRules) -> str:
+    """SQL text: the number, from 1, of the first rule that fits; null for no rule."""
+    marks = f"regexp_replace(regexp_replace({s}, {T.literal(EMOJI)}, ''), {T.literal(f'(?U)[{C.PUNCTUATION}]+')}, '') = ''"
+    short = f"length({s}) <= {C.EMOTION_MAX_LEN}"
+    asks = f"(contains({s}, '?') OR contains({s}, '？') OR length({s}) <= {C.QUESTION_SHORT_LEN})"
+    tests = {
+        "empty": f"{s} = ''", "too_short": f"length({s}) <= {C.TOO_SHORT_LEN}", "pure_emoji": marks, "invalid_kw": T.sql_matches(s, r.invalid),
+        "emotion_pos": f"{short} AND {T.sql_matches(s, r.pos)}", "emotion_neg": f"{short} AND {T.sql_matches(s, r.neg)}", "bug_p0": T.sql_matches(s, r.p0),
+        "suggest": T.sql_matches(s, r.suggest), "question": f"{T.sql_matches(s, r.question)} AND {asks}", "bug_general": T.sql_matches(s, r.bug),
+    }
+    return "CASE " + " ".join(f"WHEN {tests[name]} THEN {k}" for k, name in enumerate(RULE_L1, 1)) + " END"
 
 
-def _label(l1: str, l2: Column, severity: Column | str, rule: str, reason: Column | str) -> Column:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(F.lit(l1).alias("L1"), l2.alias("L2"), lit(severity).alias("severity"), F.lit(C.CONFIDENCE[rule]).alias("confidence"), lit(reason).alias("reason"), F.lit("rule").alias("source"), F.lit(f"rule:{rule}").alias("rule_name"))
+def _by_rule(values: dict[str, str]) -> str:
+    """SQL text: the constant of the rule, looked up in an array, so that the rule is named once wherever filters are pushed to."""
+    return "get(array(" + ", ".join(values[name] for name in RULE_L1) + "), _rule - 1)"  # null for a null, which element_at isn't under ANSI rules
 
 
-def tags_in(s: Column, rules: C.TagRules) -> Column:
-    """L2 tags whose words the text holds, in the order of the rules; 其他 if there is none."""
-    found = F.array_compact(F.array(*[F.when(T.contains_any(s, words), F.lit(tag)) for tag, words in rules.l2.items()]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("其他")))
+def with_rule_label(rows: DataFrame, rules: C.TagRules = C.TagRules()) -> DataFrame:
+    """Adds L1, L2, severity, confidence, reason, source and rule_name of the first rule that fits the text; nulls where none does.
 
-
-def rule_label(text: Column, rules: C.TagRules = C.TagRules()) -> Column:
-    """The label struct of a text; null if the text is null or no rule fits.
-
-    A class of patterns is tested by one alternation; only its hits look for the
-    first pattern, for the reason.
+    A null text fits no rule. Every class of patterns is tested by one
+    alternation; only texts that a class claims look for its first pattern, for
+    the reason. The list of tags is built once for all rules.
     """
-    s = T.strip(text)
-    other, none = F.array(F.lit("其他")), F.array().cast("array<string>")
-    tags = tags_in(s, rules)
-    because = lambda words, patterns: F.concat(F.lit(words), T.first_match(s, patterns))
-    short = F.length(s) <= C.EMOTION_MAX_LEN
-    asks = s.contains("?") | s.contains("？") | (F.length(s) <= C.QUESTION_SHORT_LEN)
-    severity = F.when(s.rlike(C.UPLIFT_PATTERN), "P1").otherwise("P2")
-    return (
-        F.when(text.isNull(), F.lit(None).cast(f"struct<{LABEL.replace(' ', ':').replace(',:', ',')}>"))
-        .when(s == "", _label("E.无效", other, "P3", "empty", "空文本"))
-        .when(F.length(s) <= C.TOO_SHORT_LEN, _label("E.无效", other, "P3", "too_short", "单字符无效内容"))
-        .when(only_marks(s), _label("E.无效", F.array(F.lit("符号表情")), "P3", "pure_emoji", "纯表情或标点"))
-        .when(T.matches_any(s, rules.invalid), _label("E.无效", other, "P3", "invalid_kw", because("命中无效模式 ", rules.invalid)))
-        .when(short & T.matches_any(s, rules.pos), _label("D.情绪", none, "P3", "emotion_pos", "短句正向情绪"))
-        .when(short & T.matches_any(s, rules.neg), _label("D.情绪", none, "P3", "emotion_neg", "短句负向情绪"))
-        .when(T.matches_any(s, rules.p0), _label("A.Bug", tags, "P0", "bug_p0", because("P0 关键词 ", rules.p0)))
-        .when(T.matches_any(s, rules.suggest), _label("B.建议", tags, "P3", "suggest", because("建议关键词 ", rules.suggest)))
-        .when(T.matches_any(s, rules.question) & asks, _label("C.咨询", tags, "P3", "question", because("咨询句式 ", rules.question)))
-        .when(T.matches_any(s, rules.bug), _label("A.Bug", tags, severity, "bug_general", because("Bug 关键词 ", rules.bug)))
-    )
+    s = "_s"
+    found = "array_compact(array(" + ", ".join(f"CASE WHEN {T.sql_contains(s, words)} THEN {T.literal(tag)} END" for tag, words in rules.l2.items()) + "))"
+    other, none = "array('其他')", "CAST(array() AS array<string>)"
+    first_tagged = list(RULE_L1).index("bug_p0") + 1  # this rule and those after it have tags
+    l2 = dict.fromkeys(RULE_L1, none) | {"empty": other, "too_short": other, "pure_emoji": "array('符号表情')", "invalid_kw": other}
+    because = lambda words, patterns: f"concat({T.literal(words)}, {T.sql_first_match(s, patterns)})"
+    reasons = {
+        "empty": "'空文本'", "too_short": "'单字符无效内容'", "pure_emoji": "'纯表情或标点'", "invalid_kw": because("命中无效模式 ", rules.invalid), "emotion_pos": "'短句正向情绪'", "emotion_neg": "'短句负向情绪'",
+        "bug_p0": because("P0 关键词 ", rules.p0), "suggest": because("建议关键词 ", rules.suggest), "question": because("咨询句式 ", rules.question), "bug_general": because("Bug 关键词 ", rules.bug),
+    }
+    texts = rows.withColumn(s, T.strip(F.col("text"))).withColumn("_rule", F.expr(_rule_of(s, rules)))
+    claimed = texts.withColumn("_tags", F.expr(f"CASE WHEN _rule >= {first_tagged} THEN {found} END"))
+    return claimed.withColumns({
+        "L1": F.expr(_by_rule({k: T.literal(v) for k, v in RULE_L1.items()})),
+        "L2": F.expr(f"CASE WHEN _tags IS NULL THEN {_by_rule(l2)} WHEN size(_tags) = 0 THEN {other} ELSE _tags END"),
+        "severity": F.expr(f"CASE WHEN _rule = {len(RULE_L1)} AND rlike({s}, {T.literal(C.UPLIFT_PATTERN)}) THEN 'P1' ELSE {_by_rule(dict.fromkeys(RULE_L1, T.literal('P3')) | {'bug_p0': T.literal('P0'), 'bug_general': T.literal('P2')})} END"),
+        "confidence": F.expr(_by_rule({k: f"{v}D" for k, v in C.CONFIDENCE.items()})),
+        "reason": F.expr("CASE _rule " + " ".join(f"WHEN {k} THEN {reasons[name]}" for k, name in enumerate(RULE_L1, 1)) + " END"),
+        "source": F.expr("CASE WHEN _rule IS NOT NULL THEN 'rule' END"),
+        "rule_name": F.expr("'rule:' || " + _by_rule({k: T.literal(k) for k in RULE_L1})),
+    }).drop("_s", "_rule", "_tags")
 
 
 def fallback_label(reason: Column | str) -> Column:
@@ -90,8 +99,13 @@ def parse_reply(reply: Column) -> Column:
 
 def tag_messages(messages: DataFrame, rules: C.TagRules = C.TagRules(), *, reply: Column | None = None, tagged_at: int = 0) -> DataFrame:
     """Labels of (feedback_id, text): by rule, else from ``reply`` (an expression for the model's answer), else pending."""
-    label = F.coalesce(rule_label(F.col("text"), rules), parse_reply(reply if reply is not None else F.lit("")))
-    return messages.withColumn("_label", label).select("feedback_id", "_label.*").withColumn("tagged_at", F.lit(tagged_at).cast("long"))
+    ruled = with_rule_label(messages, rules)
+    other = parse_reply(reply) if reply is not None else fallback_label("parse_error: no_json_found")
+    names = ["L1", "L2", "severity", "confidence", "reason", "source"]
+    open_ = F.col("rule_name").isNull()
+    return ruled.withColumn("_other", F.when(open_, other)).select(
+        "feedback_id", *[F.when(open_, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c) for c in names], "rule_name", F.lit(tagged_at).cast("long").alias("tagged_at")
+    )
 
 
 def model_replies(messages: DataFrame, ask: Callable[[str], str], *, partitions: int | None = None) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from feedlens.oracles import ORACLE_SQL
+from feedlens.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +22,13 @@ def spark_session(app: str = "feedlens", **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set to one of this machine where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='feedlens-')}"
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
