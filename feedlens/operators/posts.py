@@ -204,7 +204,7 @@ def parse_post_reply(reply: Column) -> Column:
     return F.struct(
         problem.alias("problem"), truth.alias("is_relevant"), said("brand_focus").alias("brand_focus"), said("sentiment").alias("sentiment"),
         F.when(F.size(topics) > 0, topics).otherwise(F.array(F.lit("other"))).alias("topics"), said("post_type").alias("post_type"), said("risk_level").alias("risk_level"), said("summary").alias("summary"),
-        F.coalesce(F.nullif(said("reason"), F.lit("")), said("relevance_reason")).alias("reason"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure.try_cast("double"))).alias("confidence"),
+        F.coalesce(F.nullif(said("reason"), F.lit("")), said("relevance_reason")).alias("reason"), F.when(sure.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure.try_cast("double")))).alias("confidence"),
     )
 
 

@@ -83,4 +83,5 @@ def resession_touched(history: DataFrame, incoming: DataFrame, *, gap_ms: int =
     fresh = incoming.join(history.select("feedback_id"), "feedback_id", "left_anti").dropDuplicates(["feedback_id"])
     users = fresh.select(F.col("user_vid").alias("_u")).distinct()
     touched = history.join(users, history.user_vid == users._u, "left_semi")
-    return sessionize(touched.unionByName(fresh), gap_ms=gap_ms)
+    columns = [c for c in history.columns if c not in ("conversation_id", "msg_seq")]
+    return sessionize(touched.select(*columns).unionByName(fresh.select(*columns)), gap_ms=gap_ms)
