@@ -278,7 +278,7 @@ def _tile_links(rows: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame
     per = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).withColumn("own", F.col("c") >= rules.tile // 2)
     per = per.withColumn("part", F.when(F.col("own"), F.col("comp")).otherwise(F.lit(0)))
     shape = per.groupBy("bucket", "own", "part").agg(F.ceil(F.sum("c") / rules.tile).cast("int").alias("m"))
-    dealt = rows.join(per.select("bucket", "comp", "own", "part"), ["bucket", "comp"]).join(shape, ["bucket", "own", "part"])
+    dealt = rows.join(per.select("bucket", "comp", "own", "part").hint("merge"), ["bucket", "comp"]).join(shape.hint("merge"), ["bucket", "own", "part"])
     dealt = dealt.select("bucket", "id", "comp", F.struct("own", "part", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("k")).alias("block"))
     blocks = shape.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("bucket", F.struct("own", "part", "k").alias("block"))
     tiles = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "two"), "bucket")
@@ -316,13 +316,14 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), *, salts: i
     forget(signed)
     rows = member.where("bands is not null").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    buckets = settle(rows.join(shared, "bucket").select("bucket", "id", "pivot", "n"), "buckets")
+    # a bucket of very many near copies is one key: merge joins let adaptive execution split it
+    buckets = settle(rows.join(shared.hint("merge"), "bucket").select("bucket", "id", "pivot", "n"), "buckets")
     sets = settle(_sets(docs, buckets.select("id").distinct(), rules), "sets")
     stars = settle(_verify(buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, rules), "links")
     comps = components(stars)
     labelled = buckets.join(comps, buckets.id == comps.node, "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    still = settle(labelled.join(mixed, "bucket"), "mixed")
+    still = settle(labelled.join(mixed.hint("merge"), "bucket"), "mixed")
     if not still.isEmpty():
         few = still.where(F.col("n") <= rules.small)
         left = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
