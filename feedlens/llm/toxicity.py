@@ -34,7 +34,7 @@ class ToxicRules:
     """At most ``sample`` labelled texts of each class are learned from, those of smallest id hash;
     one in ``fold`` of them sets the logistic curve, the others are counted. ``top`` words are a text's most toxic ones."""
 
-    order: int = 5
+    order: int = 7
     discount: float = 0.75
     strength: float = 20.0
     sample: int = 15_000
