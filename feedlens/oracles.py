@@ -228,7 +228,7 @@ def _classify(source: str, name: str) -> str:
 
 _HITS = f"""WITH {E0}, h0 AS (SELECT 'p' || (event_id // 3) AS post_id, CAST(user_id AS VARCHAR) AS author_id, k % 2 = 0 AS author_verified, {pick(A.RAW_TIMES, 'event_id // 3')} AS created_at_raw, {pick(A.POST_TEXTS, 'event_id // 3')} AS text, k AS reposts_count,
  'q' || (event_id % 3) AS keyword, {pick(A.QUERY_NAMES, 'k')} AS query_name, ts_ms // 1000 AS searched_at, CAST(event_id % 20 + 1 AS INTEGER) AS search_rank FROM ev), h AS (SELECT *, {_WRITTEN} AS created_at_ms FROM h0)"""
-_POSTS = f"""{_HITS}, pa AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY searched_at DESC) AS rn, min(searched_at) OVER (PARTITION BY post_id) AS first_seen_at, max(searched_at) OVER (PARTITION BY post_id) AS last_seen_at FROM h WHERE {_OWN} OR {_RIVAL}),
+_POSTS = f"""{_HITS}, pa AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY searched_at DESC, author_id DESC, author_verified DESC, reposts_count DESC) AS rn, min(searched_at) OVER (PARTITION BY post_id) AS first_seen_at, max(searched_at) OVER (PARTITION BY post_id) AS last_seen_at FROM h WHERE {_OWN} OR {_RIVAL}),
  p1 AS (SELECT post_id, author_id, author_verified, created_at_raw, created_at_ms, text, reposts_count, first_seen_at, last_seen_at, COALESCE(created_at_ms, last_seen_at * 1000) AS event_ms FROM pa WHERE rn = 1), {_classify('p1', 'p')},
  kf AS (SELECT post_id, query_name, min(searched_at) AS first_at FROM h GROUP BY 1, 2), kw AS (SELECT post_id, string_agg(query_name, '|' ORDER BY first_at, query_name) AS keywords FROM kf GROUP BY 1)"""
 add("post_classify", f"{_HITS}, {_classify('h', 'x')} SELECT post_id || '-' || searched_at || '-' || search_rank AS post_id, brand_focus, sentiment, array_to_string(topics, '|') AS topics, post_type, risk_level FROM x")
