@@ -7,7 +7,6 @@ rows that the one before kept, as written Parquet.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from feedlens.llm import minhash, packing, quality, toxicity
 from feedlens.llm.common import fresh_dir, table
