@@ -96,7 +96,7 @@ def build_state(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, STATE)
 
 
-def _touched(leaf_start: np.ndarray, raw: bytes, start: int, stop: int) -> tuple[int, int]:
+def _touched(leaf_start: np.ndarray, start: int, stop: int) -> tuple[int, int]:
     """Leaves to encode again if bytes start..stop-1 are replaced.
 
     A boundary stands if the space that it lies before, and the byte after
@@ -109,17 +109,48 @@ def _touched(leaf_start: np.ndarray, raw: bytes, start: int, stop: int) -> tuple
     return max(first, 0), last
 
 
-def edit_text(raw: bytes, sizes: np.ndarray, tree: SegmentTree, start: int, stop: int, new: bytes, count) -> tuple[bytes, np.ndarray, int]:
-    """Replace bytes start..stop-1; returns the text, the leaf sizes and how many bytes were encoded again."""
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    if not len(sizes):
-        region, first, last = new, 0, 0
-    else:
-        first, last = _touched(edges[:-1], raw, start, stop)
-        region = raw[edges[first] : start] + new + raw[stop : edges[last]]
-    leaf_sizes, leaf_tokens = count(region)
-    tree.replace(first, last, leaf_tokens)
-    return raw[:start] + new + raw[stop:], np.concatenate([sizes[:first], leaf_sizes, sizes[last:]]).astype(np.int64), len(region)
+class _Document:
+    """A text under edits, with its leaves."""
+
+    __slots__ = ("encoded", "raw", "sizes", "span", "text", "tree")
+
+    def __init__(self, text: str, sizes: np.ndarray, tokens: np.ndarray):
+        self.text, self.raw, self.sizes, self.tree, self.encoded = text, text.encode(), sizes, SegmentTree.over(tokens), 0
+
+    def cut(self, edit: dict) -> bytes:
+        """Apply an edit to the text; returns the region that has to be encoded again."""
+        n = len(self.text)
+        a = min(max(edit["at"] or 0, 0), n)
+        b = min(a + max(edit["remove"] or 0, 0), n)
+        insert = edit["insert"] or ""
+        start = len(self.text[:a].encode())
+        stop = start + len(self.text[a:b].encode())
+        new = insert.encode()
+        first = last = 0
+        left = right = b""
+        if len(self.sizes):
+            edges = np.zeros(len(self.sizes) + 1, np.int64)
+            np.cumsum(self.sizes, out=edges[1:])
+            first, last = _touched(edges[:-1], start, stop)
+            left, right = self.raw[edges[first] : start], self.raw[stop : edges[last]]
+        self.span = first, last
+        self.text = self.text[:a] + insert + self.text[b:]
+        self.raw = self.raw[:start] + new + self.raw[stop:]
+        region = left + new + right
+        self.encoded += len(region)
+        return region
+
+    def put(self, sizes: np.ndarray, tokens: np.ndarray) -> None:
+        """Put the leaves of the region in the place of those it touched."""
+        first, last = self.span
+        self.tree.replace(first, last, tokens)
+        self.sizes = np.concatenate([self.sizes[:first], sizes, self.sizes[last:]])
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.int32)))
 
 
 def apply_edits(state: DataFrame, edits: DataFrame | None, tokenizer: str) -> DataFrame:
@@ -128,47 +159,44 @@ def apply_edits(state: DataFrame, edits: DataFrame | None, tokenizer: str) -> Da
     ``at`` and ``remove`` count characters of the text as it is when its turn
     comes; edits apply in the order of the array, positions beyond the end mean
     the end, nulls mean 0 or nothing. Documents without edits keep their state.
-    Adds n_tokens_before, bytes_encoded and n_edits.
+    Adds n_tokens_before, bytes_encoded and n_edits. The first edits of many
+    documents are encoded together, then the second ones, and so on.
     """
     schema = STATE + ", n_tokens_before long, bytes_encoded long, n_edits long"
 
     def make():
         table = chunk_ids(tokenizer)
 
-        def count(region: bytes):
-            buf = np.frombuffer(region, np.uint8)
-            offsets = np.array([0, len(buf)])
+        def count(regions: list[bytes]):
+            """Leaf sizes and tokens of each region."""
+            buf = np.frombuffer(b"".join(regions), np.uint8)
+            offsets = np.zeros(len(regions) + 1, np.int64)
+            np.cumsum([len(r) for r in regions], out=offsets[1:])
             if not len(buf):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            _, _, chunk, _ = table.encode(buf, offsets)
-            size, tokens, _ = _leaves(buf, offsets, chunk, cuts(buf, offsets))
-            return size, tokens
+                size = tokens = doc = np.zeros(0, np.int64)
+            else:
+                _, _, chunk, _ = table.encode(buf, offsets)
+                size, tokens, doc = _leaves(buf, offsets, chunk, cuts(buf, offsets))
+            at = np.searchsorted(doc, np.arange(1, len(regions)))
+            return zip(np.split(size, at), np.split(tokens, at), strict=True)
+
+        def part(batch: pa.RecordBatch):
+            get = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            leaves = [(get[c].flatten().to_numpy().astype(np.int64), np.diff(get[c].offsets.to_numpy()).cumsum()[:-1]) for c in ("leaf_bytes", "leaf_tokens")]
+            sizes, tokens = (np.split(flat, at) for flat, at in leaves)
+            docs = [_Document(t or "", *x) for t, *x in zip(get["text"].to_pylist(), sizes, tokens, strict=True)]
+            changes = [e or [] for e in get["edits"].to_pylist()]
+            for turn in range(max(map(len, changes))):
+                mine = [(d, e[turn]) for d, e in zip(docs, changes, strict=True) if len(e) > turn]
+                for (d, _), leaf in zip(mine, count([d.cut(e) for d, e in mine]), strict=True):
+                    d.put(*leaf)
+            totals = [d.tree.total for d in docs]
+            cols = [pa.array([d.text for d in docs], pa.string()), pa.array(totals, pa.int64()), _lists([d.sizes for d in docs]), _lists([d.tree.levels[0] for d in docs]), get["n_tokens"], pa.array([d.encoded for d in docs], pa.int64()), pa.array(list(map(len, changes)), pa.int64())]
+            return pa.RecordBatch.from_arrays([get["doc_id"], *cols], [c.split()[0] for c in schema.split(", ")])
 
         def f(batch: pa.RecordBatch):
-            names = batch.schema.names
-            out = []
-            get = {c: batch.column(names.index(c)) for c in names}
-            for k in range(batch.num_rows):
-                changes = get["edits"][k].as_py() or []
-                text, n = get["text"][k].as_py() or "", get["n_tokens"][k].as_py()
-                if not changes:
-                    out.append((text, n, get["leaf_bytes"][k].as_py(), get["leaf_tokens"][k].as_py(), n, 0, 0))
-                    continue
-                raw = text.encode()
-                sizes = np.array(get["leaf_bytes"][k].as_py(), np.int64)
-                tree = SegmentTree.over(np.array(get["leaf_tokens"][k].as_py(), np.int64))
-                encoded = 0
-                for e in changes:
-                    lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                    spot = np.append(lead, len(raw))
-                    a = min(max(e["at"] or 0, 0), len(lead))
-                    b = min(a + max(e["remove"] or 0, 0), len(lead))
-                    raw, sizes, some = edit_text(raw, sizes, tree, int(spot[a]), int(spot[b]), (e["insert"] or "").encode(), count)
-                    encoded += some
-                out.append((raw.decode(), tree.total, sizes.tolist(), tree.levels[0].tolist(), n, encoded, len(changes)))
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([get["doc_id"]] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+            for lo, hi, *_ in spans.slices(batch.column(batch.schema.names.index("text"))):
+                yield part(batch.slice(lo, hi - lo))
 
         return f
 
