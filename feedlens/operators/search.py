@@ -60,6 +60,13 @@ def keyword_search(conversations: DataFrame, messages: DataFrame, groups: Sequen
     return without_message(out, messages, T.any_of(map(has_term, excludes))) if excludes else out
 
 
+def describe(groups: Sequence[KeywordGroup], excludes: Sequence[str] = ()) -> str:
+    """A keyword search in words, as the question for relevance scores."""
+    quoted = lambda words, sep: sep.join(f"'{w}'" for w in words)
+    said = ["包含" + quoted(g.keywords, " 和 " if g.logic == "AND" else " 或 ") for g in groups if g.keywords]
+    return "，".join([*said, *(["排除" + quoted(excludes, "、")] if excludes else [])])
+
+
 def intent_condition(intent: Intent) -> Column | None:
     """The condition on a message, or None if no term is left."""
     groups = [[t.strip() for t in g if t.strip()] for g in (intent.must or intent.should)]

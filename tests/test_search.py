@@ -34,6 +34,11 @@ def test_keywords(tables, groups, excludes, want):
     assert ids(S.keyword_search(*tables, [S.KeywordGroup(*g) for g in groups], excludes)) == want
 
 
+def test_description():
+    assert S.describe([S.KeywordGroup(["a", "b"]), S.KeywordGroup([]), S.KeywordGroup(["c", "d"], "OR")], ["x", "y"]) == "包含'a' 和 'b'，包含'c' 或 'd'，排除'x'、'y'"
+    assert S.describe([]) == ""
+
+
 def test_keyword_errors(tables):
     with pytest.raises(ValueError):
         S.keyword_search(*tables, [S.KeywordGroup([])], ["x"])
