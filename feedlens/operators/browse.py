@@ -71,9 +71,10 @@ def top_tags(conversations: DataFrame, n: int = 10) -> DataFrame:
     return distribution(conversations).where("dim = 'L2'").select(F.col("value").alias("tag"), "n").orderBy(F.desc("n"), "tag").limit(n)
 
 
-def by_score(items: DataFrame, score: Column | str = "score") -> DataFrame:
-    """Sorted by relevance score, a missing one as 0, newest first among equals."""
-    return items.orderBy(F.coalesce(score, F.lit(0)).desc(), F.desc("last_ts_ms"), "conversation_id")
+def by_score(items: DataFrame, score: Column | str = "score", *, limit: int | None = None) -> DataFrame:
+    """Sorted by relevance score, a missing one as 0, newest first among equals; all of them, or the first ``limit``."""
+    rows = items.orderBy(F.coalesce(score, F.lit(0)).desc(), F.desc("last_ts_ms"), "conversation_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def messages_per_conversation(messages: DataFrame) -> DataFrame:

@@ -128,8 +128,10 @@ def model_replies(messages: DataFrame, ask: Callable[[str], str], *, partitions:
     return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, "feedback_id string, reply string")
 
 
-def untagged(messages: DataFrame, labels: DataFrame) -> DataFrame:
-    return messages.join(labels.select("feedback_id"), "feedback_id", "left_anti")
+def untagged(messages: DataFrame, labels: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Messages without a label, oldest first: all of them, or the first ``limit``."""
+    rows = messages.join(labels.select("feedback_id"), "feedback_id", "left_anti").orderBy("ts_ms", "feedback_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def tag_stats(labels: DataFrame) -> DataFrame:

@@ -162,11 +162,21 @@ def llm_reply_parse(spark, d):
     return e.select("event_id", "l.L1", F.array_join("l.L2", "|").alias("L2"), "l.severity", "l.confidence", "l.reason")
 
 
-@query
-def untagged_messages(spark, d):
+def _untagged(spark, d, limit: int | None = None) -> DataFrame:
     m = A.messages(spark, d).select("feedback_id", "ts_ms", "text")
     tagged = A.message_labels(m).where("L1 <> '待定'")
-    return tagging.untagged(m, tagged).orderBy("ts_ms", "feedback_id").select("feedback_id", "ts_ms").limit(500)
+    return tagging.untagged(m, tagged, limit=limit).select("feedback_id", "ts_ms")
+
+
+@query
+def untagged_messages(spark, d):
+    """The 500 oldest, as its SQL has them; untagged_messages_all has every one."""
+    return _untagged(spark, d, limit=500)
+
+
+@query
+def untagged_messages_all(spark, d):
+    return _untagged(spark, d)
 
 
 @query
@@ -498,9 +508,19 @@ def report_lines(spark, d):
     return RP.sample_lines(RP.best_samples(_samples(spark, d))).select("line")
 
 
+def _by_score(spark, d, limit: int | None = None) -> DataFrame:
+    return B.by_score(_samples(spark, d), F.nullif(F.col("ai_score"), F.lit(0)), limit=limit).select("conversation_id", "last_ts_ms", F.col("ai_score").cast("long").alias("ai_score"))
+
+
 @query
 def score_sort(spark, d):
-    return B.by_score(_samples(spark, d), F.nullif(F.col("ai_score"), F.lit(0))).limit(50).select("conversation_id", "last_ts_ms", F.col("ai_score").cast("long").alias("ai_score"))
+    """The 50 best, as its SQL has them; score_sort_all has every one."""
+    return _by_score(spark, d, limit=50)
+
+
+@query
+def score_sort_all(spark, d):
+    return _by_score(spark, d)
 
 
 def overlap_scorer(query: str, batch: list[tuple[str, str]]) -> list[dict]:

@@ -83,3 +83,27 @@ def test_aggregation_without_message_zero_and_empty(spark):
     (r,) = aggregate(spark, [(2, 30, "3", "待定", None, "P3", 0.0), (1, 20, "2", "D.情绪", [], "P3", 0.5)])
     assert r.L1 == "D.情绪" and r.appversion == "2" and r.L2 == ""
     assert aggregate(spark, [(0, 1, "1", None, None, None, None)]) == []
+
+
+def test_all_untagged(spark, tmp_path):
+    """Every untagged message, more than the 500 of the capped query; a limit only where one is given."""
+    from feedlens.operators.tagging import untagged
+    from feedlens.queries import QUERIES
+
+    spark.range(24_000).selectExpr("id AS event_id", "id % 50 AS user_id", "timestamp_seconds(1704844800 + id) AS ts", "'click' AS event_type", "1.0D AS value", "concat('{\"k\": ', id % 9, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["untagged_messages_all"](spark, str(tmp_path)).collect()
+    assert len(got) > 500 and [r.ts_ms for r in got] == sorted(r.ts_ms for r in got)
+    assert QUERIES["untagged_messages"](spark, str(tmp_path)).collect() == got[:500]
+    m = spark.createDataFrame([("b", 1), ("a", 1), ("c", 0), ("d", 2)], "feedback_id string, ts_ms long")
+    none = m.where("feedback_id = 'd'")
+    assert [r.feedback_id for r in untagged(m, none).collect()] == ["c", "a", "b"]
+    assert [r.feedback_id for r in untagged(m, none, limit=2).collect()] == ["c", "a"]
+
+
+def test_all_by_score(spark):
+    from feedlens.operators.browse import by_score
+
+    rows = spark.range(120).selectExpr("cast(id as string) AS conversation_id", "id AS last_ts_ms", "nullif(id % 4, 0) AS score")
+    got = by_score(rows).collect()
+    assert len(got) == 120 and [(r.score or 0, r.last_ts_ms) for r in got] == sorted(((r.score or 0, r.last_ts_ms) for r in got), reverse=True)
+    assert by_score(rows, limit=7).collect() == got[:7]
