@@ -7,9 +7,10 @@ rows that the one before kept, as written Parquet.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedlens.llm import minhash, packing, quality, toxicity
-from feedlens.llm.common import fresh_dir, table
+from feedlens.llm.common import fresh_dir, settle, table
 from feedlens.llm.queries import tokenizer_file
 
 
@@ -24,10 +25,33 @@ def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean_documents(docs)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """The rows with near_name, a number that only equal rows share.
+
+    It is the doc_id, or a hash of the whole row, of 2 ** 62 or more, where that
+    is null or a smaller row hash has the same doc_id.
+    """
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # hashes skip nulls
+    rows = docs.withColumns({"near_name": F.col("doc_id").cast("long"), "near_row": row})
+    repeated = settle(rows.where("near_name is not null").groupBy("near_name").agg(F.min("near_row").alias("near_first"), F.max("near_row").alias("near_last")).where("near_first < near_last"), "repeated")
+    own = F.shiftrightunsigned("near_row", 2).bitwiseOR(F.lit(1 << 62))
+    if repeated.isEmpty():
+        return rows.withColumn("near_name", F.coalesce("near_name", own)).drop("near_row")
+    some = rows.where("near_name is not null").join(repeated.hint("merge"), "near_name", "left")
+    some = some.withColumn("near_name", F.when(F.col("near_row") > F.col("near_first"), own).otherwise(F.col("near_name")))
+    columns = [*docs.columns, "near_name"]
+    return some.select(*columns).union(rows.where("near_name is null").withColumn("near_name", own).select(*columns))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near-duplicates, that of the smallest doc_id.
+
+    Every different row is a document: one with a null doc_id, or another row of
+    a doc_id, is compared like the rest and stands behind all other ids.
+    """
+    rows = _named(docs)
+    kept = minhash.near_duplicates(rows.select(F.col("near_name").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("near_name")).distinct()
+    return rows.join(kept, "near_name", "left_semi").select(*docs.columns).distinct()
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

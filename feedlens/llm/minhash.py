@@ -171,7 +171,7 @@ def signatures(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rules: NearRules) -> DataFrame:
-    """(doc_id, shingles, weights) of the wanted documents; shingles as sorted 32-bit hashes in bytes.
+    """(doc_id, shingles, weights) of the wanted documents, once for each text of a doc_id; shingles as sorted 32-bit hashes in bytes.
 
     Within one text of n shingles about n * n / 2 ** 33 pairs of different
     shingles share a hash: 0.05 of 20,000.
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rules: NearRules) -> DataFrame:
         return f
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    found = docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").distinct()
     return map_batches(found, make, "doc_id long, shingles binary, weights binary")
 
 
@@ -296,7 +296,8 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), *, salts: i
     texts are linked by similarity, and class_id is the smallest doc_id that
     links reach. kept is true for that document alone. A document without words
     is a class of its own; of rows that repeat a doc_id, equal ones share a
-    result; null ids are dropped, as nothing could name them.
+    result, and different texts of one doc_id link what any of them is near to;
+    null ids are dropped, as nothing could name them.
 
     All members of a bucket are compared with its smallest one. What then still
     lies in different components of one bucket is compared pair by pair, in large

@@ -61,3 +61,27 @@ def test_odd_tables(spark, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/odd-{k}-{n}")
             assert n == 3 or docs.columns == columns
         assert docs.count() == (1 if part else 0)
+
+
+def test_rows_without_own_id(spark, tmp_path):
+    """Null and repeated ids: every different text stays, copies of any row go."""
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    near = text(1).rsplit(" ", 1)[0]
+    rows = [(1, text(1), "a"), (1, text(2), "a"), (1, text(2), "a"), (None, text(3), "a"), (None, text(4), None), (None, None, "a"), (None, near, "a"), (5, text(5), "a"), (5, None, "a"), (5, "a", None), (6, text(5), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    gone = {(None, near, "a"), (6, text(5), "b"), (5, text(5), "a")}
+    assert set(rows) - gone <= set(got) and len(got) == len(set(got)) == len(set(rows)) - 2
+    assert len({(5, text(5), "a"), (6, text(5), "b")} & set(got)) == 1 and (None, near, "a") not in got
+
+
+def test_texts_of_one_id(spark):
+    """A doc_id with two texts is linked by either of them."""
+    from feedlens.llm.minhash import near_duplicates
+
+    text = lambda k, n=60: " ".join(f"v{k}x{i}" for i in range(n))
+    rows = [(9, text(k)) for k in range(12)] + [(20 + k, text(k, 59)) for k in range(12)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {9}
