@@ -13,22 +13,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import held_out, map_batches
+from .common import held_out, map_batches, settle
 
 
 @dataclass(frozen=True)
 class CnnRules:
-    """``sample`` labelled texts at most, those of smallest id hash, and ``per_text`` windows of each, are trained on."""
+    """``sample`` labelled texts, those of smallest id hash, with ``per_language`` such texts of each language, are
+    trained on at most; ``per_text`` windows of each text."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     embedding: int = 8
     sample: int = 3_000
+    per_language: int = 500
     per_text: int = 3
     epochs: int = 6
     batch: int = 64
@@ -137,11 +139,14 @@ def byte_windows(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 def fit(docs: DataFrame, rules: CnnRules = CnnRules(), *, modulus: int = 4, remainder: int = 2) -> ByteCnn:
     """Train on the text and lang of documents whose id's crc32 hasn't the remainder; null or empty ones teach nothing.
 
-    The driver gets the bounded sample of windows and nothing else. Without
+    The driver gets the sample of windows, bounded for each language, and nothing else. Without
     any labelled text the network knows no language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id", modulus, remainder))
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
+    labelled = settle(known.select("doc_id", "lang").distinct(), "labelled")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    each = labelled.withColumn("place", place).where(F.col("place") <= rules.per_language)
+    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample).union(each.select("doc_id")).distinct()
     sample = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
 
     def cut(batches):

@@ -127,3 +127,12 @@ def test_held_out_is_crc32(spark):
 
     rows = spark.range(50).select("id", held_out("id", 3, 1).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
+
+
+def test_rare_language_is_learned(spark):
+    """A language that the smallest hashes over all languages leave out has a sample of its own."""
+    docs = spark.range(1500).selectExpr("id AS doc_id", "IF(id >= 1490, 'rare', 'often') AS lang", "repeat(IF(id >= 1490, 'zqzq ', 'abab '), 20) AS text")
+    model = langid.fit(docs, langid.CnnRules(sample=20, per_language=6, epochs=20))
+    assert model.languages == ["often", "rare"]
+    got = langid.identify(docs, model).join(docs, "doc_id")
+    assert got.where("lang_pred <> lang").count() == 0
