@@ -6,14 +6,16 @@ event by its number, so that every rule has cases.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens import schemas
-from feedlens.operators import labels as L
 from feedlens.operators import posts as P
-from feedlens.operators import tagging
 from feedlens.operators.sessionize import sessionize
+from feedlens.session import shared_root
+from feedlens.sources.store import LabelStore
 
 #: Sessions of messages in most queries, so that conversations have several messages.
 LONG_GAP_MS = 43_200_000
@@ -95,12 +97,19 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionize(messages(spark, sf_dir), gap_ms=LONG_GAP_MS)
 
 
-def message_labels(rows: DataFrame) -> DataFrame:
-    return tagging.tag_messages(rows)
+_STORES: dict[tuple[str, str], LabelStore] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> LabelStore:
+    """The labelled messages and conversations of a folder, stored once in each session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        _STORES[key] = LabelStore(f"{shared_root(spark)}/labels-{uuid.uuid4().hex}", gap_ms=LONG_GAP_MS).create(messages(spark, sf_dir))
+    return _STORES[key]
 
 
-def conversation_labels(rows: DataFrame) -> DataFrame:
-    return L.aggregate_labels(rows, message_labels(rows))
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir).conversations(spark)
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -23,9 +24,13 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+#: White space that ``strip`` takes off, the control characters 1C to 1F among it.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -47,14 +52,35 @@ def sql_contains(column: str, terms: Iterable[str], *, fold: bool = False) -> st
     return "(" + " OR ".join(f"contains({f'lower({column})' if fold else column}, {literal(t.lower() if fold else t)})" for t in terms) + ")"
 
 
-def sql_matches(column: str, patterns: Iterable[str]) -> str:
-    """SQL text: the text matches one of the patterns, without regard to case."""
-    return f"rlike({column}, {literal('(?iu)' + '|'.join(f'(?:{p})' for p in patterns))})"
+_META = re.compile(r"[\\.^$*+?{}\[\]|()]")
+
+
+def _kind(pattern: str) -> tuple[str, str]:
+    """whole, part or regex, and the text in lower case where the pattern is a plain word."""
+    inner = pattern[1:-1] if len(pattern) > 1 and pattern[0] == "^" and pattern[-1] == "$" else None
+    if inner is not None and not _META.search(inner):
+        return "whole", inner.lower()
+    return ("regex", pattern) if _META.search(pattern) else ("part", pattern.lower())
+
+
+def sql_matches(column: str, patterns: Iterable[str], *, folded: str) -> str:
+    """SQL text: the text matches one of the patterns, without regard to case.
+
+    ``folded`` names the text in lower case. Plain words are looked for in it;
+    only what needs a regular expression is one, in one alternation.
+    """
+    kinds = [_kind(p) for p in patterns]
+    tests = [f"contains({folded}, {literal(w)})" for k, w in kinds if k == "part"]
+    if whole := [literal(w) for k, w in kinds if k == "whole"]:
+        tests.append(f"{folded} IN ({', '.join(whole)})")
+    if regex := [p for k, p in kinds if k == "regex"]:
+        tests.append(f"rlike({column}, {literal('(?iu)' + '|'.join(f'(?:{p})' for p in regex))})")
+    return "(" + " OR ".join(tests) + ")"
 
 
-def sql_first_match(column: str, patterns: Iterable[str]) -> str:
+def sql_first_match(column: str, patterns: Iterable[str], *, folded: str) -> str:
     """SQL text: the first pattern of the list that the text matches, or null."""
-    return "CASE " + " ".join(f"WHEN {sql_matches(column, [p])} THEN {literal(p)}" for p in patterns) + " END"
+    return "CASE " + " ".join(f"WHEN {sql_matches(column, [p], folded=folded)} THEN {literal(p)}" for p in patterns) + " END"
 
 
 def contains_any(c: Column, terms: Iterable[str], *, fold: bool = False) -> Column:

@@ -15,14 +15,17 @@ PREVIEW_CHARS = 80
 def page(conversations: DataFrame, messages: DataFrame, *, limit: int = 50, offset: int = 0, most: int = 500, url_base: str = "chat") -> DataFrame:
     """One page of conversations, newest first, equal times by id, with the preview and platform of message 0.
 
-    The page is cut first; its ids, ``most`` at the outside, are broadcast to pick
-    the few messages that are shown, so the messages aren't shuffled.
+    Stored conversations hold both, so the messages aren't read. Without them the
+    page is cut first; its ids, ``most`` at the outside, are broadcast to pick the
+    few messages that are shown, so the messages aren't shuffled.
     """
     check_page(limit, offset, most=most)
     rows = conversations.orderBy(F.desc("last_ts_ms"), "conversation_id").offset(offset).limit(limit)
-    shown = messages.where("msg_seq = 0").join(F.broadcast(rows.select("conversation_id")), "conversation_id", "left_semi")
-    first = shown.select("conversation_id", F.substring(F.coalesce("text", F.lit("")), 1, PREVIEW_CHARS).alias("preview_text"), F.coalesce("platform", F.lit("")).alias("platform"))
-    out = rows.join(first, "conversation_id", "left")
+    out = rows
+    if "preview_text" not in rows.columns:
+        shown = messages.where("msg_seq = 0").join(F.broadcast(rows.select("conversation_id")), "conversation_id", "left_semi")
+        first = shown.select("conversation_id", F.substring(F.coalesce("text", F.lit("")), 1, PREVIEW_CHARS).alias("preview_text"), F.coalesce("platform", F.lit("")).alias("platform"))
+        out = rows.join(first, "conversation_id", "left")
     service = F.coalesce("service_vid", F.lit(C.DEFAULT_SERVICE_VID))
     url = F.coalesce(F.nullif(F.col("external_chat_url"), F.lit("")), T.chat_url(url_base, F.col("channel"), service, F.col("user_vid")))
     return out.select(

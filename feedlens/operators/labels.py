@@ -13,15 +13,20 @@ def _map(values: dict[str, int]) -> Column:
 
 
 def aggregate_labels(messages: DataFrame, labels: DataFrame, *, aggregated_at: int = 0) -> DataFrame:
-    """Conversation labels of messages (feedback_id, conversation_id, msg_seq, ts_ms, user_vid, ...) and their labels.
+    """Conversation labels of messages (feedback_id, conversation_id, msg_seq, ts_ms, user_vid, ...) and their labels, kept as a table of their own."""
+    return aggregate_labelled(messages.join(labels.select("feedback_id", "L1", "L2", "severity", "confidence", "reason", "source"), "feedback_id"), aggregated_at=aggregated_at)
+
+
+def aggregate_labelled(rows: DataFrame, *, aggregated_at: int = 0, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Conversation labels of messages that have their label beside them: one exchange, by conversation.
 
     Only labelled messages count. L1 is the most serious; confidence and reason
     are the surest message's of that L1, the first of equals; severity is the
     most serious, on its own; L2 is the union of tags. User, version and channel
-    come from message 0, else from the earliest. The union is a bit mask, so the
+    come from message 0, else from the earliest. ``extra`` are more aggregates by name. The union is a bit mask, so the
     state of a group doesn't grow with the conversation.
     """
-    rows = messages.join(labels.select("feedback_id", "L1", "L2", "severity", "confidence", "reason", "source"), "feedback_id")
+    rows = rows.where("L1 is not null")
     rank = _map(C.L1_PRIORITY)[F.col("L1")]
     bits = F.aggregate(F.coalesce("L2", F.array().cast("array<string>")), F.lit(0), lambda acc, x: acc.bitwiseOR(F.coalesce(_map({v: 1 << k for k, v in enumerate(C.L2_VALUES)})[x], F.lit(0))))
     meta = F.struct("user_vid", "appversion", "channel", "service_vid", "external_chat_url")
@@ -31,11 +36,11 @@ def aggregate_labels(messages: DataFrame, labels: DataFrame, *, aggregated_at: i
         F.max_by("severity", _map(C.SEVERITY_PRIORITY)[F.col("severity")]).alias("severity"),
         F.bit_or(bits).alias("_bits"),
         F.count("*").alias("msg_count"), F.min("ts_ms").alias("first_ts_ms"), F.max("ts_ms").alias("last_ts_ms"),
-        F.min_by(meta, F.struct(F.when(zero, 0).otherwise(1), "ts_ms", "msg_seq")).alias("_meta"),
+        F.min_by(meta, F.struct(F.when(zero, 0).otherwise(1), "ts_ms", "msg_seq")).alias("_meta"), *[c.alias(name) for name, c in (extra or {}).items()],
     )
     names = sorted(C.L2_VALUES)
     tags = F.array_compact(F.array(*[F.when(F.col("_bits").bitwiseAND(1 << C.L2_VALUES.index(v)) != 0, F.lit(v)) for v in names]))
     return out.select(
         "conversation_id", "_top.L1", F.array_join(tags, "|").alias("L2"), "severity", "_top.confidence", "_top.reason", "_top.source",
-        "msg_count", "first_ts_ms", "last_ts_ms", "_meta.*", F.lit(aggregated_at).cast("long").alias("aggregated_at"),
+        "msg_count", "first_ts_ms", "last_ts_ms", "_meta.*", F.lit(aggregated_at).cast("long").alias("aggregated_at"), *(extra or {}),
     )

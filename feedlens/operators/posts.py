@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedlens import config as C
 from feedlens.functions import text as T
 from feedlens.operators.filters import check_page
+from feedlens.sources.merge import insert_ignore
 from feedlens.sources.windows import parse_time
 
 FOCUS = ("own", "rival", "comparison", "other")
@@ -168,6 +169,31 @@ def negative_rate(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("posts"), T.percent(F.count_if(F.col("sentiment") == "negative"), F.count("*")).alias("negative"))
 
 
+def stored_items(rows: DataFrame) -> DataFrame:
+    """Posts as they are stored, with JSON text in pic_urls_json and topics_json, as items with arrays.
+
+    Text that is null or no JSON array of texts counts as an empty list, and for topics as none but 'other'.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.filter(F.coalesce(F.from_json(c, "array<string>"), none), lambda x: x.isNotNull())
+    topics = listed("topics_json")
+    return rows.withColumns({"pic_urls": listed("pic_urls_json"), "topics": F.when(F.size(topics) > 0, topics).otherwise(F.array(F.lit("other")))}).drop("pic_urls_json", "topics_json")
+
+
+RUN_ERROR_CHARS = 500
+
+
+def add_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """The table of crawl runs after an insert: a run that is there stays as it is; counts that are null become 0, errors are cut."""
+    rows = new.withColumn("posts_found", F.coalesce("posts_found", F.lit(0)).cast("long")).withColumn("error", F.substring("error", 1, RUN_ERROR_CHARS))
+    return runs.unionByName(insert_ignore(runs, rows.select(*runs.columns), "run_id", order="started_at"))
+
+
+def newest(rows: DataFrame, by: str, key: str, *, limit: int = 20, most: int = 100) -> DataFrame:
+    """The newest runs or jobs; equal times by key. The limit is brought into 1..``most``."""
+    return rows.orderBy(F.desc(by), key).limit(min(max(limit, 1), most))
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The crawl run that started last, as one row; none without runs."""
     return runs.agg(F.max_by(F.struct(*runs.columns), "started_at").alias("r")).where("r is not null").select("r.*")

@@ -13,13 +13,15 @@ from feedlens.sources.merge import versions_text
 TOP = 5
 
 
-def candidates(conversations: DataFrame, messages: DataFrame, labels: DataFrame, *, now_ms: int, days: int = 7) -> DataFrame:
+def candidates(conversations: DataFrame, messages: DataFrame, labels: DataFrame | None = None, *, now_ms: int, days: int = 7) -> DataFrame:
     """Serious, sure and recent bug conversations with their whole text and their surest message.
 
-    Both come from one aggregation over the messages of the candidates.
+    Both come from one aggregation over the messages of the candidates. Without
+    ``labels`` the messages hold their own confidence.
     """
     bugs = conversations.where((F.col("L1") == "A.Bug") & F.col("severity").isin("P0", "P1") & (F.col("confidence") >= 0.7) & (F.col("last_ts_ms") >= now_ms - days * C.DAY_MS))
-    mine = messages.join(bugs.select("conversation_id"), "conversation_id", "left_semi").join(labels.select("feedback_id", F.col("confidence").alias("_sure")), "feedback_id", "left")
+    mine = messages.join(bugs.select("conversation_id"), "conversation_id", "left_semi")
+    mine = mine.withColumn("_sure", F.col("confidence")) if labels is None else mine.join(labels.select("feedback_id", F.col("confidence").alias("_sure")), "feedback_id", "left")
     said = mine.groupBy("conversation_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_seq", "text"))), lambda x: x["text"]), " || ").alias("full_text"),
         F.max_by(F.struct("feedback_id", "text"), F.when(F.col("_sure").isNotNull(), F.struct("_sure", -F.col("msg_seq")))).alias("_top"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.session import settle
+
 TEXT_CHARS = 500
 MAX_SAMPLES = 80
 
@@ -72,13 +75,16 @@ def batch_size(n: int, asked: int = 1) -> int:
     return max(own, asked) if asked > 1 else own
 
 
-def score_conversations(texts: DataFrame, query: str, ask: Callable[[str, list[tuple[str, str]]], list[dict]], *, size: int = 5, partitions: int | None = None) -> DataFrame:
-    """(conversation_id, score, reason) from a model called with (query, [(id, text)...]) in batches of ``size``.
+def score_conversations(texts: DataFrame, query: str, ask: Callable[[str, list[tuple[str, str]]], list[dict]], *, size: int | None = None, partitions: int | None = None) -> DataFrame:
+    """(conversation_id, score, reason) from a model called with (query, [(id, text)...]) in batches.
 
-    Answers are matched by place. A call that fails gives 2 and 'timeout', a missing
-    answer 2 and 'missing', a score outside 1..3 counts 2. ``partitions`` bounds
-    how many calls run at once; nothing passes through the driver.
+    Without ``size`` the batches follow from the number of conversations, by
+    ``batch_size``. Answers are matched by place. A call that fails gives 2 and
+    'timeout', a missing answer 2 and 'missing', a score outside 1..3 counts 2.
+    ``partitions`` bounds how many calls run at once; nothing passes through the driver.
     """
+    rows = texts.select("conversation_id", "text")
+    size = size or batch_size(rows.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -94,10 +100,36 @@ def score_conversations(texts: DataFrame, query: str, ask: Callable[[str, list[t
                 out += [(i, r.get("score") if r.get("score") in (1, 2, 3) else 2, str(r.get("reason") or "")) for (i, _), r in zip(part, found, strict=True)]
             yield pd.DataFrame(out, columns=["conversation_id", "score", "reason"])
 
-    rows = texts.select("conversation_id", "text")
     return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, "conversation_id string, score int, reason string")
 
 
+def score_in_turns(texts: DataFrame, query: str, ask: Callable[[str, list[tuple[str, str]]], list[dict]], *, turns: int = 8, seconds: float = 180.0, clock: Callable[[], float] = time.monotonic, **options: int) -> Iterator[DataFrame]:
+    """The scores of ``score_conversations``, an even share of the conversations at a time, so that the first ones show early.
+
+    Each part is written before it is handed out. When the time is over, what is
+    left comes as one part of score 2 and reason 'timeout', without another call.
+    """
+    texts = settle(texts.select("conversation_id", "text"), "texts")
+    turn = F.pmod(F.xxhash64("conversation_id"), F.lit(turns))
+    end = clock() + seconds
+    for k in range(turns):
+        if clock() >= end:
+            yield texts.where(turn >= k).select("conversation_id", F.lit(2).alias("score"), F.lit("timeout").alias("reason"))
+            return
+        yield settle(score_conversations(texts.where(turn == k), query, ask, **options), "scores")
+
+
+def report_prompt(samples: DataFrame, question: str) -> DataFrame:
+    """One row with the text that a model writes the report from: question, counts of each value, and the best samples."""
+    best = best_samples(samples)
+    lines = sample_lines(best).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("snapshot_order", "line"))), lambda x: x["line"]), "\n").alias("lines"))  # MAX_SAMPLES at most
+    names = {"L1": "分类", "severity": "严重度", "platform": "平台"}
+    counts = report_stats(samples).where(F.col("dim").isin(*names)).groupBy("dim").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))), 1, 10), lambda x: F.concat(x["value"], F.lit(" "), (-x["m"]).cast("string"))), "，").alias("said"))
+    shown = counts.agg(*[F.coalesce(F.max(F.when(F.col("dim") == d, F.col("said"))), F.lit("无")).alias(d) for d in names])
+    head = F.concat(F.lit(f"# 用户反馈分析：{question}\n\n样本数："), F.col("sample_count").cast("string"), *[x for d, name in names.items() for x in (F.lit(f"\n{name}："), F.col(d))], F.lit("\n\n"), F.col("lines"))
+    return report_range(samples).crossJoin(shown).crossJoin(lines).select(head.alias("prompt"))  # one row each
+
+
 def parse_score(reply: Column) -> Column:
     """Array of (score, reason) from a model's reply: an object or a list; null if it is no JSON."""
     fenced = F.nullif(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))

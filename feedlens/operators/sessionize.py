@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.config import DAY_MS, GAP_MS
+from feedlens.sources.merge import insert_ignore
+
+#: Messages of one user that a task may hold.
+BUSY = 1_000_000
 
 
 def user_key(user: Column, message: Column) -> Column:
@@ -66,6 +70,20 @@ def sessionize_split(messages: DataFrame, *, gap_ms: int = GAP_MS, span_ms: int
     return out.drop("_key", "_span", "_before", "_new", "_place", "_first", "_start_place", "_carried", "_length")
 
 
+def sessionize_all(messages: DataFrame, *, gap_ms: int = GAP_MS, busy: int = BUSY) -> DataFrame:
+    """The result of ``sessionize`` for any users: those of more than ``busy`` messages go by spans of time, the others whole.
+
+    Users are counted first, combined before the exchange; where none is busy the plan is the plain one.
+    """
+    per_user = messages.where(F.coalesce("user_vid", F.lit("")) != "").groupBy(F.col("user_vid").alias("_u")).agg(F.count("*").alias("_n"))
+    crowd = per_user.where(F.col("_n") > busy).select("_u")
+    if crowd.isEmpty():
+        return sessionize(messages, gap_ms=gap_ms)
+    on = messages.user_vid == crowd._u
+    few, many = (messages.join(crowd, on, how) for how in ("left_anti", "left_semi"))
+    return sessionize(few, gap_ms=gap_ms).unionByName(sessionize_split(many, gap_ms=gap_ms))
+
+
 def conversation_spans(sessions: DataFrame) -> DataFrame:
     """(conversation_id, user_vid, msg_count, first_ts_ms, last_ts_ms)."""
     return sessions.groupBy("conversation_id").agg(
@@ -74,14 +92,15 @@ def conversation_spans(sessions: DataFrame) -> DataFrame:
 
 
 def resession_touched(history: DataFrame, incoming: DataFrame, *, gap_ms: int = GAP_MS) -> DataFrame:
-    """Sessions of the users that ``incoming`` touches, over their whole history.
+    """Sessions of every user that ``incoming`` names, over their whole history.
 
-    Known messages keep their first version. A late message can change the first
-    time, and with it the id, of a conversation: callers replace all rows of the
-    touched users.
+    Known messages keep their first version; of new rows that share an id the
+    earliest counts. A user of whom nothing is new comes back as they were, so
+    callers replace all rows of all users of the batch, whatever it holds. A late
+    message can change the first time, and with it the id, of a conversation.
     """
-    fresh = incoming.join(history.select("feedback_id"), "feedback_id", "left_anti").dropDuplicates(["feedback_id"])
-    users = fresh.select(F.col("user_vid").alias("_u")).distinct()
-    touched = history.join(users, history.user_vid == users._u, "left_semi")
     columns = [c for c in history.columns if c not in ("conversation_id", "msg_seq")]
+    fresh = insert_ignore(history, incoming.select(*columns), "feedback_id", order="ts_ms")
+    users = incoming.select(F.col("user_vid").alias("_u")).distinct()
+    touched = history.join(users, history.user_vid == users._u, "left_semi")
     return sessionize(touched.select(*columns).unionByName(fresh.select(*columns)), gap_ms=gap_ms)

@@ -12,7 +12,7 @@ from feedlens import config as C
 from feedlens.functions import text as T
 
 LABEL = "L1 string, L2 array<string>, severity string, confidence double, reason string, source string, rule_name string"
-EMOJI = r"[\x{1F300}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{27BF}]"
+EMOJI = r"\x{1F300}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{27BF}"
 #: The rules in their order, with the L1 of each.
 RULE_L1 = {
     "empty": "E.无效", "too_short": "E.无效", "pure_emoji": "E.无效", "invalid_kw": "E.无效", "emotion_pos": "D.情绪", "emotion_neg": "D.情绪",
@@ -20,15 +20,15 @@ RULE_L1 = {
 }
 
 
-def _rule_of(s: str, r: C.TagRules) -> str:
+def _rule_of(s: str, folded: str, r: C.TagRules) -> str:
     """SQL text: the number, from 1, of the first rule that fits; null for no rule."""
-    marks = f"regexp_replace(regexp_replace({s}, {T.literal(EMOJI)}, ''), {T.literal(f'(?U)[{C.PUNCTUATION}]+')}, '') = ''"
+    marks = f"rlike({s}, {T.literal(f'(?U)^[{EMOJI}{C.PUNCTUATION}]+' + chr(92) + 'z')})"
     short = f"length({s}) <= {C.EMOTION_MAX_LEN}"
     asks = f"(contains({s}, '?') OR contains({s}, '？') OR length({s}) <= {C.QUESTION_SHORT_LEN})"
+    match = lambda patterns: T.sql_matches(s, patterns, folded=folded)
     tests = {
-        "empty": f"{s} = ''", "too_short": f"length({s}) <= {C.TOO_SHORT_LEN}", "pure_emoji": marks, "invalid_kw": T.sql_matches(s, r.invalid),
-        "emotion_pos": f"{short} AND {T.sql_matches(s, r.pos)}", "emotion_neg": f"{short} AND {T.sql_matches(s, r.neg)}", "bug_p0": T.sql_matches(s, r.p0),
-        "suggest": T.sql_matches(s, r.suggest), "question": f"{T.sql_matches(s, r.question)} AND {asks}", "bug_general": T.sql_matches(s, r.bug),
+        "empty": f"{s} = ''", "too_short": f"length({s}) <= {C.TOO_SHORT_LEN}", "pure_emoji": marks, "invalid_kw": match(r.invalid), "emotion_pos": f"{short} AND {match(r.pos)}",
+        "emotion_neg": f"{short} AND {match(r.neg)}", "bug_p0": match(r.p0), "suggest": match(r.suggest), "question": f"{asks} AND {match(r.question)}", "bug_general": match(r.bug),
     }
     return "CASE " + " ".join(f"WHEN {tests[name]} THEN {k}" for k, name in enumerate(RULE_L1, 1)) + " END"
 
@@ -41,21 +41,21 @@ def _by_rule(values: dict[str, str]) -> str:
 def with_rule_label(rows: DataFrame, rules: C.TagRules = C.TagRules()) -> DataFrame:
     """Adds L1, L2, severity, confidence, reason, source and rule_name of the first rule that fits the text; nulls where none does.
 
-    A null text fits no rule. Every class of patterns is tested by one
-    alternation; only texts that a class claims look for its first pattern, for
-    the reason. The list of tags is built once for all rules.
+    A null text fits no rule. Plain words are looked for in the text in lower
+    case; only texts that a class of patterns claims look for its first pattern,
+    for the reason. The list of tags is built once for all rules.
     """
-    s = "_s"
+    s, folded = "_s", "_folded"
     found = "array_compact(array(" + ", ".join(f"CASE WHEN {T.sql_contains(s, words)} THEN {T.literal(tag)} END" for tag, words in rules.l2.items()) + "))"
     other, none = "array('其他')", "CAST(array() AS array<string>)"
     first_tagged = list(RULE_L1).index("bug_p0") + 1  # this rule and those after it have tags
     l2 = dict.fromkeys(RULE_L1, none) | {"empty": other, "too_short": other, "pure_emoji": "array('符号表情')", "invalid_kw": other}
-    because = lambda words, patterns: f"concat({T.literal(words)}, {T.sql_first_match(s, patterns)})"
+    because = lambda words, patterns: f"concat({T.literal(words)}, {T.sql_first_match(s, patterns, folded=folded)})"
     reasons = {
         "empty": "'空文本'", "too_short": "'单字符无效内容'", "pure_emoji": "'纯表情或标点'", "invalid_kw": because("命中无效模式 ", rules.invalid), "emotion_pos": "'短句正向情绪'", "emotion_neg": "'短句负向情绪'",
         "bug_p0": because("P0 关键词 ", rules.p0), "suggest": because("建议关键词 ", rules.suggest), "question": because("咨询句式 ", rules.question), "bug_general": because("Bug 关键词 ", rules.bug),
     }
-    texts = rows.withColumn(s, T.strip(F.col("text"))).withColumn("_rule", F.expr(_rule_of(s, rules)))
+    texts = rows.withColumn(s, T.strip(F.col("text"))).withColumn(folded, F.lower(s)).withColumn("_rule", F.expr(_rule_of(s, folded, rules)))
     claimed = texts.withColumn("_tags", F.expr(f"CASE WHEN _rule >= {first_tagged} THEN {found} END"))
     return claimed.withColumns({
         "L1": F.expr(_by_rule({k: T.literal(v) for k, v in RULE_L1.items()})),
@@ -65,7 +65,7 @@ def with_rule_label(rows: DataFrame, rules: C.TagRules = C.TagRules()) -> DataFr
         "reason": F.expr("CASE _rule " + " ".join(f"WHEN {k} THEN {reasons[name]}" for k, name in enumerate(RULE_L1, 1)) + " END"),
         "source": F.expr("CASE WHEN _rule IS NOT NULL THEN 'rule' END"),
         "rule_name": F.expr("'rule:' || " + _by_rule({k: T.literal(k) for k in RULE_L1})),
-    }).drop("_s", "_rule", "_tags")
+    }).drop(s, folded, "_rule", "_tags")
 
 
 def fallback_label(reason: Column | str) -> Column:
@@ -97,35 +97,53 @@ def parse_reply(reply: Column) -> Column:
     return F.when(broken.isNotNull(), fallback_label(broken)).otherwise(good)
 
 
-def tag_messages(messages: DataFrame, rules: C.TagRules = C.TagRules(), *, reply: Column | None = None, tagged_at: int = 0) -> DataFrame:
-    """Labels of (feedback_id, text): by rule, else from ``reply`` (an expression for the model's answer), else pending."""
+LABEL_COLUMNS = ("L1", "L2", "severity", "confidence", "reason", "source")
+
+
+def with_label(messages: DataFrame, rules: C.TagRules = C.TagRules(), *, reply: Column | None = None) -> DataFrame:
+    """Adds the label of each message to its row: by rule, else from ``reply`` (an expression for the model's answer), else pending.
+
+    rule_name is null for labels that no rule gave.
+    """
     ruled = with_rule_label(messages, rules)
     other = parse_reply(reply) if reply is not None else fallback_label("parse_error: no_json_found")
-    names = ["L1", "L2", "severity", "confidence", "reason", "source"]
     open_ = F.col("rule_name").isNull()
-    return ruled.withColumn("_other", F.when(open_, other)).select(
-        "feedback_id", *[F.when(open_, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c) for c in names], "rule_name", F.lit(tagged_at).cast("long").alias("tagged_at")
-    )
+    out = ruled.withColumn("_other", F.when(open_, other))
+    return out.withColumns({c: F.when(open_, F.col(f"_other.{c}")).otherwise(F.col(c)) for c in LABEL_COLUMNS}).drop("_other")
+
 
+def tag_messages(messages: DataFrame, rules: C.TagRules = C.TagRules(), *, reply: Column | None = None, tagged_at: int = 0) -> DataFrame:
+    """Labels of (feedback_id, text) as a table of their own."""
+    return with_label(messages, rules, reply=reply).select("feedback_id", *LABEL_COLUMNS, "rule_name", F.lit(tagged_at).cast("long").alias("tagged_at"))
 
-def model_replies(messages: DataFrame, ask: Callable[[str], str], *, partitions: int | None = None) -> DataFrame:
-    """(feedback_id, reply) of messages that a model has to label; errors become their class name.
 
-    ``partitions`` bounds how many calls run at once.
+def model_replies(rows: DataFrame, ask: Callable[[list[str]], list[str]], *, key: str = "feedback_id", size: int = 16, partitions: int | None = None) -> DataFrame:
+    """(key, reply) of messages or posts that a model has to label, asked in batches of ``size`` texts.
+
+    Answers are matched by place. A batch that fails is asked again one by one,
+    and what still fails is answered by its error's class name; a missing answer
+    is null. ``partitions`` bounds how many calls run at once.
     """
 
+    def one(text: str) -> str | None:
+        try:
+            return (ask([text]) or [None])[0]
+        except Exception as e:  # a call that fails labels its message as pending
+            return f"llm_error: {type(e).__name__}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies = []
-            for text in batch["text"]:
+            texts, replies = batch["text"].fillna("").tolist(), []
+            for lo in range(0, len(texts), size):
+                part = texts[lo : lo + size]
                 try:
-                    replies.append(ask(text or ""))
-                except Exception as e:  # a call that fails labels its message as pending
-                    replies.append(f"llm_error: {type(e).__name__}")
-            yield pd.DataFrame({"feedback_id": batch["feedback_id"], "reply": replies})
+                    replies += [*ask(part), *[None] * len(part)][: len(part)]
+                except Exception:
+                    replies += [one(t) for t in part]
+            yield pd.DataFrame({key: batch[key], "reply": replies})
 
-    rows = messages.select("feedback_id", "text")
-    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, "feedback_id string, reply string")
+    rows = rows.select(F.col(key).cast("string"), "text")
+    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, f"{key} string, reply string")
 
 
 def untagged(messages: DataFrame, labels: DataFrame, *, limit: int | None = None) -> DataFrame:

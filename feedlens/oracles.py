@@ -120,15 +120,15 @@ add("backfill_columns", f"{MSG}, b AS (SELECT *, CAST(COALESCE(service_vid, k +
 add("messages_per_conversation", f"{SESS} SELECT count(*) AS messages, count(DISTINCT conversation_id) AS conversations, count(*) / count(DISTINCT conversation_id) AS ratio FROM f")
 
 # --- merges ------------------------------------------------------------------
-add("insert_ignore", f"{MSG} SELECT feedback_id, text FROM m WHERE event_id % 3 = 0 AND event_id % 2 <> 0")
-add("insert_counts", "SELECT count(*) FILTER (WHERE event_id % 2 <> 0) AS inserted, 2 * count(*) - count(*) FILTER (WHERE event_id % 2 <> 0) AS skipped FROM events WHERE event_id % 3 = 0")
+add("insert_ignore", f"{MSG} SELECT feedback_id, text FROM m JOIN events USING (event_id) WHERE event_type <> 'purchase'")
+add("insert_counts", "SELECT count(*) FILTER (WHERE event_type <> 'purchase') AS inserted, 2 * count(*) - count(*) FILTER (WHERE event_type <> 'purchase') AS skipped FROM events")
 add("upsert_latest", f"WITH {E0}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END DESC) AS rn FROM ev) SELECT user_id, event_id, event_type, ts_ms FROM r WHERE rn = 1")
 add("quarantine_rows", "SELECT CASE WHEN event_id % 101 = 0 THEN 'L1' WHEN event_id % 103 = 0 THEN 'confidence' ELSE '' END AS problem, count(*) AS n FROM events GROUP BY 1")
 add("integrity_orphans", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 
 # --- labels ------------------------------------------------------------------
 add("rule_tagger", f"{MSG}, {labels('m')} SELECT feedback_id, L1, COALESCE(array_to_string(L2, '|'), '') AS L2, severity, confidence, reason, rule_name FROM l WHERE rule <> 'none'")
-add("tag_run_stats", f"{MSG}, {labels('m')} SELECT count(*) FILTER (WHERE rule <> 'none') AS by_rule, CAST(0 AS BIGINT) AS by_llm, count(*) FILTER (WHERE rule = 'none') AS pending FROM l")
+add("tag_run_stats", f"{MSG}, {labels('m')} SELECT count(*) FILTER (WHERE rule <> 'none') AS by_rule, count(*) FILTER (WHERE rule = 'none' AND event_id % 7 IN (0, 3, 4)) AS by_llm, count(*) FILTER (WHERE rule = 'none' AND event_id % 7 NOT IN (0, 3, 4)) AS pending FROM l")
 _REPLIES = [("A.Bug", "性能", "P1", 1.0, "卡"), ("待定", "", "P3", 0.5, "llm"), ("待定", "", "P3", 0.0, "parse_error: no_json_found"), ("C.咨询", "", "P3", 0.25, "llm"), ("B.建议", "皮肤", "P3", 0.0, "想要皮肤"), ("待定", "", "P3", 0.0, "parse_error: no_json_found"), ("待定", "", "P3", 0.0, "parse_error: no_json_found")]
 add("llm_reply_parse", "WITH v(i, L1, L2, severity, confidence, reason) AS (VALUES " + ", ".join(f"({i}, {q(a)}, {q(b)}, {q(c)}, CAST({x} AS DOUBLE), {q(r)})" for i, (a, b, c, x, r) in enumerate(_REPLIES)) + ") SELECT event_id, L1, L2, severity, confidence, reason FROM events JOIN v ON i = event_id % 7")
 add("untagged_messages", f"{MSG}, {labels('m')} SELECT feedback_id, ts_ms FROM l WHERE rule = 'none' ORDER BY ts_ms, feedback_id LIMIT 500")
@@ -154,9 +154,8 @@ add("intent_search", _ID + some(f"({said('语音')} OR {said('麦克风')}) AND
 add("intent_search_should", _ID + some(" OR ".join(map(said, ("皮肤", "主题", "壁纸")))))
 add("regex_search_guarded", _ID + some("length(text) < 2000 AND ((regexp_matches(text, '(?i)语音.*用不了') OR regexp_matches(text, '(?i)crash|闪退')) OR regexp_matches(text, '(?i)UPDATE'))"))
 add("fallback_keywords", "SELECT doc_id, COALESCE(array_to_string(list_slice(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]+|[a-zA-Z]+'), 1, 5), '|'), '') AS words FROM documents")
-_VOICE = " OR ".join(map(said, C.TOPICS["voice_input"]))
-_PROBLEM = " OR ".join(map(said, C.PROBLEM_TEXT))
-add("canonical_plan_search", _ID + some(f"({_VOICE}) AND ({_PROBLEM})") + " AND " + some("platform = 'Android'"))
+_VOICE, _INPUT, _PROBLEM = (" OR ".join(map(said, words)) for words in (C.TOPICS["语音"], C.TOPICS["输入核心"], C.PROBLEM_TEXT))
+add("canonical_plan_search", _ID + some(f"({_VOICE}) AND ({_INPUT}) AND ({_PROBLEM})") + " AND " + some("platform = 'Android'"))
 add("smart_search_metadata", _ID + "starts_with(appversion, '4.1') AND " + some("platform = 'iOS'"))
 _USER = "SELECT conv_id FROM conversations WHERE role = 'user'"
 add("chat_keyword_search", f"SELECT DISTINCT conv_id AS conversation_id FROM conversations WHERE role = 'user' AND {said('the')} AND {said('ing')} AND conv_id NOT IN ({_USER} AND {said('zz')})")

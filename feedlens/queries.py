@@ -17,6 +17,7 @@ from feedlens.operators import ranking as R
 from feedlens.operators import reports as RP
 from feedlens.operators import search as S
 from feedlens.operators import tagging
+from feedlens.operators.labels import aggregate_labelled
 from feedlens.operators.sessionize import conversation_spans, sessionize, sessionize_split
 from feedlens.plans import intent as I
 from feedlens.sources import merge as M
@@ -37,8 +38,9 @@ def joined(c: str) -> Column:
 
 
 def _facts(spark, d):
-    rows = A.sessions(spark, d)
-    return rows, A.message_labels(rows), A.conversation_labels(rows)
+    """Stored messages, which hold their labels, and stored conversations."""
+    store = A.store(spark, d)
+    return store.messages(spark), store.conversations(spark)
 
 
 # --- messages and sessions ---------------------------------------------------
@@ -90,8 +92,8 @@ def high_water_mark(spark, d):
 
 @query
 def daily_export_utc8(spark, d):
-    rows, labels, conversations = _facts(spark, d)
-    out = SM.daily_export(rows, labels, conversations, DATE)
+    rows, conversations = _facts(spark, d)
+    out = SM.daily_export(rows, rows.select("feedback_id", *tagging.LABEL_COLUMNS), conversations, DATE)
     ids = [out[t].select(F.lit(t).alias("table"), F.col(k).alias("id")) for t, k in (("feedback", "feedback_id"), ("message_label", "feedback_id"), ("conversation_label", "conversation_id"))]
     return ids[0].union(ids[1]).union(ids[2])
 
@@ -114,15 +116,16 @@ def messages_per_conversation(spark, d):
 # --- merges ------------------------------------------------------------------
 @query
 def insert_ignore(spark, d):
-    m = A.messages(spark, d).select("feedback_id", "text", F.substring("feedback_id", 2, 20).cast("long").alias("n"))
-    return M.insert_ignore(m.where("n % 2 = 0").drop("n"), m.where("n % 3 = 0").drop("n"), "feedback_id")
+    """All messages, twice, into a table that has those of purchases."""
+    e = A.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("feedback_id"), "event_type", A.pick(A.PHRASES, F.col("event_id")).alias("text"))
+    all_ = e.drop("event_type")
+    return M.insert_ignore(e.where("event_type = 'purchase'").drop("event_type"), all_.union(all_), "feedback_id")
 
 
 @query
 def insert_counts(spark, d):
-    m = A.messages(spark, d).select("feedback_id", F.substring("feedback_id", 2, 20).cast("long").alias("n"))
-    more = m.where("n % 3 = 0")
-    return M.insert_counts(m.where("n % 2 = 0"), more.union(more), "feedback_id")
+    e = A.events(spark, d).select("event_id", "event_type")
+    return M.insert_counts(e.where("event_type = 'purchase'"), e.union(e), "event_id")
 
 
 @query
@@ -133,7 +136,7 @@ def upsert_latest(spark, d):
 
 @query
 def quarantine_rows(spark, d):
-    rows = A.message_labels(A.messages(spark, d)).withColumn("n", F.substring("feedback_id", 2, 20).cast("long"))
+    rows = tagging.tag_messages(A.messages(spark, d)).withColumn("n", F.substring("feedback_id", 2, 20).cast("long"))
     rows = rows.withColumns({"L1": F.when(F.col("n") % 101 == 0, "?").otherwise(F.col("L1")), "confidence": F.when(F.col("n") % 103 == 0, 1.5).otherwise(F.col("confidence"))})
     good, bad = M.split_valid(rows, M.label_problem())
     return good.agg(F.lit("").alias("problem"), F.count("*").alias("n")).union(bad.groupBy("problem").agg(F.count("*").alias("n")))
@@ -153,7 +156,9 @@ def rule_tagger(spark, d):
 
 @query
 def tag_run_stats(spark, d):
-    return tagging.tag_stats(A.message_labels(A.messages(spark, d)))
+    """By rule, and by a model's replies for the rest."""
+    n = F.substring("feedback_id", 2, 20).cast("long")
+    return tagging.tag_stats(tagging.tag_messages(A.messages(spark, d), reply=A.pick(A.REPLIES, n)))
 
 
 @query
@@ -164,7 +169,7 @@ def llm_reply_parse(spark, d):
 
 def _untagged(spark, d, limit: int | None = None) -> DataFrame:
     m = A.messages(spark, d).select("feedback_id", "ts_ms", "text")
-    tagged = A.message_labels(m).where("L1 <> '待定'")
+    tagged = tagging.tag_messages(m).where("L1 <> '待定'")
     return tagging.untagged(m, tagged, limit=limit).select("feedback_id", "ts_ms")
 
 
@@ -181,7 +186,7 @@ def untagged_messages_all(spark, d):
 
 @query
 def conversation_labels(spark, d):
-    return A.conversation_labels(A.sessions(spark, d)).select("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_ms", "last_ts_ms", "user_vid", "appversion")
+    return aggregate_labelled(tagging.with_label(A.sessions(spark, d))).select("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_ms", "last_ts_ms", "user_vid", "appversion")
 
 
 # --- lists and filters -------------------------------------------------------
@@ -190,43 +195,42 @@ _LISTED = ("conversation_id", "L1", "L2", "severity", "msg_count", "last_ts_ms",
 
 @query
 def conversation_list_filtered(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     f = FL.Filters(since="2024-01-05", until="2024-01-25", L1="A.Bug", L2="性能", platform="iOS, Android")
     return B.list_conversations(conversations, rows, f, limit=50, offset=5).select(*_LISTED)
 
 
 @query
 def conversation_list_text(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     return B.list_conversations(conversations, rows, FL.Filters(severity="P0", q="CRASH"), limit=100).select(*_LISTED)
 
 
 @query
 def conversation_detail(spark, d):
-    rows, labels, _ = _facts(spark, d)
-    first = rows.where("feedback_id = 'e77'").select("conversation_id")  # one row
-    mine = rows.join(F.broadcast(first), "conversation_id", "left_semi")
-    out = mine.join(labels.drop("tagged_at"), "feedback_id", "left")
-    return out.select("feedback_id", F.col("msg_seq").cast("long").alias("msg_seq"), "ts_ms", "text", "platform", "L1", joined("L2"), "severity", "confidence", "rule_name").orderBy("msg_seq")
+    rows, _ = _facts(spark, d)
+    (one,) = SM.lookup(rows, feedback_id="e77").select("conversation_id").collect()
+    out = B.detail(one.conversation_id, rows.drop(*tagging.LABEL_COLUMNS, "rule_name"), rows)
+    return out.select("feedback_id", F.col("msg_seq").cast("long").alias("msg_seq"), "ts_ms", "text", "platform", "L1", joined("L2"), "severity", "confidence", "rule_name")
 
 
 @query
 def metadata_filters(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     f = FL.Filters(appversion="3.1,5", device_name="pixel, thinkpad")
     return FL.narrow(conversations, rows, f).select("conversation_id", "appversion", "last_ts_ms")
 
 
 @query
 def csv_export(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     items = B.list_conversations(conversations, rows, FL.Filters(L1="A.Bug"), limit=5000, most=5000)
     return M.csv_rows(items)
 
 
 @query
 def latest_conversations(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     return B.list_conversations(conversations.where("L1 = '待定'"), rows, limit=10).select("conversation_id", "last_ts_ms", "preview_text")
 
 
@@ -237,31 +241,31 @@ def _ids(df: DataFrame) -> DataFrame:
 
 @query
 def keyword_search_and_or(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     return _ids(S.keyword_search(conversations, rows, [S.KeywordGroup(["键盘", "卡顿"]), S.KeywordGroup(["crash", "白屏"], "OR"), S.KeywordGroup([])]))
 
 
 @query
 def keyword_search_exclude(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     return _ids(S.keyword_search(conversations, rows, [S.KeywordGroup(["闪退", "乱码"], "OR")], ["好用", "Bug"]))
 
 
 @query
 def intent_search(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     return _ids(S.intent_search(conversations, rows, S.Intent(must=[["语音", "麦克风"], ["用不了", "不准"]], exclude=["垃圾"])))
 
 
 @query
 def intent_search_should(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     return _ids(S.intent_search(conversations, rows, S.Intent(should=[["皮肤"], ["主题", "壁纸"]])))
 
 
 @query
 def regex_search_guarded(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     patterns = S.PatternGroups([(["语音.*用不了", "crash|闪退"], "OR"), (["(a+)+", "UPDATE"], "AND")], "OR")
     return _ids(S.regex_search(conversations, rows, patterns))
 
@@ -275,14 +279,14 @@ def fallback_keywords(spark, d):
 
 @query
 def canonical_plan_search(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     found, _ = I.smart_search(conversations, rows, "Android 语音输入 不好用")
     return _ids(found)
 
 
 @query
 def smart_search_metadata(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     found, _ = I.smart_search(conversations, rows, "iOS端 4.1 反馈")
     return _ids(found)
 
@@ -309,7 +313,7 @@ def document_regex_search(spark, d):
 
 # --- statistics --------------------------------------------------------------
 def _dist(spark, d, dim: str, name: str) -> DataFrame:
-    return B.distribution(A.conversation_labels(A.sessions(spark, d))).where(F.col("dim") == dim).select(F.col("value").alias(name), "n")
+    return B.distribution(A.conversations(spark, d)).where(F.col("dim") == dim).select(F.col("value").alias(name), "n")
 
 
 @query
@@ -329,33 +333,34 @@ def dist_l2_exploded(spark, d):
 
 @query
 def trend_day(spark, d):
-    return B.trend(A.conversation_labels(A.sessions(spark, d)), "day")
+    return B.trend(A.conversations(spark, d), "day")
 
 
 @query
 def trend_hour(spark, d):
-    return B.trend(A.conversation_labels(A.sessions(spark, d)), "hour")
+    return B.trend(A.conversations(spark, d), "hour")
 
 
 @query
 def trend_dense(spark, d):
-    dense = B.dense_trend(A.conversation_labels(A.sessions(spark, d)))
+    dense = B.dense_trend(A.conversations(spark, d))
     return dense.select("bucket", *[F.col(f"`{v}`").alias(f"c{i}") for i, v in enumerate(C.L1_VALUES)])
 
 
 @query
 def kpi_rates(spark, d):
-    return B.rates(A.conversation_labels(A.sessions(spark, d)))
+    return B.rates(A.conversations(spark, d))
 
 
 @query
 def top_tags(spark, d):
-    return B.top_tags(A.conversation_labels(A.sessions(spark, d)))
+    return B.top_tags(A.conversations(spark, d))
 
 
 # --- ranking -----------------------------------------------------------------
 def _candidates(spark, d):
-    return R.candidates(A.conversation_labels(rows := A.sessions(spark, d)), rows, A.message_labels(rows), now_ms=A.NOW_MS)
+    rows, conversations = _facts(spark, d)
+    return R.candidates(conversations, rows, now_ms=A.NOW_MS)
 
 
 def _groups(spark, d):
@@ -482,7 +487,7 @@ def latest_run(spark, d):
 
 # --- reports -----------------------------------------------------------------
 def _samples(spark, d):
-    rows, _, conversations = _facts(spark, d)
+    rows, conversations = _facts(spark, d)
     order = F.conv(F.substring("conversation_id", 1, 8), 16, 10).cast("long")
     snapshot = conversations.where("L1 = 'A.Bug'").select("conversation_id", order.alias("snapshot_order"), (order % 5).cast("int").alias("score"), F.lit("").alias("reason"))
     return RP.report_samples(snapshot, rows, conversations)
@@ -530,7 +535,7 @@ def overlap_scorer(query: str, batch: list[tuple[str, str]]) -> list[dict]:
 
 @query
 def relevance_batches(spark, d):
-    texts = RP.conversation_texts(A.sessions(spark, d))
+    texts = RP.conversation_texts(_facts(spark, d)[0])
     return RP.score_conversations(texts, "卡顿", overlap_scorer).select("conversation_id", F.col("score").cast("long").alias("score"), "reason")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spark_session(app: str = "feedlens", **conf: str) -> SparkSession:
@@ -25,10 +26,23 @@ def spark_session(app: str = "feedlens", **conf: str) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set to one of this machine where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, one of this machine is made if the session runs on this
+    machine alone; on a cluster, whose executors wouldn't see it, this raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='feedlens-')}"
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """A result written to the shared folder and read again: computed once, and not lost with an executor."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

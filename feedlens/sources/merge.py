@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens import config as C
+from feedlens import schemas
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows of ``incoming`` to append: new keys, each once. The first write of a key wins."""
-    return incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, *, order: str | None = None) -> DataFrame:
+    """Rows of ``incoming`` to append: new keys, each once. The first write of a key wins.
+
+    Of incoming rows that share a key the one of the lowest ``order`` stays, and of
+    equal ones the lowest row by its columns in their order, so that a repeated run gives the same rows.
+    """
+    new = incoming.join(existing.select(key), key, "left_anti").select(*incoming.columns)
+    rank = F.struct(*([order] if order else []), *[c for c, kind in new.dtypes if not kind.startswith("map")])
+    return new.groupBy(key).agg(F.min_by(F.struct(*new.columns), rank).alias("_row")).select("_row.*")
 
 
 def insert_counts(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -65,6 +72,31 @@ def write_json(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def mirror(tables: dict[str, DataFrame], path: str) -> None:
+    """One Parquet folder for each table, replaced as a whole."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def import_tables(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, Column]], path: str) -> DataFrame:
+    """Write tables (rows, schema, problem) below ``path``, each on its own: (table, written, refused, error).
+
+    Columns that the schema lacks are dropped, missing ones are null. Rows with a
+    problem go to a folder of their own beside the table, with the problem. A table that
+    fails leaves its error and the others are written.
+    """
+    out = []
+    for name, (rows, schema, problem) in tables.items():
+        try:
+            good, bad = split_valid(schemas.conform(rows, schema), problem)
+            good.write.mode("overwrite").parquet(f"{path}/{name}")
+            bad.write.mode("overwrite").parquet(f"{path}/{name}_refused")
+            out.append((name, *(spark.read.parquet(f"{path}/{name}{k}").count() for k in ("", "_refused")), None))
+        except Exception as e:  # one table doesn't stop the others
+            out.append((name, 0, 0, f"{type(e).__name__}: {e}"[:500]))
+    return spark.createDataFrame(out, "table string, written long, refused long, error string")
+
+
 CSV_COLUMNS = ("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_human", "last_ts_human", "user_vid", "appversion", "platform", "channel", "preview_text")
 
 

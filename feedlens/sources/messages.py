@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def since(table: DataFrame, column: str, *, now_ms: int, days: int = 7) -> DataF
 
 
 def after_mark(table: DataFrame, copied: DataFrame, key: str) -> DataFrame:
-    """Rows beyond the highest key that has been copied already."""
-    mark = copied.agg(F.coalesce(F.max(key), F.lit(0)).alias("_mark"))
-    return table.join(F.broadcast(mark), F.col(key) > F.col("_mark")).drop("_mark")  # the mark is one row
+    """Rows beyond the highest key that has been copied already; the mark is read first, so the filter reaches the scan."""
+    mark = copied.agg(F.max(key)).first()[0]
+    return table if mark is None else table.where(F.col(key) > F.lit(mark))
 
 
 def daily_export(messages: DataFrame, labels: DataFrame, conversations: DataFrame, date: str, *, hours_east: int = 8) -> dict[str, DataFrame]:
@@ -91,3 +93,42 @@ def backfill(messages: DataFrame, *, url_base: str = "chat") -> DataFrame:
     service = F.coalesce("service_vid", F.get_json_object("raw_json", "$.service_vid").try_cast("bigint"), F.lit(DEFAULT_SERVICE_VID)).cast("long")
     url = F.coalesce(F.nullif(F.col("external_chat_url"), F.lit("")), T.chat_url(url_base, F.col("channel"), service, F.col("user_vid")))
     return messages.withColumns({"service_vid": service, "external_chat_url": url})
+
+
+def backfill_conversations(conversations: DataFrame, messages: DataFrame, *, url_base: str = "chat") -> DataFrame:
+    """Fill service_vid and the chat link of conversations from their message 0, where they lack them; others keep theirs."""
+    zero = messages.where("msg_seq = 0").select("conversation_id", F.col("service_vid").alias("_service"), F.col("external_chat_url").alias("_url"))
+    first = zero.groupBy("conversation_id").agg(F.max("_service").alias("_service"), F.max("_url").alias("_url"))
+    service = F.coalesce("service_vid", "_service", F.lit(DEFAULT_SERVICE_VID)).cast("long")
+    url = F.coalesce(F.nullif(F.col("external_chat_url"), F.lit("")), F.nullif(F.col("_url"), F.lit("")), T.chat_url(url_base, F.col("channel"), service, F.col("user_vid")))
+    return conversations.join(first, "conversation_id", "left").withColumns({"service_vid": service, "external_chat_url": url}).drop("_service", "_url")
+
+
+def open_days(log: DataFrame, today: str, *, days: int = 30) -> DataFrame:
+    """(day) of the last days, today excluded, that no run of (day, status) has finished, oldest first.
+
+    A day that succeeded once is marked for good, however often it failed before.
+    """
+    end = F.to_date(F.lit(today))
+    every = log.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, days), F.date_sub(end, 1))).alias("day"))
+    done = log.where("status = 'succeeded'").select(F.col("day").cast("date").alias("day"))
+    return every.join(done, "day", "left_anti").select(F.col("day").cast("string").alias("day")).orderBy("day")
+
+
+def replay(days: DataFrame, run: Callable[[str], None], *, tries: int = 3) -> DataFrame:
+    """Run a job for each day, up to ``tries`` times, and return what to append to the log: (day, status, error).
+
+    A day that fails doesn't stop the others. ``days`` is short: one row a day.
+    """
+    rows = []
+    for r in days.collect():
+        for _ in range(tries):
+            try:
+                run(r.day)
+                rows.append((r.day, "succeeded", None))
+                break
+            except Exception as e:  # the log names it; the day stays open
+                error = f"{type(e).__name__}: {e}"[:500]
+        else:
+            rows.append((r.day, "failed", error))
+    return days.sparkSession.createDataFrame(rows, "day string, status string, error string")

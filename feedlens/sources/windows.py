@@ -1,9 +1,12 @@
-"""Time windows of a run, resolved once on the driver."""
+"""Time windows of a run, resolved once on the driver, and times in columns."""
 
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta, timezone
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%d")
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86_400}
 
@@ -46,3 +49,15 @@ def day_range(date: str, *, hours_east: int = 8) -> tuple[int, int]:
     """Half-open [start, end) of a calendar day in a fixed zone."""
     start = parse_time(date, zone=timezone(timedelta(hours=hours_east)))
     return start, start + 86_400_000
+
+
+#: How ``time_ms`` reads texts, as patterns of Spark.
+SHAPES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm")
+
+
+def time_ms(text: Column, *, end_of_day: bool = False) -> Column:
+    """``parse_time`` of a column, in the session's zone; null where a text is no time."""
+    clean = F.trim(text)
+    day = F.try_to_timestamp(clean, F.lit("yyyy-MM-dd"))
+    day = day + F.expr("INTERVAL '23:59:59' HOUR TO SECOND") if end_of_day else day
+    return F.unix_millis(F.coalesce(*[F.try_to_timestamp(clean, F.lit(s)) for s in SHAPES], day))

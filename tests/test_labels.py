@@ -51,10 +51,10 @@ def test_tagging_with_a_model(spark):
 
     m = spark.createDataFrame([("1", "好用"), ("2", "我在看书"), ("3", "我在听歌")], "feedback_id string, text string")
 
-    def ask(text):
-        if "书" in text:
-            return '{"L1": "C.咨询", "severity": "P3", "confidence": 0.4}'
-        raise TimeoutError
+    def ask(texts):
+        if any("书" not in t for t in texts):
+            raise TimeoutError
+        return ['{"L1": "C.咨询", "severity": "P3", "confidence": 0.4}'] * len(texts)
 
     both = m.join(model_replies(m, ask, partitions=2), "feedback_id")
     labels = {r.feedback_id: r for r in tag_messages(both, reply=F.col("reply")).collect()}
@@ -107,3 +107,19 @@ def test_all_by_score(spark):
     got = by_score(rows).collect()
     assert len(got) == 120 and [(r.score or 0, r.last_ts_ms) for r in got] == sorted(((r.score or 0, r.last_ts_ms) for r in got), reverse=True)
     assert by_score(rows, limit=7).collect() == got[:7]
+
+
+def test_rules_of_files(tmp_path):
+    import json
+
+    def put(name, value):
+        (tmp_path / name).write_text(json.dumps(value), encoding="utf-8")
+        return str(tmp_path / name)
+
+    rules = C.load_tag_rules(put("a", {"p0": ["x"]}))
+    assert rules.p0 == ["x"] and rules.bug == C.BUG_PATTERNS and C.load_tag_rules(put("a", {"p0": ["y"]})) == rules  # read once
+    assert C.load_signature_rules(put("b", {"groups": {"g": ["w"]}, "priority": ["g"]})).priority == ("g",)
+    assert C.load_topics(put("c", {"t": ["w"]})) == {"t": ["w"]}
+    for k, (load, bad) in enumerate(((C.load_tag_rules, {"p1": []}), (C.load_tag_rules, {"p0": ["("]}), (C.load_topics, {"t": []}), (C.load_topics, []))):
+        with pytest.raises(ValueError):
+            load(put(f"bad{k}", bad))

@@ -106,7 +106,8 @@ def test_statistics(tables):
 @pytest.mark.parametrize(
     ("query", "rest", "platform", "version", "device"),
     [
-        ("查看 3.5.0 mac 闪退", "查看 闪退", "Mac", "3.5.0", None), ("win3.6.0 卡", "卡", "Win", "3.6.0", None), ("安卓端 Pixel 8 乱码", "乱码", "Android", None, "Pixel8"), ("iOS", "反馈", "iOS", None, None), ("MacBook Pro 18,3", "反馈", None, None, "MacBookPro18,3"), ("语音", "语音", None, None, None),
+        ("查看 3.5.0 mac 闪退", "查看 闪退", "Mac", "3.5.0", None), ("win3.6.0 卡", "卡", "Win", "3.6.0", None), ("安卓端 Pixel 8 乱码", "乱码", "Android", None, "Pixel8"), ("iOS", "反馈", "iOS", None, None), ("MacBook Pro 18,3", "反馈", None, None, "MacBookPro18,3"), ("语音", "语音", None, None, None), ("小程序 v2.1.0.20 卡", "卡", "小程序", "2.1.0.20", None), ("Mac OS 端 4.0 慢", "慢", "Mac", "4.0", None),
+        ("and端 iphone15,2", "反馈", "Android", None, "iphone15,2"), ("version 3 mate random winner", "version 3 mate random winner", None, None, None), ("1.2.3.4.5.6 a1.2", "1.2.3.4.5.6 a1.2", None, None, None),
     ],
 )
 def test_query_parts(query, rest, platform, version, device):
@@ -120,8 +121,10 @@ def test_intent_reply_and_plan():
     assert got == S.Intent([["语音"], ["投诉"]], [], ["a"])
     clean = I.text_intent(got)
     assert clean.must[1][0] == "不好" and "投诉" not in clean.must[1]
-    plan = I.topic_plan("语音输入不好用", S.Intent(must=[["录入", "评价"], ["耳机"]]))
-    assert plan.must[0][0] == "语音输入" and ["录入"] in plan.must and ["耳机"] in plan.must and "故障" in plan.must[-1]
+    topics = {"voice": ["语音输入", "语音"], "typing": ["输入", "打字"], "skin": ["皮肤"]}
+    plan = I.topic_plan("语音输入不好用", S.Intent(must=[["录入", "评价"], ["耳机"]]), topics)
+    assert plan.must[0] == topics["voice"] and ["录入"] in plan.must and ["耳机"] in plan.must and "故障" in plan.must[-1] and topics["typing"] not in plan.must
+    assert I.rank_topics("打字和皮肤", topics) == ["typing", "skin"] and I.topic_plan("?", S.Intent(should=[["换皮肤"]]), topics).must == [topics["skin"]]
     assert I.topic_plan("天气", None) is None
     for bad in ("no json", "[]", "{}"):
         with pytest.raises(ValueError):
