@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is one made, and
-    removed at exit.
+    Where the session names none, one is made, and removed at exit, if the
+    session runs on this machine alone; on a cluster, whose executors wouldn't
+    see it, this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="feedlens-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"

@@ -30,17 +30,27 @@ def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _condense(links: DataFrame) -> DataFrame:
-    """Replace the links of each task by stars: at most one row for each of its nodes."""
+def _condense(links: DataFrame, held_rows: int = 1_000_000) -> DataFrame:
+    """Replace the links of each task by stars, ``held_rows`` links at a time: at most one row for each node of those."""
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
+        held: list[pa.RecordBatch] = []
+
+        def stars():
             t = pa.Table.from_batches(held)
             v, u = star_forest(t.column(0).to_numpy(), t.column(1).to_numpy())
             for lo in range(0, len(v), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 100_000]), pa.array(u[lo : lo + 100_000])], ["v", "u"])
 
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= held_rows:
+                    yield from stars()
+                    held = []
+        if held:
+            yield from stars()
+
     return links.mapInArrow(run, "v long, u long")
 
 

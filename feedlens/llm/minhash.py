@@ -3,8 +3,9 @@
 Darts are thrown at the region of each weighted shingle, in the order of their
 ranks; a document keeps, for each of K coordinates, the earliest dart that hits
 one of its regions. Darts depend on the shingle alone, so two documents agree in
-a coordinate with the probability of their weighted Jaccard similarity. Bands of
-coordinates make candidates, which an exact comparison of shingle sets confirms.
+a coordinate with the probability of their weighted Jaccard similarity. A
+shingle weighs as often as it occurs in its text. Bands of coordinates make
+candidates, which a comparison of the whole weighted sets by 64-bit hashes confirms.
 """
 
 from __future__ import annotations
@@ -29,22 +30,24 @@ _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass(frozen=True)
 class NearRules:
-    """A link is a similarity of ``threshold`` or more over ``words``-word shingles.
+    """A link is a weighted Jaccard similarity of ``threshold`` or more over ``words``-word shingles.
 
     A pair at the threshold itself misses all bands with probability
-    (1 - threshold ** rows) ** bands, 0.0005 here. ``weighted`` counts how often
-    a shingle occurs; without it shingles are a set. What one pivot doesn't join
-    is compared pair by pair in buckets of ``small`` at most, in larger ones by
-    tiles of ``tile`` documents a side.
+    (1 - threshold ** rows) ** bands, 0.0005 here. A shingle weighs as often as
+    it occurs in the text; without ``weighted`` every shingle weighs 1. What one
+    pivot doesn't join is compared pair by pair in buckets of ``small`` at most,
+    in larger ones by tiles of ``tile`` documents a side. ``salts`` is the
+    number of parts that rows of one key are dealt into.
     """
 
     words: int = 5
     threshold: float = 0.8
     bands: int = 32
     rows: int = 7
-    weighted: bool = False
+    weighted: bool = True
     small: int = 32
     tile: int = 256
+    salts: int = 32
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -140,7 +143,7 @@ def _lower(column: pa.Array) -> pa.Array:
 
 
 def signatures(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
-    """(doc_id, key_a, key_b, bands): a key of the word sequence, and one hash for each band.
+    """(doc_id, key_a, key_b, bands, n_shingles): a key of the word sequence, one hash for each band, and the weight of all shingles.
 
     Words are lower-cased runs without ASCII white space. A document without
     words, null included, has null keys and no bands.
@@ -158,73 +161,94 @@ def signatures(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
                 for r in range(rules.rows):
                     band = spans.mix(band * U64(3) ^ (cells[:, :, r] + U64(1)))
                 none = n_words == 0
+                weight = np.bincount(np.repeat(np.arange(hi - lo), per_set), weights=often if rules.weighted else None, minlength=hi - lo).astype(np.int64)
                 ends = np.zeros(hi - lo + 1, np.int32)
                 np.cumsum(np.where(none, 0, rules.bands), out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo)] + [pa.array(x.view(np.int64), mask=none) for x in keys] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(band.ravel().view(np.int64)))],
-                    ["doc_id", "key_a", "key_b", "bands"],
+                    [batch.column(0).slice(lo, hi - lo)] + [pa.array(x.view(np.int64), mask=none) for x in keys] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(band.ravel().view(np.int64))), pa.array(weight)],
+                    ["doc_id", "key_a", "key_b", "bands", "n_shingles"],
                 )
 
         return f
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, key_a long, key_b long, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, key_a long, key_b long, bands array<long>, n_shingles long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rules: NearRules) -> DataFrame:
-    """(doc_id, shingles, weights) of the wanted documents, once for each text of a doc_id; shingles as sorted 32-bit hashes in bytes.
+def expanded(value: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sets as plain ones: the n-th occurrence of a shingle is an element of its own.
 
-    Within one text of n shingles about n * n / 2 ** 33 pairs of different
-    shingles share a hash: 0.05 of 20,000.
+    Jaccard similarities of the plain sets are the weighted ones. Returns the
+    elements, sorted inside each set, and how many each set has.
+    """
+    row = np.repeat(np.arange(len(value)), often)
+    nth = (np.arange(len(row)) - np.repeat(np.cumsum(often) - often, often)).astype(U64)
+    element = np.where(nth == 0, value[row], spans.mix(value[row] + nth * _STEP))
+    owner = np.repeat(np.arange(len(counts)), counts)[row]
+    order = np.lexsort((element, owner))
+    return element[order], np.bincount(owner, minlength=len(counts))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, rules: NearRules) -> DataFrame:
+    """(doc_id, shingles) of the wanted documents: the elements of the weighted set as sorted 64-bit hashes in bytes.
+
+    One row for each row of ``docs``; of the ``repeated`` ids one for each different text.
     """
 
     def make():
         def f(batch: pa.RecordBatch):
-            for lo, hi, buf, offsets in spans.slices(_lower(batch.column(1)), 2 << 20):
+            for lo, hi, buf, offsets in spans.slices(_lower(batch.column(1)), 1 << 20):
                 value, often, per_set, _, _ = shingle_sets(buf, offsets, rules.words)
-                small = (value >> U64(32)).astype(np.uint32)  # the order of the upper halves is that of the whole
+                if rules.weighted:
+                    value, per_set = expanded(value, often, per_set)
                 ends = np.concatenate([[0], np.cumsum(per_set)]).tolist()
-                rows = [small[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                heavy = [np.minimum(often[a:b], 65535).astype(np.uint16).tobytes() if rules.weighted else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary()), pa.array(heavy, pa.binary())], ["doc_id", "shingles", "weights"])
+                rows = [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
 
         return f
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    found = docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").distinct()
-    return map_batches(found, make, "doc_id long, shingles binary, weights binary")
+    found = docs.join(wanted, "doc_id", "left_semi")
+    if not repeated.isEmpty():
+        found = found.join(repeated, "doc_id", "left_anti").union(found.join(repeated, "doc_id", "left_semi").distinct())
+    return map_batches(found, make, "doc_id long, shingles binary")
+
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of different values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
-def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray | None = None, wb: np.ndarray | None = None) -> float:
-    """Jaccard similarity of two sorted arrays of different values, weighted if weights are given."""
-    both, i, j = np.intersect1d(a, b, return_indices=True, assume_unique=wa is None)
-    if wa is None:
-        return len(both) / max(1, len(a) + len(b) - len(both))
-    least = np.minimum(wa[i], wb[j]).sum(dtype=np.int64)
-    return least / max(1, wa.sum(dtype=np.int64) + wb.sum(dtype=np.int64) - least)
+
+def _salt(rules: NearRules, column: str):
+    return F.pmod(F.xxhash64(column), F.lit(rules.salts)).cast("int")
+
+
+def _salted(df: DataFrame, rules: NearRules) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
+    """The pairs (a, b) whose similarity reaches the threshold.
+
+    b may be in very many pairs: they are dealt by (b, salt of a), and b's set
+    goes only where it has pairs.
+    """
 
     def make():
         def f(batch: pa.RecordBatch):
-            a, b, sa, sb, wa, wb = (batch.column(i) for i in range(6))
+            a, b, sa, sb = batch.columns
             keep = []
-            for x, y, p, q in zip(sa, sb, wa, wb, strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                if rules.weighted:
-                    keep.append(similarity(u, v, np.frombuffer(p.as_buffer(), np.uint16), np.frombuffer(q.as_buffer(), np.uint16)) >= rules.threshold)
-                elif min(len(u), len(v)) < rules.threshold * max(len(u), len(v)):
-                    keep.append(False)
-                else:
-                    keep.append(similarity(u, v) >= rules.threshold)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+            for x, y in zip(sa, sb, strict=True):
+                u, v = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                keep.append(min(len(u), len(v)) >= rules.threshold * max(len(u), len(v)) and similarity(u, v) >= rules.threshold)
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return f
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "wa", "wb")
+    dealt = pairs.withColumn("salt", _salt(rules, "a"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = dealt.select("b", "salt").distinct().join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    joined = dealt.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "sa", "sb")
     return map_batches(joined, make, "a long, b long")
 
 
@@ -254,16 +278,12 @@ def _compare(table: pa.Table, rules: NearRules) -> pa.Table:
     """One tile of a bucket: a spanning forest of the links between its two blocks (or inside the one)."""
     table = table.combine_chunks()
     side, ids, comp = (table.column(c).to_numpy() for c in ("right", "id", "comp"))
-    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("shingles")]
+    sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
     p, q = np.flatnonzero(~side), np.flatnonzero(side)
     q = q if len(q) else p
-    if rules.weighted:
-        heavy = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("weights")]
-        near = np.array([[similarity(sets[i], sets[j], heavy[i], heavy[j]) for j in q] for i in p])
-    else:
-        size = np.array(list(map(len, sets)), np.float64)
-        both = _overlaps([sets[i] for i in p], [sets[j] for j in q]).astype(np.float64)
-        near = both / np.maximum(1, size[p][:, None] + size[q][None, :] - both)
+    size = np.array(list(map(len, sets)), np.float64)
+    both = _overlaps([sets[i] for i in p], [sets[j] for j in q]).astype(np.float64)
+    near = both / np.maximum(1, size[p][:, None] + size[q][None, :] - both)
     i, j = np.nonzero((near >= rules.threshold) & (comp[p][:, None] != comp[q][None, :]))
     v, u = star_forest(ids[p[i]], ids[q[j]])
     return pa.table({"a": v, "b": u})
@@ -273,13 +293,16 @@ def _tile_links(rows: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame
     """Links between the components of large buckets, from rows (bucket, id, comp).
 
     A bucket is dealt into blocks of bounded size, those of a large component
-    apart from the rest; blocks of one component aren't compared.
+    apart from the rest; blocks of one component aren't compared. Rows meet
+    the sizes of their bucket's parts by salted keys.
     """
-    per = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).withColumn("own", F.col("c") >= rules.tile // 2)
-    per = per.withColumn("part", F.when(F.col("own"), F.col("comp")).otherwise(F.lit(0)))
-    shape = per.groupBy("bucket", "own", "part").agg(F.ceil(F.sum("c") / rules.tile).cast("int").alias("m"))
-    dealt = rows.join(per.select("bucket", "comp", "own", "part").hint("merge"), ["bucket", "comp"]).join(shape.hint("merge"), ["bucket", "own", "part"])
-    dealt = dealt.select("bucket", "id", "comp", F.struct("own", "part", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("k")).alias("block"))
+    rows = rows.withColumn("salt", _salt(rules, "id"))
+    large = rows.groupBy("bucket", "comp").count().where(F.col("count") >= rules.tile // 2)
+    placed = rows.join(_salted(large.select("bucket", "comp", F.lit(True).alias("own")), rules), ["bucket", "comp", "salt"], "left")
+    placed = settle(placed.select("bucket", "id", "comp", "salt", F.coalesce("own", F.lit(False)).alias("own"), F.when(F.col("own"), F.col("comp")).otherwise(F.lit(0)).alias("part")), "placed")
+    shape = placed.groupBy("bucket", "own", "part").agg(F.ceil(F.count("*") / rules.tile).cast("int").alias("m"))
+    dealt = placed.join(_salted(shape, rules), ["bucket", "own", "part", "salt"])
+    dealt = dealt.select("bucket", "id", "comp", F.struct("own", "part", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("m")).cast("int").alias("k")).alias("block"))
     blocks = shape.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("bucket", F.struct("own", "part", "k").alias("block"))
     tiles = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "two"), "bucket")
     tiles = tiles.where("(one < two or (one = two and not one.own)) and not (one.own and two.own and one.part = two.part)")
@@ -289,7 +312,7 @@ def _tile_links(rows: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame
     return full.groupBy("bucket", "one", "two").applyInArrow(lambda t: _compare(t, rules), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), *, salts: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """(doc_id, copy_of, class_id, kept) of every document with an id.
 
     Texts of equal words are one text, named by its smallest doc_id (copy_of);
@@ -307,30 +330,35 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), *, salts: i
     signed = settle(signatures(docs, rules).where("doc_id is not null"), "signed")
     keys = ["key_a", "key_b"]
     texts = signed.where("key_a is not null").groupBy(*keys).agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
-    groups = texts.where("n > 1").select(*keys, "copy_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    groups = _salted(texts.where("n > 1").select(*keys, "copy_of"), rules)
     member = settle(
-        signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+        signed.withColumn("salt", _salt(rules, "doc_id"))
         .join(groups, [*keys, "salt"], "left")
-        .select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.when(F.coalesce("copy_of", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands")),
+        .select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.when(F.coalesce("copy_of", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands"), "n_shingles"),
         "member",
     )
+    repeated = settle(signed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     forget(signed)
-    rows = member.where("bands is not null").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
+    rows = member.where("bands is not null").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"), "n_shingles")
+    first = F.struct("id", "n_shingles")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("pivot")).where("n > 1")
     # a bucket of very many near copies is one key: merge joins let adaptive execution split it
-    buckets = settle(rows.join(shared.hint("merge"), "bucket").select("bucket", "id", "pivot", "n"), "buckets")
-    sets = settle(_sets(docs, buckets.select("id").distinct(), rules), "sets")
-    stars = settle(_verify(buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, rules), "links")
+    buckets = settle(rows.join(shared.hint("merge"), "bucket").select("bucket", "id", "n_shingles", "pivot", "n"), "buckets")
+    wanted = settle(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    sets = settle(_sets(docs, wanted, repeated, rules), "sets")
+    like = lambda a, b: F.least(a, b) >= rules.threshold * F.greatest(a, b)  # noqa: E731  (sizes of texts that can be near)
+    stars = buckets.where((F.col("id") != F.col("pivot.id")) & like("n_shingles", "pivot.n_shingles")).select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).distinct()
+    stars = settle(_verify(stars, sets, rules), "links")
     comps = components(stars)
-    labelled = buckets.join(comps, buckets.id == comps.node, "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
+    labelled = buckets.join(comps, buckets.id == comps.node, "left").select("bucket", "id", "n_shingles", "n", F.coalesce("root", "id").alias("comp"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
     still = settle(labelled.join(mixed.hint("merge"), "bucket"), "mixed")
     if not still.isEmpty():
         few = still.where(F.col("n") <= rules.small)
-        left = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
-        right = few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        pairs = left.join(right, "bucket").where("ca <> cb and a < b").select("a", "b").distinct()
-        more = settle(_verify(pairs, sets, rules).union(_tile_links(still.where(F.col("n") > rules.small).drop("n"), sets, rules)), "links")
+        left = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"))
+        right = few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
+        pairs = left.join(right, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & like("na", "nb")).select("a", "b").distinct()
+        more = settle(_verify(pairs, sets, rules).union(_tile_links(still.where(F.col("n") > rules.small).select("bucket", "id", "comp"), sets, rules)), "links")
         comps = components(more.select(F.col("a").alias("v"), F.col("b").alias("u")).union(comps))
     forget(sets, buckets, still)
     out = member.join(comps, member.copy_of == comps.node, "left").select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))

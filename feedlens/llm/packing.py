@@ -113,15 +113,17 @@ def pack_run(doc_ids, lengths: np.ndarray, ids: np.ndarray, sentences: np.ndarra
 def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 2, rules: PackRules = PackRules()) -> DataFrame:
     """Pack (doc_id, text) into sequences of at most ``rules.window`` ids; one row per piece.
 
-    Ranges of doc_id are packed apart from each other, in runs of whole
-    documents of about ``run_ids`` ids, so that memory stays bounded. A null
+    Ranges of doc_id of about 8 MB of text, whatever the session's settings,
+    are packed apart from each other, in runs of whole documents of about
+    ``run_ids`` ids, so that memory stays bounded. Texts are cut for encoding
+    only where the tokenizer's own normaliser and pre-tokeniser allow it. A null
     text counts as empty and gives one piece with the end id alone; rows that
     repeat are packed as often as they occur; a null doc_id stays null. The
     task's number stands in the upper bits of sequence_id.
     """
 
     def run(batches):
-        table = chunk_ids(tokenizer, fold=True)
+        table = chunk_ids(tokenizer)
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
 
@@ -137,9 +139,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 2, rules: P
 
         for batch in batches:
             for lo, hi, buf, offsets in spans.slices(batch.column(1)):
-                ids, lengths, chunk, last = table.encode(buf, offsets)
+                ids, lengths, chunk, last = table.encode(buf, offsets, sentences=True)
                 chunk_end = np.cumsum(chunk)
-                stops = chunk_end[(last == 0x2E) | (last == 0x21) | (last == 0x3F)]
+                stops = chunk_end[last]
                 ends = np.cumsum(lengths)
                 stops = stops + np.searchsorted(ends, stops, side="left")  # end ids of the texts before
                 held.append((batch.column(0).slice(lo, hi - lo), lengths + 1, np.insert(ids, ends, np.uint32(end_id)), stops[stops > 0]))

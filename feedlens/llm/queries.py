@@ -128,9 +128,9 @@ _NEAR_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOU
 
 _NEAR_TEXTS_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '{_WORD}') AS words FROM documents),
  k AS (SELECT *, CASE WHEN len(words) > 0 THEN min(doc_id) OVER (PARTITION BY words) ELSE doc_id END AS copy_of FROM w),
- s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM k WHERE len(words) > 0 AND doc_id = copy_of)),
- n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
- both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ s AS (SELECT doc_id, g, count(*) AS often FROM (SELECT doc_id, array_to_string(words[i:i+4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM k WHERE len(words) > 0 AND doc_id = copy_of)) GROUP BY 1, 2),
+ n AS (SELECT doc_id, sum(often) AS c FROM s GROUP BY 1),
+ both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.often, y.often)) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
  links AS (SELECT a, b FROM both_ JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 5 * both_.c >= 4 * (na.c + nb.c - both_.c)),
  reach(id, root) AS (SELECT doc_id, doc_id FROM k WHERE doc_id = copy_of UNION SELECT b, root FROM reach JOIN links ON id = a),
  found AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id)

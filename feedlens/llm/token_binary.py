@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import fresh_dir, map_batches, parts
+from .common import fresh_dir, map_batches, parts, settle
 from .tokenizing import chunk_ids
 
 BLOCK, LANES = 1024, 64
@@ -126,17 +126,26 @@ def decode_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarr
     return out.reshape(-1)[first - lo * BLOCK : last - lo * BLOCK].astype(np.uint32)
 
 
-def ordered_docs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) dealt by ranges of doc_id, in order inside each; equal ids by text, without ids first."""
+def ordered_docs(docs: DataFrame, *, range_bytes: int = 8 << 20, most_ranges: int = 10_000) -> DataFrame:
+    """(doc_id, text) dealt by ranges of doc_id, in order inside each; without ids first, equal ids by the text's hash.
+
+    The number of ranges follows from the bytes of text, never from the
+    session: about ``range_bytes`` each, or more where that makes more than
+    ``most_ranges``. Rows of one doc_id are dealt by hash and, where all is equal, by place.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    ranges = max(1, min(-(-total // range_bytes), most_ranges))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"), "text")
+    return docs.repartitionByRange(ranges, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, percentile: float = 90.0, shard_ids: int = 4_000_000) -> DataFrame:
     """Encode (doc_id, text) and write shard files below ``path``, in ascending order of doc_id.
 
     Runs at once. Returns the manifest, one row per shard: (task, part, path,
-    n_docs, n_tokens, first_token). Each task writes its range of documents in
+    n_docs, n_tokens, first_token), from a table beside the files; first_token is summed by task and then
+    inside each task. Each task writes its range of documents in
     files of about ``shard_ids`` ids, first under a name of its own, then
     renamed: an attempt that is lost or runs twice leaves the same files. A null
     text counts as empty; a document without text holds the end id alone.
@@ -170,12 +179,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
         if held:
             yield flush()
 
-    manifest = ordered_docs(docs).mapInArrow(write, "task long, part long, path string, n_docs long, n_tokens long").collect()  # one row per shard file
-    rows, first = [], 0
-    for r in sorted(manifest, key=lambda r: (r.task, r.part)):
-        rows.append((*r, first))
-        first += r.n_tokens
-    return docs.sparkSession.createDataFrame(rows, "task long, part long, path string, n_docs long, n_tokens long, first_token long")
+    manifest = settle(ordered_docs(docs).mapInArrow(write, "task long, part long, path string, n_docs long, n_tokens long"), "manifest")
+    tasks = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n"))  # one row per task, ``most_ranges`` at most
+    tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("task").orderBy("part")) - F.col("n_tokens")
+    return manifest.join(tasks, "task").select("task", "part", "path", "n_docs", "n_tokens", (F.col("before") + inside).alias("first_token"))
 
 
 def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:

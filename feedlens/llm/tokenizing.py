@@ -7,6 +7,7 @@ of the chunks it has met; what a table of bounded size forgets is encoded again.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -26,12 +27,70 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,!?;:#*$%&|()[]{}\"/\\@^~=_+<>-"]] = True
 _MARK[ord("<")] = _MARK[ord(">")] = _MARK[ord("|")] = _MARK[ord("_")] = False  # parts of special tokens
 
+#: Characters that end a sentence, in any script; the wide ones stand before a letter without a space.
+SENTENCE_ENDS = ".!?…。！？｡।॥؟۔።։"
+_WIDE_ENDS = "。！？"
+_WHOLE, _BYTES, _FOLDED = "whole", "bytes", "folded"
+#: The patterns by which byte-level tokenizers keep visible words, and the white space they replace.
+_KEPT_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACES = r"\s+"
+
+
+def _codes(chars: str) -> dict[int, np.ndarray]:
+    """The UTF-8 bytes of characters as numbers, by length."""
+    out: dict[int, list[int]] = {}
+    for raw in (c.encode() for c in chars):
+        out.setdefault(len(raw), []).append(int.from_bytes(raw, "big"))
+    return {n: np.array(sorted(v)) for n, v in out.items()}
+
+
+def _last_code(buf: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """The last ``length`` bytes before each end as one number."""
+    code = np.zeros(len(ends), np.int64)
+    for k in range(length, 0, -1):
+        code = code << 8 | np.where(ends >= k, buf[np.maximum(ends - k, 0)], 0).astype(np.int64)
+    return code
+
+
+def ends_sentence(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character before each position ends a sentence."""
+    out = np.zeros(len(ends), bool)
+    if len(buf):
+        for length, codes in _codes(SENTENCE_ENDS).items():
+            out |= np.isin(_last_code(buf, ends, length), codes)
+    return out
+
+
+def cutting_of(definition: dict) -> str:
+    """How a tokenizer's own normaliser and pre-tokeniser let texts be cut.
+
+    ``bytes``: byte-level pre-tokens of the text as it is. ``folded``: lower
+    case, white space dropped between words. Any other tokenizer gets its texts
+    ``whole``, as nothing is known about where it can't join characters.
+    """
+    normal, pre = definition.get("normalizer"), definition.get("pre_tokenizer") or {}
+    if normal is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
+        return _BYTES
+    steps, words = (normal or {}).get("normalizers", []), pre.get("pretokenizers", [])
+    known = all(s["type"] in ("NFC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": _SPACES} and s["content"] == " ") for s in steps)
+    folds = known and any(s["type"] == "Lowercase" for s in steps)
+    if folds and len(words) == 2 and words[0]["type"] == "Split" and words[0]["behavior"] == "Removed" and words[0]["invert"] and words[0]["pattern"] == {"Regex": _KEPT_WORDS}:
+        if words[1]["type"] == "ByteLevel" and not words[1]["add_prefix_space"] and not words[1]["use_regex"]:
+            return _FOLDED
+    return _WHOLE
+
+
+def text_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of non-empty texts: the only cuts of a tokenizer whose texts stay whole."""
+    return offsets[:-1][np.diff(offsets) > 0]
+
 
 def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sorted positions where a chunk starts, the start of each non-empty text among them.
 
     Cuts lie before a single space or around a single line feed between
-    characters that aren't white space, and between a letter and a mark.
+    characters that aren't white space, between a letter and a mark, and between
+    a wide sentence end and an ideograph.
     """
     n = len(buf)
     if not n:
@@ -46,6 +105,8 @@ def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         cut[1 : n - 1] |= gap | line
         cut[2:n] |= line
     cut[1:n] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
+    wide = np.flatnonzero((buf >= 0xE4) & (buf <= 0xE9))
+    cut[wide[np.isin(_last_code(buf, wide, 3), _codes(_WIDE_ENDS)[3])]] = True
     cut[offsets] = True
     cut[n] = False
     return np.flatnonzero(cut)
@@ -54,8 +115,8 @@ def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class ChunkIds:
     """Token ids of chunks, kept by chunk hash in sorted order."""
 
-    def __init__(self, path: str, fold: bool, capacity: int = 1_000_000):
-        self.fold, self.capacity, self.cuts = fold, capacity, cuts
+    def __init__(self, path: str, capacity: int = 1_000_000):
+        self.fold, self.capacity, self.cuts = False, capacity, cuts
         self.tokenizer = self.load(path)
         self.reset()
 
@@ -63,6 +124,11 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with open(path, encoding="utf-8") as f:
+            how = cutting_of(json.load(f))
+        self.fold = how == _FOLDED
+        if how == _WHOLE:
+            self.cuts = text_starts
         return Tokenizer.from_file(path)
 
     def encode_chunks(self, chunks: list[str]) -> tuple[list[list[int]], np.ndarray]:
@@ -106,7 +172,7 @@ class ChunkIds:
         inside = at < len(self.hashes)
         known[inside] = self.hashes[at[inside]] == distinct[at[inside] * 0 + np.flatnonzero(inside)]
         if not known.all():
-            if len(self.hashes) + int((~known).sum()) > self.capacity:
+            if len(self.hashes) + int((~known).sum()) > self.capacity or self.used > 16 * self.capacity:
                 self.reset()
                 known[:] = False
             new = first[~known]
@@ -115,14 +181,14 @@ class ChunkIds:
             at = np.searchsorted(self.hashes, distinct)
         return self.where[at][back]
 
-    def encode(self, buf: np.ndarray, offsets: np.ndarray):
-        """(ids of all texts in a row, ids of each text, ids of each chunk, last byte of each chunk)."""
+    def encode(self, buf: np.ndarray, offsets: np.ndarray, sentences: bool = False):
+        """(ids of all texts in a row, ids of each text, ids of each chunk, with ``sentences`` whether each chunk ends one)."""
         if self.fold:
             upper = (buf >= 0x41) & (buf <= 0x5A)
             buf = np.where(upper, buf | 0x20, buf)
         starts = self.cuts(buf, offsets)
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-        last = buf[ends - 1] if len(starts) else buf[:0]
+        last = ends_sentence(buf, ends) if sentences else None
         per_text = np.searchsorted(starts, offsets)
         if self.fold and len(starts):  # this tokenizer drops white space: one row with or without the space before
             lead = (buf[starts] == 0x20) & (ends - starts > 1)
@@ -139,14 +205,11 @@ class ChunkIds:
         return ids, summed[per_text[1:]] - summed[per_text[:-1]], length, last
 
 
-_KEPT: dict[tuple[str, bool], ChunkIds] = {}
-
+_KEPT: dict[str, ChunkIds] = {}
 
-def chunk_ids(path: str, fold: bool = False) -> ChunkIds:
-    """The table of this worker process for one tokenizer file.
 
-    ``fold`` is for a tokenizer that lowers case and drops white space.
-    """
-    if (path, fold) not in _KEPT:
-        _KEPT[path, fold] = ChunkIds(path, fold)
-    return _KEPT[path, fold]
+def chunk_ids(path: str) -> ChunkIds:
+    """The table of this worker process for one tokenizer file."""
+    if path not in _KEPT:
+        _KEPT[path] = ChunkIds(path)
+    return _KEPT[path]

@@ -1,6 +1,7 @@
 """op2, op10 and components against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,13 +40,13 @@ def shingles(text, size=5):
     import re
 
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    return Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else Counter([tuple(w)] if w else [])
 
 
 def near_classes(rows, threshold=0.8):
     sets = {i: shingles(t) for i, t in rows}
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and (sets[a] & sets[b]).total() >= threshold * (sets[a] | sets[b]).total()]
     return lowest(ids, links)
 
 
@@ -65,6 +66,7 @@ def test_near_duplicates(spark, rules):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     texts = [t for n, edits in ((40, 1), (25, 2), (8, 3), (30, 0)) for t in family(rng, words, n, edits)]
+    texts += ["a b c d e " * k for k in (1, 4, 5, 20, 21)]
     texts += [None, "", "  \n", "one two", "One  TWO", "x" * 50_000, "a b c d e", "a b c d f", " ".join(rng.choices(words, k=30_000))]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
@@ -90,10 +92,37 @@ def test_darts_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - least / most) < 0.035
 
 
-def test_weighted_near_duplicates(spark):
+def test_weights_count(spark):
     rows = [(1, "a b c d e " * 10), (2, "a b c d e " * 9), (3, "a b c d e")]
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), minhash.NearRules(weighted=True)).collect()}
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+    plain = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, minhash.NearRules(weighted=False)).collect()}
+    assert plain == {1: 1, 2: 1, 3: 3}
+
+
+def test_expanded_sets_are_weighted_ones():
+    rng = np.random.default_rng(8)
+    value = np.sort(rng.integers(1, 2**63, 50).astype(np.uint64))
+    wa, wb = rng.integers(1, 6, 50), rng.integers(1, 6, 50)
+    (a, na), (b, nb) = (minhash.expanded(value, w, np.array([50])) for w in (wa, wb))
+    assert (na[0], nb[0]) == (wa.sum(), wb.sum()) and (np.diff(a) > 0).all()
+    assert minhash.similarity(a, b) == np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+
+
+def test_hot_bucket(spark):
+    """Hundreds of near copies of one text, two families of which meet in buckets: all salts and tiles at work."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=120)
+    rows = []
+    for k in range(260):
+        w = list(base)
+        for at in rng.sample(range(120), 1 + k % 5):
+            w[at] = rng.choice(words)
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), minhash.NearRules(small=4, tile=16, salts=4)).collect()}
+    assert got == near_classes(rows)
 
 
 VECTORS = "vec_id long, embedding array<float>, label int"
