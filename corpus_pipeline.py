@@ -26,32 +26,36 @@ def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """The rows with near_name, a number that only equal rows share.
+    """The rows with near_name, a number of its own for every different row; of equal rows one.
 
     It is the doc_id, or a hash of the whole row, of 2 ** 62 or more, where that
-    is null or a smaller row hash has the same doc_id.
+    is null or a smaller row hash has the same doc_id. Only rows whose name isn't
+    theirs alone are moved for this; usually there are none.
     """
     row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # hashes skip nulls
-    rows = docs.withColumns({"near_name": F.col("doc_id").cast("long"), "near_row": row})
-    repeated = settle(rows.where("near_name is not null").groupBy("near_name").agg(F.min("near_row").alias("near_first"), F.max("near_row").alias("near_last")).where("near_first < near_last"), "repeated")
     own = F.shiftrightunsigned("near_row", 2).bitwiseOR(F.lit(1 << 62))
-    if repeated.isEmpty():
-        return rows.withColumn("near_name", F.coalesce("near_name", own)).drop("near_row")
-    some = rows.where("near_name is not null").join(repeated.hint("merge"), "near_name", "left")
-    some = some.withColumn("near_name", F.when(F.col("near_row") > F.col("near_first"), own).otherwise(F.col("near_name")))
+    rows = docs.withColumn("near_row", row).withColumn("near_name", F.coalesce(F.col("doc_id").cast("long"), own))
+    shared = rows.groupBy("near_name").agg(F.min("near_row").alias("near_first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = settle(shared, "shared")
     columns = [*docs.columns, "near_name"]
-    return some.select(*columns).union(rows.where("near_name is null").withColumn("near_name", own).select(*columns))
+    if shared.isEmpty():
+        return rows.select(*columns)
+    many = rows.join(shared, "near_name").withColumn("near_name", F.when(F.col("near_row") > F.col("near_first"), own).otherwise(F.col("near_name")))
+    many = many.select(*columns).dropDuplicates(["near_name"])
+    return rows.join(shared, "near_name", "left_anti").select(*columns).union(many)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id.
 
     Every different row is a document: one with a null doc_id, or another row of
-    a doc_id, is compared like the rest and stands behind all other ids.
+    a doc_id, is compared like the rest and stands behind all other ids. Of equal
+    rows one stays.
     """
     rows = _named(docs)
-    kept = minhash.near_duplicates(rows.select(F.col("near_name").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("near_name")).distinct()
-    return rows.join(kept, "near_name", "left_semi").select(*docs.columns).distinct()
+    found = minhash.near_duplicates(rows.select(F.col("near_name").alias("doc_id"), "text"))
+    gone = settle(found.where("not kept").select(F.col("doc_id").alias("near_name")), "gone")
+    return rows.join(gone, "near_name", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
