@@ -3,9 +3,11 @@
 For toxic and for ordinary texts there is one interpolated Kneser-Ney model of
 the letters of a word. Both back off to the same lower-order distribution,
 made of continuation counts over all labelled texts, so an expression that is
-rare in either class is smoothed by what both know. The log-likelihood ratio,
-normalised by length over the whole text and over its most toxic words, is
-turned into a probability by a logistic curve.
+rare in either class is smoothed by what both know; what follows a known context
+for the first time gets both classes' back-off weights. The difference of the two
+log-likelihoods, divided by the text's length, and that of its most toxic words
+are turned into a probability by a logistic curve. n-grams don't cross words: of
+an expression of several words each word counts by itself.
 """
 
 from __future__ import annotations
@@ -31,26 +33,50 @@ _BEGIN, _END = 2, 3
 
 @dataclass(frozen=True)
 class ToxicRules:
-    """At most ``sample`` labelled texts of each class are learned from, those of smallest id hash;
-    one in ``fold`` of them sets the logistic curve, the others are counted. ``top`` words are a text's most toxic ones."""
+    """At most ``sample`` labelled documents of each class are learned from, those of smallest id hash, by one text
+    each; one in ``fold`` of them sets the logistic curve, the others are counted. Of the counted n-grams the
+    most frequent ones are kept, ``most_grams`` at most. ``top`` words are a text's most toxic ones."""
 
     order: int = 7
     discount: float = 0.75
     strength: float = 20.0
     sample: int = 15_000
+    most_grams: int = 2_000_000
     fold: int = 4
     top: int = 3
 
 
 @dataclass
 class ToxicModel:
-    """``grams`` are letters packed in 64 bits, ascending, with their log-likelihood ratios."""
+    """``grams`` are letters packed in 64 bits, ascending, with their log-likelihood ratios; ``contexts`` are their
+    first letters, with the ratios of the classes' back-off weights."""
 
     grams: np.ndarray
     gram_ratio: np.ndarray
+    contexts: np.ndarray
+    context_ratio: np.ndarray
     curve: np.ndarray
     rules: ToxicRules
 
+    @classmethod
+    def ignorant(cls, rules: ToxicRules) -> ToxicModel:
+        """A model that scores all texts alike, low."""
+        return cls(np.zeros(0, U64), np.zeros(0), np.zeros(0, U64), np.zeros(0), np.array([-3.0, 0.0, 0.0]), rules)
+
+    def ratios(self, gram: np.ndarray) -> np.ndarray:
+        """log P(letter | context, toxic) - log P(letter | context, ordinary) of n-grams.
+
+        An unseen letter after a known context is left to the shared model by
+        both classes, so the ratio is that of their back-off weights; after an unknown context it is 0.
+        """
+        out = np.zeros(len(gram))
+        for known, value, wanted in ((self.contexts, self.context_ratio, gram >> U64(8)), (self.grams, self.gram_ratio, gram)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                seen = known[at] == wanted
+                out[seen] = value[at[seen]]
+        return out
+
 
 def _ink_words(column: pa.Array, limit: int):
     """Runs of letters and digits, lower-cased: (first row, end row, bytes, starts, ends, words per text)."""
@@ -79,13 +105,13 @@ def letter_grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: i
     return word, gram
 
 
-def kneser_ney_ratios(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, rules: ToxicRules) -> np.ndarray:
-    """Log-likelihood ratios of full n-grams from their counts in both classes.
+def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, rules: ToxicRules) -> ToxicModel:
+    """Log-likelihood ratios of full n-grams and of the back-off weights of their contexts, from counts in both classes.
 
     The shared model is interpolated Kneser-Ney over the counts of both
     classes, with continuation counts below the full order. Each class discounts
     its own counts and backs off to it: ``strength`` more counts of the shared
-    model stand behind every context. What neither class has seen says nothing.
+    model stand behind every context.
     """
     d = rules.discount
     pooled = toxic + ordinary
@@ -100,12 +126,16 @@ def kneser_ney_ratios(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray
         total, types = np.bincount(back, weights=n)[back], np.bincount(back)[back]
         lower = prob[np.searchsorted(shorter, gram & U64((1 << (8 * (k - 1))) - 1))]
         shorter, prob = gram, (np.maximum(n - d, 0) + d * types * lower) / total
-    _, back = np.unique(grams >> U64(8), return_inverse=True)
-    logs = []
+    contexts, back = np.unique(grams >> U64(8), return_inverse=True)
+    logs, weights = [], []
     for n in (toxic, ordinary):
-        total, types = np.bincount(back, weights=n)[back], np.bincount(back, weights=n > 0)[back]
-        logs.append(np.log((np.maximum(n - d, 0) + (d * types + rules.strength) * prob) / (total + rules.strength)))
-    return logs[0] - logs[1]
+        total, types = np.bincount(back, weights=n), np.bincount(back, weights=n > 0)
+        rest = d * types + rules.strength
+        logs.append(np.log((np.maximum(n - d, 0) + rest[back] * prob) / (total[back] + rules.strength)))
+        weights.append(np.log(rest / (total + rules.strength)))
+    model = ToxicModel.ignorant(rules)
+    model.grams, model.gram_ratio, model.contexts, model.context_ratio = grams, logs[0] - logs[1], contexts, weights[0] - weights[1]
+    return model
 
 
 class WordRatios:
@@ -133,24 +163,18 @@ class WordRatios:
         return value[back]
 
     def _score(self, buf, starts, ends) -> np.ndarray:
-        m = self.model
-        word, gram = letter_grams(buf, starts, ends, m.rules.order)
-        out = np.zeros(len(gram))
-        if len(m.grams):
-            at = np.minimum(np.searchsorted(m.grams, gram), len(m.grams) - 1)
-            seen = m.grams[at] == gram
-            out[seen] = m.gram_ratio[at[seen]]
-        return np.bincount(word, weights=out, minlength=len(starts))
+        word, gram = letter_grams(buf, starts, ends, self.model.rules.order)
+        return np.bincount(word, weights=self.model.ratios(gram), minlength=len(starts))
 
 
-def text_features(ratios: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
-    """(texts, 2): mean ratio of a word over the whole text, and over its ``top`` most toxic words.
+def text_features(ratios: np.ndarray, letters: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
+    """(texts, 2): the ratio of the whole text by letter, and the mean ratio of its ``top`` most toxic words.
 
-    Words that a text lacks count 0 among the most toxic ones.
+    ``letters`` of each word are counted with its end mark. Words that a text lacks count 0 among the most toxic ones.
     """
     doc = np.repeat(np.arange(len(counts)), counts)
     out = np.zeros((len(counts), 2))
-    out[:, 0] = np.bincount(doc, weights=ratios, minlength=len(counts)) / np.maximum(counts, 1)
+    out[:, 0] = np.bincount(doc, weights=ratios, minlength=len(counts)) / np.maximum(np.bincount(doc, weights=letters, minlength=len(counts)), 1)
     order = np.lexsort((-ratios, doc))
     place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
     first = place < top
@@ -168,7 +192,7 @@ def _features(docs: DataFrame, model: ToxicModel, columns: str, with_score: bool
 
         def f(batch: pa.RecordBatch):
             for lo, hi, buf, starts, ends, counts in _ink_words(batch.columns[-1], 2 << 20):
-                x = text_features(words.of(buf, starts, ends), counts, m.rules.top)
+                x = text_features(words.of(buf, starts, ends), ends - starts + 1, counts, m.rules.top)
                 own = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
                 if with_score:
                     score = 1 / (1 + np.exp(-np.clip(m.curve[0] + x @ m.curve[1:], -30, 30)))
@@ -199,16 +223,18 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicRules = ToxicRules(), *, modulus: int = 3, remainder: int = 1) -> ToxicModel:
     """Learn from (doc_id, text) and (doc_id, toxic), leaving out ids whose crc32 has the remainder.
 
-    The sample is bounded by ``rules.sample``, and with it what reaches the
-    driver. Labels that are null or not 0 or 1 are ignored; of several labels of
-    a document the largest counts. Without labels of both classes the model
+    What reaches the driver is bounded by ``rules.most_grams``. Labels that are
+    null or not 0 or 1 are ignored; of several labels of a document the largest
+    counts, of several texts of one id that of the smallest hash. Without labels of both classes the model
     scores all texts alike, low.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", modulus, remainder))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda c: usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
     chosen = F.broadcast(pick(0).union(pick(1)))  # two times rules.sample rows at most
-    texts = settle(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select((F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(rules.fold)) == 0).alias("curve"), "toxic", "text"), "toxic")
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    own = own.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = settle(own.select((F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(rules.fold)) == 0).alias("curve"), "toxic", "text"), "toxic")
     texts = texts.repartition(max(4, len(texts.inputFiles())))
 
     def count(batches):
@@ -221,18 +247,20 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicRules = ToxicRules(), *,
                 n = [np.bincount(back[label[word] == c], minlength=len(both)) for c in (1, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), *map(pa.array, n)], ["gram", "toxic", "ordinary"])
 
-    counted = texts.where("not curve").select("toxic", "text").mapInArrow(count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    counted = texts.where("not curve").select("toxic", "text").mapInArrow(count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    table = settle(counted.withColumn("often", F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000))), "grams")
+    kinds = {r.often: r.n for r in table.groupBy("often").agg(F.count("*").alias("n")).collect()}  # 1,000 rows at most
+    least = min((k for k in range(1, 1002) if sum(n for o, n in kinds.items() if o >= k) <= rules.most_grams), default=1001)
+    counted = table.where(F.col("often") >= least).toArrow()
     grams = counted.column(0).to_numpy().view(U64)
     order = np.argsort(grams)
     grams, toxic, ordinary = grams[order], counted.column(1).to_numpy()[order], counted.column(2).to_numpy()[order]
-    model = ToxicModel(grams, np.zeros(0), np.array([-3.0, 0.0, 0.0]), rules)
+    model = ToxicModel.ignorant(rules)
     if toxic.any() and ordinary.any():
-        model.gram_ratio = kneser_ney_ratios(grams, toxic.astype(float), ordinary.astype(float), rules)
+        model = kneser_ney(grams, toxic.astype(float), ordinary.astype(float), rules)
         seen = _features(texts.where("curve").select("toxic", "text"), model, "toxic int", False).toArrow()
         model.curve = _curve(np.column_stack([seen.column(1).to_numpy(), seen.column(2).to_numpy()]), seen.column(0).to_numpy().astype(float))
-    else:
-        model.grams = np.zeros(0, U64)
-    forget(texts)
+    forget(texts, table)
     return model
 
 
@@ -253,7 +281,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, *, threshold: float = 0.7) ->
 
         def f(batch: pa.RecordBatch):
             for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(at), 2 << 20):
-                x = text_features(words.of(buf, starts, ends), counts, m.rules.top)
+                x = text_features(words.of(buf, starts, ends), ends - starts + 1, counts, m.rules.top)
                 score = 1 / (1 + np.exp(-np.clip(m.curve[0] + x @ m.curve[1:], -30, 30)))
                 yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
 

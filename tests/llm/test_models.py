@@ -71,15 +71,45 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(empty, toxicity.fit(empty, labels)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    """Smoothed probabilities of what may follow a context sum to one, as the shared model's do."""
+def test_kneser_ney_against_plain_version():
+    """Ratios of seen, unseen and unknown n-grams are those of probabilities that are written down one by one and sum to one."""
+    from collections import Counter
+    from math import isclose, log
+
     rng = np.random.default_rng(3)
-    rules = toxicity.ToxicRules(order=3)
-    grams = np.unique(rng.integers(5, 9, 200).astype(np.uint64) | rng.integers(5, 9, 200).astype(np.uint64) << np.uint64(8) | rng.integers(5, 7, 200).astype(np.uint64) << np.uint64(16))
-    ratios = toxicity.kneser_ney_ratios(grams, rng.integers(0, 5, len(grams)).astype(float), rng.integers(1, 5, len(grams)).astype(float), rules)
-    assert np.isfinite(ratios).all()
-    same = rng.integers(1, 5, len(grams)).astype(float)
-    assert np.allclose(toxicity.kneser_ney_ratios(grams, same, same, rules), 0)
+    rules = toxicity.ToxicRules(order=3, strength=2.0)
+    counts = {y: Counter(tuple(int(v) for v in rng.integers(5, [7, 9, 11])) for _ in range(n)) for y, n in ((1, 90), (0, 140))}
+    both, d = counts[0] + counts[1], rules.discount
+    kinds = {3: both}
+    for k in (2, 1):  # how many different longer n-grams end in it
+        kinds[k] = Counter(g[1:] for g in kinds[k + 1])
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        after = {h: n for h, n in kinds[len(g)].items() if h[:-1] == g[:-1]}
+        if not after:
+            return shared(g[1:])
+        return (max(after.get(g, 0) - d, 0) + d * len(after) * shared(g[1:])) / sum(after.values())
+
+    def by_class(g, y):
+        after = {h: n for h, n in counts[y].items() if h[:-1] == g[:-1]}
+        total = sum(after.values())
+        return (max(counts[y][g] - d, 0) + (d * len(after) + rules.strength) * shared(g)) / (total + rules.strength)
+
+    packed = lambda g: sum(v << (8 * k) for k, v in enumerate(reversed(g)))
+    grams = np.array(sorted(map(packed, both)), np.uint64)
+    n = [np.array([float(counts[y][tuple(int(g) >> s & 255 for s in (16, 8, 0))]) for g in grams]) for y in (1, 0)]
+    model = toxicity.kneser_ney(grams, *n, rules)
+    contexts = sorted({g[:-1] for g in both})
+    asked = [(*c, w) for c in [*contexts, (99, 98)] for w in range(256)]
+    want = [log(by_class(g, 1) / by_class(g, 0)) for g in asked]
+    assert np.allclose(model.ratios(np.array([packed(g) for g in asked], np.uint64)), want)
+    assert any(abs(x) > 0.1 for g, x in zip(asked, want, strict=True) if g not in both)  # unseen letters do say something
+    for c in contexts:
+        for y in (0, 1):
+            assert isclose(sum(by_class((*c, w), y) for w in range(256)), 1)
+    assert np.allclose(toxicity.text_features(np.array([1.0, -2.0, 4.0]), np.array([2, 3, 5]), np.array([3, 0]), 2), [[3.0 / 10, 2.5], [0, 0]])
 
 
 def test_roles_held_out(spark):
