@@ -2,7 +2,9 @@
 
 Every line is judged by punctuation, navigation and boilerplate rules; lines
 that fail are removed; documents that lose too much of their text are rejected.
-All counts of a batch come from byte arrays; a document is never cut.
+Rules go by code points of any script: marks that end sentences, entries of a
+menu or path between separators, runs of links, and what notices say. All counts of a
+batch come from arrays; a document is never cut.
 """
 
 from __future__ import annotations
@@ -21,12 +23,26 @@ from .common import map_batches
 
 #: Characters that text made of symbols is full of.
 SYMBOLS = "#*$%&|<>"
-EMPHASIS = "!?#*$%&<>{}[]\\^~=_+@"
-SEPARATORS = "|"
-TERMINALS = ".!?:;"
+EMPHASIS = "!?#*$%&<>{}[]\\^~=_+@！？＃＊"
+#: What separates entries of a menu or a path. A right guillemet does so too, in lines without a left one.
+SEPARATORS = "|¦·•›→"
+LEFT, RIGHT = "«", "»"
+#: Marks after sentences and clauses, of all scripts that have them.
+TERMINALS = ".!?:;…‽。．！？：；｡।॥؟۔؛։՜՞።፡፧៕។။၊᠃᠉꓿"
+#: Scripts without spaces between words, two characters of which count as a word, and scripts without marks after sentences.
+WIDE = ((0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
+UNMARKED = ((0x0E00, 0x0EFF),)
+LINKS = r"://|www\."
+#: What lines of notices and page furniture say, in several languages, and the marks of a copyright notice.
 BOILERPLATE = (
     r"licensed under|all rights reserved|copyright|cookie|privacy policy|terms of (use|service)"
     r"|subscribe|sign up|log in|click here|javascript|read more|share this"
+    r"|alle rechte vorbehalten|datenschutzerklärung|impressum|nutzungsbedingungen|weiterlesen"
+    r"|tous droits réservés|politique de confidentialité|mentions légales|conditions d.utilisation|lire la suite"
+    r"|todos los derechos reservados|política de privacidad|aviso legal|condiciones de uso|leer más"
+    r"|todos os direitos reservados|tutti i diritti riservati|все права защищены|политика конфиденциальности"
+    r"|版权所有|保留所有权利|隐私政策|無断転載|プライバシーポリシー|جميع الحقوق محفوظة|سياسة الخصوصية|सर्वाधिकार सुरक्षित|गोपनीयता नीति"
+    r"|©|\(c\) ?(19|20)[0-9]{2}"
 )
 
 
@@ -36,9 +52,12 @@ class LineRules:
 
     min_separators: int = 2
     separators_per_100_words: int = 33
+    words_per_entry: int = 3
+    min_links: int = 2
     min_emphasis: int = 3
     emphasis_per_100_words: int = 50
     unpunctuated_words: int = 10
+    unpunctuated_wide: int = 40
     boilerplate_words: int = 30
     max_lost: int = 50
     min_words: int = 20
@@ -52,13 +71,16 @@ SCHEMA = (
 )
 
 
-def _table(chars: str) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[[ord(c) for c in chars]] = True
-    return out
-
-
-_SYMBOL, _EMPHASIS, _SEPARATOR, _TERMINAL = map(_table, (SYMBOLS, EMPHASIS, SEPARATORS, TERMINALS))
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[ord(c) for c in SYMBOLS]] = True
+_SPACE, _EMPH, _SEP, _TERM, _WIDE, _BARE, _LEFT, _RIGHT = (1 << k for k in range(8))
+#: The classes of each code point; those beyond the table have none.
+_CLASS = np.zeros(0x10000, np.uint8)
+for _bit, _chars in ((_EMPH, EMPHASIS), (_SEP, SEPARATORS), (_TERM, TERMINALS), (_LEFT, LEFT), (_RIGHT, RIGHT)):
+    _CLASS[[ord(c) for c in _chars]] |= _bit
+for _bit, _ranges in ((_SPACE, ((0x20, 0x20), (0x09, 0x0D))), (_WIDE, WIDE), (_BARE, UNMARKED)):
+    for _low, _high in _ranges:
+        _CLASS[_low : _high + 1] |= _bit
 
 
 def _repeats(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -82,67 +104,95 @@ def _repeats(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bincount(doc[covered], minlength=len(counts))
 
 
+class _Lines:
+    """The lines of a batch of texts, by code points, and what the rules say of each."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, rules: LineRules):
+        lead = (buf & 0xC0) != 0x80
+        before = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(lead, out=before[1:])
+        edges = before[offsets]
+        self.text = buf.tobytes().decode()
+        point = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        kind = np.where(point < len(_CLASS), _CLASS[np.minimum(point, len(_CLASS) - 1)], np.uint8(0))
+        # a text of k line feeds has k + 1 lines
+        feeds = np.flatnonzero(point == 10)
+        self.start = np.sort(np.concatenate([edges[:-1], feeds + 1]), kind="stable")
+        self.end = np.sort(np.concatenate([feeds, edges[1:]]), kind="stable")
+        self.per_text = np.diff(np.searchsorted(feeds, edges)) + 1
+        space = kind & _SPACE != 0
+        fresh = np.ones(len(point) + 1, bool)  # a word may start here
+        fresh[1:] = np.append(space, True)[:-1]
+        fresh[edges] = True
+        starts = np.flatnonzero(fresh[:-1] & ~space)
+        self.words = np.searchsorted(starts, self.end) - np.searchsorted(starts, self.start)
+        self.chars = self._inside(~space)
+        n, r = self.words, rules
+        emph, term, wide, bare, left, right = (self._inside(kind & bit != 0) for bit in (_EMPH, _TERM, _WIDE, _BARE, _LEFT, _RIGHT))
+        first = np.append(kind, np.uint8(0))[np.append(starts, len(point))[np.searchsorted(starts, self.start)]]
+        first = np.where(n > 0, first, 0)
+        arrows = left == 0
+        seps = self._inside(kind & _SEP != 0) + np.where(arrows, right, 0) - ((first & _SEP != 0) | (arrows & (first & _RIGHT != 0)))
+        links = self._found(LINKS)
+        units = n + wide // 2
+        some = n > 0
+        listed = (seps >= r.min_separators) & (100 * seps >= r.separators_per_100_words * units)
+        path = (seps >= 1) & (term == 0) & (units <= (r.words_per_entry + 1) * seps + r.words_per_entry)
+        self.navigation = some & (listed | path | ((links >= r.min_links) & (2 * links >= n)))
+        shouting = (emph >= r.min_emphasis) & (100 * emph > r.emphasis_per_100_words * units)
+        unended = (term == 0) & (bare == 0) & ((n >= r.unpunctuated_words) | (wide >= r.unpunctuated_wide))
+        self.punctuation = some & ~self.navigation & (shouting | unended)
+        self.boilerplate = some & ~self.navigation & ~self.punctuation & (units <= r.boilerplate_words) & (self._found(BOILERPLATE) > 0)
+        self.bad = self.navigation | self.punctuation | self.boilerplate
+
+    def _inside(self, flags: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(flags) + 1, np.int64)
+        np.cumsum(flags, out=total[1:])
+        return total[self.end] - total[self.start]
+
+    def _found(self, pattern: str) -> np.ndarray:
+        """Matches in each line; none crosses a line feed or a text's end."""
+        at = [(m.start(), m.end()) for m in re.finditer(pattern, self.text, re.I)]
+        if not at:
+            return np.zeros(len(self.start), np.int64)
+        begin, stop = np.array(at).T
+        line = np.searchsorted(self.start, begin, side="right") - 1
+        return np.bincount(line[stop <= self.end[line]], minlength=len(self.start))
+
+    def line(self, k: int) -> str:
+        return self.text[self.start[k] : self.end[k]]
+
+
 def _judge(buf: np.ndarray, offsets: np.ndarray, rules: LineRules, clean: bool):
     n_docs = len(offsets) - 1
     starts, ends, n_words = spans.words(buf, offsets)
-    space = spans.SPACE[buf]
-    letter = ((buf & 0xC0) != 0x80) & ~space
-    word_chars = spans.per_doc(letter, offsets)
+    word_chars = spans.per_doc(((buf & 0xC0) != 0x80) & ~spans.SPACE[buf], offsets)
     n_symbols = spans.per_doc(_SYMBOL[buf], offsets)
     repeats = _repeats(spans.hash_spans(buf, starts, ends), n_words)
-
-    # lines: a text of k line feeds has k + 1 of them
-    feeds = np.flatnonzero(buf == 10)
-    line_start = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
-    line_end = np.sort(np.concatenate([feeds, offsets[1:]]), kind="stable")
-    feeds_in = np.searchsorted(feeds, offsets)
-    n_lines = np.diff(feeds_in) + 1
-    line_doc = np.repeat(np.arange(n_docs), n_lines)
-
-    def inside(flags):
-        total = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[line_end] - total[line_start]
-
-    in_words = np.searchsorted(starts, line_end) - np.searchsorted(starts, line_start)
-    seps, emph, term, chars = inside(_SEPARATOR[buf]), inside(_EMPHASIS[buf]), inside(_TERMINAL[buf]), inside(letter)
-    some = in_words > 0
-    navigation = some & (seps >= rules.min_separators) & (100 * seps >= rules.separators_per_100_words * in_words)
-    punctuation = some & ~navigation & (
-        ((emph >= rules.min_emphasis) & (100 * emph > rules.emphasis_per_100_words * in_words))
-        | ((in_words >= rules.unpunctuated_words) & (term == 0))
-    )
-    boiler = np.zeros(len(some), bool)
+    lines = _Lines(buf, offsets, rules)
+    line_doc = np.repeat(np.arange(n_docs), lines.per_text)
     dup = np.zeros(n_docs, np.int64)
-    raw = buf.tobytes()
-    pattern = re.compile(BOILERPLATE.encode(), re.I)
-    for m in pattern.finditer(raw):  # few; a match can't cross a line feed
-        k = int(np.searchsorted(line_start, m.start(), side="right")) - 1
-        if m.end() <= line_end[k] and some[k] and in_words[k] <= rules.boilerplate_words:
-            boiler[k] = True
-    boiler &= ~navigation & ~punctuation
-    first = np.concatenate([[0], np.cumsum(n_lines)])
-    for d in np.flatnonzero(n_lines > 1):
+    first = np.concatenate([[0], np.cumsum(lines.per_text)])
+    for d in np.flatnonzero(lines.per_text > 1):
         seen = set()
         for k in range(first[d], first[d + 1]):
-            if some[k]:
-                line = raw[line_start[k] : line_end[k]]
+            if lines.words[k]:
+                line = lines.line(k)
                 if line in seen:
                     dup[d] += 1
                 else:
                     seen.add(line)
-    bad = navigation | punctuation | boiler
     count = lambda flags: np.bincount(line_doc[flags], minlength=n_docs)
-    lost = np.bincount(line_doc, weights=np.where(bad, chars, 0), minlength=n_docs).astype(np.int64)
+    lost = np.bincount(line_doc, weights=np.where(lines.bad, lines.chars, 0), minlength=n_docs).astype(np.int64)
     failed = (n_words < rules.min_words) | (100 * repeats > rules.max_repeated * n_words)
     kept = ~failed & (100 * lost <= rules.max_lost * word_chars)
-    cols = [n_words, word_chars, n_symbols, dup, repeats, failed, kept, n_lines, count(navigation), count(punctuation), count(boiler), lost]
+    cols = [n_words, word_chars, n_symbols, dup, repeats, failed, kept, lines.per_text, count(lines.navigation), count(lines.punctuation), count(lines.boilerplate), lost]
     if not clean:
         return cols, None
     texts = []
     for d in range(n_docs):
-        if bad[first[d] : first[d + 1]].any():
-            texts.append(b"\n".join(raw[line_start[k] : line_end[k]] for k in range(first[d], first[d + 1]) if not bad[k]).decode())
+        if lines.bad[first[d] : first[d + 1]].any():
+            texts.append("\n".join(lines.line(k) for k in range(first[d], first[d + 1]) if not lines.bad[k]))
         else:
             texts.append(None)
     return cols, texts

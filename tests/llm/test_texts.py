@@ -63,6 +63,49 @@ def test_quality_lines(spark):
     assert kept.doc_id == 1 and kept.text == got[1].text and kept.n_chars == len(kept.text)
 
 
+SCRIPTS = {
+    "hi": "आज सुबह बाजार में बहुत भीड़ थी और लोग सब्जियाँ खरीद रहे थे।\nशाम को हम सब नदी के किनारे टहलने गए और देर तक बातें करते रहे।",
+    "ar": "ذهب الأولاد إلى المدرسة في الصباح الباكر مع أصدقائهم ومعلمهم الجديد؟\nعاد الجميع إلى البيت قبل غروب الشمس بعد يوم طويل وجميل في الحديقة۔",
+    "zh": "今天早上市场里人很多，大家都在买新鲜的蔬菜和水果，孩子们在旁边的空地上高兴地玩耍。\n晚上我们一起到河边散步，一直聊到很晚才回家，路上的灯光照在水面上非常好看。",
+    "th": "วันนี้ ตลาด มี คน มาก และ ทุกคน ซื้อ ผัก สด ใหม่ ทุก วัน",
+    "fr": "« Bonjour », dit le boulanger à la vieille dame qui entrait dans la boutique.",
+}
+
+
+def test_quality_of_scripts(spark):
+    """Sentences of any script pass, menus and paths with any separator don't."""
+    df = spark.createDataFrame(list(enumerate(SCRIPTS.values())), DOCS)
+    for r in quality.judge_lines(df).collect():
+        assert (r.n_lines_navigation, r.n_lines_punctuation, r.n_lines_boilerplate) == (0, 0, 0), list(SCRIPTS)[r.doc_id]
+    hindi = spark.createDataFrame([(1, SCRIPTS["hi"])], DOCS)
+    assert quality.judge_lines(hindi).first().kept
+    menus = ["Home » Products » About", "Home · Products", "首页 | 产品 | 关于", "الرئيسية › الأخبار › اتصل بنا", "http://a.example/x www.b.example", "A | B | C"]
+    unended = ["आज सुबह बाजार में बहुत भीड़ थी और लोग सब्जियाँ खरीद रहे थे", SCRIPTS["zh"].split("\n")[0][:-1].replace("，", "") + "他们说明天还要再来"]
+    notices = ["© 2021 Ein Verlag.", "Alle Rechte vorbehalten.", "版权所有。", "Tous DROITS RÉSERVÉS."]
+    listed = ["• Milk and bread", "»Guten Tag«, sagte sie.", "A single · dot inside a line that ends as a sentence does.", "See http://a.example/x for more about the rivers of this land."]
+    for column, lines in (("n_lines_navigation", menus), ("n_lines_punctuation", unended), ("n_lines_boilerplate", notices), (None, listed)):
+        for r in quality.judge_lines(spark.createDataFrame(list(enumerate(lines)), DOCS)).collect():
+            found = {c for c in ("n_lines_navigation", "n_lines_punctuation", "n_lines_boilerplate") if r[c]}
+            assert found == ({column} if column else set()), lines[r.doc_id]
+
+
+def test_quality_sql_of_scripts(spark):
+    """The SQL follows the rules on every script, on odd texts and on no text at all."""
+    import duckdb
+
+    from feedlens.llm.queries import ORACLE_SQL
+    from tests.compare import assert_same
+
+    lines = [*SCRIPTS.values(), "Home » Products » About", "» a » b", "«a» » b", "首页|产品|关于", "www.a.de www.b.de", "© 2021", "POLÍTICA DE PRIVACIDAD.", "„x“ — !!! ???", *ODD]
+    for texts in (lines + lines[:2] + ["\n".join(x for x in lines if x)], []):
+        df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        if texts:
+            con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+        assert_same(quality.judge_lines(df), con, ORACLE_SQL["op1_quality_rules"])
+
+
 def test_quality_keeps_good_documents(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
