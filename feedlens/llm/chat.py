@@ -1,11 +1,13 @@
-"""Chat formatting: roles recovered by a hidden Markov model, then canonical turns.
-
-Rows of a conversation are observed by features: a speaker marker at the start,
-length, question marks, list or code lines. Roles are the hidden states; the
-most likely sequence is found by Viterbi. Long conversations are decoded in
-chunks: the best score between every pair of states at both ends of a chunk is a
-small matrix, matrices are joined along the conversation, and each chunk is then
-decoded between its fixed ends, so no task holds a whole long conversation.
+"""Chat formatting: transcripts are parsed by a hidden Markov model, then rendered as canonical turns.
+
+A transcript is a sequence of lines. The hidden states are the roles, each as
+the first line of a turn or as a line inside one; lines are observed by a
+speaker marker at their start, their length, question marks, list and code
+marks. The most likely states are found by Viterbi and lines of one turn are
+merged. Long transcripts are decoded in chunks: the best score between every pair
+of states at both ends of a chunk is a small matrix, matrices are joined along
+the transcript, and each chunk is then decoded between its fixed ends, so no
+task holds a whole long transcript.
 """
 
 from __future__ import annotations
@@ -14,35 +16,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Speaker markers of each role, at the start of a line.
 MARKERS = {
-    "system": r"(?i)^\s*(?:\[?(?:system|instructions?)\]?|<\|?system\|?>)\s*[:>\-]?\s*",
+    "system": r"(?i)^\s*(?:\[?(?:system|instructions?)\]?|<\|?system\|?>)\s*[:>]\s*",
     "user": r"(?i)^\s*(?:\[?(?:user|human|q|question|customer|me)\]?|<\|?(?:user|human)\|?>)\s*[:>]\s*",
     "assistant": r"(?i)^\s*(?:\[?(?:assistant|bot|ai|a|answer|agent)\]?|<\|?(?:assistant|bot)\|?>)\s*[:>]\s*",
 }
 ROLES = tuple(MARKERS)
-N_LENGTHS = 8
+#: State r begins a turn of role r, state S + r continues it.
+S = len(ROLES)
+N_LENGTHS = 10
 N_SIGNALS = 4
 
 
 @dataclass(frozen=True)
 class ChatRules:
-    """``marker_trust`` is the probability that a marker tells the truth; ``stay`` the weight of staying with
-    a role from line to line, for transcripts of lines; ``chunk`` the rows of a chunk."""
+    """``smoothing`` is added to all counts; a chunk holds ``places`` places, a place of over ``crowd`` different rows is dealt into more of them."""
 
-    marker_trust: float = 0.97
-    smoothing: float = 1.0
-    stay: float = 0.0
-    chunk: int = 1024
+    smoothing: float = 0.5
+    places: int = 64
+    crowd: int = 256
 
 
 @dataclass
 class ChatModel:
-    start: np.ndarray  # log-probabilities
+    """Log-probabilities of states: first, next, and of what is seen of a line."""
+
+    start: np.ndarray
     move: np.ndarray
+    marker: np.ndarray
     length: np.ndarray
     signal: np.ndarray
     rules: ChatRules
@@ -52,58 +59,62 @@ def _marker(text: Column) -> Column:
     """0 for none, else 1 + the role's number."""
     out = F.lit(0)
     for k, role in reversed(list(enumerate(ROLES))):
-        shape = MARKERS[role] if role != "system" else MARKERS[role].replace("[:>\\-]?", "[:>]")
-        out = F.when(text.rlike(shape), k + 1).otherwise(out)
+        out = F.when(text.rlike(MARKERS[role]), k + 1).otherwise(out)
     return out
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text that aren't blank."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
+
+
 def features(rows: DataFrame) -> DataFrame:
-    """Adds marker, length (a bin of its logarithm) and signal (question mark, list or code) to (..., text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    length = F.least(F.lit(N_LENGTHS - 1), F.floor(F.log2(F.length(text) + 1) * 0.75).cast("int"))
-    signal = F.when(text.contains("?"), 1).otherwise(0) + F.when(text.rlike(r"(?m)^\s*(?:[-*•]\s|\d+[.)]\s|```)"), 2).otherwise(0)
+    """Adds marker, length (a bin of its logarithm) and signal (question mark, list or code) to (..., text) of lines."""
+    text = F.col("text")
+    length = F.least(F.lit(N_LENGTHS - 1), F.floor(F.log2(F.length(text) + 1)).cast("int"))
+    signal = F.when(text.contains("?"), 1).otherwise(0) + F.when(text.rlike(r"^\s*(?:[-*•]\s|\d+[.)]\s|```)"), 2).otherwise(0)
     return rows.withColumns({"marker": _marker(text), "length": length, "signal": signal})
 
 
 def fit(turns: DataFrame, rules: ChatRules = ChatRules()) -> ChatModel:
-    """Count features, first roles and moves over all turns of (conv_id, turn, role, text) with a known role.
+    """Count states, moves and features over all turns (conv_id, turn, role, text) with a known role and a line that isn't blank.
 
-    The driver gets tables whose size depends on the numbers of roles and bins alone. A
-    move is counted from a turn to the one numbered next in its conversation.
+    ``text`` stands as in a transcript, speaker markers included. The driver gets
+    tables whose size depends on the numbers of states and bins alone. A move
+    from turn to turn is counted to the turn numbered next in its conversation.
     """
     number = F.create_map(*[x for k, r in enumerate(ROLES) for x in (F.lit(r), F.lit(k))])
-    known = features(turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text").cast("string").alias("text"))).withColumn("state", number[F.lower("role")]).where("state is not null")
-    s = len(ROLES)
-    length, signal = (np.full((s, n), rules.smoothing) for n in (N_LENGTHS, N_SIGNALS))
-    for r in known.groupBy("state", "length", "signal").count().collect():
+    known = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), number[F.lower("role")].alias("state"), _lines(F.col("text").cast("string")).alias("lines"))
+    known = known.where("state is not null and size(lines) > 0").withColumn("n", F.size("lines"))
+    marker, length, signal = (np.full((2 * S, n), rules.smoothing) for n in (S + 1, N_LENGTHS, N_SIGNALS))
+    lines = known.select("state", F.posexplode("lines").alias("at", "text")).withColumn("state", F.col("state") + F.when(F.col("at") > 0, S).otherwise(0))
+    for r in features(lines).groupBy("state", "marker", "length", "signal").count().collect():
+        marker[r.state, r.marker] += r["count"]
         length[r.state, r.length] += r["count"]
         signal[r.state, r.signal] += r["count"]
-    start, move = np.full(s, rules.smoothing), np.full((s, s), rules.smoothing)
-    for r in known.where("turn = 0").groupBy("state").count().collect():
-        start[r.state] += r["count"]
-    one = known.select("conv_id", F.col("state").alias("a"), (F.col("turn") + 1).alias("turn"))
+    start, move = np.full(2 * S, -np.inf), np.full((2 * S, 2 * S), 0.0)
+    start[:S] = rules.smoothing
+    move[:, :S] = rules.smoothing
+    role = np.arange(S)
+    move[role, S + role] = move[S + role, S + role] = rules.smoothing
+    for r in known.groupBy("state").agg(F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).alias("first"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("go"), F.sum(F.greatest(F.col("n") - 2, F.lit(0))).alias("on")).collect():
+        start[r.state] += r.first
+        move[r.state, S + r.state] += r.go
+        move[S + r.state, S + r.state] += r.on
+    one = known.select("conv_id", (F.col("state") + F.when(F.col("n") > 1, S).otherwise(0)).alias("a"), (F.col("turn") + 1).alias("turn"))
     two = known.select("conv_id", F.col("state").alias("b"), "turn")
     one, two = (x.groupBy(*x.columns).count().withColumnRenamed("count", f"n{k}") for k, x in enumerate((one, two)))  # repeated rows count once a side
     for r in one.join(two, ["conv_id", "turn"]).groupBy("a", "b").agg(F.sum(F.col("n0") * F.col("n1")).alias("n")).collect():
         move[r.a, r.b] += r.n
-    norm = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    moves = np.exp(norm(move))
-    moves = rules.stay * np.eye(s) + (1 - rules.stay) * moves
-    return ChatModel(norm(start), np.log(moves + 1e-12), norm(length), norm(signal), rules)
+    with np.errstate(divide="ignore"):
+        norm = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+        return ChatModel(norm(np.where(np.isinf(start), 0, start)), norm(move), norm(marker), norm(length), norm(signal), rules)
 
 
-def _emissions(model: ChatModel, t: pa.Table) -> np.ndarray:
+def emissions(model: ChatModel, t: pa.Table) -> np.ndarray:
+    """(lines, states) log-probabilities of what is seen of each line."""
     marker, length, signal = (t.column(c).to_numpy() for c in ("marker", "length", "signal"))
-    out = model.length[:, length].T + model.signal[:, signal].T
-    trust = model.rules.marker_trust
-    said = np.full((len(ROLES) + 1, len(ROLES)), np.log((1 - trust) / (len(ROLES) - 1)))
-    said[0] = 0
-    said[np.arange(1, len(ROLES) + 1), np.arange(len(ROLES))] = np.log(trust)
-    return out + said[marker]
-
-
-def _ordered(t: pa.Table) -> pa.Table:
-    return t.sort_by([("turn", "ascending"), ("text", "ascending")])
+    return model.marker[:, marker].T + model.length[:, length].T + model.signal[:, signal].T
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, last: int | None = None) -> np.ndarray:
@@ -122,36 +133,67 @@ def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, last: int | N
     return out
 
 
-def recover_roles(rows: DataFrame, model: ChatModel) -> DataFrame:
-    """(conv_id, turn, text, role_pred) for every row of (conv_id, turn, text).
+def _placed(parts: DataFrame, rules: ChatRules) -> DataFrame:
+    """Lines (conv, conv_id, chunk, sub, place, hash, line, text, copies): different rows, dealt into chunks that keep their order."""
+    text = F.col("text").cast("string")
+    rows = parts.select("conv_id", F.coalesce(F.col("place").cast("long"), F.lit(-1)).alias("place"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.groupBy("conv_id", "place", "text").agg(F.count("*").alias("copies")).withColumn("hash", F.xxhash64("text"))
+    rows = rows.withColumn("conv", F.when(F.col("conv_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string"))))
+    rows = rows.withColumns({"chunk": F.floor(F.col("place") / rules.places), "sub": F.lit(0)})
+    crowded = settle(rows.groupBy("conv", "place").count().where(F.col("count") > rules.crowd).select("conv", "place", F.ceil(F.col("count") / rules.crowd).cast("int").alias("m")), "crowded")
+    if not crowded.isEmpty():  # places of many rows: a chunk for each range of hashes, and the other places of their chunk one by one
+        salts = 32
+        full = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        chunks = crowded.select("conv", F.floor(F.col("place") / rules.places).alias("chunk")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("split", F.lit(1))
+        rows = rows.withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int")).join(full, ["conv", "place", "salt"], "left").join(chunks, ["conv", "chunk", "salt"], "left")
+        share = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(2**63))), 33)  # the upper 31 bits, in the order of the hash
+        within = F.coalesce(F.floor(share * F.col("m") / F.lit(2**31)), F.lit(0)).cast("int")
+        rows = rows.withColumn("sub", F.when(F.col("split").isNull(), 0).otherwise((F.col("place") - F.col("chunk") * rules.places + 1) * F.lit(1 << 24).cast("long") + within)).drop("salt", "m", "split")
+    rows = rows.withColumn("sub", F.col("sub").cast("long"))
+    lines = rows.select("conv", "conv_id", "chunk", "sub", "place", "hash", "copies", F.posexplode(_lines(F.col("text"))).alias("line", "text"))
+    return features(lines)
 
-    Rows are taken in the order of turn, equal turns by text; a null turn counts as
-    -1, a null text as empty; rows without conv_id form one conversation.
-    Conversations of more turns than a chunk are decoded chunk by chunk.
+
+def _ordered(t: pa.Table) -> pa.Table:
+    return t.sort_by([("place", "ascending"), ("hash", "ascending"), ("line", "ascending")])
+
+
+def parse_transcripts(parts: DataFrame, model: ChatModel) -> DataFrame:
+    """Turns (conv_id, turn, piece, role_pred, n_lines, n_rows, text, opens, closes) of the transcripts of (conv_id, place, text).
+
+    A transcript is the lines of a conversation's rows, in the order of place,
+    equal places by the text's hash. Nothing but that order and the lines is
+    used: a row may hold several turns or a part of one. A null place counts
+    as -1, a null text as empty; rows without conv_id form one transcript;
+    blank lines are left out, so rows without any other line give nothing. Rows
+    that are equal are read once; n_rows counts all rows whose first line lies
+    in a turn. A turn that reaches over chunks comes in pieces, of which the
+    first opens and the last closes it. Other columns are ignored.
     """
-    size, s = model.rules.chunk, len(ROLES)
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    base = features(rows.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.col("text").cast("string").alias("text"))).withColumn("chunk", F.floor(F.col("turn") / size))
-    spread = base.groupBy("conv_id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    long = spread.where("low <> high").select("conv_id")
+    kind = parts.schema["conv_id"].dataType.simpleString()
+    base = settle(_placed(parts, model.rules), "lines")
+    key = ["conv", "chunk", "sub"]
+    spread = base.groupBy("conv").agg(F.min(F.struct("chunk", "sub")).alias("low"), F.max(F.struct("chunk", "sub")).alias("high"))
+    long = settle(spread.where("low <> high").select("conv"), "long")
+    n = 2 * S
 
     def matrix(t: pa.Table) -> pa.Table:
-        emit = _emissions(model, _ordered(t))
-        best = np.where(np.eye(s, dtype=bool), 0.0, -np.inf) + emit[0]  # from a first state to itself
+        emit = emissions(model, _ordered(t))
+        best = np.where(np.eye(n, dtype=bool), 0.0, -np.inf) + emit[0]  # from a first state to itself
         for e in emit[1:]:
             best = (best[:, :, None] + model.move[None]).max(axis=1) + e
-        return pa.table({"conv_id": t.column("conv_id").slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "best": pa.array([best.ravel().tolist()], pa.list_(pa.float64()))})
+        return pa.table({c: t.column(c).slice(0, 1) for c in key} | {"best": pa.array([best.ravel().tolist()], pa.list_(pa.float64()))})
 
     def ends(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")
-        best = np.array(t.column("best").to_pylist()).reshape(-1, s, s)
+        t = t.sort_by([("chunk", "ascending"), ("sub", "ascending")])
+        best = np.array(t.column("best").to_pylist()).reshape(-1, n, n)
         score, back = model.start.copy(), []
         for k, m in enumerate(best):
             if k:
                 ways = score[:, None] + model.move
                 enter, score = ways.argmax(axis=0), ways.max(axis=0)
             else:
-                enter = np.full(s, -1)
+                enter = np.full(n, -1)
             ways = score[:, None] + m
             first, score = ways.argmax(axis=0), ways.max(axis=0)
             back.append((enter, first))
@@ -161,33 +203,62 @@ def recover_roles(rows: DataFrame, model: ChatModel) -> DataFrame:
             found.append((begin, state))
             state = int(enter[begin])
         begin, stop = zip(*found[::-1], strict=True)
-        return pa.table({"conv_id": t.column("conv_id"), "chunk": t.column("chunk"), "begin": pa.array(begin, pa.int32()), "stop": pa.array(stop, pa.int32())})
+        going = [b >= S for b in begin[1:]] + [False]
+        return pa.table({c: t.column(c) for c in key} | {"begin": pa.array(begin, pa.int32()), "stop": pa.array(stop, pa.int32()), "going": pa.array(going)})
 
-    pieces = base.join(long, base.conv_id.eqNullSafe(long.conv_id), "left_semi").groupBy("conv_id", "chunk").applyInArrow(matrix, f"conv_id {kind}, chunk long, best array<double>")
-    fixed = pieces.groupBy("conv_id").applyInArrow(ends, f"conv_id {kind}, chunk long, begin int, stop int")
-    fixed = fixed.withColumnsRenamed({"conv_id": "c", "chunk": "k"})
-    joined = base.join(fixed, base.conv_id.eqNullSafe(fixed.c) & (base.chunk == fixed.k), "left").drop("c", "k")
+    kinds = "conv string, chunk long, sub long"
+    pieces = base.join(long, "conv", "left_semi").groupBy(*key).applyInArrow(matrix, f"{kinds}, best array<double>")
+    fixed = pieces.groupBy("conv").applyInArrow(ends, f"{kinds}, begin int, stop int, going boolean")  # one row for each chunk
+    joined = base.join(fixed, key, "left")
 
     def decode(t: pa.Table) -> pa.Table:
         t = _ordered(t)
-        begin, stop = t.column("begin")[0].as_py(), t.column("stop")[0].as_py()
-        first = model.start if begin is None else np.where(np.arange(s) == begin, 0.0, -np.inf)
-        states = viterbi(_emissions(model, t), model.move, first, stop)
-        return pa.table({"conv_id": t.column("conv_id"), "turn": t.column("turn"), "text": t.column("text"), "role_pred": pa.array([ROLES[k] for k in states])})
-
-    return joined.groupBy("conv_id", "chunk").applyInArrow(decode, f"conv_id {kind}, turn long, text string, role_pred string")
+        begin, stop, going = (t.column(c)[0].as_py() for c in ("begin", "stop", "going"))
+        first = model.start if begin is None else np.where(np.arange(n) == begin, 0.0, -np.inf)
+        states = viterbi(emissions(model, t), model.move, first, stop)
+        opens = states < S
+        cut = np.flatnonzero(opens | (np.arange(len(states)) == 0))
+        end = np.append(cut[1:], len(states))
+        text = t.column("text").to_pylist()
+        rows = np.where(t.column("line").to_numpy() == 0, t.column("copies").to_numpy(), 0)
+        closes = np.arange(len(cut)) < len(cut) - 1 + (not going)
+        return pa.table({
+            "conv_id": t.column("conv_id").take(pa.array(cut)), "conv": t.column("conv").take(pa.array(cut)), "chunk": t.column("chunk").take(pa.array(cut)), "sub": t.column("sub").take(pa.array(cut)),
+            "nth": pa.array(np.cumsum(opens)[cut]), "role_pred": [ROLES[s % S] for s in states[cut]], "n_lines": pa.array(end - cut), "n_rows": pa.array(np.add.reduceat(rows, cut)),
+            "text": ["\n".join(text[a:b]) for a, b in zip(cut, end, strict=True)], "opens": pa.array(opens[cut]), "closes": pa.array(closes),
+        })
+
+    shape = f"conv_id {kind}, {kinds}, nth long, role_pred string, n_lines long, n_rows long, text string, opens boolean, closes boolean"
+    turns = settle(joined.groupBy(*key).applyInArrow(decode, shape), "turns")
+    chunks = turns.join(long, "conv", "left_semi").groupBy(*key).agg(F.max("nth").alias("n"))
+    before = chunks.select(*key, (F.sum("n").over(Window.partitionBy("conv").orderBy("chunk", "sub")) - F.col("n")).alias("before"), F.row_number().over(Window.partitionBy("conv").orderBy("chunk", "sub")).alias("piece"))
+    out = turns.join(before, key, "left").withColumn("turn", F.coalesce("before", F.lit(0)) + F.col("nth") - 1)
+    return out.select("conv_id", "turn", F.coalesce("piece", F.lit(1)).cast("long").alias("piece"), "role_pred", "n_lines", "n_rows", "text", "opens", "closes")
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """Adds rendered: the turn without its speaker marker, between the marks of its role."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Adds rendered: the turn without its speaker marker, between the marks of its role; pieces inside a turn have no marks."""
+    text = F.col("text")
     for role in ROLES:
-        shape = MARKERS[role] if role != "system" else MARKERS[role].replace("[:>\\-]?", "[:>]")
-        text = F.when(F.col("role_pred") == role, F.regexp_replace(text, shape, "")).otherwise(text)
-    return turns.withColumn("rendered", F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"), F.trim(text), F.lit("<|end|>\n")))
+        text = F.when(F.col("role_pred") == role, F.regexp_replace("text", MARKERS[role], "")).otherwise(text)
+    opened = F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"), text)
+    body = F.when(F.col("opens"), opened).otherwise(F.concat(F.lit("\n"), F.col("text")))
+    return turns.withColumn("rendered", F.concat(body, F.when(F.col("closes"), "<|end|>\n").otherwise("")))
 
 
-def parse_transcripts(docs: DataFrame, model: ChatModel) -> DataFrame:
-    """(conv_id, turn, text, role_pred) for each line of (conv_id, text) that isn't blank; a null text has none."""
-    lines = docs.select("conv_id", F.posexplode(F.split("text", "\n")).alias("turn", "text")).where(F.trim("text") != "")
-    return recover_roles(lines, model)
+#: Speaker names of the styles in which ``as_transcript`` writes a conversation.
+STYLES = (("System", "User", "Assistant"), ("Instructions", "Human", "AI"), ("[system]", "Q", "A"), ("<|system|>", "<|user|>", "<|assistant|>"))
+
+
+def as_transcript(turns: DataFrame, *, unmarked: int = 8) -> DataFrame:
+    """The rows of (conv_id, turn, role, text) as parts of transcripts: text begins with a speaker's name, but for one turn in ``unmarked``.
+
+    The style goes by conv_id, the unmarked turns by conv_id and turn. A role that isn't known, or null, is never marked.
+    """
+    pick = lambda n, *c: F.pmod(F.crc32(F.concat_ws(":", *c).cast("binary")), F.lit(n))
+    name = F.lit(None).cast("string")
+    for k, style in enumerate(STYLES):
+        for role, said in zip(ROLES, style, strict=True):
+            name = F.when((pick(len(STYLES), "conv_id") == k) & (F.lower("role") == role), said).otherwise(name)
+    marked = name.isNotNull() & (pick(unmarked, "conv_id", "turn") != 0)
+    return turns.withColumn("text", F.when(marked, F.concat(name, F.lit(": "), F.coalesce(F.col("text").cast("string"), F.lit("")))).otherwise(F.col("text").cast("string")))

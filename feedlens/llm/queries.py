@@ -55,12 +55,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations written as transcripts, some turns without a speaker's name, parsed and rendered; n_rows counts the rows in a turn."""
     from . import chat
 
-    turns = table(spark, sf_dir, "conversations")
+    turns = chat.as_transcript(table(spark, sf_dir, "conversations"))
     model = chat.fit(turns.where(~F.coalesce(held_out("conv_id", 4, 2), F.lit(True))))
-    found = chat.render(chat.recover_roles(turns, model))
-    return found.select("conv_id", "turn", F.coalesce(held_out("conv_id", 4, 2), F.lit(True)).alias("held_out"), "role_pred", "rendered")
+    found = chat.render(chat.parse_transcripts(turns.select("conv_id", F.col("turn").alias("place"), "text"), model))
+    return found.select("conv_id", "turn", "piece", F.coalesce(held_out("conv_id", 4, 2), F.lit(True)).alias("held_out"), "role_pred", "n_lines", "n_rows", "rendered")
 
 
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

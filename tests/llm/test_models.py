@@ -112,17 +112,56 @@ def test_kneser_ney_against_plain_version():
     assert np.allclose(toxicity.text_features(np.array([1.0, -2.0, 4.0]), np.array([2, 3, 5]), np.array([3, 0]), 2), [[3.0 / 10, 2.5], [0, 0]])
 
 
+def by_line(rows):
+    """Roles of all lines of each conversation, in order, and where turns begin."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.turn, getattr(r, "piece", 0))):
+        roles, begins = out.setdefault(r.conv_id, ([], []))
+        roles += [r.role_pred] * r.n_lines
+        begins += [r.turn] * r.n_lines
+    return out
+
+
 def test_roles_held_out(spark):
-    truth = spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id", "turn", "role")
-    got = QUERIES["op6_chat_format"](spark, FOLDER).where("held_out").join(truth, ["conv_id", "turn"])
-    right = got.agg(F.avg((F.lower("role") == F.col("role_pred")).cast("int"))).first()[0]
-    common = got.groupBy("role").count().agg(F.max("count") / F.sum("count")).first()[0]
-    assert right > max(0.8, common + 0.1), (right, common)
+    """Lines of held-out transcripts get their speakers, also more often than by repeating the last marker."""
+    truth = spark.read.parquet(f"{FOLDER}/conversations.parquet").where(held_out("conv_id", 4, 2)).orderBy("conv_id", "turn").collect()
+    found = QUERIES["op6_chat_format"](spark, FOLDER).collect()
+    assert sum(r.n_rows for r in found) == spark.read.parquet(f"{FOLDER}/conversations.parquet").count()
+    got = by_line([r for r in found if r.held_out])
+    want = {}
+    for r in truth:
+        want.setdefault(r.conv_id, []).extend([r.role.lower()] * max(1, sum(1 for line in r.text.split("\n") if line.strip())))
+    assert {c: len(x) for c, x in want.items()} == {c: len(x[0]) for c, x in got.items()}
+    pairs = [(a, b) for c in want for a, b in zip(want[c], got[c][0], strict=True)]
+    right = sum(a == b for a, b in pairs) / len(pairs)
+    common = max(sum(a == r for a, _ in pairs) for r in chat.ROLES) / len(pairs)
+    assert right > max(0.9, common + 0.1), (right, common)
+    assert all(r.rendered.startswith("<|") and r.rendered.endswith("<|end|>\n") for r in found)
 
 
 @pytest.fixture(scope="module")
 def chat_model(spark):
-    return chat.fit(spark.read.parquet(f"{FOLDER}/conversations.parquet"))
+    return chat.fit(chat.as_transcript(spark.read.parquet(f"{FOLDER}/conversations.parquet")))
+
+
+def test_fit_counts(spark):
+    """Probabilities of a small table, counted by hand."""
+    rows = [(1, 0, "user", "User: a?\nb\nc"), (1, 1, "assistant", "Assistant: d\n\n- e"), (1, 2, "user", "f"), (2, 0, "System", "System: g"), (2, 1, None, "x"), (3, 0, "user", None)]
+    m = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    s = m.rules.smoothing
+    user, bot = 1, 2
+    assert np.allclose(np.exp(m.start), [(1 + s) / (2 + 3 * s), (1 + s) / (2 + 3 * s), s / (2 + 3 * s), 0, 0, 0])
+    total = 1 + 4 * s  # one move from a first line of a user's turn: inside it
+    assert np.allclose(np.exp(m.move[user]), [s / total, s / total, s / total, 0, (1 + s) / total, 0])
+    total = 2 + 4 * s  # from inside: once on, once to the assistant
+    assert np.allclose(np.exp(m.move[3 + user]), [s / total, s / total, (1 + s) / total, 0, (1 + s) / total, 0])
+    assert np.allclose(np.exp(m.move[3 + bot]), [s / (1 + 4 * s), (1 + s) / (1 + 4 * s), s / (1 + 4 * s), 0, 0, s / (1 + 4 * s)])
+    assert np.allclose(np.exp(m.marker[user]), np.array([1 + s, s, 1 + s, s]) / (2 + 4 * s))
+    assert np.allclose(np.exp(m.signal[user]), np.array([1 + s, 1 + s, s, s]) / (2 + 4 * s)) and np.allclose(np.exp(m.signal[3 + bot]), np.array([s, s, 1 + s, s]) / (1 + 4 * s))
+    import pyarrow as pa
+
+    seen = pa.table({"marker": [2, 0], "length": [3, 1], "signal": [1, 0]})
+    assert np.allclose(chat.emissions(m, seen), [[m.marker[k, 2] + m.length[k, 3] + m.signal[k, 1] for k in range(6)], [m.marker[k, 0] + m.length[k, 1] + m.signal[k, 0] for k in range(6)]])
 
 
 def test_viterbi_against_all_paths(chat_model):
@@ -130,26 +169,48 @@ def test_viterbi_against_all_paths(chat_model):
 
     rng = np.random.default_rng(2)
     for n in (1, 2, 5):
-        emit = rng.normal(size=(n, 3))
-        best = max(itertools.product(range(3), repeat=n), key=lambda p: chat_model.start[p[0]] + sum(emit[k, s] for k, s in enumerate(p)) + sum(chat_model.move[a, b] for a, b in zip(p[:-1], p[1:], strict=True)))
+        emit = rng.normal(size=(n, 6))
+        best = max(itertools.product(range(6), repeat=n), key=lambda p: chat_model.start[p[0]] + sum(emit[k, s] for k, s in enumerate(p)) + sum(chat_model.move[a, b] for a, b in zip(p[:-1], p[1:], strict=True)))
         assert tuple(chat.viterbi(emit, chat_model.move, chat_model.start)) == best
 
 
+PARTS = "conv_id long, place long, text string"
+
+
 def test_chunks_change_nothing(spark, chat_model):
+    """Whole or in small chunks, with crowded places, rows without ids or places, repeats and a very long text."""
     from dataclasses import replace
 
     rng = np.random.default_rng(4)
-    turns = spark.createDataFrame([(c, t, str(rng.choice(["User: hi?", "ok", "Assistant: yes " * 9, "x " * int(rng.integers(1, 200)), "- a\n- b"]))) for c in (1, 2) for t in range(50)] + [(None, 0, "a"), (3, None, None), (3, 0, "User: q?")], "conv_id long, turn long, text string")
-    whole = chat.recover_roles(turns, chat_model)
-    small = chat.recover_roles(turns, replace(chat_model, rules=chat.ChatRules(chunk=7)))
-    key = lambda df: sorted(((r.conv_id or -1, r.turn, r.text or "", r.role_pred) for r in df.collect()))
-    assert key(whole) == key(small) and len(key(whole)) == 103
+    some = lambda: str(rng.choice(["User: hi?", "ok", "Assistant: yes " * 9, "x " * int(rng.integers(1, 200)), "- a\n- b", "User: one\ntwo\nAssistant: three"]))
+    rows = [(c, t, some()) for c in (1, 2) for t in range(50)] + [(None, 0, "a"), (3, None, None), (3, 0, "User: q?"), (5, 0, "User: " + "long " * 50_000)]
+    rows += [(4, None, f"User: number {k}\nAssistant: yes") for k in range(40)] + [(4, 3, f"line {k}") for k in range(9)] + [(4, 70, "System: x")] * 30 + [(None, None, f"Q: {k}") for k in range(40)]
+    parts = spark.createDataFrame(rows, PARTS).selectExpr("*", "'x' as conv", "1 as chunk", "2 as turn")
+    whole = chat.parse_transcripts(parts, chat_model).collect()
+    small = chat.parse_transcripts(parts, replace(chat_model, rules=chat.ChatRules(places=4, crowd=6))).collect()
+    assert by_line(whole) == by_line(small) and len(small) > len(whole)
+    text = lambda found: {c: "\n".join(r.text for r in sorted((r for r in found if r.conv_id == c), key=lambda r: (r.turn, r.piece))) for c in {r.conv_id for r in found}}
+    assert text(whole) == text(small)
+    for found in (whole, small):
+        assert sum(r.n_rows for r in found) == len(rows) - 1 and sum(r.opens for r in found) == sum(r.closes for r in found) == len({(r.conv_id, r.turn) for r in found})
+    rendered = lambda found: {c: "".join(r.rendered for r in sorted((r for r in found if r.conv_id == c), key=lambda r: (r.turn, r.piece))) for c in (1, 2, 4)}
+    shape = "conv_id long, turn long, piece long, role_pred string, n_lines long, n_rows long, text string, opens boolean, closes boolean"
+    assert rendered(chat.render(spark.createDataFrame(whole, shape)).collect()) == rendered(chat.render(spark.createDataFrame(small, shape)).collect())
 
 
 def test_transcripts(spark, chat_model):
-    docs = spark.createDataFrame([(1, "System: be kind\n\nUser: what is this?\nAssistant: a test.\nUser: thanks"), (2, None), (3, "")], "conv_id long, text string")
+    docs = spark.createDataFrame([(1, 0, "System: be kind\n\nUser: what is this?\nAssistant: a test.\nUser: thanks"), (2, 0, None), (3, 0, ""), (4, 0, "User: a\nb\nc\nAssistant: d\ne")], PARTS)
     got = chat.render(chat.parse_transcripts(docs, chat_model)).orderBy("conv_id", "turn").collect()
-    assert [r.role_pred for r in got] == ["system", "user", "assistant", "user"] and got[1].rendered == "<|user|>\nwhat is this?<|end|>\n"
+    assert [(r.conv_id, r.role_pred) for r in got] == [(1, "system"), (1, "user"), (1, "assistant"), (1, "user"), (4, "user"), (4, "assistant")]
+    assert got[1].rendered == "<|user|>\nwhat is this?<|end|>\n" and got[4].rendered == "<|user|>\na\nb\nc<|end|>\n" and got[5].text == "Assistant: d\ne"
+
+
+def test_transcripts_of_nothing(spark, chat_model):
+    none = spark.createDataFrame([], PARTS)
+    assert chat.parse_transcripts(none, chat_model).count() == 0
+    empty = chat.fit(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    got = chat.parse_transcripts(spark.createDataFrame([(1, 0, "User: a")], PARTS), empty).collect()
+    assert len(got) == 1 and got[0].role_pred in chat.ROLES
 
 
 def test_held_out_is_crc32(spark):
