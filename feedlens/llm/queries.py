@@ -74,7 +74,7 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     edit = lambda k, remove, insert: F.struct(at(k).alias("at"), F.lit(remove).alias("remove"), F.lit(insert).alias("insert"))
     edits = F.array(edit(1, 7, ""), edit(2, 0, " and one more"), edit(3, 3, "né, 42"))
     done = apply_own_edits(state.withColumn("edits", edits), tokenizer)
-    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "bytes_encoded", F.size("leaf_tokens").cast("long").alias("n_leaves"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "bytes_encoded", F.size("tree_tokens").cast("long").alias("n_cells"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

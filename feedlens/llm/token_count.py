@@ -1,15 +1,15 @@
 """Edit-aware token counts.
 
-A document's state is a segment tree: leaves of some pre-token chunks with their
-lengths and token counts, and above them sums of pairs. An edit re-encodes only
-the leaves it touches and, where it touches a boundary, their neighbours; the
-sums above the changed leaves are updated and the rest of the tree stays.
+A document's state holds a segment tree of some pre-token chunks a leaf:
+characters, bytes and tokens of every leaf and the sums of every subtree. An edit
+is found by descent from the root, re-encodes only the leaves it touches and, where
+it touches a boundary, their neighbours, and puts their new counts into the same
+leaves; then the sums on the paths above them are updated. The tree is built
+again only where a region has grown to many times its leaves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,139 +18,198 @@ from pyspark.sql import functions as F
 
 from . import spans
 from .common import map_batches
-from .tokenizing import chunk_ids, cuts
+from .tokenizing import chunk_ids
+
+LEAF_CHUNKS = 16
+#: A region of more than so many times its leaves gets a new tree.
+CROWDED = 8
+SUMS = ("chars", "bytes", "tokens")
+STATE = "doc_id long, text string, n_tokens long, tree_chars array<int>, tree_bytes array<int>, tree_tokens array<int>"
 
-LEAF_CHUNKS = 8
-STATE = "doc_id long, text string, n_tokens long, leaf_bytes array<int>, leaf_tokens array<int>"
 
+class SegmentForest:
+    """The trees of many documents in one array for each of SUMS.
+
+    A tree of ``room`` leaves, a power of two, takes 2 * room cells from
+    ``base`` on: the root is cell 1, the children of cell k are 2k and 2k + 1,
+    and cell 0 is unused. Leaves may be empty.
+    """
 
-@dataclass
-class SegmentTree:
-    """Token counts of leaves with their sums: ``levels[0]`` are the leaves, each level above has half as many."""
+    def __init__(self, base: np.ndarray, room: np.ndarray, sums: dict[str, np.ndarray]):
+        self.base, self.room, self.sums = base, room, sums
 
-    levels: list[np.ndarray]
+    @classmethod
+    def grow(cls, leaves: dict[str, np.ndarray], counts: np.ndarray) -> SegmentForest:
+        """Trees over ``counts`` leaves for each document, which stand one after the other."""
+        room = (1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64)).astype(np.int64)
+        base = np.cumsum(2 * room) - 2 * room
+        doc = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        sums = {}
+        for name in SUMS:
+            sums[name] = np.zeros(int(2 * room.sum()), np.int64)
+            sums[name][base[doc] + room[doc] + place] = leaves[name]
+        out = cls(base, room, sums)
+        width = int(room.max(initial=1)) // 2
+        while width:
+            tall = np.flatnonzero(room >= 2 * width)
+            for x in sums.values():
+                low = base[tall, None] + 2 * np.arange(width, 2 * width)
+                x[base[tall, None] + np.arange(width, 2 * width)] = x[low] + x[low + 1]
+            width //= 2
+        return out
 
     @classmethod
-    def over(cls, leaves: np.ndarray) -> SegmentTree:
-        levels = [leaves.astype(np.int64)]
-        while len(levels[-1]) > 1:
-            low = levels[-1]
-            levels.append(np.add.reduceat(low, np.arange(0, len(low), 2)))
-        return cls(levels)
-
-    @property
-    def total(self) -> int:
-        return int(self.levels[-1][0]) if len(self.levels[0]) else 0
-
-    def replace(self, first: int, last: int, leaves: np.ndarray) -> None:
-        """Put ``leaves`` in the place of leaves first..last-1. Of as many leaves only the path above changes."""
-        if len(leaves) != last - first:
-            low = self.levels[0]
-            self.levels = SegmentTree.over(np.concatenate([low[:first], leaves, low[last:]])).levels
-            return
-        self.levels[0][first:last] = leaves
-        for below, above in zip(self.levels[:-1], self.levels[1:], strict=True):
-            first, last = first // 2, -(-last // 2)
-            for k in range(first, last):
-                above[k] = below[2 * k : 2 * k + 2].sum()
-
-    def prefix(self, leaf: int) -> int:
-        """Tokens before a leaf, by one node of each level."""
-        total = 0
-        for level in self.levels:
-            if leaf & 1:
-                total += int(level[leaf - 1])
-            leaf >>= 1
-        return total
-
-
-def _leaves(buf: np.ndarray, offsets: np.ndarray, chunk_tokens: np.ndarray, starts: np.ndarray):
-    """(bytes, tokens, text) of leaves: runs of chunks of one text, cut before a space where there is one."""
+    def of_lists(cls, lists: dict[str, pa.ListArray]) -> SegmentForest:
+        ends = lists["tokens"].offsets.to_numpy().astype(np.int64)
+        return cls(ends[:-1] - ends[0], np.diff(ends) // 2, {name: lists[name].flatten().to_numpy().astype(np.int64) for name in SUMS})
+
+    def lists(self) -> list[pa.ListArray]:
+        size = 2 * self.room
+        at = np.repeat(self.base - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(self.sums[name][at].astype(np.int32))) for name in SUMS]
+
+    def total(self, name: str) -> np.ndarray:
+        return self.sums[name][self.base + 1]
+
+    def find(self, docs: np.ndarray, places: np.ndarray, by: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The leaf of each document that holds a place, counted ``by`` one of SUMS, and all sums before that leaf.
+
+        A place at the end or beyond leads to the last leaf.
+        """
+        cell, left = np.ones(len(docs), np.int64), places.copy()
+        before = {name: np.zeros(len(docs), np.int64) for name in SUMS}
+        base, room = self.base[docs], self.room[docs]
+        while True:
+            go = np.flatnonzero(cell < room)
+            if not len(go):
+                return cell - room, before
+            low = base[go] + 2 * cell[go]
+            right = left[go] >= self.sums[by][low]
+            skipped = go[right]
+            for name in SUMS:
+                before[name][skipped] += self.sums[name][low[right]]
+            left[skipped] -= self.sums[by][low[right]]
+            cell[go] = 2 * cell[go] + right
+
+    def leaf(self, doc: int, k: int, name: str) -> int:
+        return int(self.sums[name][self.base[doc] + self.room[doc] + k])
+
+    def put(self, docs: np.ndarray, first: np.ndarray, last: np.ndarray, leaves: list[dict[str, np.ndarray]]) -> None:
+        """New leaves for leaves first..last of each document (no document twice)."""
+        touched, crowded = [], []
+        for d, a, b, new in zip(docs.tolist(), first.tolist(), last.tolist(), leaves, strict=True):
+            slots, n = b - a + 1, len(new["tokens"])
+            if n > CROWDED * slots:
+                crowded.append((d, a, b, new))
+                continue
+            at = self.base[d] + self.room[d] + a
+            cut = np.arange(slots) * n // slots if n > slots else None
+            for name, x in self.sums.items():
+                x[at : at + slots] = 0
+                x[at : at + min(n, slots)] = new[name] if cut is None else np.add.reduceat(new[name], cut)
+            touched.append((d, a, b))
+        if touched:
+            d, a, b = np.array(touched).T
+            doc = np.repeat(d, b - a + 1)
+            cell = self.room[doc] + np.repeat(a, b - a + 1) + np.arange(len(doc)) - np.repeat(np.cumsum(b - a + 1) - (b - a + 1), b - a + 1)
+            while (cell > 1).any():
+                up = cell > 1
+                doc, cell = np.unique(np.stack([doc[up], cell[up] >> 1]), axis=1)
+                at = self.base[doc] + 2 * cell
+                for x in self.sums.values():
+                    x[at - cell] = x[at] + x[at + 1]
+        if crowded:
+            parts = []
+            for d, a, b, new in crowded:
+                own = {name: x[self.base[d] + self.room[d] : self.base[d] + 2 * self.room[d]] for name, x in self.sums.items()}
+                parts.append({name: np.concatenate([x[:a], new[name], x[b + 1 :]]) for name, x in own.items()})
+                used = parts[-1]["bytes"] > 0
+                parts[-1] = {name: x[used] for name, x in parts[-1].items()}
+            fresh = SegmentForest.grow({name: np.concatenate([p[name] for p in parts]) for name in SUMS}, np.array([len(p["tokens"]) for p in parts]))
+            for k, (d, *_) in enumerate(crowded):
+                self.base[d], self.room[d] = fresh.base[k] + len(self.sums["tokens"]), fresh.room[k]
+            self.sums = {name: np.concatenate([x, fresh.sums[name]]) for name, x in self.sums.items()}
+
+
+def _leaves(buf: np.ndarray, offsets: np.ndarray, chunk_tokens: np.ndarray, starts: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Leaves of texts and their numbers: runs of chunks of one text, cut before a space where there is one."""
     doc = np.searchsorted(offsets, starts, side="right") - 1
     place = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[doc]
-    new = (place % LEAF_CHUNKS == 0) & ((place == 0) | (buf[starts] == 0x20))
-    first = np.flatnonzero(new)
+    first = np.flatnonzero((place % LEAF_CHUNKS == 0) & ((place == 0) | (buf[starts] == 0x20)))
+    counts = np.bincount(doc[first], minlength=len(offsets) - 1)
     if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), doc
+        return {name: np.zeros(0, np.int64) for name in SUMS}, counts
     ends = np.append(starts[first[1:]], offsets[-1])
-    return ends - starts[first], np.add.reduceat(chunk_tokens, first), doc[first]
+    chars = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
+    return {"chars": chars[ends] - chars[starts[first]], "bytes": ends - starts[first], "tokens": np.add.reduceat(chunk_tokens, first)}, counts
 
 
 def build_state(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, text, n_tokens, leaf_bytes, leaf_tokens) of every (doc_id, text); a null text counts as empty."""
+    """(doc_id, text, n_tokens and the tree) of every (doc_id, text); a null text counts as empty, rows that repeat have states of their own."""
 
     def make():
         table = chunk_ids(tokenizer)
 
         def f(batch: pa.RecordBatch):
-            for lo, hi, buf, offsets in spans.slices(batch.column(1), 2 << 20):
+            for lo, hi, buf, offsets in spans.slices(batch.column(1)):
                 _, n, chunk, _ = table.encode(buf, offsets)
-                size, tokens, doc = _leaves(buf, offsets, chunk, cuts(buf, offsets))
-                at = pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)), pa.int32())
+                forest = SegmentForest.grow(*_leaves(buf, offsets, chunk, table.cuts(buf, offsets)))
                 text = pc.fill_null(batch.column(1).slice(lo, hi - lo), "")
-                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (size, tokens)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), text, pa.array(n), *lists], [c.split()[0] for c in STATE.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), text, pa.array(n), *forest.lists()], [c.split()[0] for c in STATE.split(", ")])
 
         return f
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, STATE)
 
 
-def _touched(leaf_start: np.ndarray, start: int, stop: int) -> tuple[int, int]:
-    """Leaves to encode again if bytes start..stop-1 are replaced.
-
-    A boundary stands if the space that it lies before, and the byte after
-    that, are not edited; what lies left of it doesn't matter.
-    """
-    first = int(np.searchsorted(leaf_start, start, side="right")) - 1
-    while first > 0 and leaf_start[first] + 2 > start:
-        first -= 1
-    last = int(np.searchsorted(leaf_start, stop, side="left"))
-    return max(first, 0), last
-
-
-class _Document:
-    """A text under edits, with its leaves."""
-
-    __slots__ = ("encoded", "raw", "sizes", "span", "text", "tree")
-
-    def __init__(self, text: str, sizes: np.ndarray, tokens: np.ndarray):
-        self.text, self.raw, self.sizes, self.tree, self.encoded = text, text.encode(), sizes, SegmentTree.over(tokens), 0
-
-    def cut(self, edit: dict) -> bytes:
-        """Apply an edit to the text; returns the region that has to be encoded again."""
-        n = len(self.text)
-        a = min(max(edit["at"] or 0, 0), n)
-        b = min(a + max(edit["remove"] or 0, 0), n)
-        insert = edit["insert"] or ""
-        start = len(self.text[:a].encode())
-        stop = start + len(self.text[a:b].encode())
-        new = insert.encode()
-        first = last = 0
-        left = right = b""
-        if len(self.sizes):
-            edges = np.zeros(len(self.sizes) + 1, np.int64)
-            np.cumsum(self.sizes, out=edges[1:])
-            first, last = _touched(edges[:-1], start, stop)
-            left, right = self.raw[edges[first] : start], self.raw[stop : edges[last]]
-        self.span = first, last
-        self.text = self.text[:a] + insert + self.text[b:]
-        self.raw = self.raw[:start] + new + self.raw[stop:]
-        region = left + new + right
-        self.encoded += len(region)
-        return region
-
-    def put(self, sizes: np.ndarray, tokens: np.ndarray) -> None:
-        """Put the leaves of the region in the place of those it touched."""
-        first, last = self.span
-        self.tree.replace(first, last, tokens)
-        self.sizes = np.concatenate([self.sizes[:first], sizes, self.sizes[last:]])
-
-
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
-    ends = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.int32)))
+class _Batch:
+    """Texts under edits, with their trees."""
+
+    def __init__(self, texts: list[bytes], forest: SegmentForest, table):
+        self.texts, self.forest, self.table = texts, forest, table
+        self.encoded = np.zeros(len(texts), np.int64)
+
+    def _byte(self, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The byte where each character place lies: by descent, and inside one leaf."""
+        leaf, before = self.forest.find(docs, places, "chars")
+        out = before["bytes"].copy()
+        for k in np.flatnonzero(places > before["chars"]).tolist():
+            a = int(before["bytes"][k])
+            inside = self.texts[docs[k]][a : a + self.forest.leaf(docs[k], int(leaf[k]), "bytes")].decode()
+            out[k] += len(inside[: int(places[k] - before["chars"][k])].encode())
+        return out
+
+    def edit(self, docs: np.ndarray, edits: list[dict]) -> None:
+        """One edit for each of some documents.
+
+        A boundary of leaves stands if the space that it lies before, and the
+        byte after that, are not edited; what lies left of it doesn't matter.
+        """
+        n = self.forest.total("chars")[docs]
+        at = np.clip(np.array([e.get("at") or 0 for e in edits], np.int64), 0, n)
+        to = np.minimum(at + np.maximum(np.array([e.get("remove") or 0 for e in edits], np.int64), 0), n)
+        start, stop = self._byte(docs, at), self._byte(docs, to)
+        first, before = self.forest.find(docs, np.maximum(start - 2, 0), "bytes")
+        last, until = self.forest.find(docs, np.maximum(stop - 1, 0), "bytes")
+        regions = []
+        for k, d in enumerate(docs.tolist()):
+            raw, a, b = self.texts[d], int(start[k]), int(stop[k])
+            new = (edits[k].get("insert") or "").encode()
+            end = int(until["bytes"][k]) + self.forest.leaf(d, int(last[k]), "bytes")
+            regions.append(raw[int(before["bytes"][k]) : a] + new + raw[b:end])
+            self.texts[d] = raw[:a] + new + raw[b:]
+            self.encoded[d] += len(regions[-1])
+        buf = np.frombuffer(b"".join(regions), np.uint8)
+        offsets = np.zeros(len(regions) + 1, np.int64)
+        np.cumsum([len(r) for r in regions], out=offsets[1:])
+        _, _, chunk, _ = self.table.encode(buf, offsets)
+        leaves, counts = _leaves(buf, offsets, chunk, self.table.cuts(buf, offsets))
+        cut = np.cumsum(counts)[:-1]
+        parts = {name: np.split(x, cut) for name, x in leaves.items()}
+        self.forest.put(docs, first, last, [{name: parts[name][k] for name in SUMS} for k in range(len(docs))])
 
 
 def apply_edits(state: DataFrame, edits: DataFrame | None, tokenizer: str) -> DataFrame:
@@ -158,41 +217,28 @@ def apply_edits(state: DataFrame, edits: DataFrame | None, tokenizer: str) -> Da
 
     ``at`` and ``remove`` count characters of the text as it is when its turn
     comes; edits apply in the order of the array, positions beyond the end mean
-    the end, nulls mean 0 or nothing. Documents without edits keep their state.
+    the end, nulls mean 0 or nothing. Documents without edits keep their state;
+    edits of unknown or null ids are ignored. Several rows of edits of one id
+    are put together in their sorted order; every row of a repeated doc_id is edited.
     Adds n_tokens_before, bytes_encoded and n_edits. The first edits of many
     documents are encoded together, then the second ones, and so on.
     """
     schema = STATE + ", n_tokens_before long, bytes_encoded long, n_edits long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def make():
         table = chunk_ids(tokenizer)
 
-        def count(regions: list[bytes]):
-            """Leaf sizes and tokens of each region."""
-            buf = np.frombuffer(b"".join(regions), np.uint8)
-            offsets = np.zeros(len(regions) + 1, np.int64)
-            np.cumsum([len(r) for r in regions], out=offsets[1:])
-            if not len(buf):
-                size = tokens = doc = np.zeros(0, np.int64)
-            else:
-                _, _, chunk, _ = table.encode(buf, offsets)
-                size, tokens, doc = _leaves(buf, offsets, chunk, cuts(buf, offsets))
-            at = np.searchsorted(doc, np.arange(1, len(regions)))
-            return zip(np.split(size, at), np.split(tokens, at), strict=True)
-
         def part(batch: pa.RecordBatch):
             get = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
-            leaves = [(get[c].flatten().to_numpy().astype(np.int64), np.diff(get[c].offsets.to_numpy()).cumsum()[:-1]) for c in ("leaf_bytes", "leaf_tokens")]
-            sizes, tokens = (np.split(flat, at) for flat, at in leaves)
-            docs = [_Document(t or "", *x) for t, *x in zip(get["text"].to_pylist(), sizes, tokens, strict=True)]
-            changes = [e or [] for e in get["edits"].to_pylist()]
+            forest = SegmentForest.of_lists({name: get[f"tree_{name}"] for name in SUMS})
+            work = _Batch([(t or "").encode() for t in get["text"].to_pylist()], forest, table)
+            changes = [[x or {} for x in e or []] for e in get["edits"].to_pylist()]
             for turn in range(max(map(len, changes))):
-                mine = [(d, e[turn]) for d, e in zip(docs, changes, strict=True) if len(e) > turn]
-                for (d, _), leaf in zip(mine, count([d.cut(e) for d, e in mine]), strict=True):
-                    d.put(*leaf)
-            totals = [d.tree.total for d in docs]
-            cols = [pa.array([d.text for d in docs], pa.string()), pa.array(totals, pa.int64()), _lists([d.sizes for d in docs]), _lists([d.tree.levels[0] for d in docs]), get["n_tokens"], pa.array([d.encoded for d in docs], pa.int64()), pa.array(list(map(len, changes)), pa.int64())]
-            return pa.RecordBatch.from_arrays([get["doc_id"], *cols], [c.split()[0] for c in schema.split(", ")])
+                docs = np.array([d for d, e in enumerate(changes) if len(e) > turn])
+                work.edit(docs, [changes[d][turn] for d in docs])
+            cols = [get["doc_id"], pa.array([t.decode() for t in work.texts], pa.string()), pa.array(forest.total("tokens")), *forest.lists(), get["n_tokens"], pa.array(work.encoded), pa.array(list(map(len, changes)), pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names)
 
         def f(batch: pa.RecordBatch):
             for lo, hi, *_ in spans.slices(batch.column(batch.schema.names.index("text"))):
@@ -200,10 +246,13 @@ def apply_edits(state: DataFrame, edits: DataFrame | None, tokenizer: str) -> Da
 
         return f
 
-    joined = state.join(edits.select("doc_id", "edits"), "doc_id", "left") if edits is not None else state
-    return map_batches(joined, make, schema)
+    state = state.select(*[c.split()[0] for c in STATE.split(", ")], *(["edits"] if edits is None else []))
+    if edits is not None:
+        edits = edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.flatten(F.array_sort(F.collect_list("edits"))).alias("edits"))
+        state = state.join(edits, "doc_id", "left")
+    return map_batches(state, make, schema)
 
 
 def apply_own_edits(state_with_edits: DataFrame, tokenizer: str) -> DataFrame:
-    """As ``apply_edits``, for a state that has its column of edits already: no join is needed."""
+    """As ``apply_edits``, for a state that has its own column ``edits``, null for none: no join is needed."""
     return apply_edits(state_with_edits, None, tokenizer)

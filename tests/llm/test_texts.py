@@ -241,20 +241,61 @@ def test_edit_counts(spark, docs, texts):
     count = lambda s: len(t.encode(s, add_special_tokens=False).ids)
     for r in changed:
         assert r.text == after[r.doc_id] and r.n_tokens_before == count(texts[r.doc_id] or "")
-        assert r.n_tokens == count(after[r.doc_id]) == sum(r.leaf_tokens), repr(after[r.doc_id][:100])
+        assert r.n_tokens == count(after[r.doc_id]), repr(after[r.doc_id][:100])
+        for tree, total in ((r.tree_chars, len(r.text)), (r.tree_bytes, len(r.text.encode())), (r.tree_tokens, r.n_tokens)):
+            assert tree[1] == total and all(tree[k] == tree[2 * k] + tree[2 * k + 1] for k in range(1, len(tree) // 2))
     long = [r for r in changed if len(r.text) > 20_000 and r.n_edits and " " in r.text[:1000]]
     assert all(r.bytes_encoded < 0.2 * len(r.text) for r in long)
 
 
-def test_segment_tree():
+def test_edits_at_the_edges(spark):
+    """Starts, ends, insertions that grow a text a hundredfold, nulls, repeated ids, no rows; further batches go on from the kept trees."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    count = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    shape = "doc_id long, edits array<struct<at int, remove int, insert string>>"
+    texts = [(1, "word after word stands here"), (2, None), (3, "é" * 50), (4, "gone"), (4, "gone"), (None, "kept"), (5, "stays"), (6, "z" * 70_000 + " end")]
+    edits = [(1, [(0, 0, "x"), (0, 0, " y"), (10_000, 5, " tail"), (3, 2, "many words " * 900), None, (None, None, None), (-5, -5, "a")]), (2, [(0, 0, "new")]), (3, [(25, 1, " "), (0, 50, "")]), (4, [(0, 4, "")]), (None, [(0, 1, "k")]), (6, [(70_000, 1, "")]), (7, [(0, 0, "no one")]), (4, [(0, 5, "late")])]
+    state = token_count.build_state(spark.createDataFrame(texts, DOCS).selectExpr("*", "'x' as edits", "1 as n_tokens"), path)
+    want = {1: texts[0][1]}
+    for e in edits[0][1]:
+        at, remove, new = (e or (0, 0, ""))
+        at, remove, new, x = max(at or 0, 0), max(remove or 0, 0), new or "", want[1]
+        want[1] = x[:at] + new + x[at + remove :]
+    once = token_count.apply_edits(state, spark.createDataFrame(edits, shape), path)
+    again = token_count.apply_edits(once, spark.createDataFrame([(1, [(2000, 40, " mid "), (0, 3, "")])], shape), path)
+    x = want[1][:2000] + " mid " + want[1][2040:]
+    for rows, first in ((once.collect(), want[1]), (again.collect(), x[3:])):
+        assert len(rows) == len(texts) and all(r.n_tokens == count(r.text) == r.tree_tokens[1] for r in rows)
+        by = {r.doc_id: r.text for r in rows}
+        assert by[1] == first and by[2] == "new" and by[None] == "kept" and by[5] == "stays" and by[6] == "z" * 70_000 + "end" and by[4] == "late"
+    none = spark.createDataFrame([], DOCS)
+    assert token_count.apply_edits(token_count.build_state(none, path), spark.createDataFrame(edits, shape), path).count() == 0
+    assert token_count.apply_own_edits(token_count.build_state(none, path).withColumn("edits", F.expr("cast(null as array<struct<at int, remove int, insert string>>)")), path).count() == 0
+
+
+def test_segment_forest():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 7, 33):
-        leaves = rng.integers(0, 9, n)
-        tree = token_count.SegmentTree.over(leaves)
-        for _ in range(20):
-            a = int(rng.integers(0, n))
-            b = int(rng.integers(a, n)) + 1
-            new = rng.integers(0, 9, b - a)
-            tree.replace(a, b, new)
-            leaves = np.concatenate([leaves[:a], new, leaves[b:]])
-            assert tree.total == leaves.sum() and all(tree.prefix(k) == leaves[:k].sum() for k in range(n + 1))
+    counts = np.array([0, 1, 2, 7, 33, 5])
+    forest = token_count.SegmentForest.grow({name: rng.integers(1, 9, counts.sum()) for name in token_count.SUMS}, counts)
+    own = lambda d, name: forest.sums[name][forest.base[d] + forest.room[d] : forest.base[d] + 2 * forest.room[d]]
+    for step in range(60):
+        docs = np.flatnonzero(rng.random(6) < 0.7)
+        if not len(docs):
+            continue
+        first = np.array([rng.integers(0, forest.room[d]) for d in docs])
+        last = np.array([rng.integers(a, min(a + 3, forest.room[d])) for a, d in zip(first, docs, strict=True)])
+        new = [{name: rng.integers(1, 9, k) for name in token_count.SUMS} for k in rng.integers(0, 30 if step % 9 == 0 else 5, len(docs))]
+        want = {int(d): [own(d, name)[:a].sum() + n[name].sum() + own(d, name)[b + 1 :].sum() for name in token_count.SUMS] for d, a, b, n in zip(docs, first, last, new, strict=True)}
+        forest.put(docs, first, last, new)
+        for d, totals in want.items():
+            assert [forest.total(name)[d] for name in token_count.SUMS] == totals
+        back = token_count.SegmentForest.of_lists(dict(zip(token_count.SUMS, forest.lists(), strict=True)))
+        for d in range(6):
+            leaves = own(d, "bytes")
+            ends = np.cumsum(leaves)
+            for place in range(0, int(ends[-1]) + 2, 3):
+                k, before = back.find(np.array([d]), np.array([place]), "bytes")
+                assert k[0] == min(np.searchsorted(ends, place, side="right"), len(leaves) - 1) and before["tokens"][0] == own(d, "tokens")[: k[0]].sum()
