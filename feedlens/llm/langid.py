@@ -2,7 +2,7 @@
 
 Texts are cut into windows of a fixed number of bytes. Filters of several widths
 run over the bytes of a window; their maxima go through a softmax layer. The
-network is trained in numpy on windows of a bounded sample of labelled texts;
+network is trained in numpy on a bounded sample of the windows of all labelled texts;
 a text's language is that of the mean log-probability over all its bytes.
 """
 
@@ -13,25 +13,23 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import held_out, map_batches, settle
+from .common import held_out, map_batches
 
 
 @dataclass(frozen=True)
 class CnnRules:
-    """``sample`` labelled texts, those of smallest id hash, with ``per_language`` such texts of each language, are
-    trained on at most; ``per_text`` windows of each text."""
+    """The network is trained on about ``sample`` different windows of each language at most, those of smallest hash
+    among all windows of all labelled texts."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     embedding: int = 8
     sample: int = 3_000
-    per_language: int = 500
-    per_text: int = 3
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
@@ -139,33 +137,47 @@ def byte_windows(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 def fit(docs: DataFrame, rules: CnnRules = CnnRules(), *, modulus: int = 4, remainder: int = 2) -> ByteCnn:
     """Train on the text and lang of documents whose id's crc32 hasn't the remainder; null or empty ones teach nothing.
 
-    The driver gets the sample of windows, bounded for each language, and nothing else. Without
-    any labelled text the network knows no language.
+    The different windows of each language are counted first, by a sketch; then each has the
+    same chance, by its hash, wherever it lies in a text. Equal windows of a language are one, so
+    a text that repeats doesn't crowd out others. The driver gets one row for each language
+    and the sample. Without any labelled text the network knows no language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id", modulus, remainder))
-    labelled = settle(known.select("doc_id", "lang").distinct(), "labelled")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    each = labelled.withColumn("place", place).where(F.col("place") <= rules.per_language)
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample).union(each.select("doc_id")).distinct()
-    sample = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-
-    def cut(batches):
-        for batch in batches:
-            for lo, hi, buf, offsets in spans.slices(batch.column(2)):
-                x, doc = byte_windows(buf, offsets, rules.window)
-                n = np.bincount(doc, minlength=hi - lo)
-                step = np.maximum(1, n // rules.per_text)
-                place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                rows = np.flatnonzero((place % step[doc] == 0) & (place // step[doc] < rules.per_text))  # evenly over the whole text
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc[rows])), batch.column(1).slice(lo, hi - lo).take(pa.array(doc[rows])), pa.array([r.tobytes() for r in x[rows]], pa.binary())], ["doc_id", "lang", "window"])
-
-    got = sample.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, window binary").toArrow().sort_by([("doc_id", "ascending"), ("window", "ascending")])
-    names = got.column(1).to_pylist()
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+    def windows(batch: pa.RecordBatch):
+        """(languages of the rows, windows, their rows, their hashes as numbers below 1) of each slice of a batch."""
+        for lo, hi, buf, offsets in spans.slices(batch.column(1)):
+            x, doc = byte_windows(buf, offsets, rules.window)
+            edge = np.arange(len(x) + 1) * rules.window
+            yield batch.column(0).slice(lo, hi - lo), x, doc, (spans.hash_spans(x.ravel(), edge[:-1], edge[1:]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+    def hashes():
+        def f(batch: pa.RecordBatch):
+            for lang, _, doc, luck in windows(batch):
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(doc)), pa.array(luck)], ["lang", "luck"])
+
+        return f
+
+    sizes = map_batches(known, hashes, "lang string, luck double").groupBy("lang").agg(F.approx_count_distinct("luck", 0.02).alias("n")).collect()
+    share = {r.lang: min(1.0, rules.sample / r.n) for r in sizes}
+
+    def chosen():
+        def f(batch: pa.RecordBatch):
+            for lang, x, doc, luck in windows(batch):
+                chance = np.array([share[c] for c in lang.to_pylist()])
+                rows = np.flatnonzero(luck < chance[doc])
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(doc[rows])), pa.array([r.tobytes() for r in x[rows]], pa.binary())], ["lang", "window"])
+
+        return f
+
+    got = map_batches(known, chosen, "lang string, window binary").distinct().toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
+    names = got.column(0).to_pylist()
     languages = sorted(set(names))
     model = ByteCnn.fresh(languages or ["und"], rules)
     if languages:
         index = {c: i for i, c in enumerate(languages)}
-        x = np.frombuffer(b"".join(got.column(2).to_pylist()), np.uint8).reshape(-1, rules.window)
+        x = np.frombuffer(b"".join(got.column(1).to_pylist()), np.uint8).reshape(-1, rules.window)
         model.train(x, np.array([index[c] for c in names]))
     return model
 
@@ -174,7 +186,8 @@ def identify(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of (doc_id, text).
 
     All windows of the whole text vote with their log-probabilities, each with the
-    weight of its bytes; score is the mean vote's probability. A text that is null or has no letter is ``und``, score 0.
+    weight of its bytes; score is the mean vote's probability. A text that is null or has no letter is ``und``, score 0,
+    and so are all texts if no language is known. Rows that repeat get the same result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -184,7 +197,7 @@ def identify(docs: DataFrame, model: ByteCnn) -> DataFrame:
 
         def f(batch: pa.RecordBatch):
             text = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            letters = pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False)
+            letters = pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False) & (m.languages != ["und"])
             for lo, hi, buf, offsets in spans.slices(text, 1 << 20):
                 votes = np.zeros((hi - lo, len(m.languages)))
                 x, doc = byte_windows(buf, offsets, m.rules.window)

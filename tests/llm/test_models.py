@@ -221,9 +221,49 @@ def test_held_out_is_crc32(spark):
 
 
 def test_rare_language_is_learned(spark):
-    """A language that the smallest hashes over all languages leave out has a sample of its own."""
-    docs = spark.range(1500).selectExpr("id AS doc_id", "IF(id >= 1490, 'rare', 'often') AS lang", "repeat(IF(id >= 1490, 'zqzq ', 'abab '), 20) AS text")
-    model = langid.fit(docs, langid.CnnRules(sample=20, per_language=6, epochs=20))
+    """Each language has a sample of its own, of all windows of its texts, and a text that repeats counts once."""
+    docs = spark.range(1500).selectExpr("id AS doc_id", "IF(id >= 1490, 'rare', 'often') AS lang", "concat(repeat('abab ', IF(id < 1000, 20, 2000)), IF(id >= 1490, repeat('zqzq ', 4000), '')) AS text", "'x' AS lang_pred", "1 AS window")
+    docs = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(200)).drop("id"))
+    model = langid.fit(docs, langid.CnnRules(sample=40, epochs=60))
     assert model.languages == ["often", "rare"]
-    got = langid.identify(docs, model).join(docs, "doc_id")
-    assert got.where("lang_pred <> lang").count() == 0
+    tests = spark.createDataFrame([(1, "abab " * 20, None), (2, "zqzq " * 300, None), (2, "zqzq " * 300, "x")], DOCS)
+    got = langid.identify(tests, model).collect()
+    assert [(r.doc_id, r.lang_pred) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, "often"), (2, "rare"), (2, "rare")]
+
+
+def test_network_against_plain_version():
+    """Filters, maxima, softmax and the vote of windows, written out byte by byte."""
+    rng = np.random.default_rng(5)
+    m = langid.ByteCnn.fresh(["a", "b", "c"], langid.CnnRules(window=10, filters=4, embedding=3, widths=(2, 3)))
+    w = {k: v.astype(np.float64) for k, v in m.weights.items()}
+    m.weights = w
+    x = rng.integers(1, 9, (6, 10)).astype(np.uint8)
+    for row, got in zip(x, m.log_probabilities(x), strict=True):
+        pooled = []
+        for k in (2, 3):
+            seen = [np.concatenate([w["emb"][row[i + j]] for j in range(k)]) @ w[f"conv{k}"] + w[f"bias{k}"] for i in range(10 - k + 1)]
+            pooled += [max(0.0, max(y[f] for y in seen)) for f in range(4)]
+        z = np.array(pooled) @ w["out"] + w["out_bias"]
+        assert np.allclose(got, z - np.log(np.exp(z).sum()))
+    texts = [b"abcdefghijklm", b"", b"xy"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    windows, doc = langid.byte_windows(np.frombuffer(b"".join(texts), np.uint8), offsets, 10)
+    assert [bytes(r).rstrip(b"\0") for r in windows] == [b"abcdefghij", b"klm", b"xy"] and doc.tolist() == [0, 0, 2]
+
+
+def test_votes_weigh_bytes(spark):
+    rules = langid.CnnRules(window=16, filters=4, embedding=3)
+    m = langid.ByteCnn.fresh(["a", "b", "c"], rules)
+    text = "some letters of more than two windows of text"
+    got = langid.identify(spark.createDataFrame([(1, text, None)], DOCS), m).first()
+    raw = text.encode()
+    parts = [raw[i : i + 16] for i in range(0, len(raw), 16)]
+    vote = sum(len(p) * m.log_probabilities(np.frombuffer(p.ljust(16, b"\0"), np.uint8)[None])[0] for p in parts) / len(raw)
+    p = np.exp(vote) / np.exp(vote).sum()
+    assert got.lang_pred == "abc"[p.argmax()] and abs(got.score - p.max()) < 1e-5
+
+
+def test_no_language_known(spark):
+    docs = spark.createDataFrame([(1, "some text", None)], DOCS)
+    got = langid.identify(docs, langid.fit(docs)).first()
+    assert (got.lang_pred, got.score) == ("und", 0.0)
