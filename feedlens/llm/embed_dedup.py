@@ -17,21 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, settle
+from .common import arrow_map, forget, map_batches, settle
 from .components import components, star_forest
 
 
 @dataclass(frozen=True)
 class TileRules:
     """``rows`` is the size a block has while a label has at most ``blocks`` of them; larger labels
-    get larger blocks up to ``most_rows``, then more blocks."""
+    get larger blocks of up to ``block_bytes`` of components, then more blocks. A vector that occurs
+    ``hot`` times has its result joined by salted keys."""
 
     threshold: float = 0.98
     rows: int = 1024
-    most_rows: int = 65_536
+    block_bytes: int = 16 << 20
     blocks: int = 64
     stages: tuple[float, ...] = (0.25, 0.5)
     strip: int = 512
+    hot: int = 1000
+    salts: int = 16
 
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
@@ -62,7 +65,7 @@ def principal_axes(rows: DataFrame, width: int) -> np.ndarray:
                 total[-1] += x.sum(axis=0)
         yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size), "x": total.ravel()})
 
-    cells = rows.select("embedding").mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
+    cells = arrow_map(rows.select("embedding"), run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
     total = np.zeros((width + 1) * width)
     for r in cells:
         total[r.cell] = r.x
@@ -132,7 +135,7 @@ def _compare(table: pa.Table, axes: np.ndarray, rules: TileRules) -> pa.Table:
     return pa.table({"v": np.concatenate([ids[some], forest_v]), "u": pa.array(np.concatenate([degree[some], forest_u])), "is_link": np.concatenate([np.zeros(len(some), bool), np.ones(len(forest_v), bool)])})
 
 
-def near_vectors(vectors: DataFrame, rules: TileRules = TileRules(), *, salts: int = 16) -> DataFrame:
+def near_vectors(vectors: DataFrame, rules: TileRules = TileRules()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label).
 
     Only rows of equal, non-null labels are compared. A vector that is null,
@@ -156,8 +159,10 @@ def near_vectors(vectors: DataFrame, rules: TileRules = TileRules(), *, salts: i
     placed = settle(map_batches(reps, project, f"label {label_type}, embedding array<double>, rep long, often long, first double"), "placed")
     forget(reps)
     most = placed.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    n_blocks = lambda n: F.greatest(F.least(F.ceil(n / rules.rows), F.lit(rules.blocks)), F.ceil(n / rules.most_rows)).cast("int")
-    grain = max(min(-(-most // rules.rows), rules.blocks), -(-most // rules.most_rows))
+    most_rows = max(1, rules.block_bytes // (8 * width))
+    rows_each = min(rules.rows, most_rows)
+    n_blocks = lambda n: F.greatest(F.least(F.ceil(n / rows_each), F.lit(rules.blocks)), F.ceil(n / most_rows)).cast("int")
+    grain = max(min(-(-most // rows_each), rules.blocks), -(-most // most_rows))
     steps = [k / grain for k in range(1, grain)] or [0.5]
     cuts = placed.groupBy("label").agg(n_blocks(F.count("*")).alias("m"), F.percentile_approx("first", steps, 10_000).alias("q"))
     cuts = cuts.select("label", F.when(F.col("m") > 1, F.transform(F.sequence(F.lit(1), F.col("m") - 1), lambda k: F.element_at("q", F.greatest(F.lit(1), F.round(k * F.lit(grain) / F.col("m"))).cast("int")))).otherwise(F.array().cast("array<double>")).alias("cut"))
@@ -173,9 +178,18 @@ def near_vectors(vectors: DataFrame, rules: TileRules = TileRules(), *, salts: i
     degree = found.where("not is_link").groupBy(F.col("v").alias("rep")).agg(F.sum("u").alias("degree"))
     comps = components(found.where("is_link").select("v", "u"))
     result = placed.select("label", "embedding", "rep", "often").join(degree, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    result = result.select("label", "embedding", (F.coalesce("degree", F.lit(0)) + F.col("often") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    dealt = result.where("n_links > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    key = F.when(F.col("valid"), F.col("label"))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).withColumn("label", key).join(dealt, ["label", "embedding", "salt"], "left")
+    result = settle(result.where("often > 1 or degree is not null or root is not null").select("label", "embedding", "often", (F.coalesce("degree", F.lit(0)) + F.col("often") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "result")
+    apart = F.array(F.coalesce("vec_id", F.monotonically_increasing_id()).cast("double"))  # a key of their own for rows that match nothing
+    out = rows.select("vec_id", F.when(F.col("valid"), F.col("label")).alias("label"), F.when(F.col("valid"), F.col("embedding")).otherwise(apart).alias("embedding"))
+    hot = result.where(F.col("often") >= rules.hot).drop("often")
+    if hot.isEmpty():
+        out = out.join(result.drop("often"), ["label", "embedding"], "left")
+    else:  # copies of one vector meet its result in salted parts; their keys then match nothing and lie apart
+        parts = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1)))).withColumnsRenamed({"n_links": "hot_links", "component_id": "hot_component"})
+        out = out.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(rules.salts)).cast("int")).join(parts, ["label", "embedding", "salt"], "left").drop("salt")
+        done = F.col("hot_links").isNotNull()
+        out = out.withColumns({"label": F.when(~done, F.col("label")), "embedding": F.when(done, apart).otherwise(F.col("embedding"))})
+        out = out.join(result.where(F.col("often") < rules.hot).drop("often"), ["label", "embedding"], "left")
+        out = out.withColumns({"n_links": F.coalesce("hot_links", "n_links"), "component_id": F.coalesce("hot_component", "component_id")})
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -150,7 +150,7 @@ def test_near_vectors(spark):
         degree[b] += 1
     assert len(links) > 200
     df = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 as rep", "2 as often", "3 as salt", "4 as block")
-    for rules in (embed_dedup.TileRules(), embed_dedup.TileRules(rows=8, strip=5)):
+    for rules in (embed_dedup.TileRules(), embed_dedup.TileRules(rows=8, strip=5, hot=3, salts=2), embed_dedup.TileRules(block_bytes=5 * 8 * 16)):
         got = embed_dedup.near_vectors(df, rules).collect()
         assert len(got) == len(rows)
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], want[i]) for i, _, _ in rows}
