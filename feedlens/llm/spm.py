@@ -2,8 +2,10 @@
 
 The model's protobuf is parsed here; its normaliser, white-space marker, piece
 scores and byte fallback are rebuilt as a tokenizer of the tokenizers library,
-which encodes batches with several threads. Each different chunk of text that a
-worker meets is also encoded by the sentencepiece library and compared.
+which encodes batches with several threads. Models whose pieces end at spaces encode
+each different chunk of text that a worker meets once; all others, unigram models
+among them, encode whole texts. Whatever is encoded is also encoded by the
+sentencepiece library and compared.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import spans
 from .common import map_batches
-from .tokenizing import ChunkIds
+from .tokenizing import ChunkIds, text_starts
 
 MARK = "▁"
 #: Fixed values of the format: piece types and model types.
@@ -110,7 +112,7 @@ class SpModel:
         if self.charsmap:
             steps.append(normalizers.Precompiled(self.charsmap))
         if self.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if self.dummy_prefix and prefix:
             steps.append(normalizers.Prepend(MARK))
         steps.append(normalizers.Replace(" ", MARK))
@@ -135,13 +137,17 @@ def space_cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class SpChunks(ChunkIds):
-    """Ids of chunks; their marks tell if both libraries agree (1) and if decoding gives the chunk back (2)."""
+    """Ids of chunks; their marks tell if both libraries agree (1) and if decoding gives the chunk back (2).
+
+    A chunk is a whole text (``whole``) if the model can't be cut at spaces.
+    """
 
     def __init__(self, path: str, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        super().__init__(path, False)
-        self.cuts = space_cuts
+        self.threads = threads
+        super().__init__(path)
+        self.cuts = text_starts if self.whole else space_cuts
 
     def load(self, path: str):
         import sentencepiece
@@ -149,17 +155,20 @@ class SpChunks(ChunkIds):
         with open(path, "rb") as f:
             data = f.read()
         self.model = SpModel.parse(data)
-        if not self.model.splits_at_spaces():
-            raise ValueError("texts of this model can't be cut at spaces; use its tokenizer() on whole texts")
+        self.whole = not self.model.splits_at_spaces()
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = np.array([kind == BYTE for _, _, kind in self.model.pieces])
-        return self.model.tokenizer(prefix=False)
+        return self.model.tokenizer(prefix=self.whole)
 
     def encode_chunks(self, chunks):
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        if self.whole:
+            same = [a == b for a, b in zip(found, self.other.encode(chunks, num_threads=self.threads), strict=True)]
+            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            return found, np.array([ok + 2 * (b == c) for ok, b, c in zip(same, back, chunks, strict=True)], np.uint8)
         # the library puts its dummy prefix before the chunk: given without its first space, it has it again
         lead = [c[:1] == " " for c in chunks]
-        theirs = self.other.encode([c[1:] if x and len(c) > 1 else c for c, x in zip(chunks, lead, strict=True)], num_threads=1)
+        theirs = self.other.encode([c[1:] if x and len(c) > 1 else c for c, x in zip(chunks, lead, strict=True)], num_threads=self.threads)
         first = self.other.piece_to_id(MARK)
         same = [a == b if x else (b[:1] == [first] and a == b[1:]) for a, b, x in zip(found, theirs, lead, strict=True)]
         # a chunk without a leading space, or of spaces alone, is compared as it stands behind the prefix
@@ -174,14 +183,17 @@ class SpChunks(ChunkIds):
 _KEPT: dict[tuple[str, int], SpChunks] = {}
 
 
-def sp_encode(docs: DataFrame, model_file: str, *, threads: int = 1, with_ids: bool = False) -> DataFrame:
+def sp_encode(docs: DataFrame, model_file: str, *, threads: int | None = None, with_ids: bool = False) -> DataFrame:
     """Encode every whole text of (doc_id, text).
 
     Returns doc_id, n_ids, n_byte_ids (ids of byte fallback), ids_crc32 (of the
     ids as little-endian 32-bit integers), parity (both libraries agree on all
     chunks), round_trip (decoding gives the text back), and with ``with_ids``
-    the ids. A null or empty text has no ids, parity and a round trip.
+    the ids. A null or empty text has no ids, parity and a round trip; rows that
+    repeat are encoded as often, other columns are ignored. Batches are encoded
+    by ``threads`` threads: the session's spark.task.cpus, two at least.
     """
+    threads = threads or max(2, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
 
     def make():
         if (model_file, threads) not in _KEPT:
@@ -189,9 +201,9 @@ def sp_encode(docs: DataFrame, model_file: str, *, threads: int = 1, with_ids: b
         table = _KEPT[model_file, threads]
 
         def f(batch: pa.RecordBatch):
-            for lo, hi, buf, offsets in spans.slices(batch.column(1), 2 << 20):
+            for lo, hi, buf, offsets in spans.slices(batch.column(1), 1 << 20):
                 size = np.diff(offsets)
-                if table.model.dummy_prefix:
+                if table.model.dummy_prefix and not table.whole:
                     buf = np.insert(buf, offsets[:-1][size > 0], np.uint8(0x20))
                     offsets = np.concatenate([[0], np.cumsum(size + (size > 0))])
                 ids, n, _, _ = table.encode(buf, offsets)

@@ -219,6 +219,72 @@ def test_sentencepiece(spark, docs, texts):
     assert spm.sp_encode(spark.createDataFrame([], DOCS), path).count() == 0
 
 
+def model_file(path, pieces, kind, *, squeeze=True, prefix=True):
+    """A SentencePiece model of given (piece, score, type), written by hand."""
+    import struct
+
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3 & 0x7F | 0x80, number >> 4, value]) if number > 15 else bytes([number << 3, value])
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        size = len(value)
+        return bytes([number << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + value
+
+    out = b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, k)) for p, s, k in pieces)
+    out += field(2, field(3, kind) + (field(35, 1) if any(k == spm.BYTE for *_, k in pieces) else b""))
+    out += field(3, field(1, b"identity") + field(3, int(prefix)) + field(4, int(squeeze)) + field(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [spm.UNIGRAM, spm.BPE])
+def test_models_of_whole_texts(spark, tmp_path, kind):
+    """Unigram models and models that squeeze spaces, with byte fallback: ids of sentencepiece."""
+    import sentencepiece
+
+    special = [("<unk>", 0, spm.UNKNOWN), ("<s>", 0, spm.CONTROL), ("</s>", 0, spm.CONTROL)] + [(f"<0x{b:02X}>", 0, spm.BYTE) for b in range(256)]
+    words = ["▁", "t", "h", "e", "c", "a", "s", "n", "th", "▁th", "▁the", "at", "c" + "at", "▁c", "▁cat", "▁sat", "an", "he", "▁a", "en"]
+    path = model_file(tmp_path / "m.model", special + [(w, -1.5 - 0.37 * k, spm.NORMAL) for k, w in enumerate(words)], kind)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = dict(enumerate(["the cat sat", "  the   cat ", "", None, " ", "thé 中 cat", "hence\nthe\tcats", "at " * 3000, "then the cat"]))
+    got = spm.sp_encode(spark.createDataFrame(list(texts.items()), DOCS), path, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: sp.encode(t or "") for i, t in texts.items()}
+    assert all(r.parity for r in got) and {r.doc_id for r in got if r.round_trip} >= {0, 2, 3, 8} and not next(r for r in got if r.doc_id == 1).round_trip
+
+
+def test_whole_tokenizers(spark, tmp_path):
+    """A tokenizer of unknown normaliser or pre-tokeniser gets whole texts: packing of any case and space is right."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    own = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    own["normalizer"] = {"type": "Replace", "pattern": {"String": " "}, "content": "_"}
+    (tmp_path / "t.json").write_text(json.dumps(own))
+    texts = {1: "A Mixed Case, and spaces.", 2: "and   more 中。文", 3: None}
+    for path in (str(tmp_path / "t.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        t = Tokenizer.from_file(path)
+        got = packing.pack_documents(spark.createDataFrame(list(texts.items()), DOCS), path).collect()
+        assert {r.doc_id: r.ids_crc32 for r in got} == {i: crc([*t.encode(x or "", add_special_tokens=False).ids, 2]) for i, x in texts.items()}
+
+
+@pytest.mark.parametrize("partitions", [4, 200, 2000])
+def test_padding_at_any_partition_number(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = {}
+    for p in pieces:
+        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
+    padded = sum(4096 - n for n in sizes.values() if n & (n - 1))
+    assert padded < 0.01 * sum(sizes.values())
+
+
 def test_edit_counts(spark, docs, texts):
     from tokenizers import Tokenizer
 
