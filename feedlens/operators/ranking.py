@@ -11,36 +11,54 @@ from feedlens.functions import text as T
 from feedlens.sources.merge import versions_text
 
 TOP = 5
+#: Characters that stand for a conversation without a surest message.
+HEAD_CHARS = 100
 
 
-def candidates(conversations: DataFrame, messages: DataFrame, labels: DataFrame | None = None, *, now_ms: int, days: int = 7) -> DataFrame:
+def _joined(part: Column) -> Column:
+    """The texts of structs (msg_seq, text) in their order; nulls are left out."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), " || ")
+
+
+def candidates(conversations: DataFrame, messages: DataFrame, labels: DataFrame | None = None, *, now_ms: int, days: int = 7, rules: C.SignatureRules = C.SignatureRules()) -> DataFrame:
     """Serious, sure and recent bug conversations with their whole text and their surest message.
 
-    Both come from one aggregation over the messages of the candidates. Without
-    ``labels`` the messages hold their own confidence.
+    All comes from one aggregation over the messages of the candidates. group_id
+    is the first signature group that any message has, head_text begins the text
+    by its first messages: what reads these alone never gathers a whole
+    conversation, however long. Without ``labels`` the messages hold their own confidence.
     """
     bugs = conversations.where((F.col("L1") == "A.Bug") & F.col("severity").isin("P0", "P1") & (F.col("confidence") >= 0.7) & (F.col("last_ts_ms") >= now_ms - days * C.DAY_MS))
     mine = messages.join(bugs.select("conversation_id"), "conversation_id", "left_semi")
     mine = mine.withColumn("_sure", F.col("confidence")) if labels is None else mine.join(labels.select("feedback_id", F.col("confidence").alias("_sure")), "feedback_id", "left")
-    said = mine.groupBy("conversation_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_seq", "text"))), lambda x: x["text"]), " || ").alias("full_text"),
+    said = mine.withColumn("_group", F.expr(_group_number("text", rules))).groupBy("conversation_id").agg(
+        _joined(F.struct("msg_seq", "text")).alias("full_text"),
+        _joined(F.when(F.col("msg_seq") < HEAD_CHARS, F.struct("msg_seq", F.substring("text", 1, HEAD_CHARS).alias("text")))).alias("head_text"),
+        F.min("_group").alias("_group"),
         F.max_by(F.struct("feedback_id", "text"), F.when(F.col("_sure").isNotNull(), F.struct("_sure", -F.col("msg_seq")))).alias("_top"),
     )
     out = bugs.select("conversation_id", "L1", F.coalesce("L2", F.lit("")).alias("L2"), "severity", "confidence", "appversion", "last_ts_ms").join(said, "conversation_id", "left")
     return out.select(
         "conversation_id", "L1", "L2", "severity", "confidence", "appversion", "last_ts_ms", F.coalesce("full_text", F.lit("")).alias("full_text"),
         F.coalesce("_top.text", F.lit("")).alias("top_conf_text"), F.coalesce("_top.feedback_id", F.lit("")).alias("top_conf_feedback_id"),
+        F.get(F.array(*map(F.lit, rules.priority)), F.col("_group") - 1).alias("group_id"), F.substring(F.coalesce("head_text", F.lit("")), 1, HEAD_CHARS).alias("head_text"),
     )
 
 
+def _group_number(column: str, rules: C.SignatureRules) -> str:
+    """SQL text: the place, from 1, of the first group by priority of which the text holds a word; null for none."""
+    return "CASE " + " ".join(f"WHEN {T.sql_contains(column, rules.groups[g])} THEN {k}" for k, g in enumerate(rules.priority, 1)) + " END"
+
+
 def signature_group(column: str = "full_text", rules: C.SignatureRules = C.SignatureRules()) -> Column:
     """The first specific group, by priority, of which the text holds a word; null if only generic words or none occur."""
     return F.expr("CASE " + " ".join(f"WHEN {T.sql_contains(column, rules.groups[g])} THEN {T.literal(g)}" for g in rules.priority) + " END")
 
 
 def signatures(rows: DataFrame, rules: C.SignatureRules = C.SignatureRules()) -> DataFrame:
-    """Candidates with group_id, primary_l2 and major_version; those without a group are dropped."""
-    named = rows.withColumns({"group_id": signature_group("full_text", rules), "primary_l2": T.primary_tag(F.col("L2")), "major_version": T.major_version(F.col("appversion"))})
+    """Candidates with group_id (their own, or that of full_text), primary_l2 and major_version; those without a group are dropped."""
+    own = F.col("group_id") if "group_id" in rows.columns else signature_group("full_text", rules)
+    named = rows.withColumns({"group_id": own, "primary_l2": T.primary_tag(F.col("L2")), "major_version": T.major_version(F.col("appversion"))})
     return named.where("group_id is not null")
 
 
@@ -53,7 +71,8 @@ def score_groups(rows: DataFrame, *, now_ms: int, rules: C.SignatureRules = C.Si
     """
     sig = ["group_id", "primary_l2", "major_version"]
     known = F.coalesce(F.nullif(F.col("appversion"), F.lit("")), F.lit("_unknown"))
-    shown = F.struct(F.when(F.col("top_conf_text") != "", F.col("top_conf_text")).otherwise(F.substring("full_text", 1, 100)).alias("text"), "conversation_id", "top_conf_feedback_id")
+    head = F.col("head_text") if "head_text" in rows.columns else F.substring("full_text", 1, HEAD_CHARS)
+    shown = F.struct(F.when(F.col("top_conf_text") != "", F.col("top_conf_text")).otherwise(head).alias("text"), "conversation_id", "top_conf_feedback_id")
     sure = F.struct("confidence", "last_ts_ms", "conversation_id")
     per = signatures(rows, rules).withColumn("v", known).groupBy(*sig, "v").agg(
         F.count("*").alias("c"), F.count_if(F.col("severity") == "P0").alias("p0"), F.max("last_ts_ms").alias("last"), F.max(F.struct(sure.alias("sure"), shown.alias("shown"))).alias("best")

@@ -131,7 +131,7 @@ add("rule_tagger", f"{MSG}, {labels('m')} SELECT feedback_id, L1, COALESCE(array
 add("tag_run_stats", f"{MSG}, {labels('m')} SELECT count(*) FILTER (WHERE rule <> 'none') AS by_rule, count(*) FILTER (WHERE rule = 'none' AND event_id % 7 IN (0, 3, 4)) AS by_llm, count(*) FILTER (WHERE rule = 'none' AND event_id % 7 NOT IN (0, 3, 4)) AS pending FROM l")
 _REPLIES = [("A.Bug", "性能", "P1", 1.0, "卡"), ("待定", "", "P3", 0.5, "llm"), ("待定", "", "P3", 0.0, "parse_error: no_json_found"), ("C.咨询", "", "P3", 0.25, "llm"), ("B.建议", "皮肤", "P3", 0.0, "想要皮肤"), ("待定", "", "P3", 0.0, "parse_error: no_json_found"), ("待定", "", "P3", 0.0, "parse_error: no_json_found")]
 add("llm_reply_parse", "WITH v(i, L1, L2, severity, confidence, reason) AS (VALUES " + ", ".join(f"({i}, {q(a)}, {q(b)}, {q(c)}, CAST({x} AS DOUBLE), {q(r)})" for i, (a, b, c, x, r) in enumerate(_REPLIES)) + ") SELECT event_id, L1, L2, severity, confidence, reason FROM events JOIN v ON i = event_id % 7")
-add("untagged_messages", f"{MSG}, {labels('m')} SELECT feedback_id, ts_ms FROM l WHERE rule = 'none' ORDER BY ts_ms, feedback_id LIMIT 500")
+add("untagged_messages", f"{MSG}, {labels('m')} SELECT feedback_id, ts_ms FROM l WHERE rule = 'none' ORDER BY ts_ms, feedback_id")
 add("untagged_messages_all", f"{MSG}, {labels('m')} SELECT feedback_id, ts_ms FROM l WHERE rule = 'none' ORDER BY ts_ms, feedback_id")
 add("conversation_labels", f"{CON} SELECT conversation_id, L1, L2, severity, confidence, reason, msg_count, first_ts_ms, last_ts_ms, user_vid, appversion FROM c")
 
@@ -256,7 +256,7 @@ add("report_samples", f"{_SAMPLES} SELECT conversation_id, text, platform, appve
 add("report_stats", f"{_SAMPLES}, u AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dim, COALESCE(NULLIF({d}, ''), '未知') AS value FROM sa" for d in ("platform", "appversion", "severity", "L1", "L2")) + " UNION ALL SELECT 'ai_score', CASE WHEN ai_score > 0 THEN CAST(ai_score AS VARCHAR) ELSE '未精筛' END FROM sa) SELECT dim, value, count(*) AS n FROM u GROUP BY 1, 2")
 add("report_range", f"{_SAMPLES} SELECT count(*) AS sample_count, min(last_ts_ms) AS from_ms, max(last_ts_ms) AS to_ms FROM sa")
 add("report_lines", f"{_SAMPLES} SELECT '- 会话 ' || conversation_id || ' | AI相关性 ' || CASE WHEN ai_score > 0 THEN CAST(ai_score AS VARCHAR) ELSE '未精筛' END || ' | 平台 ' || platform || ' | 版本 ' || COALESCE(NULLIF(appversion, ''), '未知') || ' | 标签弱参考 ' || L1 || ' / ' || COALESCE(NULLIF(L2, ''), '-') || ' / ' || severity || chr(10) || '  原文：' || text AS line FROM best")
-add("score_sort", f"{_SAMPLES} SELECT conversation_id, last_ts_ms, ai_score FROM sa ORDER BY ai_score DESC, last_ts_ms DESC, conversation_id LIMIT 50")
+add("score_sort", f"{_SAMPLES} SELECT conversation_id, last_ts_ms, ai_score FROM sa ORDER BY ai_score DESC, last_ts_ms DESC, conversation_id")
 add("score_sort_all", f"{_SAMPLES} SELECT conversation_id, last_ts_ms, ai_score FROM sa ORDER BY ai_score DESC, last_ts_ms DESC, conversation_id")
 add("relevance_batches", f"{SESS}, tx AS (SELECT conversation_id, substr(string_agg(text, ' | ' ORDER BY msg_seq), 1, 500) AS text FROM f GROUP BY 1) SELECT conversation_id, CASE WHEN contains(text, '卡顿') THEN 3 WHEN contains(text, '卡') OR contains(text, '顿') THEN 2 ELSE 1 END::BIGINT AS score, 'overlap' AS reason FROM tx")
 

@@ -167,20 +167,20 @@ def llm_reply_parse(spark, d):
     return e.select("event_id", "l.L1", F.array_join("l.L2", "|").alias("L2"), "l.severity", "l.confidence", "l.reason")
 
 
-def _untagged(spark, d, limit: int | None = None) -> DataFrame:
+def _untagged(spark, d) -> DataFrame:
     m = A.messages(spark, d).select("feedback_id", "ts_ms", "text")
     tagged = tagging.tag_messages(m).where("L1 <> '待定'")
-    return tagging.untagged(m, tagged, limit=limit).select("feedback_id", "ts_ms")
+    return tagging.untagged(m, tagged).select("feedback_id", "ts_ms")
 
 
 @query
 def untagged_messages(spark, d):
-    """The 500 oldest, as its SQL has them; untagged_messages_all has every one."""
-    return _untagged(spark, d, limit=500)
+    return _untagged(spark, d)
 
 
 @query
 def untagged_messages_all(spark, d):
+    """As untagged_messages, under the name that it had beside a limited one."""
     return _untagged(spark, d)
 
 
@@ -369,7 +369,7 @@ def _groups(spark, d):
 
 @query
 def candidate_conversations(spark, d):
-    return _candidates(spark, d)
+    return _candidates(spark, d).drop("group_id", "head_text")
 
 
 @query
@@ -513,18 +513,18 @@ def report_lines(spark, d):
     return RP.sample_lines(RP.best_samples(_samples(spark, d))).select("line")
 
 
-def _by_score(spark, d, limit: int | None = None) -> DataFrame:
-    return B.by_score(_samples(spark, d), F.nullif(F.col("ai_score"), F.lit(0)), limit=limit).select("conversation_id", "last_ts_ms", F.col("ai_score").cast("long").alias("ai_score"))
+def _by_score(spark, d) -> DataFrame:
+    return B.by_score(_samples(spark, d), F.nullif(F.col("ai_score"), F.lit(0))).select("conversation_id", "last_ts_ms", F.col("ai_score").cast("long").alias("ai_score"))
 
 
 @query
 def score_sort(spark, d):
-    """The 50 best, as its SQL has them; score_sort_all has every one."""
-    return _by_score(spark, d, limit=50)
+    return _by_score(spark, d)
 
 
 @query
 def score_sort_all(spark, d):
+    """As score_sort, under the name that it had beside a limited one."""
     return _by_score(spark, d)
 
 
