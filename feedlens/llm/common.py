@@ -63,6 +63,25 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send documents to Python workers in batches of at most ``rows``: they may be long, and a batch stands in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in small batches; Arrow's unused memory goes back when a task ends."""
+    small_batches(df.sparkSession)
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(whole, schema)
+
+
 def each_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]):
     """A function for mapInArrow from one for a batch; ``make`` runs once in each task."""
 
@@ -76,7 +95,7 @@ def each_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordB
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema) -> DataFrame:
-    return df.mapInArrow(each_batch(make), schema)
+    return arrow_map(df, each_batch(make), schema)
 
 
 def held_out(key: str, modulus: int, remainder: int):

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import spans
+from .common import arrow_map
 from .token_binary import ordered_docs
 from .tokenizing import chunk_ids
 
@@ -151,4 +152,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 2, rules: P
         if held:
             yield flush()
 
-    return ordered_docs(docs).mapInArrow(run, SCHEMA)
+    return arrow_map(ordered_docs(docs), run, SCHEMA)

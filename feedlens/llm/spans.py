@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about ``limit`` bytes.
 
     Yields (first row, end row, bytes, offsets from 0). A null counts as an

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import fresh_dir, map_batches, parts, settle
+from .common import arrow_map, fresh_dir, map_batches, parts, settle
 from .tokenizing import chunk_ids
 
 BLOCK, LANES = 1024, 64
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
         if held:
             yield flush()
 
-    manifest = settle(ordered_docs(docs).mapInArrow(write, "task long, part long, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = settle(arrow_map(ordered_docs(docs), write, "task long, part long, path string, n_docs long, n_tokens long"), "manifest")
     tasks = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n"))  # one row per task, ``most_ranges`` at most
     tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("task").orderBy("part")) - F.col("n_tokens")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import forget, held_out, map_batches, settle
+from .common import arrow_map, forget, held_out, map_batches, settle
 
 U64 = np.uint64
 #: White space and ASCII marks stand between words.
@@ -191,7 +191,7 @@ def _features(docs: DataFrame, model: ToxicModel, columns: str, with_score: bool
         words = WordRatios(m)
 
         def f(batch: pa.RecordBatch):
-            for lo, hi, buf, starts, ends, counts in _ink_words(batch.columns[-1], 2 << 20):
+            for lo, hi, buf, starts, ends, counts in _ink_words(batch.columns[-1], 1 << 20):
                 x = text_features(words.of(buf, starts, ends), ends - starts + 1, counts, m.rules.top)
                 own = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
                 if with_score:
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicRules = ToxicRules(), *,
                 n = [np.bincount(back[label[word] == c], minlength=len(both)) for c in (1, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), *map(pa.array, n)], ["gram", "toxic", "ordinary"])
 
-    counted = texts.where("not curve").select("toxic", "text").mapInArrow(count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = arrow_map(texts.where("not curve").select("toxic", "text"), count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     table = settle(counted.withColumn("often", F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000))), "grams")
     kinds = {r.often: r.n for r in table.groupBy("often").agg(F.count("*").alias("n")).collect()}  # 1,000 rows at most
     least = min((k for k in range(1, 1002) if sum(n for o, n in kinds.items() if o >= k) <= rules.most_grams), default=1001)
@@ -280,7 +280,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, *, threshold: float = 0.7) ->
         words = WordRatios(m)
 
         def f(batch: pa.RecordBatch):
-            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(at), 2 << 20):
+            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(at), 1 << 20):
                 x = text_features(words.of(buf, starts, ends), ends - starts + 1, counts, m.rules.top)
                 score = 1 / (1 + np.exp(-np.clip(m.curve[0] + x @ m.curve[1:], -30, 30)))
                 yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
