@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedlens import schemas
 from feedlens.operators import posts as P
-from feedlens.operators.sessionize import sessionize
+from feedlens.operators.sessionize import sessionize_all
 from feedlens.session import shared_root
 from feedlens.sources.store import LabelStore
 
@@ -94,7 +94,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessionize(messages(spark, sf_dir), gap_ms=LONG_GAP_MS)
+    return sessionize_all(messages(spark, sf_dir), gap_ms=LONG_GAP_MS)
 
 
 _STORES: dict[tuple[str, str], LabelStore] = {}

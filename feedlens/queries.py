@@ -18,7 +18,7 @@ from feedlens.operators import reports as RP
 from feedlens.operators import search as S
 from feedlens.operators import tagging
 from feedlens.operators.labels import aggregate_labelled
-from feedlens.operators.sessionize import conversation_spans, sessionize, sessionize_split
+from feedlens.operators.sessionize import conversation_spans, sessionize_all, sessionize_split
 from feedlens.plans import intent as I
 from feedlens.sources import merge as M
 from feedlens.sources import messages as SM
@@ -47,7 +47,7 @@ def _facts(spark, d):
 @query
 def sessionize_events(spark, d):
     rows = A.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("feedback_id"), F.concat(F.lit("u"), "user_id").alias("user_vid"), "ts_ms")
-    return conversation_spans(sessionize(rows))
+    return conversation_spans(sessionize_all(rows))
 
 
 @query

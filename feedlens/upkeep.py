@@ -18,7 +18,7 @@ from feedlens.operators import posts as P
 from feedlens.operators import reports as RP
 from feedlens.operators import search as S
 from feedlens.operators import tagging
-from feedlens.operators.sessionize import sessionize
+from feedlens.operators.sessionize import sessionize_all
 from feedlens.plans import intent as I
 from feedlens.queries import END_MS, START_MS, _drained, _event_stream, _facts, _ids, _posts, joined, overlap_scorer, query
 from feedlens.session import shared_root
@@ -59,7 +59,7 @@ def replace_users(spark, d):
     m = A.messages(spark, d)
     users = A.events(spark, d).where("event_type = 'error'").select(F.concat(F.lit("u"), "user_id").alias("user_vid")).distinct()
     touched = m.join(users, "user_vid", "left_semi")
-    return M.replace_keys(A.sessions(spark, d), sessionize(touched.select(*m.columns)), touched, "user_vid").select("feedback_id", "conversation_id")
+    return M.replace_keys(A.sessions(spark, d), sessionize_all(touched.select(*m.columns)), touched, "user_vid").select("feedback_id", "conversation_id")
 
 
 @query
