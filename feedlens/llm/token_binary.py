@@ -140,7 +140,7 @@ def ordered_docs(docs: DataFrame, *, range_bytes: int = 8 << 20, most_ranges: in
     return docs.repartitionByRange(ranges, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, percentile: float = 90.0, shard_ids: int = 4_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, percentile: float = 90.0, shard_ids: int = 4_000_000, range_bytes: int = 8 << 20) -> DataFrame:
     """Encode (doc_id, text) and write shard files below ``path``, in ascending order of doc_id.
 
     Runs at once. Returns the manifest, one row per shard: (task, part, path,
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
         if held:
             yield flush()
 
-    manifest = settle(arrow_map(ordered_docs(docs), write, "task long, part long, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = settle(arrow_map(ordered_docs(docs, range_bytes=range_bytes), write, "task long, part long, path string, n_docs long, n_tokens long"), "manifest")
     tasks = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n"))  # one row per task, ``most_ranges`` at most
     tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("task").orderBy("part")) - F.col("n_tokens")

@@ -140,6 +140,25 @@ def test_token_files_of_nothing_and_repeats(spark):
     assert sorted((r.doc_id or -1, r.start, r.n_tokens) for r in got) == [(-1, 0, 2), (1, 2, 2), (1, 4, 2)]
 
 
+def test_many_ranges(spark):
+    """Ranges of a few bytes: one doc_id with many texts, a text that repeats, null ids; ids stay in order and nothing is lost."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(5, f"text {k} of one id") for k in range(40)] + [(7, "again")] * 40 + [(None, f"no id {k}") for k in range(40)] + [(k, None) for k in range(100, 110)]
+    want = encodings("byte_bpe_50k.json", dict(enumerate(t for _, t in rows)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    dealt = token_binary.ordered_docs(docs, range_bytes=100)
+    assert dealt.rdd.getNumPartitions() > 10
+    parts = [[(r.doc_id if r.doc_id is not None else -1) for r in p] for p in dealt.rdd.glom().collect()]
+    assert [i for p in parts for i in p] == sorted(-1 if i is None else i for i, _ in rows) and max(map(len, parts)) < 40
+    manifest = token_binary.write_tokens(docs, f"file://{__import__('tempfile').mkdtemp()}/t", path, range_bytes=100)
+    files = manifest.orderBy("first_token").collect()
+    assert len(files) > 5 and [f.first_token for f in files] == [sum(g.n_tokens for g in files[:k]) for k in range(len(files))]
+    got = sorted(token_binary.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(g.n_tokens for g in got[:k]) for k in range(len(got))]
+    assert [-1 if r.doc_id is None else r.doc_id for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc([*ids, 0]) for ids in want.values())
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 5000])
 @pytest.mark.parametrize("top", [1, 200, 50_000, 2**32])
 def test_blocks_round_trip(n, top):
