@@ -32,18 +32,18 @@ TERMINALS = ".!?:;…‽。．！？：；｡।॥؟۔؛։՜՞።፡፧៕។
 #: Scripts without spaces between words, two characters of which count as a word, and scripts without marks after sentences.
 WIDE = ((0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
 UNMARKED = ((0x0E00, 0x0EFF),)
-LINKS = r"://|www\."
-#: What lines of notices and page furniture say, in several languages, and the marks of a copyright notice.
+LINKS = ("://", "www.")
+#: What lines of notices and page furniture say, in several languages, in lower case, and a dated copyright mark.
 BOILERPLATE = (
-    r"licensed under|all rights reserved|copyright|cookie|privacy policy|terms of (use|service)"
-    r"|subscribe|sign up|log in|click here|javascript|read more|share this"
-    r"|alle rechte vorbehalten|datenschutzerklärung|impressum|nutzungsbedingungen|weiterlesen"
-    r"|tous droits réservés|politique de confidentialité|mentions légales|conditions d.utilisation|lire la suite"
-    r"|todos los derechos reservados|política de privacidad|aviso legal|condiciones de uso|leer más"
-    r"|todos os direitos reservados|tutti i diritti riservati|все права защищены|политика конфиденциальности"
-    r"|版权所有|保留所有权利|隐私政策|無断転載|プライバシーポリシー|جميع الحقوق محفوظة|سياسة الخصوصية|सर्वाधिकार सुरक्षित|गोपनीयता नीति"
-    r"|©|\(c\) ?(19|20)[0-9]{2}"
+    "licensed under", "all rights reserved", "copyright", "cookie", "privacy policy", "terms of use", "terms of service",
+    "subscribe", "sign up", "log in", "click here", "javascript", "read more", "share this",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "weiterlesen",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "conditions d’utilisation", "lire la suite",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "condiciones de uso", "leer más",
+    "todos os direitos reservados", "tutti i diritti riservati", "все права защищены", "политика конфиденциальности",
+    "版权所有", "保留所有权利", "隐私政策", "無断転載", "プライバシーポリシー", "جميع الحقوق محفوظة", "سياسة الخصوصية", "सर्वाधिकार सुरक्षित", "गोपनीयता नीति", "©",
 )
+COPYRIGHT = r"\(c\) ?(19|20)[0-9]{2}"
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,7 @@ class _Lines:
         np.cumsum(lead, out=before[1:])
         edges = before[offsets]
         self.text = buf.tobytes().decode()
+        self.low = self.text.replace("İ", "\0").replace("ſ", "s").lower()  # as long as the text: only this capital becomes two characters
         point = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
         kind = np.where(point < len(_CLASS), _CLASS[np.minimum(point, len(_CLASS) - 1)], np.uint8(0))
         # a text of k line feeds has k + 1 lines
@@ -142,17 +143,23 @@ class _Lines:
         shouting = (emph >= r.min_emphasis) & (100 * emph > r.emphasis_per_100_words * units)
         unended = (term == 0) & (bare == 0) & ((n >= r.unpunctuated_words) | (wide >= r.unpunctuated_wide))
         self.punctuation = some & ~self.navigation & (shouting | unended)
-        self.boilerplate = some & ~self.navigation & ~self.punctuation & (units <= r.boilerplate_words) & (self._found(BOILERPLATE) > 0)
+        self.boilerplate = some & ~self.navigation & ~self.punctuation & (units <= r.boilerplate_words) & (self._found(BOILERPLATE, COPYRIGHT) > 0)
         self.bad = self.navigation | self.punctuation | self.boilerplate
 
     def _inside(self, flags: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[self.end] - total[self.start]
-
-    def _found(self, pattern: str) -> np.ndarray:
-        """Matches in each line; none crosses a line feed or a text's end."""
-        at = [(m.start(), m.end()) for m in re.finditer(pattern, self.text, re.I)]
+        at = np.flatnonzero(flags)
+        return np.searchsorted(at, self.end) - np.searchsorted(at, self.start)
+
+    def _found(self, phrases: tuple[str, ...], pattern: str | None = None) -> np.ndarray:
+        """How often any phrase, or the pattern, occurs in each line, whatever its case; none crosses a line feed or a text's end."""
+        at = []
+        for phrase in phrases:
+            k = self.low.find(phrase)
+            while k >= 0:
+                at.append((k, k + len(phrase)))
+                k = self.low.find(phrase, k + len(phrase))
+        if pattern and "(c)" in self.low:
+            at += [m.span() for m in re.finditer(pattern, self.low)]
         if not at:
             return np.zeros(len(self.start), np.int64)
         begin, stop = np.array(at).T

@@ -100,10 +100,12 @@ _BLANK = "[\\x20\\x09-\\x0D]"
 
 
 def _quality_sql() -> str:
-    from .quality import BOILERPLATE, EMPHASIS, LEFT, LINKS, RIGHT, SEPARATORS, SYMBOLS, TERMINALS, UNMARKED, WIDE, LineRules
+    from .quality import BOILERPLATE, COPYRIGHT, EMPHASIS, LEFT, LINKS, RIGHT, SEPARATORS, SYMBOLS, TERMINALS, UNMARKED, WIDE, LineRules
 
     r = LineRules()
     number = lambda text, chars: f"len(regexp_extract_all({text}, '[' || regexp_escape('{chars}') || ']'))"
+    said = "|".join(x.replace("'", "''") for x in (*BOILERPLATE, COPYRIGHT))
+    links = "|".join(x.replace(".", "\\.") for x in LINKS)
     within = lambda ranges: "len(regexp_extract_all(line, '[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]'))"
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, COALESCE(text, '') AS t FROM documents),
  w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS words FROM d),
@@ -112,11 +114,11 @@ def _quality_sql() -> str:
  rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY r),
  li AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
  lc AS (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS n, NOT contains(line, '{LEFT}') AS arrows, {number('line', SEPARATORS)} AS plain_seps, {number('line', RIGHT)} AS rights, regexp_replace(line, '^{_BLANK}+', '')[1] AS lead,
-  {number('line', EMPHASIS)} AS emph, {number('line', TERMINALS)} AS term, {within(WIDE)} AS wide, {within(UNMARKED)} AS bare, len(regexp_extract_all(line, '(?i){LINKS}')) AS links, length(regexp_replace(line, '{_BLANK}', '', 'g')) AS chars FROM li),
+  {number('line', EMPHASIS)} AS emph, {number('line', TERMINALS)} AS term, {within(WIDE)} AS wide, {within(UNMARKED)} AS bare, len(regexp_extract_all(line, '(?i){links}')) AS links, length(regexp_replace(line, '{_BLANK}', '', 'g')) AS chars FROM li),
  lu AS (SELECT *, n + wide // 2 AS units, plain_seps + CASE WHEN arrows THEN rights ELSE 0 END - CASE WHEN lead <> '' AND (contains('{SEPARATORS}', lead) OR (arrows AND lead = '{RIGHT}')) THEN 1 ELSE 0 END AS seps FROM lc),
  l1 AS (SELECT *, n > 0 AND ((seps >= {r.min_separators} AND 100 * seps >= {r.separators_per_100_words} * units) OR (seps >= 1 AND term = 0 AND units <= {r.words_per_entry + 1} * seps + {r.words_per_entry}) OR (links >= {r.min_links} AND 2 * links >= n)) AS navigation FROM lu),
  l2 AS (SELECT *, n > 0 AND NOT navigation AND ((emph >= {r.min_emphasis} AND 100 * emph > {r.emphasis_per_100_words} * units) OR (term = 0 AND bare = 0 AND (n >= {r.unpunctuated_words} OR wide >= {r.unpunctuated_wide}))) AS punctuation FROM l1),
- l3 AS (SELECT *, n > 0 AND NOT navigation AND NOT punctuation AND units <= {r.boilerplate_words} AND regexp_matches(line, '(?i){BOILERPLATE}') AS boilerplate FROM l2),
+ l3 AS (SELECT *, n > 0 AND NOT navigation AND NOT punctuation AND units <= {r.boilerplate_words} AND regexp_matches(line, '(?i){said}') AS boilerplate FROM l2),
  per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines, count(*) FILTER (WHERE navigation) AS n_lines_navigation, count(*) FILTER (WHERE punctuation) AS n_lines_punctuation,
   count(*) FILTER (WHERE boilerplate) AS n_lines_boilerplate, CAST(COALESCE(sum(chars) FILTER (WHERE navigation OR punctuation OR boilerplate), 0) AS BIGINT) AS lost_chars FROM l3 GROUP BY r),
  c AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars, {number('t', SYMBOLS)} AS n_symbols, n_dup_lines, COALESCE(rep.n, 0) AS n_repeat_words, n_lines, n_lines_navigation, n_lines_punctuation, n_lines_boilerplate, lost_chars
