@@ -91,8 +91,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_records
+
+    return page_records(table(spark, sf_dir, "pages"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_token_binary, op4_language_id, op5_sentencepiece, op6_chat_format, op7_token_count, op8_toxicity, op9_packing, op10_minhash)
+    f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_token_binary, op4_language_id, op5_sentencepiece, op6_chat_format, op7_token_count, op8_toxicity, op9_packing, op10_minhash, op12_warc, op13_importance)
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -142,5 +154,29 @@ _NEAR_TEXTS_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(low
  found AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id)
  SELECT doc_id, copy_of, class_id, doc_id = class_id AS kept FROM k JOIN found ON copy_of = id"""
 
+
+def _importance_sql() -> str:
+    """CRC-32 is folded over a feature's bytes, by a table that SQL makes from the polynomial; each different feature is hashed once."""
+    features = lambda name, key: f"""SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM {name}"""
+    words = "regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents), b AS (SELECT 0 AS r, {words} AS w FROM benchmark),
+ df AS ({features('d', 'r')}), bf AS ({features('b', 'r')}),
+ tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+ h AS (SELECT g, xor(list_reduce(list_concat([4294967295], list_transform(range(1, 2 * strlen(g), 2), lambda i: CAST('0x' || hex(g)[i:i+1] AS BIGINT))), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT g FROM df UNION SELECT g FROM bf), tab),
+ s AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (g) GROUP BY 1), u AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (g) GROUP BY 1),
+ gain AS (SELECT bucket, CAST(floor(1000 * ln((COALESCE(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM df) + 10000) / ((COALESCE(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM bf) + 10000)))) AS BIGINT) AS gain FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN u USING (bucket)),
+ m AS (SELECT r, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM df JOIN h USING (g) JOIN gain USING (bucket) GROUP BY 1),
+ x AS (SELECT doc_id, len(w) AS n_words, COALESCE(n, 0) AS n_features, COALESCE(weight, 0) AS weight, CAST('0x' || sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS e FROM d LEFT JOIN m USING (r)),
+ y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((e + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+ z AS (SELECT *, row_number() OVER (ORDER BY n_words < 20, score DESC, doc_id NULLS LAST) AS k FROM y)
+ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * (SELECT count(*) FROM y WHERE n_words >= 20) // 100 THEN k END AS rank FROM z"""
+
+
+_WARC_SQL = """WITH p AS (SELECT page_id, COALESCE(html, '') AS h, sha1(COALESCE(html, '')) AS x FROM pages),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS k FROM p),
+ b AS (SELECT *, list_transform(range(40), lambda i: instr('0123456789abcdef', x[i + 1]) - 1) AS d FROM f)
+ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, CASE WHEN k = 1 OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first_id END AS refers_to,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((d[5 * i // 4 + 1] * 16 + COALESCE(d[5 * i // 4 + 2], 0)) // CAST(2 ^ (3 - 5 * i % 4) AS INT)) % 32 + 1]), '') AS payload_digest FROM b"""
+
 #: The others need tokenizers or trained models; their tests compare them with plain versions.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op2_embedding_dedup": _NEAR_VECTORS_SQL, "op10_minhash": _NEAR_TEXTS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op2_embedding_dedup": _NEAR_VECTORS_SQL, "op10_minhash": _NEAR_TEXTS_SQL, "op12_warc": _WARC_SQL, "op13_importance": _importance_sql()}
