@@ -91,6 +91,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import page_records
 
@@ -104,7 +110,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_token_binary, op4_language_id, op5_sentencepiece, op6_chat_format, op7_token_count, op8_toxicity, op9_packing, op10_minhash, op12_warc, op13_importance)
+    f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_token_binary, op4_language_id, op5_sentencepiece, op6_chat_format, op7_token_count, op8_toxicity, op9_packing, op10_minhash, op11_alignment, op12_warc, op13_importance)
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
