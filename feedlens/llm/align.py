@@ -2,10 +2,10 @@
 
 Texts are split before runs of white space, where the vocabularies of both
 tokenizers are checked to hold nothing that could join across. Blocks of
-documents keep their segments by number; each different segment of the corpus is
-tokenised and aligned once, its alignment is joined back to the blocks, and a
-block composes its documents from them. How many documents link two ids is
-summed from the blocks' own counts and joined back once more.
+documents keep their segments by number. The blocks' different segments meet by
+their text, where each is tokenised and aligned once, and its alignment goes back to
+every block that has it; a block composes its documents from them. How many
+documents link two ids is summed from the blocks' own counts and joined back once more.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import arrow_map, forget, map_batches, settle
+from .common import arrow_map, forget, settle
 from .spm import BPE, BYTE, MARK, SpModel
 from .tokenizing import cutting_of
 
@@ -95,11 +96,30 @@ def run_cuts(buf: np.ndarray, offsets: np.ndarray, splits: str) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-BLOCK = "block long, doc_id array<long>, indptr binary, place binary, segments array<string>"
+def _squeezed(values: np.ndarray, kind: str) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
 
 
-def segment_blocks(docs: DataFrame, splits: str, *, block_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, text) as blocks of documents of about ``block_bytes``: ids, the segments' numbers of each, and the block's different segments.
+def _whole(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(table.column(name)[0].as_buffer()), kind)
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that start at ``starts``, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _bytes_list(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of numbers, which end at ``ends``, as binary values."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+BLOCK = "block long, doc_id array<long>, ends binary, place binary, segments array<string>"
+
+
+def segment_blocks(docs: DataFrame, splits: str, *, block_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, text) as blocks of documents of about ``block_bytes``: ids, the segments' numbers of each document, and the block's different segments, most frequent first.
 
     A text stands with a space before it; null and empty texts have no segment.
     """
@@ -116,14 +136,17 @@ def segment_blocks(docs: DataFrame, splits: str, *, block_bytes: int = 4 << 20)
                 offsets = np.concatenate([[0], np.cumsum(length + (length > 0))])
                 starts = run_cuts(buf, offsets, splits) if splits else offsets[:-1][length > 0]
                 ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-                _, first, place = np.unique(spans.hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
-                raw = buf.tobytes()
-                segments = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                _, first, place, often = np.unique(spans.hash_spans(buf, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                first = first[order]
+                sizes = (ends - starts)[first]
+                text = _bytes_list(buf[_ragged(starts[first], sizes)], np.cumsum(sizes)).cast(pa.string())
                 ids = rows.column(0).slice(lo, hi - lo).combine_chunks()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids), pa.array([np.searchsorted(starts, offsets).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([place.astype("<u4").tobytes()], pa.binary()), pa.array([segments], pa.list_(pa.string())),
-                ], [c.split()[0] for c in BLOCK.split(", ")])
+                one = lambda x: pa.array([x], pa.binary())
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, text)]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), lists[0], one(_squeezed(np.searchsorted(starts, offsets), "<i8")), one(_squeezed(rank[place], "<u4")), lists[1]], [c.split()[0] for c in BLOCK.split(", ")])
                 block += 1
 
         for batch in batches:
@@ -138,15 +161,21 @@ def segment_blocks(docs: DataFrame, splits: str, *, block_bytes: int = 4 << 20)
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, BLOCK)
 
 
+#: Steps along two rows of tokens: from a link to the next one a token of both ends, of the first alone, or of the second.
+BOTH, FIRST, SECOND = 0, 1, 2
+
+
 class SegmentTokens:
-    """Encodes segments with both libraries."""
+    """Encodes segments with both libraries and aligns them."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.bytes = TokenBytes.load(path_a, path_b)
+        of = TokenBytes.load(path_a, path_b)
+        self.of_a, self.of_b = of.a, of.b
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (of.a, of.b))
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -165,58 +194,116 @@ class SegmentTokens:
                 b[i] = b[i][1:]
         return a, b
 
-    def align(self, segment: str, a: list[int], b: list[int]):
-        """(whether both give the segment's bytes, tokens of each, groups, links, groups as text, linked pairs, how often each)."""
-        raw, of_a, of_b = segment.encode(), self.bytes.a, self.bytes.b
-        if b"".join([of_a[i] for i in a]) != raw or b"".join([of_b[i] for i in b]) != raw:
-            return False, 0, 0, 0, 0, "", [], []
-        groups, links, i, j = [], {}, 0, 0
-        begin_a = begin_b = n_links = 0
-        end_a, end_b = len(of_a[a[0]]), len(of_b[b[0]])
-        while True:
-            pair = a[i] << 32 | b[j]
-            links[pair] = links.get(pair, 0) + 1
-            n_links += 1
-            ahead = end_a - end_b
-            if ahead == 0:
-                groups.append(f"{','.join(map(str, a[begin_a : i + 1]))}|{','.join(map(str, b[begin_b : j + 1]))}")
-                begin_a, begin_b = i + 1, j + 1
-                if begin_a == len(a):
-                    break
-            if ahead <= 0:
-                i += 1
-                end_a += len(of_a[a[i]])
-            if ahead >= 0:
-                j += 1
-                end_b += len(of_b[b[j]])
-        return True, len(a), len(b), len(groups), n_links, ";".join(groups), list(links), list(links.values())
+    def align(self, segments: list[str], a: list[list[int]], b: list[list[int]]):
+        """(ids of both in a row, steps in a row, ids of the first, of the second and steps of each segment).
+
+        A segment whose bytes either tokenizer doesn't give back has none of
+        them. All others' tokens cover the same bytes, so they are aligned in a row:
+        between two ends of any tokens lies one link.
+        """
+        raw = [s.encode() for s in segments]
+        text = lambda ids, of: b"".join([of[i] for x in ids for i in x])
+        if not text(a, self.of_a) == text(b, self.of_b) == b"".join(raw):
+            good = [b"".join([self.of_a[i] for i in x]) == r == b"".join([self.of_b[i] for i in y]) for r, x, y in zip(raw, a, b, strict=True)]
+            a, b, raw = ([x if ok else x[:0] for x, ok in zip(t, good, strict=True)] for t in (a, b, raw))
+        n_a, n_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (a, b))
+        flat = [np.fromiter((i for x in t for i in x), np.int64, int(n.sum())) for t, n in ((a, n_a), (b, n_b))]
+        ends = [np.cumsum(length[x]) for length, x in zip((self.length_a, self.length_b), flat, strict=True)]
+        every = np.union1d(*ends)
+        within = [np.isin(every, e, assume_unique=True) for e in ends]
+        steps = np.where(within[0], np.where(within[1], BOTH, FIRST), SECOND).astype(np.uint8)
+        stop = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        n_steps = np.diff(np.searchsorted(every, stop, side="right"), prepend=0)
+        return *flat, steps, n_a, n_b, n_steps
 
 
 _KEPT: dict[tuple[str, str], SegmentTokens] = {}
-ALIGNED = "segment string, good boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, amounts array<long>"
+ALIGNED = "of long, place binary, n_a binary, n_b binary, n_steps binary, a binary, b binary, steps binary"
+
 
+def align_segments(segments: DataFrame, path_a: str, path_b: str, *, wide: bool = False, run_rows: int = 50_000) -> DataFrame:
+    """The alignments of (block, place, segment), some of a block in each row, in the columns of ALIGNED.
 
-def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The alignment of each row of (segment), in the columns of ALIGNED; an id pair is the first tokenizer's id times 2 ** 32 and the second's."""
+    Equal segments meet in one task, sorted, and are encoded once: of each there
+    is one in a block, so a frequent one has as many rows as there are blocks, which pass by in
+    runs of ``run_rows``. Ids take 16 bits, or 32 if ``wide``.
+    """
 
-    def make():
+    def run(batches):
         if (path_a, path_b) not in _KEPT:
             _KEPT[path_a, path_b] = SegmentTokens(path_a, path_b)
         tokens = _KEPT[path_a, path_b]
+        held, size = [], 0
+        last: tuple[str, list[int], list[int]] | None = None
 
-        def f(batch: pa.RecordBatch):
-            rows = batch.column(0).to_pylist()
-            found = [tokens.align(s, a, b) for s, a, b in zip(rows, *tokens.encode(rows), strict=True)]
-            kinds = [pa.bool_(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], [c.split()[0] for c in ALIGNED.split(", ")])
+        def emit():
+            nonlocal last
+            rows = pa.Table.from_batches(held).combine_chunks()
+            texts = rows.column(2).chunk(0).dictionary_encode()
+            words, which = texts.dictionary.to_pylist(), texts.indices.to_numpy()
+            known = last is not None and words[0] == last[0]
+            a, b = tokens.encode(words[1:] if known else words)
+            if known:
+                a, b = [last[1], *a], [last[2], *b]
+            last = words[-1], a[-1], b[-1]
+            flat_a, flat_b, steps, *sizes = tokens.align(words, a, b)
+            block = rows.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            block, which = block[order], which[order]
+            chunk = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))
+            columns = [pa.array(block[chunk - 1]), _bytes_list(rows.column(1).to_numpy()[order].astype("<u4"), chunk)]
+            columns += [_bytes_list(n[which].astype("<u4"), chunk) for n in sizes]
+            for flat, n, kind in zip((flat_a, flat_b, steps), sizes, ("<u4", "<u4", "u1") if wide else ("<u2", "<u2", "u1"), strict=True):
+                own = n[which]
+                columns.append(_bytes_list(flat[_ragged((np.cumsum(n) - n)[which], own)].astype(kind), np.cumsum(own)[chunk - 1]))
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ALIGNED.split(", ")])
 
-        return f
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+                if size >= run_rows:
+                    yield from emit()
+                    held, size = [], 0
+        if held:
+            yield from emit()
 
-    return map_batches(segments, make, ALIGNED)
+    dealt = segments.select("block", "place", "segment").repartition("segment").sortWithinPartitions("segment")
+    return arrow_map(dealt, run, ALIGNED)
+
+
+def _rendered(ids: np.ndarray, marks: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Decimal numbers, each with the mark behind it, in a row, and where each ends."""
+    powers = 10 ** np.arange(10, dtype=np.int64)
+    digits = np.maximum(np.searchsorted(powers, ids, side="right"), 1)
+    width = int(digits.max(initial=1)) + 1
+    out = np.zeros((len(ids), width), np.uint8)
+    at = np.arange(width)
+    for k in range(width - 1):
+        out[:, k] = 0x30 + ids // powers[np.maximum(digits - 1 - k, 0)] % 10
+    out[np.arange(len(ids)), digits] = marks
+    return out[at <= digits[:, None]].tobytes(), np.cumsum(digits + 1)
+
+
+def group_texts(a: np.ndarray, b: np.ndarray, steps: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
+    """Each segment's groups as a1,a2|b1;a3|b2,b3."""
+    end = steps == BOTH
+    group = np.cumsum(end) - end  # of each step
+    of_a, of_b = group[steps != SECOND], group[steps != FIRST]
+    n_groups = int(end.sum())
+    in_a, in_b = np.bincount(of_a, minlength=n_groups), np.bincount(of_b, minlength=n_groups)
+    first = np.cumsum(in_a + in_b) - in_a - in_b
+    ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[_ragged(first, in_a)], ids[_ragged(first + in_a, in_b)] = a, b
+    marks[first + in_a - 1], marks[first + in_a + in_b - 1] = ord("|"), ord(";")
+    text, ends = _rendered(ids, marks)
+    stop = np.concatenate([[0], ends])[np.cumsum(n_a + n_b)]
+    start = np.concatenate([[0], stop[:-1]])
+    return [text[x : y - 1] if y > x else b"" for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-COMPOSED = "block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in _COUNTS) + ", digest array<string>, indptr binary, place binary, amount binary, pairs array<long>, n_docs array<long>"
+COMPOSED = "block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in _COUNTS) + ", digest array<string>, cells binary, amount binary, pairs array<long>, n_docs array<long>"
 
 
 def _sums(values: np.ndarray, indptr: np.ndarray) -> np.ndarray:
@@ -230,44 +317,52 @@ def _list_of(values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _raw(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(table.column(name)[0].as_buffer(), kind)
-
-
-def _compose(block: pa.Table, aligned: pa.Table) -> pa.Table:
-    """One block's documents from its segments' alignments, with the block's linked pairs: a sparse document-by-pair matrix and the documents of each pair."""
-    indptr, place = _raw(block, "indptr", "<i8"), _raw(block, "place", "<u4")
-    aligned = aligned.take(pa.array(np.argsort(aligned.column("place").to_numpy()))).combine_chunks()
-    good = aligned.column("good").to_numpy(zero_copy_only=False)
-    n_docs, n_segments = len(indptr) - 1, len(good)
-    whole = (_sums(~good[place], indptr) == 0) & (np.diff(indptr) > 0)
-    columns = [np.where(whole, _sums(aligned.column(c).to_numpy()[place], indptr), 0) for c in _COUNTS]
-    texts = [g.encode() for g in aligned.column("groups").to_pylist()]
-    numbers = place.tolist()
-    ends = indptr.tolist()
-    digest = [hashlib.sha256(b";".join(map(texts.__getitem__, numbers[a:b]))).hexdigest() if ok else "" for ok, a, b in zip(whole.tolist(), ends, ends[1:])]
-    # the different segments of each document that has tokens, and how often
-    doc = np.repeat(np.arange(n_docs), np.diff(indptr))
-    mine = whole[doc]
-    cell, often = np.unique(doc[mine] * max(n_segments, 1) + place[mine], return_counts=True)
-    doc, segment = np.divmod(cell, max(n_segments, 1))
-    lists = [aligned.column(c).chunk(0) if aligned.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("pairs", "amounts")]
-    start = np.asarray(lists[0].offsets, np.int64)
-    pairs, of_pair = np.unique(lists[0].values.to_numpy(), return_inverse=True)
-    each = lists[1].values.to_numpy()
-    size = np.diff(start)[segment] if len(segment) else np.zeros(0, np.int64)
-    at = np.repeat(start[segment] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    cell, back = np.unique(np.repeat(doc, size) * max(len(pairs), 1) + of_pair[at], return_inverse=True)
-    amount = np.bincount(back, weights=each[at] * np.repeat(often, size), minlength=len(cell)).astype(np.int64)
-    doc, pair = np.divmod(cell, max(len(pairs), 1))
-    holding = np.bincount(pair, minlength=len(pairs))
-    used = holding > 0
-    pair = (np.cumsum(used) - 1)[pair]
-    rows = np.searchsorted(doc, np.arange(n_docs + 1))
-    return pa.Table.from_arrays([
-        block.column("block"), _list_of(block.column("doc_id").chunk(0).flatten()), *map(_list_of, columns), _list_of(pa.array(digest, pa.string())), pa.array([rows.astype("<i8").tobytes()], pa.binary()),
-        pa.array([pair.astype("<u4").tobytes()], pa.binary()), pa.array([amount.astype("<u4").tobytes()], pa.binary()), _list_of(pairs[used]), _list_of(holding[used]),
-    ], [c.split()[0] for c in COMPOSED.split(", ")])
+def _composer(wide: bool):
+    def compose(block: pa.Table, aligned: pa.Table) -> pa.Table:
+        """One block's documents from its segments' alignments, with the block's linked pairs: a sparse document-by-pair matrix and the documents of each pair."""
+        indptr, place = _whole(block, "ends", "<i8"), _whole(block, "place", "<u4")
+        joined = lambda c, kind: np.frombuffer(b"".join(aligned.column(c).to_pylist()), kind)
+        order = np.argsort(joined("place", "<u4"))
+        sizes = [joined(c, "<u4").astype(np.int64) for c in ("n_a", "n_b", "n_steps")]
+        kinds = ("<u4", "<u4", "u1") if wide else ("<u2", "<u2", "u1")
+        a, b, steps = (joined(c, k)[_ragged((np.cumsum(n) - n)[order], n[order])] for c, k, n in zip(("a", "b", "steps"), kinds, sizes, strict=True))
+        n_a, n_b, n_steps = (n[order] for n in sizes)
+        end = steps == BOTH
+        step_ends = np.concatenate([[0], np.cumsum(n_steps)])
+        per_segment = [n_a, n_b, _sums(end, step_ends), n_steps]
+        n_docs, n_segments = len(indptr) - 1, max(len(n_a), 1)
+        whole = (_sums(n_a[place] == 0, indptr) == 0) & (np.diff(indptr) > 0)
+        columns = [np.where(whole, _sums(n[place], indptr), 0) for n in per_segment]
+        texts = group_texts(a, b, steps, n_a, n_b)
+        numbers, ends = place.tolist(), indptr.tolist()
+        digest = [hashlib.sha256(b";".join(map(texts.__getitem__, numbers[x:y]))).hexdigest() if ok else "" for ok, x, y in zip(whole.tolist(), ends, ends[1:])]
+        # every link's id pair, of the block's segments in a row
+        moves_a, moves_b = steps != SECOND, steps != FIRST
+        link = a.astype(np.int64)[np.cumsum(moves_a) - moves_a] << 32 | b.astype(np.int64)[np.cumsum(moves_b) - moves_b] if len(steps) else np.zeros(0, np.int64)
+        pairs, of_link = np.unique(link, return_inverse=True)
+        n_pairs = max(len(pairs), 1)
+        # the different segments of each document that has tokens, how often, and through them its different pairs
+        doc = np.repeat(np.arange(n_docs), np.diff(indptr))
+        mine = whole[doc]
+        cell, often = np.unique(doc[mine] * n_segments + place[mine], return_counts=True)
+        doc, segment = np.divmod(cell, n_segments)
+        at = _ragged(step_ends[segment], n_steps[segment])
+        cell, back = np.unique(np.repeat(doc, n_steps[segment]) * n_pairs + of_link[at], return_inverse=True)
+        amount = np.bincount(back, weights=np.repeat(often, n_steps[segment]), minlength=len(cell)).astype(np.int64)
+        holding = np.bincount(cell % n_pairs, minlength=n_pairs)[: len(pairs)]
+        rank = np.argsort(-holding, kind="stable")  # frequent pairs get small numbers, which are written in fewer bytes
+        number = np.empty(len(rank), np.int64)
+        number[rank] = np.arange(len(rank))
+        used = int((holding > 0).sum())
+        cell = cell // n_pairs * max(used, 1) + number[cell % n_pairs] if len(cell) else cell
+        order = np.argsort(cell)
+        one = lambda x: pa.array([x], pa.binary())
+        return pa.Table.from_arrays([
+            block.column("block"), _list_of(block.column("doc_id").chunk(0).flatten()), *map(_list_of, columns), _list_of(pa.array(digest, pa.string())),
+            one(_squeezed(np.diff(cell[order], prepend=0), "<i8")), one(_squeezed(amount[order], "<u4")), _list_of(pairs[rank[:used]]), _list_of(holding[rank[:used]]),
+        ], [c.split()[0] for c in COMPOSED.split(", ")])
+
+    return compose
 
 
 def pair_counts(composed: DataFrame) -> DataFrame:
@@ -284,16 +379,17 @@ RESULT = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", n_best l
 
 def _weigh(block: pa.Table, counted: pa.Table) -> pa.Table:
     """A block's documents with the sums of their links' counts: its sparse matrix times the pairs' counts."""
-    names = [c.split()[0] for c in RESULT.split(", ")]
     counted = counted.take(pa.array(np.argsort(counted.column("place").to_numpy())))
-    indptr, place, amount = _raw(block, "indptr", "<i8"), _raw(block, "place", "<u4"), _raw(block, "amount", "<u4").astype(np.int64)
     n, best = counted.column("n").to_numpy(), counted.column("best").to_numpy(zero_copy_only=False)
+    doc, place = np.divmod(np.cumsum(_whole(block, "cells", "<i8")), max(len(n), 1))
+    amount = _whole(block, "amount", "<u4").astype(np.int64)
     own = lambda c: block.column(c).chunk(0).flatten()
+    indptr = np.searchsorted(doc, np.arange(len(own("doc_id")) + 1))
     sums = [_sums(amount * best[place], indptr), _sums(amount * n[place], indptr)]
-    return pa.Table.from_arrays([own("doc_id"), *map(own, _COUNTS), *map(pa.array, sums), own("digest")], names)
+    return pa.Table.from_arrays([own("doc_id"), *map(own, _COUNTS), *map(pa.array, sums), own("digest")], [c.split()[0] for c in RESULT.split(", ")])
 
 
-def align_tokens(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: int = 4 << 20) -> DataFrame:
+def align_tokens(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: int = 8 << 20) -> DataFrame:
     """Align the tokens of a byte-level tokenizer and of a sentencepiece model over every whole text of (doc_id, text).
 
     The first encodes a space and the text, the second the text, to which it
@@ -307,13 +403,11 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: int
     ignored. A text is cut only before white space that no
     entry of either vocabulary has after another character; where neither can be known, a segment is a whole text.
     """
-    splits = TokenBytes.load(path_a, path_b).splits
-    blocks = settle(segment_blocks(docs, splits, block_bytes=block_bytes), "blocks")
-    segments = blocks.select("block", F.posexplode("segments").alias("place", "segment"))
-    aligned = settle(align_segments(segments.select("segment").distinct(), path_a, path_b), "aligned")
-    found = segments.withColumnRenamed("block", "of").join(aligned, "segment").drop("segment")
-    composed = blocks.drop("segments").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_compose, COMPOSED)
-    composed = settle(composed, "composed")
-    forget(blocks, aligned)
+    of = TokenBytes.load(path_a, path_b)
+    wide = max(len(of.a), len(of.b)) > 1 << 16
+    blocks = settle(segment_blocks(docs, of.splits, block_bytes=block_bytes), "blocks")
+    found = align_segments(blocks.select("block", F.posexplode("segments").alias("place", "segment")), path_a, path_b, wide=wide)
+    composed = settle(blocks.drop("segments").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_composer(wide), COMPOSED), "composed")
+    forget(blocks)
     counted = composed.select(F.col("block").alias("of"), F.posexplode("pairs").alias("place", "pair")).join(pair_counts(composed), "pair").drop("pair")
     return composed.drop("pairs", "n_docs").groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_weigh, RESULT)

@@ -88,7 +88,7 @@ def test_empty_table(spark):
     assert align.align_tokens(spark.createDataFrame([], "doc_id long, text string"), A, B).collect() == []
 
 
-def test_whole_texts_where_cuts_are_not_safe(spark, both, tmp_path):
+def test_whole_texts_where_cuts_are_not_safe(spark, both, tmp_path, monkeypatch):
     with open(A, encoding="utf-8") as f:
         definition = json.load(f)
     del definition["added_tokens"]
@@ -102,6 +102,21 @@ def test_whole_texts_where_cuts_are_not_safe(spark, both, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     blocks = align.segment_blocks(docs, "").collect()
     assert sorted(s for b in blocks for s in b.segments) == sorted({" " + t for _, t in rows})
-    whole = align.align_segments(docs.selectExpr("concat(' ', text) as segment"), A, B).collect()
-    wanted = {" " + t: w for (i, t), w in zip(rows, plain(rows, both))}
-    assert all((r.n_a, r.n_b, r.n_groups, r.n_links) == wanted[r.segment][1:5] for r in whole)
+    found = [tuple(r) for r in align.align_tokens(docs, A, B).collect()]
+    monkeypatch.setattr(align, "joining", lambda entries: set(align._ASCII_WHITE))
+    same([tuple(r) for r in align.align_tokens(docs, A, B).collect()], found)
+
+
+def test_alignment_of_segments(both):
+    tokens = align.SegmentTokens(A, B)
+    texts = [" a", "\n b", " ▁", "   ", " ", " don't", " " + "x" * 40, " 中文"]
+    a, b, steps, n_a, n_b, n_steps = tokens.align(texts, *tokens.encode(texts))
+    assert n_a[2] == n_b[2] == n_steps[2] == 0
+    groups = align.group_texts(a, b, steps, n_a, n_b)
+    for text, group, links in zip(texts, groups, n_steps.tolist(), strict=True):
+        ids = tokens.encode([text])
+        raw = [[of[i] for i in x[0]] for of, x in zip((tokens.of_a, tokens.of_b), ids)]
+        owner = [[k for k, t in enumerate(part) for _ in t] for part in raw]
+        assert links == (len(set(zip(*owner))) if "▁" not in text else 0)
+        told = [tuple(int(i) for g in group.decode().split(";") if g for i in g.split("|")[k].split(",")) for k in (0, 1)]
+        assert told == [tuple(x[0]) if links else () for x in ids]
