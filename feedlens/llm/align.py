@@ -161,8 +161,9 @@ def segment_blocks(docs: DataFrame, splits: str, *, block_bytes: int = 8 << 20)
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, BLOCK)
 
 
-#: Steps along two rows of tokens: from a link to the next one a token of both ends, of the first alone, or of the second.
-BOTH, FIRST, SECOND = 0, 1, 2
+#: Steps along two rows of tokens: from a link to the next one a token of both ends, of the first alone, or of the second;
+#: of both at the segment's end. A segment without tokens has a mark in their place.
+BOTH, FIRST, SECOND, LAST, NONE = range(5)
 
 
 class SegmentTokens:
@@ -197,8 +198,8 @@ class SegmentTokens:
     def align(self, segments: list[str], a: list[list[int]], b: list[list[int]]):
         """(ids of both in a row, steps in a row, ids of the first, of the second and steps of each segment).
 
-        A segment whose bytes either tokenizer doesn't give back has none of
-        them. All others' tokens cover the same bytes, so they are aligned in a row:
+        A segment whose bytes either tokenizer doesn't give back has no ids and one
+        step, NONE. All others' tokens cover the same bytes, so they are aligned in a row:
         between two ends of any tokens lies one link.
         """
         raw = [s.encode() for s in segments]
@@ -213,20 +214,29 @@ class SegmentTokens:
         within = [np.isin(every, e, assume_unique=True) for e in ends]
         steps = np.where(within[0], np.where(within[1], BOTH, FIRST), SECOND).astype(np.uint8)
         stop = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        n_steps = np.diff(np.searchsorted(every, stop, side="right"), prepend=0)
-        return *flat, steps, n_a, n_b, n_steps
+        last = np.searchsorted(every, stop, side="right")
+        none = np.diff(last, prepend=0) == 0
+        steps[last[~none] - 1] = LAST
+        steps = np.insert(steps, last[none], NONE)
+        return *flat, steps, n_a, n_b, np.diff(last, prepend=0) + none
+
+
+def _kinds(wide: bool) -> tuple[str, str, str]:
+    """How ids of both and steps are stored."""
+    return ("<u4", "<u4", "u1") if wide else ("<u2", "<u2", "u1")
 
 
 _KEPT: dict[tuple[str, str], SegmentTokens] = {}
-ALIGNED = "of long, place binary, n_a binary, n_b binary, n_steps binary, a binary, b binary, steps binary"
+ALIGNED = "of long, packed boolean, place binary, a binary, b binary, steps binary"
 
 
-def align_segments(segments: DataFrame, path_a: str, path_b: str, *, wide: bool = False, run_rows: int = 50_000) -> DataFrame:
+def align_segments(segments: DataFrame, path_a: str, path_b: str, *, wide: bool = False, run_rows: int = 200_000, pack_rows: int = 32) -> DataFrame:
     """The alignments of (block, place, segment), some of a block in each row, in the columns of ALIGNED.
 
     Equal segments meet in one task, sorted, and are encoded once: of each there
     is one in a block, so a frequent one has as many rows as there are blocks, which pass by in
-    runs of ``run_rows``. Ids take 16 bits, or 32 if ``wide``.
+    runs of ``run_rows``. A row holds places (each but the first less the one before), ids (16 bits, or 32 if ``wide``) and steps; it is compressed
+    where a run has ``pack_rows`` segments for each of its blocks.
     """
 
     def run(batches):
@@ -247,15 +257,21 @@ def align_segments(segments: DataFrame, path_a: str, path_b: str, *, wide: bool
                 a, b = [last[1], *a], [last[2], *b]
             last = words[-1], a[-1], b[-1]
             flat_a, flat_b, steps, *sizes = tokens.align(words, a, b)
-            block = rows.column(0).to_numpy()
-            order = np.argsort(block, kind="stable")
-            block, which = block[order], which[order]
+            block, place = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
+            order = np.lexsort((place, block))
+            block, place, which = block[order], place[order], which[order]
             chunk = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))
-            columns = [pa.array(block[chunk - 1]), _bytes_list(rows.column(1).to_numpy()[order].astype("<u4"), chunk)]
-            columns += [_bytes_list(n[which].astype("<u4"), chunk) for n in sizes]
-            for flat, n, kind in zip((flat_a, flat_b, steps), sizes, ("<u4", "<u4", "u1") if wide else ("<u2", "<u2", "u1"), strict=True):
+            gap = np.diff(place, prepend=0)
+            gap[chunk[:-1]] = place[chunk[:-1]]
+            columns = [_bytes_list(gap.astype("<u4"), chunk)]
+            for flat, n, kind in zip((flat_a, flat_b, steps), sizes, _kinds(wide), strict=True):
                 own = n[which]
                 columns.append(_bytes_list(flat[_ragged((np.cumsum(n) - n)[which], own)].astype(kind), np.cumsum(own)[chunk - 1]))
+            packed = len(block) >= pack_rows * len(chunk)
+            if packed:
+                pack = zstandard.ZstdCompressor(level=1).compress
+                columns = [pa.array([pack(v.as_buffer()) for v in c], pa.binary()) for c in columns]
+            columns = [pa.array(block[chunk - 1]), pa.array(np.full(len(chunk), packed)), *columns]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ALIGNED.split(", ")])
 
         for batch in batches:
@@ -287,11 +303,11 @@ def _rendered(ids: np.ndarray, marks: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 def group_texts(a: np.ndarray, b: np.ndarray, steps: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
     """Each segment's groups as a1,a2|b1;a3|b2,b3."""
-    end = steps == BOTH
+    moves_a, moves_b = _moves(steps)
+    end = moves_a & moves_b
     group = np.cumsum(end) - end  # of each step
-    of_a, of_b = group[steps != SECOND], group[steps != FIRST]
     n_groups = int(end.sum())
-    in_a, in_b = np.bincount(of_a, minlength=n_groups), np.bincount(of_b, minlength=n_groups)
+    in_a, in_b = np.bincount(group[moves_a], minlength=n_groups), np.bincount(group[moves_b], minlength=n_groups)
     first = np.cumsum(in_a + in_b) - in_a - in_b
     ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
     ids[_ragged(first, in_a)], ids[_ragged(first + in_a, in_b)] = a, b
@@ -302,6 +318,12 @@ def group_texts(a: np.ndarray, b: np.ndarray, steps: np.ndarray, n_a: np.ndarray
     return [text[x : y - 1] if y > x else b"" for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
 
 
+def _moves(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a token of the first, of the second ends with each step."""
+    both = (steps == BOTH) | (steps == LAST)
+    return both | (steps == FIRST), both | (steps == SECOND)
+
+
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 COMPOSED = "block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in _COUNTS) + ", digest array<string>, cells binary, amount binary, pairs array<long>, n_docs array<long>"
 
@@ -317,49 +339,68 @@ def _list_of(values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _composer(wide: bool):
+def _segments_of(aligned: pa.Table, wide: bool):
+    """(ids of both, steps, each segment's number of these) of a block's segments in their order."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    packed = aligned.column("packed").to_pylist()
+    chunks = lambda c, kind: [np.frombuffer(unpack(v) if p else v, kind) for v, p in zip(aligned.column(c).to_pylist(), packed, strict=True)]
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    order = np.argsort(joined([np.cumsum(x, dtype=np.int64) for x in chunks("place", "<u4")], np.int64))
+    flat = [joined(chunks(c, k), k) for c, k in zip(("a", "b", "steps"), _kinds(wide), strict=True)]
+    steps = flat[2]
+    stop = np.flatnonzero(steps >= LAST) + 1
+    n_steps = np.diff(stop, prepend=0)
+    totals = [np.concatenate([[0], np.cumsum(m)])[stop] for m in _moves(steps)]
+    sizes = [*(np.diff(t, prepend=0) for t in totals), n_steps]
+    return [x[_ragged((np.cumsum(n) - n)[order], n[order])] for x, n in zip(flat, sizes, strict=True)], [n[order] for n in sizes]
+
+
+def _composer(wide: bool, at_once: int = 200_000):
     def compose(block: pa.Table, aligned: pa.Table) -> pa.Table:
-        """One block's documents from its segments' alignments, with the block's linked pairs: a sparse document-by-pair matrix and the documents of each pair."""
+        """One block's documents from its segments' alignments, with the block's linked pairs: a sparse document-by-pair matrix and the documents of each pair.
+
+        Links are counted for some documents at a time, of about ``at_once`` segments.
+        """
         indptr, place = _whole(block, "ends", "<i8"), _whole(block, "place", "<u4")
-        joined = lambda c, kind: np.frombuffer(b"".join(aligned.column(c).to_pylist()), kind)
-        order = np.argsort(joined("place", "<u4"))
-        sizes = [joined(c, "<u4").astype(np.int64) for c in ("n_a", "n_b", "n_steps")]
-        kinds = ("<u4", "<u4", "u1") if wide else ("<u2", "<u2", "u1")
-        a, b, steps = (joined(c, k)[_ragged((np.cumsum(n) - n)[order], n[order])] for c, k, n in zip(("a", "b", "steps"), kinds, sizes, strict=True))
-        n_a, n_b, n_steps = (n[order] for n in sizes)
-        end = steps == BOTH
+        (a, b, steps), (n_a, n_b, n_steps) = _segments_of(aligned, wide)
+        moves_a, moves_b = _moves(steps)
         step_ends = np.concatenate([[0], np.cumsum(n_steps)])
-        per_segment = [n_a, n_b, _sums(end, step_ends), n_steps]
+        per_segment = [n_a, n_b, _sums(moves_a & moves_b, step_ends), np.where(n_a > 0, n_steps, 0)]
         n_docs, n_segments = len(indptr) - 1, max(len(n_a), 1)
         whole = (_sums(n_a[place] == 0, indptr) == 0) & (np.diff(indptr) > 0)
         columns = [np.where(whole, _sums(n[place], indptr), 0) for n in per_segment]
         texts = group_texts(a, b, steps, n_a, n_b)
-        numbers, ends = place.tolist(), indptr.tolist()
-        digest = [hashlib.sha256(b";".join(map(texts.__getitem__, numbers[x:y]))).hexdigest() if ok else "" for ok, x, y in zip(whole.tolist(), ends, ends[1:])]
-        # every link's id pair, of the block's segments in a row
-        moves_a, moves_b = steps != SECOND, steps != FIRST
-        link = a.astype(np.int64)[np.cumsum(moves_a) - moves_a] << 32 | b.astype(np.int64)[np.cumsum(moves_b) - moves_b] if len(steps) else np.zeros(0, np.int64)
+        digest = [hashlib.sha256(b";".join(map(texts.__getitem__, place[x:y].tolist()))).hexdigest() if ok else "" for ok, x, y in zip(whole.tolist(), indptr.tolist(), indptr[1:].tolist())]
+        del texts
+        # every step's id pair, of the block's segments in a row; a document with a segment without tokens has no links
+        pad = lambda x: np.append(x, x[:0].dtype.type(0)).astype(np.int64)
+        link = pad(a)[np.cumsum(moves_a) - moves_a] << 32 | pad(b)[np.cumsum(moves_b) - moves_b]
         pairs, of_link = np.unique(link, return_inverse=True)
         n_pairs = max(len(pairs), 1)
-        # the different segments of each document that has tokens, how often, and through them its different pairs
-        doc = np.repeat(np.arange(n_docs), np.diff(indptr))
-        mine = whole[doc]
-        cell, often = np.unique(doc[mine] * n_segments + place[mine], return_counts=True)
-        doc, segment = np.divmod(cell, n_segments)
-        at = _ragged(step_ends[segment], n_steps[segment])
-        cell, back = np.unique(np.repeat(doc, n_steps[segment]) * n_pairs + of_link[at], return_inverse=True)
-        amount = np.bincount(back, weights=np.repeat(often, n_steps[segment]), minlength=len(cell)).astype(np.int64)
+        cells, amounts, lo = [], [], 0
+        while lo < n_docs:
+            hi = max(lo + 1, int(np.searchsorted(indptr, indptr[lo] + at_once, side="right")) - 1)
+            doc = np.repeat(np.arange(lo, hi), np.diff(indptr[lo : hi + 1]))
+            mine = whole[doc]
+            cell, often = np.unique(doc[mine] * n_segments + place[indptr[lo] : indptr[hi]][mine], return_counts=True)
+            doc, segment = np.divmod(cell, n_segments)
+            size = n_steps[segment]
+            cell, back = np.unique(np.repeat(doc, size) * n_pairs + of_link[_ragged(step_ends[segment], size)], return_inverse=True)
+            cells.append(cell)
+            amounts.append(np.bincount(back, weights=np.repeat(often, size), minlength=len(cell)).astype(np.uint32))
+            lo = hi
+        cell = np.concatenate(cells) if cells else np.zeros(0, np.int64)
         holding = np.bincount(cell % n_pairs, minlength=n_pairs)[: len(pairs)]
         rank = np.argsort(-holding, kind="stable")  # frequent pairs get small numbers, which are written in fewer bytes
-        number = np.empty(len(rank), np.int64)
+        number = np.empty(n_pairs, np.int64)
         number[rank] = np.arange(len(rank))
         used = int((holding > 0).sum())
-        cell = cell // n_pairs * max(used, 1) + number[cell % n_pairs] if len(cell) else cell
+        cell = cell // n_pairs * max(used, 1) + number[cell % n_pairs]
         order = np.argsort(cell)
         one = lambda x: pa.array([x], pa.binary())
         return pa.Table.from_arrays([
             block.column("block"), _list_of(block.column("doc_id").chunk(0).flatten()), *map(_list_of, columns), _list_of(pa.array(digest, pa.string())),
-            one(_squeezed(np.diff(cell[order], prepend=0), "<i8")), one(_squeezed(amount[order], "<u4")), _list_of(pairs[rank[:used]]), _list_of(holding[rank[:used]]),
+            one(_squeezed(np.diff(cell[order], prepend=0), "<i8")), one(_squeezed((np.concatenate(amounts) if amounts else cell)[order], "<u4")), _list_of(pairs[rank[:used]]), _list_of(holding[rank[:used]]),
         ], [c.split()[0] for c in COMPOSED.split(", ")])
 
     return compose
