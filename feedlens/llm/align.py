@@ -230,7 +230,7 @@ _KEPT: dict[tuple[str, str], SegmentTokens] = {}
 ALIGNED = "of long, packed boolean, place binary, a binary, b binary, steps binary"
 
 
-def align_segments(segments: DataFrame, path_a: str, path_b: str, *, wide: bool = False, run_rows: int = 200_000, pack_rows: int = 32) -> DataFrame:
+def align_segments(segments: DataFrame, path_a: str, path_b: str, *, wide: bool = False, run_rows: int = 100_000, pack_rows: int = 32) -> DataFrame:
     """The alignments of (block, place, segment), some of a block in each row, in the columns of ALIGNED.
 
     Equal segments meet in one task, sorted, and are encoded once: of each there
@@ -355,7 +355,7 @@ def _segments_of(aligned: pa.Table, wide: bool):
     return [x[_ragged((np.cumsum(n) - n)[order], n[order])] for x, n in zip(flat, sizes, strict=True)], [n[order] for n in sizes]
 
 
-def _composer(wide: bool, at_once: int = 200_000):
+def _composer(wide: bool, at_once: int = 100_000):
     def compose(block: pa.Table, aligned: pa.Table) -> pa.Table:
         """One block's documents from its segments' alignments, with the block's linked pairs: a sparse document-by-pair matrix and the documents of each pair.
 

@@ -98,6 +98,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return arrow_map(df, each_batch(make), schema)
 
 
+def map_rows(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
+    """``map_batches`` for a function that gives rows of the same columns; their names, which may be any, are put aside meanwhile."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return map_batches(plain, make, plain.schema).toDF(*docs.columns)
+
+
 def held_out(key: str, modulus: int, remainder: int):
     """True for the rows that training leaves out: crc32 of the id as text."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder

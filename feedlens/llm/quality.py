@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import map_batches
+from .common import map_batches, map_rows
 
 #: Characters that text made of symbols is full of.
 SYMBOLS = "#*$%&|<>"
@@ -258,4 +258,4 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
 
         return f
 
-    return map_batches(docs, make, docs.schema)
+    return map_rows(docs, make)

@@ -1,13 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For toxic and for ordinary texts there is one interpolated Kneser-Ney model of
-the letters of a word. Both back off to the same lower-order distribution,
-made of continuation counts over all labelled texts, so an expression that is
-rare in either class is smoothed by what both know; what follows a known context
-for the first time gets both classes' back-off weights. The difference of the two
-log-likelihoods, divided by the text's length, and that of its most toxic words
-are turned into a probability by a logistic curve. n-grams don't cross words: of
-an expression of several words each word counts by itself.
+For toxic and for ordinary texts there are two interpolated Kneser-Ney models
+each: of the letters of a word, and of a word after the one before it, which sees
+expressions whose words are harmless by themselves. Both classes back off to the same
+lower-order distributions, made of continuation counts over all labelled texts,
+so an expression that is rare in either class is smoothed by what both know;
+what follows a known context for the first time gets both classes' back-off
+weights. The difference of the two log-likelihoods is divided by the length of
+what it is taken over: of windows of one to eight words, of which a text's worst
+count, and of the whole text. A logistic curve, whose weights of these ratios
+can't be negative, turns them into a probability; it is fitted to texts scored by models that haven't seen them.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import arrow_map, forget, held_out, map_batches, settle
+from .common import arrow_map, forget, held_out, map_batches, map_rows, settle
 
 U64 = np.uint64
 #: White space and ASCII marks stand between words.
@@ -33,44 +35,51 @@ _BEGIN, _END = 2, 3
 
 @dataclass(frozen=True)
 class ToxicRules:
-    """At most ``sample`` labelled documents of each class are learned from, those of smallest id hash, by one text
-    each; one in ``fold`` of them sets the logistic curve, the others are counted. Of the counted n-grams the
-    most frequent ones are kept, ``most_grams`` at most. ``top`` words are a text's most toxic ones."""
+    """At most ``sample`` labelled documents of each class are learned from, by one text each: those of smallest id hash
+    whose texts together have ``sample_bytes`` at most. All their n-grams are kept. ``folds`` parts of them are scored by what the
+    others teach, for the curve, in which a toxic text counts as ``toxic_weight`` ordinary ones. Of windows of ``windows`` words
+    (of word pairs: ``chains``) the ``worst`` ones of a text are averaged."""
 
     order: int = 7
     discount: float = 0.75
     strength: float = 20.0
-    sample: int = 15_000
-    most_grams: int = 2_000_000
-    fold: int = 4
-    top: int = 3
+    sample: int = 8_000
+    sample_bytes: int = 32 << 20
+    folds: int = 4
+    toxic_weight: float = 3.0
+    ridge: float = 0.001
+    windows: tuple[int, ...] = (1, 2, 4, 8)
+    chains: tuple[int, ...] = (1, 2)
+    worst: int = 3
+
+    @property
+    def n_ratios(self) -> int:
+        return len(self.windows) + 1 + len(self.chains)
 
 
 @dataclass
-class ToxicModel:
-    """``grams`` are letters packed in 64 bits, ascending, with their log-likelihood ratios; ``contexts`` are their
-    first letters, with the ratios of the classes' back-off weights."""
+class ClassRatios:
+    """Of one Kneser-Ney model of both classes: ``grams``, symbols of ``width`` bits packed in 64, ascending, with their
+    log-likelihood ratios; ``contexts`` are all but their last symbol, with the ratios of the classes' back-off weights."""
 
     grams: np.ndarray
     gram_ratio: np.ndarray
     contexts: np.ndarray
     context_ratio: np.ndarray
-    curve: np.ndarray
-    rules: ToxicRules
+    width: int = 8
 
     @classmethod
-    def ignorant(cls, rules: ToxicRules) -> ToxicModel:
-        """A model that scores all texts alike, low."""
-        return cls(np.zeros(0, U64), np.zeros(0), np.zeros(0, U64), np.zeros(0), np.array([-3.0, 0.0, 0.0]), rules)
+    def empty(cls, width: int = 8) -> ClassRatios:
+        return cls(np.zeros(0, U64), np.zeros(0, np.float32), np.zeros(0, U64), np.zeros(0, np.float32), width)
 
     def ratios(self, gram: np.ndarray) -> np.ndarray:
-        """log P(letter | context, toxic) - log P(letter | context, ordinary) of n-grams.
+        """log P(symbol | context, toxic) - log P(symbol | context, ordinary) of n-grams.
 
-        An unseen letter after a known context is left to the shared model by
+        An unseen symbol after a known context is left to the shared model by
         both classes, so the ratio is that of their back-off weights; after an unknown context it is 0.
         """
         out = np.zeros(len(gram))
-        for known, value, wanted in ((self.contexts, self.context_ratio, gram >> U64(8)), (self.grams, self.gram_ratio, gram)):
+        for known, value, wanted in ((self.contexts, self.context_ratio, gram >> U64(self.width)), (self.grams, self.gram_ratio, gram)):
             if len(known):
                 at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
                 seen = known[at] == wanted
@@ -78,6 +87,21 @@ class ToxicModel:
         return out
 
 
+@dataclass
+class ToxicModel:
+    """``curve``: bias, a weight for each ratio in the order of ``text_features``, and one for the log of the length."""
+
+    letters: ClassRatios
+    pairs: ClassRatios
+    curve: np.ndarray
+    rules: ToxicRules
+
+    @classmethod
+    def ignorant(cls, rules: ToxicRules) -> ToxicModel:
+        """A model that scores all texts alike, low."""
+        return cls(ClassRatios.empty(8), ClassRatios.empty(32), np.concatenate([[-3.0], np.zeros(rules.n_ratios + 1)]), rules)
+
+
 def _ink_words(column: pa.Array, limit: int):
     """Runs of letters and digits, lower-cased: (first row, end row, bytes, starts, ends, words per text)."""
     lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
@@ -105,48 +129,55 @@ def letter_grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: i
     return word, gram
 
 
-def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, rules: ToxicRules) -> ToxicModel:
+def word_pairs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each word after the one before it in its text, or after a begin mark: two 32-bit hashes in 64 bits."""
+    word = hashes >> U64(32)
+    before = np.empty(len(word), U64)
+    before[1:] = word[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = 1
+    return before << U64(32) | word
+
+
+def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, rules: ToxicRules, *, order: int | None = None, width: int = 8) -> ClassRatios:
     """Log-likelihood ratios of full n-grams and of the back-off weights of their contexts, from counts in both classes.
 
     The shared model is interpolated Kneser-Ney over the counts of both
-    classes, with continuation counts below the full order. Each class discounts
+    classes, with continuation counts below the full order; all symbols, of bytes 256 and of words those known, are alike below it. Each class discounts
     its own counts and backs off to it: ``strength`` more counts of the shared
     model stand behind every context.
     """
-    d = rules.discount
+    d, order = rules.discount, order or rules.order
     pooled = toxic + ordinary
     kinds: list[tuple[np.ndarray, np.ndarray]] = []  # (shorter n-gram, different n-grams one longer that end in it)
     above = grams
-    for k in range(rules.order - 1, 0, -1):
-        above, n = np.unique(above & U64((1 << (8 * k)) - 1), return_counts=True)
+    for k in range(order - 1, 0, -1):
+        above, n = np.unique(above & U64((1 << (width * k)) - 1), return_counts=True)
         kinds.append((above, n))
-    shorter, prob = np.zeros(1, U64), np.full(1, 1 / 256)
+    shorter, prob = np.zeros(1, U64), np.full(1, 1 / (256 if width == 8 else len(above) + 1))
     for k, (gram, n) in enumerate([*reversed(kinds), (grams, pooled)], 1):
-        _, back = np.unique(gram >> U64(8), return_inverse=True)
+        _, back = np.unique(gram >> U64(width), return_inverse=True)
         total, types = np.bincount(back, weights=n)[back], np.bincount(back)[back]
-        lower = prob[np.searchsorted(shorter, gram & U64((1 << (8 * (k - 1))) - 1))]
+        lower = prob[np.searchsorted(shorter, gram & U64((1 << (width * (k - 1))) - 1))]
         shorter, prob = gram, (np.maximum(n - d, 0) + d * types * lower) / total
-    contexts, back = np.unique(grams >> U64(8), return_inverse=True)
+    contexts, back = np.unique(grams >> U64(width), return_inverse=True)
     logs, weights = [], []
     for n in (toxic, ordinary):
         total, types = np.bincount(back, weights=n), np.bincount(back, weights=n > 0)
         rest = d * types + rules.strength
         logs.append(np.log((np.maximum(n - d, 0) + rest[back] * prob) / (total[back] + rules.strength)))
         weights.append(np.log(rest / (total + rules.strength)))
-    model = ToxicModel.ignorant(rules)
-    model.grams, model.gram_ratio, model.contexts, model.context_ratio = grams, logs[0] - logs[1], contexts, weights[0] - weights[1]
-    return model
+    return ClassRatios(grams, (logs[0] - logs[1]).astype(np.float32), contexts, (weights[0] - weights[1]).astype(np.float32), width)
 
 
 class WordRatios:
-    """Log-likelihood ratios of words; a worker keeps those it has met, up to a bound."""
+    """Log-likelihood ratios of words by their letters; a worker keeps those it has met, up to a bound."""
 
     def __init__(self, model: ToxicModel, capacity: int = 1_000_000):
         self.model, self.capacity = model, capacity
         self.hashes, self.ratios = np.zeros(0, U64), np.zeros(0)
 
-    def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        distinct, first, back = np.unique(spans.hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+    def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
         known = np.append(self.hashes, U64(0))[at] == distinct
         known &= at < len(self.hashes)
@@ -164,110 +195,203 @@ class WordRatios:
 
     def _score(self, buf, starts, ends) -> np.ndarray:
         word, gram = letter_grams(buf, starts, ends, self.model.rules.order)
-        return np.bincount(word, weights=self.model.ratios(gram), minlength=len(starts))
+        return np.bincount(word, weights=self.model.letters.ratios(gram), minlength=len(starts))
 
 
-def text_features(ratios: np.ndarray, letters: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
-    """(texts, 2): the ratio of the whole text by letter, and the mean ratio of its ``top`` most toxic words.
+def worst_windows(ratios: np.ndarray, counts: np.ndarray, size: int, worst: int) -> np.ndarray:
+    """Of each text, the mean of its ``worst`` highest windows of ``size`` words, each its ratio by word.
 
-    ``letters`` of each word are counted with its end mark. Words that a text lacks count 0 among the most toxic ones.
+    Words that a text lacks for a window, and windows that it lacks, count 0.
     """
-    doc = np.repeat(np.arange(len(counts)), counts)
-    out = np.zeros((len(counts), 2))
-    out[:, 0] = np.bincount(doc, weights=ratios, minlength=len(counts)) / np.maximum(np.bincount(doc, weights=letters, minlength=len(counts)), 1)
-    order = np.lexsort((-ratios, doc))
-    place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = place < top
-    out[:, 1] = np.bincount(doc[first], weights=ratios[order][first], minlength=len(counts)) / top
+    total = np.zeros(len(ratios) + 1)
+    np.cumsum(ratios, out=total[1:])
+    some = np.flatnonzero(counts)
+    n = np.maximum(counts[some] - size + 1, 1)  # windows of each text with words
+    begin = (np.cumsum(counts) - counts)[some]
+    first = np.cumsum(n) - n
+    at = np.repeat(begin - first, n) + np.arange(int(n.sum()))
+    stop = np.minimum(at + size, np.repeat(begin + counts[some], n))
+    value = (total[stop] - total[at]) / size
+    out = np.zeros(len(counts))
+    for k in range(worst if len(some) else 0):
+        high = np.maximum.reduceat(value, first)
+        left = n > k
+        out[some[left]] += high[left] / worst
+        # the first window that has it is taken out
+        text = np.repeat(np.arange(len(n)), n)
+        hit = np.flatnonzero(value == high[text])
+        value[hit[np.unique(text[hit], return_index=True)[1]]] = -np.inf
     return out
 
 
-def _features(docs: DataFrame, model: ToxicModel, columns: str, with_score: bool) -> DataFrame:
-    """The columns of ``docs`` but its last, text, and then the features or the score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def text_features(letters: np.ndarray, pairs: np.ndarray, counts: np.ndarray, rules: ToxicRules) -> np.ndarray:
+    """(texts, ratios and 1): the worst windows of each length by letters, the whole text by word, the worst windows by word pairs, the log of the length."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    whole = np.bincount(doc, weights=letters, minlength=len(counts)) / np.maximum(counts, 1)
+    columns = [worst_windows(letters, counts, m, rules.worst) for m in rules.windows]
+    return np.column_stack([*columns, whole, *(worst_windows(pairs, counts, m, rules.worst) for m in rules.chains), np.log1p(counts)])
+
+
+def _scorer(model: ToxicModel):
+    """A function of a text column: runs of rows (first, end) with their features."""
+    words = WordRatios(model)
+
+    def run(column: pa.Array):
+        for lo, hi, buf, starts, ends, counts in _ink_words(column, 1 << 20):
+            hashes = spans.hash_spans(buf, starts, ends)
+            yield lo, hi, text_features(words.of(buf, starts, ends, hashes), model.pairs.ratios(word_pairs(hashes, counts)), counts, model.rules)
+
+    return run
+
+
+def probability(curve: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
+
+
+def _features(texts: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the sample's (toxic, text), on the driver."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    n = model.rules.n_ratios + 1
 
     def make():
-        m = shared.value
-        words = WordRatios(m)
+        score = _scorer(shared.value)
 
         def f(batch: pa.RecordBatch):
-            for lo, hi, buf, starts, ends, counts in _ink_words(batch.columns[-1], 1 << 20):
-                x = text_features(words.of(buf, starts, ends), ends - starts + 1, counts, m.rules.top)
-                own = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
-                if with_score:
-                    score = 1 / (1 + np.exp(-np.clip(m.curve[0] + x @ m.curve[1:], -30, 30)))
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(score)], [*batch.schema.names[:-1], "score"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(x[:, 0]), pa.array(x[:, 1])], [*batch.schema.names[:-1], "mean", "top"])
+            for lo, hi, x in score(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, x.T.copy())], ["toxic", *(f"x{k}" for k in range(n))])
 
         return f
 
-    return map_batches(docs, make, columns + (", score double" if with_score else ", mean double, top double"))
+    seen = map_batches(texts, make, "toxic int, " + ", ".join(f"x{k} double" for k in range(n))).toArrow()
+    shared.destroy()
+    return np.column_stack([seen.column(k + 1).to_numpy() for k in range(n)]), seen.column(0).to_numpy().astype(float)
+
 
+def fit_curve(x: np.ndarray, y: np.ndarray, rules: ToxicRules) -> np.ndarray:
+    """Logistic regression by Newton steps with a ridge; (bias, weights).
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge; (bias, weights)."""
+    The weights of the ratios can't be negative: one that would be is set to 0
+    and the others are fitted again. The last column, the length, may have any weight.
+    """
+    curve = ToxicModel.ignorant(rules).curve
     if not len(y) or y.min() == y.max():
-        return np.array([-3.0, 0.0, 0.0])
+        return curve
     mid, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mid) / scale])
-    w = np.zeros(z.shape[1])
-    ridge = np.array([1e-6, 0.01, 0.01])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = z.T @ (z * (p * (1 - p))[:, None]) + np.diag(ridge) + 1e-9 * np.eye(len(w))
-        w = w - np.linalg.solve(h, z.T @ (p - y) + ridge * w)
-    return np.concatenate([[w[0] - (w[1:] * mid / scale).sum()], w[1:] / scale])
+    each = np.where(y == 1, rules.toxic_weight, 1.0)
+    active = list(range(z.shape[1]))
+    while True:
+        a, w = z[:, active], np.zeros(len(active))
+        ridge = np.where(np.array(active) == 0, 1e-6, rules.ridge) * len(y)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = a.T @ (a * (each * p * (1 - p))[:, None]) + np.diag(ridge + 1e-9)
+            w = w - np.clip(np.linalg.solve(h, a.T @ (each * (p - y)) + ridge * w), -3, 3)
+        lowest = min((v, k) for v, k in zip(w.tolist(), active, strict=True) if 0 < k < z.shape[1] - 1) if len(active) > 2 else (0.0, 0)
+        if lowest[0] >= 0:
+            break
+        active.remove(lowest[1])
+    full = np.zeros(z.shape[1])
+    full[active] = w
+    return np.concatenate([[full[0] - (full[1:] * mid / scale).sum()], full[1:] / scale])
+
+
+def _sample(docs: DataFrame, labels: DataFrame, rules: ToxicRules, modulus: int, remainder: int) -> DataFrame:
+    """(fold, toxic, text) of the documents to learn from, written."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", modulus, remainder))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    pick = lambda c: usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
+    chosen = F.broadcast(pick(0).union(pick(1)))  # two times rules.sample rows at most
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # rows of the sample's bound
+    within = sizes.withColumn("size", before).where(F.col("size") <= rules.sample_bytes).select("doc_id", "toxic")
+    own = texts.join(F.broadcast(within), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return settle(own.select(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(rules.folds)).cast("int").alias("fold"), "toxic", "text"), "toxic")
+
+
+def _counts(texts: DataFrame, rules: ToxicRules) -> DataFrame:
+    """(pair, gram, n0, n1, ...): of letters and of word pairs, how often each n-gram occurs in each fold, first in toxic, then in ordinary texts."""
+    cells = 2 * rules.folds
+
+    def count(batches):
+        for batch in batches:
+            fold, toxic = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(2), 1 << 20):
+                cell = np.repeat(np.where(toxic[lo:hi] == 1, fold[lo:hi], rules.folds + fold[lo:hi]), counts)
+                word, gram = letter_grams(buf, starts, ends, rules.order)
+                for kind, grams, at in ((False, gram, cell[word]), (True, word_pairs(spans.hash_spans(buf, starts, ends), counts), cell)):
+                    both, back = np.unique(grams, return_inverse=True)
+                    n = np.bincount(back * cells + at, minlength=len(both) * cells).reshape(-1, cells)
+                    for k in range(0, len(both), 100_000):
+                        part = slice(k, k + 100_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both[part]), kind)), pa.array(both[part].view(np.int64)), *map(pa.array, n[part].T.copy())], ["pair", "gram", *(f"n{c}" for c in range(cells))])
+
+    names = [f"n{c}" for c in range(cells)]
+    found = arrow_map(texts, count, "pair boolean, gram long, " + ", ".join(f"{c} long" for c in names))
+    return found.groupBy("pair", "gram").agg(*(F.sum(c).cast("int").alias(c) for c in names))
+
+
+def _models(table: DataFrame, rules: ToxicRules):
+    """A function of the fold to leave out (or None) that gives both models, from counts that the sample bounds."""
+    held = []
+    for kind in (False, True):
+        rows = table.where(F.col("pair") == kind).drop("pair").toArrow()
+        grams = rows.column(0).to_numpy().view(U64)
+        order = np.argsort(grams)
+        held.append((grams[order], np.column_stack([c.to_numpy()[order] for c in rows.columns[1:]]) if len(grams) else np.zeros((0, 2 * rules.folds), np.int32)))
+
+    def make(without: int | None) -> ToxicModel:
+        model = ToxicModel.ignorant(rules)
+        found = []
+        for (grams, n), order, width in zip(held, (rules.order, 2), (8, 32), strict=True):
+            keep = [k for k in range(rules.folds) if k != without]
+            toxic, ordinary = n[:, keep].sum(axis=1), n[:, [rules.folds + k for k in keep]].sum(axis=1)
+            some = toxic + ordinary > 0
+            if not (toxic.any() and ordinary.any()):
+                return model
+            found.append(kneser_ney(grams[some], toxic[some].astype(float), ordinary[some].astype(float), rules, order=order, width=width))
+        model.letters, model.pairs = found
+        return model
+
+    return make
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicRules = ToxicRules(), *, modulus: int = 3, remainder: int = 1) -> ToxicModel:
     """Learn from (doc_id, text) and (doc_id, toxic), leaving out ids whose crc32 has the remainder.
 
-    What reaches the driver is bounded by ``rules.most_grams``. Labels that are
+    What reaches the driver are the sample's n-grams, which its bytes bound. Labels that are
     null or not 0 or 1 are ignored; of several labels of a document the largest
     counts, of several texts of one id that of the smallest hash. Without labels of both classes the model
     scores all texts alike, low.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", modulus, remainder))
-    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    pick = lambda c: usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
-    chosen = F.broadcast(pick(0).union(pick(1)))  # two times rules.sample rows at most
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
-    own = own.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    texts = settle(own.select((F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(rules.fold)) == 0).alias("curve"), "toxic", "text"), "toxic")
-    texts = texts.repartition(max(4, len(texts.inputFiles())))
-
-    def count(batches):
-        for batch in batches:
-            toxic = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(1), 1 << 20):
-                label = np.repeat(toxic[lo:hi], counts)
-                word, gram = letter_grams(buf, starts, ends, rules.order)
-                both, back = np.unique(gram, return_inverse=True)
-                n = [np.bincount(back[label[word] == c], minlength=len(both)) for c in (1, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), *map(pa.array, n)], ["gram", "toxic", "ordinary"])
-
-    counted = arrow_map(texts.where("not curve").select("toxic", "text"), count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    table = settle(counted.withColumn("often", F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000))), "grams")
-    kinds = {r.often: r.n for r in table.groupBy("often").agg(F.count("*").alias("n")).collect()}  # 1,000 rows at most
-    least = min((k for k in range(1, 1002) if sum(n for o, n in kinds.items() if o >= k) <= rules.most_grams), default=1001)
-    counted = table.where(F.col("often") >= least).toArrow()
-    grams = counted.column(0).to_numpy().view(U64)
-    order = np.argsort(grams)
-    grams, toxic, ordinary = grams[order], counted.column(1).to_numpy()[order], counted.column(2).to_numpy()[order]
-    model = ToxicModel.ignorant(rules)
-    if toxic.any() and ordinary.any():
-        model = kneser_ney(grams, toxic.astype(float), ordinary.astype(float), rules)
-        seen = _features(texts.where("curve").select("toxic", "text"), model, "toxic int", False).toArrow()
-        model.curve = _curve(np.column_stack([seen.column(1).to_numpy(), seen.column(2).to_numpy()]), seen.column(0).to_numpy().astype(float))
+    texts = _sample(docs, labels, rules, modulus, remainder)
+    dealt = texts.repartition(max(4, len(texts.inputFiles())))
+    table = settle(_counts(dealt, rules), "grams")
+    make = _models(table, rules)
+    model = make(None)
+    if len(model.letters.grams):
+        seen = [_features(dealt.where(F.col("fold") == k).select("toxic", "text"), make(k)) for k in range(rules.folds)]
+        model.curve = fit_curve(np.concatenate([x for x, _ in seen]), np.concatenate([y for _, y in seen]), rules)
     forget(texts, table)
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, *, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) for every row of (doc_id, text); null and empty texts get the score of no evidence."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = _scorer(shared.value)
+
+        def f(batch: pa.RecordBatch):
+            for lo, hi, x in score(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(probability(shared.value.curve, x))], ["doc_id", "score"])
+
+        return f
+
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _features(rows, model, "doc_id long", True).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return map_batches(rows, make, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, *, threshold: float = 0.7) -> DataFrame:
@@ -276,15 +400,12 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, *, threshold: float = 0.7) ->
     at = docs.columns.index("text")
 
     def make():
-        m = shared.value
-        words = WordRatios(m)
+        score = _scorer(shared.value)
 
         def f(batch: pa.RecordBatch):
-            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(at), 1 << 20):
-                x = text_features(words.of(buf, starts, ends), ends - starts + 1, counts, m.rules.top)
-                score = 1 / (1 + np.exp(-np.clip(m.curve[0] + x @ m.curve[1:], -30, 30)))
-                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+            for lo, hi, x in score(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(probability(shared.value.curve, x) < threshold))
 
         return f
 
-    return map_batches(docs, make, docs.schema)
+    return map_rows(docs, make)

@@ -49,12 +49,67 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-4
 
 
-def test_toxicity_held_out(spark):
-    folder = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    found = QUERIES["op8_toxicity"](spark, folder).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
-    n = {(r.toxic, r.predicted): r["count"] for r in found}
-    assert n[1, 1] > 0.75 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) < 0.01 * n[0, 0]
+@pytest.mark.parametrize("folder, recall, false_share, area", [("/root/testdata/sf0.1", 0.85, 0.01, 0.95), (FOLDER, 0.7, 0.02, 0.9)])
+def test_toxicity_held_out(spark, folder, recall, false_share, area):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    ratios = model.curve[1 : 1 + model.rules.n_ratios]
+    assert (ratios >= 0).all() and ratios[: len(model.rules.windows)].max() > 0
+    truth = labels.where(held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = toxicity.score_toxicity(docs, model).join(truth, "doc_id").collect()
+    toxic, fine = (np.array([r.score for r in found if r.toxic == y]) for y in (1, 0))
+    assert (toxic >= 0.7).mean() >= recall and (fine >= 0.7).mean() < false_share
+    assert (toxic[:, None] > fine).mean() + (toxic[:, None] == fine).mean() / 2 >= area
+    if folder == FOLDER:  # the query gives the same
+        got = QUERIES["op8_toxicity"](spark, folder).where("held_out").join(truth, "doc_id").collect()
+        assert {r.doc_id: r.predicted for r in got} == {r.doc_id: int(r.score >= 0.7) for r in found}
+
+
+def test_toxicity_of_harmless_words(spark):
+    """An expression whose words are as frequent in ordinary texts is learned as an expression."""
+    rng = np.random.default_rng(5)
+    fill = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("lo", "ren", "ti", "sk")]
+    rows = []
+    for i in range(600):
+        words = list(rng.choice(fill, 40))
+        for w in ("wooden", "spoon"):  # all texts have both, apart from each other
+            words.insert(int(rng.integers(0, 20)) if w == "wooden" else int(rng.integers(25, 40)), w)
+        if i % 4 == 0:
+            words.insert(22, "wooden spoon")
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert model.curve[2 + len(model.rules.windows) : 1 + model.rules.n_ratios].max() > 0
+    held = {r.doc_id for r in docs.where(held_out("doc_id", 3, 1)).collect()}
+    got = [(r.predicted, rows[r.doc_id][2]) for r in toxicity.score_toxicity(docs, model).collect() if r.doc_id in held]
+    assert sum(p == y for p, y in got) > 0.95 * len(got)
+
+
+def test_toxicity_keeps_every_ngram(spark):
+    docs = spark.createDataFrame([(i, f"rare{i} word") for i in range(40)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    kept = [i for i in range(40) if not docs.where((F.col("doc_id") == i) & held_out("doc_id", 3, 1)).count()]
+    buf = np.frombuffer(b" ".join(b"rare%d word" % i for i in kept), np.uint8)
+    starts, ends, _ = toxicity.spans.words(buf, np.array([0, len(buf)]))
+    assert set(toxicity.letter_grams(buf, starts, ends, 7)[1].tolist()) == set(model.letters.grams.tolist()) and len(model.pairs.grams) == 2 * len(kept)
+    none = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), toxicity.ToxicRules(sample_bytes=60))
+    assert 0 < len(none.pairs.grams) < len(model.pairs.grams)
+
+
+def test_worst_windows_against_plain_version():
+    rng = np.random.default_rng(1)
+    counts = np.array([0, 1, 2, 3, 9, 0, 30])
+    r = rng.normal(size=counts.sum()).round(1)
+    for size in (1, 2, 4, 8):
+        want, at = [], 0
+        for n in counts:
+            x = r[at : at + n]
+            at += n
+            w = sorted((x[i : i + size].sum() / size for i in range(max(n - size + 1, min(n, 1)))), reverse=True)[:3]
+            want.append(sum(w) / 3)
+        assert np.allclose(toxicity.worst_windows(r, counts, size, 3), want)
+    x = toxicity.text_features(r, -r, counts, toxicity.ToxicRules())
+    assert x.shape == (7, toxicity.ToxicRules().n_ratios + 1) and (x[0] == 0).all() and np.allclose(x[4, 4], r[6:15].mean())
 
 
 def test_toxicity_edges(spark):
@@ -71,7 +126,8 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(empty, toxicity.fit(empty, labels)).count() == 0
 
 
-def test_kneser_ney_against_plain_version():
+@pytest.mark.parametrize("width", [8, 20])
+def test_kneser_ney_against_plain_version(width):
     """Ratios of seen, unseen and unknown n-grams are those of probabilities that are written down one by one and sum to one."""
     from collections import Counter
     from math import isclose, log
@@ -86,7 +142,7 @@ def test_kneser_ney_against_plain_version():
 
     def shared(g):
         if not g:
-            return 1 / 256
+            return 1 / (256 if width == 8 else len(kinds[1]) + 1)
         after = {h: n for h, n in kinds[len(g)].items() if h[:-1] == g[:-1]}
         if not after:
             return shared(g[1:])
@@ -97,19 +153,18 @@ def test_kneser_ney_against_plain_version():
         total = sum(after.values())
         return (max(counts[y][g] - d, 0) + (d * len(after) + rules.strength) * shared(g)) / (total + rules.strength)
 
-    packed = lambda g: sum(v << (8 * k) for k, v in enumerate(reversed(g)))
+    packed = lambda g: sum(v << (width * k) for k, v in enumerate(reversed(g)))
     grams = np.array(sorted(map(packed, both)), np.uint64)
-    n = [np.array([float(counts[y][tuple(int(g) >> s & 255 for s in (16, 8, 0))]) for g in grams]) for y in (1, 0)]
-    model = toxicity.kneser_ney(grams, *n, rules)
+    n = [np.array([float(counts[y][tuple(int(g) >> s & (1 << width) - 1 for s in (2 * width, width, 0))]) for g in grams]) for y in (1, 0)]
+    model = toxicity.kneser_ney(grams, *n, rules, width=width)
     contexts = sorted({g[:-1] for g in both})
     asked = [(*c, w) for c in [*contexts, (99, 98)] for w in range(256)]
     want = [log(by_class(g, 1) / by_class(g, 0)) for g in asked]
-    assert np.allclose(model.ratios(np.array([packed(g) for g in asked], np.uint64)), want)
+    assert np.allclose(model.ratios(np.array([packed(g) for g in asked], np.uint64)), want, atol=1e-5)
     assert any(abs(x) > 0.1 for g, x in zip(asked, want, strict=True) if g not in both)  # unseen letters do say something
     for c in contexts:
         for y in (0, 1):
-            assert isclose(sum(by_class((*c, w), y) for w in range(256)), 1)
-    assert np.allclose(toxicity.text_features(np.array([1.0, -2.0, 4.0]), np.array([2, 3, 5]), np.array([3, 0]), 2), [[3.0 / 10, 2.5], [0, 0]])
+            assert width != 8 or isclose(sum(by_class((*c, w), y) for w in range(256)), 1)
 
 
 def by_line(rows):

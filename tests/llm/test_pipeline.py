@@ -63,6 +63,24 @@ def test_odd_tables(spark, tmp_path):
         assert docs.count() == (1 if part else 0)
 
 
+def test_columns_of_any_name_and_type(spark, tmp_path):
+    """Columns named like those that a stage makes for itself, maps and nested rows come back untouched."""
+    text = lambda k: " ".join(f"Word{k}x{i} stands here." for i in range(30))
+    extra = "near_row string, near_name long, row_name string, Row_Hash string, first_hash int, n_rows int, fold int, kept boolean, start string, words array<struct<a: int, b: map<string, int>>>, tags map<string, string>, `a.b` int"
+    rest = lambda k: ("mine", k, "own", "hash", k, 2, 3, False, "s", [(k, {"x": k})], {"k": str(k)}, k)
+    rows = [(k, text(k), *rest(k)) for k in range(6)] + [(7, text(1), *rest(7)), (None, text(8), *rest(8)), (2, text(9), *rest(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + extra)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns, wanted = docs.columns, sorted((r for r in rows if r[0] != 7), key=lambda r: r[3])
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/any-{n}")
+        docs = spark.read.parquet(f"{tmp_path}/any-{n}")
+        assert docs.columns == columns
+    plain = lambda r: (*r[:11], [(w[0], dict(w[1])) for w in r[11]], r[12], r[13])
+    assert [plain(r) for r in sorted(docs.collect(), key=lambda r: r[3])] == [plain(r) for r in wanted]
+    assert corpus_pipeline.pack(spark, docs, "").count() >= len(wanted)
+
+
 def test_rows_without_own_id(spark, tmp_path):
     """Null and repeated ids: every different text stays, copies of any row go."""
     text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
