@@ -19,6 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,19 +89,48 @@ class ClassRatios:
         return out
 
 
+@dataclass(frozen=True)
+class StoredRatios:
+    """Ratios of word pairs and of their first words in Parquet folders of the shared folder: the columns ``column`` beside the keys."""
+
+    pairs: str
+    contexts: str
+    column: str
+
+    def load(self) -> ClassRatios:
+        """Read by each worker process, which keeps the last ones."""
+        if self not in _LOADED:
+            while len(_LOADED) > 1:
+                _LOADED.pop(next(iter(_LOADED)))
+            found = []
+            for folder, key in ((self.pairs, "gram"), (self.contexts, "context")):
+                fs, root = pafs.FileSystem.from_uri(folder)
+                files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet"))
+                parts = [pq.read_table(f, columns=[key, self.column], filesystem=fs) for f in files]
+                keys, values = (np.concatenate([t.column(c).to_numpy() for t in parts]) for c in (key, self.column))
+                keys, values = keys[~np.isnan(values)].view(U64), values[~np.isnan(values)]
+                order = np.argsort(keys)
+                found += [keys[order], values[order]]
+            _LOADED[self] = ClassRatios(*found, 32)
+        return _LOADED[self]
+
+
+_LOADED: dict[StoredRatios, ClassRatios] = {}
+
+
 @dataclass
 class ToxicModel:
     """``curve``: bias, a weight for each ratio in the order of ``text_features``, and one for the log of the length."""
 
     letters: ClassRatios
-    pairs: ClassRatios
+    pairs: StoredRatios | None
     curve: np.ndarray
     rules: ToxicRules
 
     @classmethod
     def ignorant(cls, rules: ToxicRules) -> ToxicModel:
         """A model that scores all texts alike, low."""
-        return cls(ClassRatios.empty(8), ClassRatios.empty(32), np.concatenate([[-3.0], np.zeros(rules.n_ratios + 1)]), rules)
+        return cls(ClassRatios.empty(8), None, np.concatenate([[-3.0], np.zeros(rules.n_ratios + 1)]), rules)
 
 
 def _ink_words(column: pa.Array, limit: int):
@@ -235,11 +266,12 @@ def text_features(letters: np.ndarray, pairs: np.ndarray, counts: np.ndarray, ru
 def _scorer(model: ToxicModel):
     """A function of a text column: runs of rows (first, end) with their features."""
     words = WordRatios(model)
+    pairs = model.pairs.load() if model.pairs else ClassRatios.empty(32)
 
     def run(column: pa.Array):
         for lo, hi, buf, starts, ends, counts in _ink_words(column, 1 << 20):
             hashes = spans.hash_spans(buf, starts, ends)
-            yield lo, hi, text_features(words.of(buf, starts, ends, hashes), model.pairs.ratios(word_pairs(hashes, counts)), counts, model.rules)
+            yield lo, hi, text_features(words.of(buf, starts, ends, hashes), pairs.ratios(word_pairs(hashes, counts)), counts, model.rules)
 
     return run
 
@@ -332,26 +364,62 @@ def _counts(texts: DataFrame, rules: ToxicRules) -> DataFrame:
     return found.groupBy("pair", "gram").agg(*(F.sum(c).cast("int").alias(c) for c in names))
 
 
+def pair_ratios(table: DataFrame, rules: ToxicRules) -> tuple[DataFrame, DataFrame]:
+    """(gram, r0, r1, ..., all) and (context, r0, r1, ..., all): ``kneser_ney`` of word pairs, without each fold and of all, as two joins.
+
+    NaN where a pair or a first word occurs in none of the texts.
+    """
+    d, models = rules.discount, [*range(rules.folds), None]
+    names = [f"r{k}" for k in range(rules.folds)] + ["all"]
+    counts = {}
+    for name, without in zip(names, models, strict=True):
+        keep = [k for k in range(rules.folds) if k != without]
+        counts[f"t_{name}"] = sum((F.col(f"n{k}") for k in keep[1:]), F.col(f"n{keep[0]}"))
+        counts[f"o_{name}"] = sum((F.col(f"n{rules.folds + k}") for k in keep[1:]), F.col(f"n{rules.folds + keep[0]}"))
+    grams = table.select("gram", F.shiftrightunsigned("gram", 32).alias("context"), F.col("gram").bitwiseAND(0xFFFFFFFF).alias("word"), *[c.cast("double").alias(n) for n, c in counts.items()])
+    n = lambda c, m: F.col(f"{c}_{m}")
+    there = lambda m: n("t", m) + n("o", m) > 0
+    words = grams.groupBy("word").agg(*(F.count_if(there(m)).cast("double").alias(f"kinds_{m}") for m in names))
+    whole = words.agg(*(F.sum(f"kinds_{m}").alias(f"all_{m}") for m in names), *(F.count_if(F.col(f"kinds_{m}") > 0).cast("double").alias(f"words_{m}") for m in names))
+    after = grams.groupBy("context").agg(
+        *(F.count_if(there(m)).cast("double").alias(f"types_{m}") for m in names),
+        *(F.sum(n(c, m)).alias(f"total_{c}_{m}") for m in names for c in "to"), *(F.count_if(n(c, m) > 0).cast("double").alias(f"types_{c}_{m}") for m in names for c in "to"),
+    )
+    rest = lambda c, m: F.lit(d) * F.col(f"types_{c}_{m}") + rules.strength
+    both = grams.join(words, "word").join(after, "context").crossJoin(whole)  # the last of one row
+    known = lambda m, c: F.when(m, c).otherwise(float("nan")).cast("float")
+    out = []
+    for m in names:
+        lower = (F.greatest(n("kinds", m) - d, F.lit(0.0)) + d * n("words", m) / (n("words", m) + 1)) / n("all", m)
+        shared = (F.greatest(n("t", m) + n("o", m) - d, F.lit(0.0)) + d * n("types", m) * lower) / (n("total_t", m) + n("total_o", m))
+        log = {c: F.log((F.greatest(n(c, m) - d, F.lit(0.0)) + rest(c, m) * shared) / (F.col(f"total_{c}_{m}") + rules.strength)) for c in "to"}
+        out.append(known(there(m), log["t"] - log["o"]).alias(m))
+    weight = lambda c, m: F.log(rest(c, m) / (F.col(f"total_{c}_{m}") + rules.strength))
+    return both.select("gram", *out), after.select("context", *(known(n("types", m) > 0, weight("t", m) - weight("o", m)).alias(m) for m in names))
+
+
+def _folder(df: DataFrame) -> str:
+    """The folder of a settled frame as a URI."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def _models(table: DataFrame, rules: ToxicRules):
-    """A function of the fold to leave out (or None) that gives both models, from counts that the sample bounds."""
-    held = []
-    for kind in (False, True):
-        rows = table.where(F.col("pair") == kind).drop("pair").toArrow()
-        grams = rows.column(0).to_numpy().view(U64)
-        order = np.argsort(grams)
-        held.append((grams[order], np.column_stack([c.to_numpy()[order] for c in rows.columns[1:]]) if len(grams) else np.zeros((0, 2 * rules.folds), np.int32)))
+    """A function of the fold to leave out (or None) that gives a model. The letters' counts, which the sample bounds, come to the driver, the pairs' ratios stay in the shared folder."""
+    rows = table.where(~F.col("pair")).drop("pair").toArrow()
+    grams = rows.column(0).to_numpy().view(U64)
+    order = np.argsort(grams)
+    grams, n = grams[order], [c.to_numpy()[order] for c in rows.columns[1:]]
+    del rows
+    stored = [settle(df, name) for df, name in zip(pair_ratios(table.where("pair").drop("pair"), rules), ("pairs", "contexts"), strict=True)] if len(grams) else []
 
     def make(without: int | None) -> ToxicModel:
         model = ToxicModel.ignorant(rules)
-        found = []
-        for (grams, n), order, width in zip(held, (rules.order, 2), (8, 32), strict=True):
-            keep = [k for k in range(rules.folds) if k != without]
-            toxic, ordinary = n[:, keep].sum(axis=1), n[:, [rules.folds + k for k in keep]].sum(axis=1)
+        keep = [k for k in range(rules.folds) if k != without]
+        toxic, ordinary = (sum(n[shift + k].astype(np.float64) for k in keep) if len(grams) else np.zeros(0) for shift in (0, rules.folds))
+        if toxic.any() and ordinary.any():
             some = toxic + ordinary > 0
-            if not (toxic.any() and ordinary.any()):
-                return model
-            found.append(kneser_ney(grams[some], toxic[some].astype(float), ordinary[some].astype(float), rules, order=order, width=width))
-        model.letters, model.pairs = found
+            model.letters = kneser_ney(grams[some], toxic[some], ordinary[some], rules)
+            model.pairs = StoredRatios(*map(_folder, stored), "all" if without is None else f"r{without}")
         return model
 
     return make
@@ -360,7 +428,7 @@ def _models(table: DataFrame, rules: ToxicRules):
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicRules = ToxicRules(), *, modulus: int = 3, remainder: int = 1) -> ToxicModel:
     """Learn from (doc_id, text) and (doc_id, toxic), leaving out ids whose crc32 has the remainder.
 
-    What reaches the driver are the sample's n-grams, which its bytes bound. Labels that are
+    What reaches the driver are the letters' n-grams of the sample, which its bytes bound; those of words stay in files of the shared folder, which the model needs. Labels that are
     null or not 0 or 1 are ignored; of several labels of a document the largest
     counts, of several texts of one id that of the smallest hash. Without labels of both classes the model
     scores all texts alike, low.

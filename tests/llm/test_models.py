@@ -91,9 +91,27 @@ def test_toxicity_keeps_every_ngram(spark):
     kept = [i for i in range(40) if not docs.where((F.col("doc_id") == i) & held_out("doc_id", 3, 1)).count()]
     buf = np.frombuffer(b" ".join(b"rare%d word" % i for i in kept), np.uint8)
     starts, ends, _ = toxicity.spans.words(buf, np.array([0, len(buf)]))
-    assert set(toxicity.letter_grams(buf, starts, ends, 7)[1].tolist()) == set(model.letters.grams.tolist()) and len(model.pairs.grams) == 2 * len(kept)
+    assert set(toxicity.letter_grams(buf, starts, ends, 7)[1].tolist()) == set(model.letters.grams.tolist()) and len(model.pairs.load().grams) == 2 * len(kept)
     none = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), toxicity.ToxicRules(sample_bytes=60))
-    assert 0 < len(none.pairs.grams) < len(model.pairs.grams)
+    assert 0 < len(none.pairs.load().grams) < len(model.pairs.load().grams)
+
+
+def test_pair_ratios_against_plain_version(spark):
+    """The joins give what the arrays give, for all texts and without each fold."""
+    rng = np.random.default_rng(7)
+    rules = toxicity.ToxicRules(folds=3, strength=2.0)
+    grams = sorted({int(a) << 32 | int(b) for a, b in zip(rng.integers(1, 2**32, 30)[rng.integers(0, 30, 200)], rng.integers(1, 2**32, 20)[rng.integers(0, 20, 200)])})
+    n = rng.poisson(0.5, (len(grams), 6))
+    rows = [(int(np.uint64(g).view(np.int64)), *map(int, c)) for g, c in zip(grams, n)]
+    pairs, contexts = toxicity.pair_ratios(spark.createDataFrame(rows, "gram long, " + ", ".join(f"n{k} int" for k in range(6))), rules)
+    for name, without in (("r0", 0), ("r2", 2), ("all", None)):
+        keep = [k for k in range(3) if k != without]
+        toxic, ordinary = n[:, keep].sum(axis=1).astype(float), n[:, [3 + k for k in keep]].sum(axis=1).astype(float)
+        some = toxic + ordinary > 0
+        want = toxicity.kneser_ney(np.array(grams, np.uint64)[some], toxic[some], ordinary[some], rules, order=2, width=32)
+        for df, key, keys, values in ((pairs, "gram", want.grams, want.gram_ratio), (contexts, "context", want.contexts, want.context_ratio)):
+            got = {int(np.int64(r[key]).view(np.uint64)): r[name] for r in df.collect() if r[name] == r[name]}
+            assert got.keys() == set(keys.tolist()) and np.allclose([got[k] for k in keys.tolist()], values, atol=1e-5)
 
 
 def test_worst_windows_against_plain_version():
