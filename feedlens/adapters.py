@@ -16,6 +16,7 @@ from feedlens.operators import posts as P
 from feedlens.operators.sessionize import sessionize_all
 from feedlens.session import shared_root
 from feedlens.sources.store import LabelStore
+from feedlens.sources.textindex import blocks_of, grams_of
 
 #: Sessions of messages in most queries, so that conversations have several messages.
 LONG_GAP_MS = 43_200_000
@@ -97,17 +98,42 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionize_all(messages(spark, sf_dir), gap_ms=LONG_GAP_MS)
 
 
-_STORES: dict[tuple[str, str], LabelStore] = {}
+_STORES: dict[tuple, LabelStore] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Names, sizes and times of a table's files, which tell whether it has changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def store(spark: SparkSession, sf_dir: str) -> LabelStore:
-    """The labelled messages and conversations of a folder, stored once in each session."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The labelled messages and conversations of a folder, stored once in each session and for each state of its events."""
+    key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir, "events")
     if key not in _STORES:
-        _STORES[key] = LabelStore(f"{shared_root(spark)}/labels-{uuid.uuid4().hex}", gap_ms=LONG_GAP_MS).create(messages(spark, sf_dir))
+        _STORES[key] = LabelStore(f"{shared_root(spark)}/labels-{uuid.uuid4().hex}", buckets=8, gap_ms=LONG_GAP_MS).create(messages(spark, sf_dir))
     return _STORES[key]
 
 
+_INDEXES: dict[tuple, tuple[str, str]] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of the documents in blocks and the blocks' grams, stored once in each session and for each state of the table."""
+    key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir, "documents")
+    if key not in _INDEXES:
+        paths = tuple(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}" for name in ("texts", "grams"))
+        blocks_of(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), block_rows=16).write.parquet(paths[0])
+        grams_of(spark.read.parquet(paths[0])).sort("gram").write.parquet(paths[1])
+        _INDEXES[key] = paths
+    return tuple(map(spark.read.parquet, _INDEXES[key]))
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(spark, sf_dir).conversations(spark)
 

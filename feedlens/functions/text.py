@@ -37,9 +37,19 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
+def fold(term: str) -> str:
+    """Lower case of ASCII letters alone."""
+    return term.translate(str.maketrans(_UPPER, _UPPER.lower()))
+
+
 def contains_fold(c: Column, term: str) -> Column:
-    """Literal substring test that ignores the case of ASCII letters; null gives null."""
-    return ascii_lower(c).contains(term.translate(str.maketrans(_UPPER, _UPPER.lower())))
+    """Literal substring test that ignores the case of ASCII letters; null gives null.
+
+    A term with letters is a quoted pattern, which folds as it goes; others need no folding.
+    """
+    if not any(x in _UPPER for x in term.upper() if x.isascii()):
+        return c.contains(term)
+    return c.rlike(r"(?i)\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E")
 
 
 def literal(value: str) -> str:

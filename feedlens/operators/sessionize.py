@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.config import DAY_MS, GAP_MS
-from feedlens.sources.merge import insert_ignore
 
 #: Messages of one user that a task may hold.
 BUSY = 1_000_000
@@ -89,18 +88,3 @@ def conversation_spans(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("conversation_id").agg(
         F.min("user_vid").alias("user_vid"), F.count("*").alias("msg_count"), F.min("ts_ms").alias("first_ts_ms"), F.max("ts_ms").alias("last_ts_ms")
     )
-
-
-def resession_touched(history: DataFrame, incoming: DataFrame, *, gap_ms: int = GAP_MS) -> DataFrame:
-    """Sessions of every user that ``incoming`` names, over their whole history.
-
-    Known messages keep their first version; of new rows that share an id the
-    earliest counts. A user of whom nothing is new comes back as they were, so
-    callers replace all rows of all users of the batch, whatever it holds. A late
-    message can change the first time, and with it the id, of a conversation.
-    """
-    columns = [c for c in history.columns if c not in ("conversation_id", "msg_seq")]
-    fresh = insert_ignore(history, incoming.select(*columns), "feedback_id", order="ts_ms")
-    users = incoming.select(F.col("user_vid").alias("_u")).distinct()
-    touched = history.join(users, history.user_vid == users._u, "left_semi")
-    return sessionize(touched.select(*columns).unionByName(fresh.select(*columns)), gap_ms=gap_ms)

@@ -132,7 +132,6 @@ add("tag_run_stats", f"{MSG}, {labels('m')} SELECT count(*) FILTER (WHERE rule <
 _REPLIES = [("A.Bug", "性能", "P1", 1.0, "卡"), ("待定", "", "P3", 0.5, "llm"), ("待定", "", "P3", 0.0, "parse_error: no_json_found"), ("C.咨询", "", "P3", 0.25, "llm"), ("B.建议", "皮肤", "P3", 0.0, "想要皮肤"), ("待定", "", "P3", 0.0, "parse_error: no_json_found"), ("待定", "", "P3", 0.0, "parse_error: no_json_found")]
 add("llm_reply_parse", "WITH v(i, L1, L2, severity, confidence, reason) AS (VALUES " + ", ".join(f"({i}, {q(a)}, {q(b)}, {q(c)}, CAST({x} AS DOUBLE), {q(r)})" for i, (a, b, c, x, r) in enumerate(_REPLIES)) + ") SELECT event_id, L1, L2, severity, confidence, reason FROM events JOIN v ON i = event_id % 7")
 add("untagged_messages", f"{MSG}, {labels('m')} SELECT feedback_id, ts_ms FROM l WHERE rule = 'none' ORDER BY ts_ms, feedback_id")
-add("untagged_messages_all", f"{MSG}, {labels('m')} SELECT feedback_id, ts_ms FROM l WHERE rule = 'none' ORDER BY ts_ms, feedback_id")
 add("conversation_labels", f"{CON} SELECT conversation_id, L1, L2, severity, confidence, reason, msg_count, first_ts_ms, last_ts_ms, user_vid, appversion FROM c")
 
 # --- lists and filters -------------------------------------------------------
@@ -159,6 +158,8 @@ add("canonical_plan_search", _ID + some(f"({_VOICE}) AND ({_INPUT}) AND ({_PROBL
 add("smart_search_metadata", _ID + "starts_with(appversion, '4.1') AND " + some("platform = 'iOS'"))
 _USER = "SELECT conv_id FROM conversations WHERE role = 'user'"
 add("chat_keyword_search", f"SELECT DISTINCT conv_id AS conversation_id FROM conversations WHERE role = 'user' AND {said('the')} AND {said('ing')} AND conv_id NOT IN ({_USER} AND {said('zz')})")
+add("indexed_keyword_search", _ID + "(" + some(f"({said('键盘')} AND {said('卡顿')}) OR {said('crash')} OR {said('白屏')}") + ") AND NOT " + some(said("bug")))
+add("indexed_document_search", f"SELECT doc_id, lang, n_chars FROM documents WHERE ({said('license')} AND {said('©')}) OR {said('zq')} OR {said('the of')} OR ({said('@')} AND {said('http')})")
 add("document_search", f"SELECT doc_id, lang, n_chars FROM documents WHERE {said('license')} OR {said('the of')}")
 add("document_regex_search", "SELECT doc_id, lang FROM documents WHERE length(text) < 2000 AND regexp_matches(text, '(?i)(^|[^\\pL\\pN_])THE\\s+[\\pL\\pN_]+ing($|[^\\pL\\pN_])')")
 
@@ -257,7 +258,6 @@ add("report_stats", f"{_SAMPLES}, u AS (" + " UNION ALL ".join(f"SELECT '{d}' AS
 add("report_range", f"{_SAMPLES} SELECT count(*) AS sample_count, min(last_ts_ms) AS from_ms, max(last_ts_ms) AS to_ms FROM sa")
 add("report_lines", f"{_SAMPLES} SELECT '- 会话 ' || conversation_id || ' | AI相关性 ' || CASE WHEN ai_score > 0 THEN CAST(ai_score AS VARCHAR) ELSE '未精筛' END || ' | 平台 ' || platform || ' | 版本 ' || COALESCE(NULLIF(appversion, ''), '未知') || ' | 标签弱参考 ' || L1 || ' / ' || COALESCE(NULLIF(L2, ''), '-') || ' / ' || severity || chr(10) || '  原文：' || text AS line FROM best")
 add("score_sort", f"{_SAMPLES} SELECT conversation_id, last_ts_ms, ai_score FROM sa ORDER BY ai_score DESC, last_ts_ms DESC, conversation_id")
-add("score_sort_all", f"{_SAMPLES} SELECT conversation_id, last_ts_ms, ai_score FROM sa ORDER BY ai_score DESC, last_ts_ms DESC, conversation_id")
 add("relevance_batches", f"{SESS}, tx AS (SELECT conversation_id, substr(string_agg(text, ' | ' ORDER BY msg_seq), 1, 500) AS text FROM f GROUP BY 1) SELECT conversation_id, CASE WHEN contains(text, '卡顿') THEN 3 WHEN contains(text, '卡') OR contains(text, '顿') THEN 2 ELSE 1 END::BIGINT AS score, 'overlap' AS reason FROM tx")
 
 # --- streams -----------------------------------------------------------------

@@ -22,6 +22,7 @@ from feedlens.operators.sessionize import conversation_spans, sessionize_all, se
 from feedlens.plans import intent as I
 from feedlens.sources import merge as M
 from feedlens.sources import messages as SM
+from feedlens.sources import textindex as TI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DATE = "2024-01-10"
@@ -178,12 +179,6 @@ def untagged_messages(spark, d):
     return _untagged(spark, d)
 
 
-@query
-def untagged_messages_all(spark, d):
-    """As untagged_messages, under the name that it had beside a limited one."""
-    return _untagged(spark, d)
-
-
 @query
 def conversation_labels(spark, d):
     return aggregate_labelled(tagging.with_label(A.sessions(spark, d))).select("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_ms", "last_ts_ms", "user_vid", "appversion")
@@ -291,6 +286,21 @@ def smart_search_metadata(spark, d):
     return _ids(found)
 
 
+@query
+def indexed_keyword_search(spark, d):
+    """keyword_search_and_or with an excluded word, by the store's index."""
+    store = A.store(spark, d).add_index(spark)
+    return _ids(store.keyword_search(spark, [S.KeywordGroup(["键盘", "卡顿"]), S.KeywordGroup(["crash", "白屏"], "OR"), S.KeywordGroup([])], ["Bug"]))
+
+
+@query
+def indexed_document_search(spark, d):
+    """Documents by their index: words with and without a neighbour, of one character, and of both cases."""
+    texts, grams = A.document_index(spark, d)
+    found = TI.search_texts(texts, grams, [S.KeywordGroup(["License", "©"]), S.KeywordGroup(["zq", "the OF"], "OR"), S.KeywordGroup(["@", "http"])])
+    return found.select("doc_id", "lang", "n_chars")
+
+
 @query
 def chat_keyword_search(spark, d):
     """Chats with a user's message that has both words and none with the third, over the conversations table."""
@@ -522,12 +532,6 @@ def score_sort(spark, d):
     return _by_score(spark, d)
 
 
-@query
-def score_sort_all(spark, d):
-    """As score_sort, under the name that it had beside a limited one."""
-    return _by_score(spark, d)
-
-
 def overlap_scorer(query: str, batch: list[tuple[str, str]]) -> list[dict]:
     """Stands for a model: 3 if the text holds the query, 1 if it holds none of its characters, else 2."""
     return [{"score": 3 if query in text else 2 if set(query) & set(text) else 1, "reason": "overlap"} for _, text in batch]

@@ -1,13 +1,15 @@
 """Labelled messages and conversations as stored tables: written once, queried many times, refreshed by batches.
 
 Messages stand with their conversation and label, conversations with their label
-and what a list shows of them. Both are dealt by user into buckets, so that a
-batch rewrites the buckets of its users alone, and sorted by time inside a file,
-so that a scan for a range of time skips row groups.
+and what a list shows of them. Both are dealt by user into buckets and sorted by
+time inside a file. A batch writes the buckets of its users anew and changes both tables in one
+version; readers go on in the version that they began with. With an index, texts and their
+grams are two more tables of every version.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,78 +21,163 @@ from feedlens.operators.browse import PREVIEW_CHARS
 from feedlens.operators.labels import aggregate_labelled
 from feedlens.operators.sessionize import sessionize_all
 from feedlens.operators.tagging import LABEL_COLUMNS, with_label
-from feedlens.session import settle
+from feedlens.session import forget, settle
 from feedlens.sources.merge import insert_ignore
+from feedlens.operators.search import KeywordGroup
+from feedlens.sources import textindex
+from feedlens.sources.snapshots import Conflict, DataFile, SnapshotLog, Version
 
 LABELS = [*LABEL_COLUMNS, "rule_name"]
+#: The column that a table's files are sorted by.
+ORDER = {"messages": "ts_ms", "conversations": "last_ts_ms", "texts": "block", "grams": "gram"}
 
 
 def _bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def _nameless() -> Column:
+    return F.coalesce("user_vid", F.lit("")) == ""
+
+
 def _owner() -> Column:
     """What a message's bucket follows: its user, or for one without, its own id."""
-    return F.coalesce(F.nullif(F.col("user_vid"), F.lit("")), F.col("feedback_id"))
+    return F.when(_nameless(), F.col("feedback_id")).otherwise(F.col("user_vid"))
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
-    """Conversation labels of labelled messages, with the platform and preview of message 0."""
+    """Conversation labels of labelled messages with their bucket, with the platform and preview of message 0."""
     first = F.struct(F.coalesce("platform", F.lit("")).alias("platform"), F.substring(F.coalesce("text", F.lit("")), 1, PREVIEW_CHARS).alias("preview_text"))
-    return aggregate_labelled(rows, extra={"_first": F.min_by(first, "msg_seq")}).select("*", "_first.*").drop("_first")
+    return aggregate_labelled(rows, extra={"_first": F.min_by(first, "msg_seq"), "bucket": F.min("bucket")}).select("*", "_first.*").drop("_first")
 
 
 @dataclass(frozen=True)
 class LabelStore:
-    """Two Parquet tables below ``path``; ``buckets`` is fixed when it is made."""
+    """Versions of both tables below ``path``. The number of buckets is set when the store is made: ``buckets``, or one for ``bucket_rows`` messages."""
 
     path: str
-    buckets: int = 8
+    buckets: int | None = None
+    bucket_rows: int = 250_000
     gap_ms: int = C.GAP_MS
     rules: C.TagRules = C.TagRules()
 
-    def messages(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/messages")
+    def log(self, spark: SparkSession) -> SnapshotLog:
+        return SnapshotLog(spark, self.path)
+
+    def messages(self, spark: SparkSession, version: int | None = None, **range_: int | None) -> DataFrame:
+        """Messages of a version, the newest if none is named; ``since`` and ``until`` (by ts_ms, inclusive) leave out files."""
+        log = self.log(spark)
+        return log.read("messages", log.version(version), **range_).drop("bucket")
 
-    def conversations(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/conversations")
+    def conversations(self, spark: SparkSession, version: int | None = None, **range_: int | None) -> DataFrame:
+        """Conversations of a version; ``since`` and ``until`` go by last_ts_ms."""
+        log = self.log(spark)
+        return log.read("conversations", log.version(version), **range_).drop("bucket")
 
     def create(self, messages: DataFrame) -> LabelStore:
-        """Find sessions, label every message and conversation, and write both tables anew."""
-        self._write(with_label(sessionize_all(messages, gap_ms=self.gap_ms), self.rules), "static")
+        """Find sessions, label every message and conversation, and make a version of them alone."""
+        log = self.log(messages.sparkSession)
+        base = log.version()
+        n = self.buckets or max(1, -(-messages.count() // self.bucket_rows))
+        rows = with_label(sessionize_all(messages, gap_ms=self.gap_ms), self.rules).withColumn("bucket", _bucket(_owner(), n))
+        added, schema = self._stage(log, {"messages": rows})
+        talks = conversations_of(log.of("messages", schema["messages"], added).withColumn("bucket", _bucket(_owner(), n)))
+        more, also = self._stage(log, {"conversations": talks})
+        log.commit(Version(base.number, n, {}, ()), added + more, list(base.files), list(range(n)), schema | also, n)
         return self
 
-    def refresh(self, batch: DataFrame) -> LabelStore:
+    @staticmethod
+    def _stage(log: SnapshotLog, tables: dict[str, DataFrame]) -> tuple[list[DataFile], dict[str, str]]:
+        files = [f for name, df in tables.items() for f in log.stage(df, name, ORDER[name])]
+        return files, {name: df.drop("bucket").schema.json() for name, df in tables.items()}
+
+    @staticmethod
+    def _index(log: SnapshotLog, rows: DataFrame) -> tuple[list[DataFile], dict[str, str]]:
+        """The index tables of messages with their bucket, which ``part`` repeats in the rows."""
+        own = rows.select("bucket", F.col("bucket").alias("part"), "text", "conversation_id")
+        texts = settle(textindex.blocks_of(own, bucket="part"), "texts")
+        grams = textindex.grams_of(texts, bucket="part").withColumn("bucket", F.col("part"))
+        out = LabelStore._stage(log, {"texts": texts, "grams": grams})
+        forget(texts)
+        return out
+
+    def add_index(self, spark: SparkSession) -> LabelStore:
+        """Index the texts of the newest version, if they aren't; every refresh then keeps the index up."""
+        log = self.log(spark)
+        base = log.version()
+        if "texts" not in base.schemas:
+            rows = log.read("messages", base).withColumn("bucket", _bucket(_owner(), base.buckets))
+            added, schema = self._index(log, rows)
+            log.commit(base, added, [], list(range(base.buckets)), schema, base.buckets)
+        return self
+
+    def keyword_search(self, spark: SparkSession, groups: Sequence[KeywordGroup], excludes: Sequence[str] = (), version: int | None = None) -> DataFrame:
+        """Conversations with a message that fits one of the groups, and none with an excluded word, by the index."""
+        log = self.log(spark)
+        now = log.version(version)
+
+        def found(groups: Sequence[KeywordGroup]) -> DataFrame:
+            asked, _ = textindex.gram_condition(groups)
+            grams = log.read("grams", now, since=min(asked), until=max(asked)) if asked else log.read("grams", now)
+            return textindex.search_texts(log.read("texts", now), grams, groups, bucket="part").select("conversation_id")
+
+        out = log.read("conversations", now).join(found(groups), "conversation_id", "left_semi")
+        return out.join(found([KeywordGroup(excludes, "OR")]), "conversation_id", "left_anti") if excludes else out
+
+    def refresh(self, batch: DataFrame, *, tries: int = 5) -> LabelStore:
         """Take in a batch of messages: new, late, or delivered before.
 
         All users of the batch are sessionized again over their whole history.
         Messages keep the label that they have, only those without one are
         tagged; the conversations of these users are aggregated again, and stale
-        ones go. The buckets that hold them are replaced as a whole, from a
-        written result, so a batch that runs twice, or again after a failure,
-        has the same result.
+        ones go. Files of the buckets that hold them are written anew; no others are read or
+        written. A batch that runs twice, or again after a failure, has the same result. If
+        another batch changed one of the buckets meanwhile, this one starts again
+        from that version. A message's id belongs to its user: an id that comes again with another user isn't looked for among all others.
         """
-        spark = batch.sparkSession
         batch = settle(schemas.conform(batch, schemas.FEEDBACK), "batch")
-        held = self.messages(spark)
-        fresh = insert_ignore(held, batch, "feedback_id", order="ts_ms")
-        buckets = batch.select(_bucket(_owner(), self.buckets).alias("bucket")).distinct()
-        near = held.join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")  # at most one row for each bucket
-        users = batch.select("user_vid").where("user_vid is not null").distinct()
-        touched = near.join(users, "user_vid", "left_semi").select(*near.columns)
-        columns = [c for c in fresh.columns if c not in ("conversation_id", "msg_seq")]
-        again = sessionize_all(touched.select(*columns, *LABELS).unionByName(fresh.select(*columns), allowMissingColumns=True), gap_ms=self.gap_ms)
-        told = with_label(again.where("L1 is null").drop(*LABELS), self.rules)
-        rest = near.join(users, "user_vid", "left_anti")
-        whole = settle(rest.select(*near.columns).unionByName(told.select(*near.columns)).unionByName(again.where("L1 is not null").select(*near.columns)), "refreshed")
-        self._write(whole, "dynamic")
+        try:
+            for last in range(tries):
+                try:
+                    self._refresh(batch)
+                    return self
+                except Conflict:
+                    if last + 1 == tries:
+                        raise
+        finally:
+            forget(batch)
         return self
 
-    def _write(self, rows: DataFrame, over: str) -> None:
-        rows = settle(rows.withColumn("bucket", _bucket(_owner(), self.buckets)), "labelled")
-        of = rows.groupBy("conversation_id").agg(F.min("bucket").alias("bucket"))
-        talks = conversations_of(rows).join(of, "conversation_id")
-        for name, df, time in (("messages", rows, "ts_ms"), ("conversations", talks, "last_ts_ms")):
-            # rebalancing splits the bucket of a busy user over several tasks and files
-            dealt = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", time)
-            dealt.write.mode("overwrite").option("partitionOverwriteMode", over).partitionBy("bucket").parquet(f"{self.path}/{name}")
+    def _refresh(self, batch: DataFrame) -> None:
+        log = self.log(batch.sparkSession)
+        base = log.version()
+        n = base.buckets
+        touched = [r.bucket for r in batch.select(_bucket(_owner(), n).alias("bucket")).distinct().collect()]  # n numbers at most
+        if not touched:
+            return
+        held = log.read("messages", base, buckets=touched)
+        users = batch.where(~_nameless()).select("user_vid").distinct()
+        fresh = insert_ignore(held, batch, "feedback_id", order="ts_ms")
+        columns = [c for c in fresh.columns if c not in ("conversation_id", "msg_seq")]
+        known = held.join(users, "user_vid", "left_semi").select(*columns, *LABELS)
+        again = settle(sessionize_all(known.unionByName(fresh.select(*columns), allowMissingColumns=True), gap_ms=self.gap_ms), "again")
+        told = with_label(again.where("L1 is null").drop(*LABELS), self.rules).select(*held.columns)
+        new = again.where("L1 is not null").select(*held.columns).unionByName(told)
+        new = settle(new.withColumn("bucket", _bucket(_owner(), n)), "labelled")
+        rest = held.join(users, "user_vid", "left_anti").select(*held.columns).withColumn("bucket", _bucket(_owner(), n))
+        stay = log.read("conversations", base, buckets=touched)
+        # a message without a user is a conversation of its own, whose id names its bucket through the message alone
+        lone = new.where(_nameless()).select("conversation_id", "bucket")
+        own = F.when(~_nameless(), _bucket(F.col("user_vid"), n))
+        stay = stay.join(users, "user_vid", "left_anti").select(*stay.columns).join(lone.select("conversation_id"), "conversation_id", "left_anti").select(*stay.columns)
+        named, nameless = stay.where(~_nameless()).withColumn("bucket", own), stay.where(_nameless())
+        nameless = nameless.join(rest.where(_nameless()).select("conversation_id", "bucket"), "conversation_id")
+        talks = conversations_of(new)
+        talks = talks.unionByName(named.select(*talks.columns)).unionByName(nameless.select(*talks.columns))
+        added, schema = self._stage(log, {"messages": rest.unionByName(new), "conversations": talks})
+        if "texts" in base.schemas:
+            whole = log.of("messages", schema["messages"], [f for f in added if f.table == "messages"])
+            added += self._index(log, whole.withColumn("bucket", _bucket(_owner(), n)))[0]
+        gone = set(touched)
+        log.commit(base, added, [f for f in base.files if f.bucket in gone], touched, {}, n)
+        forget(again, new)

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedlens.operators.sessionize import resession_touched
-from feedlens.sources.merge import replace_keys
-
 TIME = "ts"
 
 
@@ -38,18 +35,3 @@ def stream_dedup(messages: DataFrame, key: str, *, late: str = "1 day") -> DataF
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, *, mode: str = "append") -> StreamingQuery:
     """Process what has arrived since the last run and stop: the trigger for an external schedule."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-
-
-def recompute_users(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A batch handler that sessionizes the users of a batch again, over their whole history.
-
-    ``read`` gives the stored messages, ``write`` replaces the table by the one
-    it gets, for a batch number. A batch that runs twice has the same result.
-    """
-
-    def handle(batch: DataFrame, number: int) -> None:
-        history = read()
-        again = resession_touched(history, batch)
-        write(replace_keys(history.where("user_vid is not null"), again, batch.where("user_vid is not null"), "user_vid").unionByName(history.where("user_vid is null"), allowMissingColumns=True), number)
-
-    return handle

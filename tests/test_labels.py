@@ -91,7 +91,7 @@ def test_all_untagged(spark, tmp_path):
     from feedlens.queries import QUERIES
 
     spark.range(24_000).selectExpr("id AS event_id", "id % 50 AS user_id", "timestamp_seconds(1704844800 + id) AS ts", "'click' AS event_type", "1.0D AS value", "concat('{\"k\": ', id % 9, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
-    got = QUERIES["untagged_messages_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["untagged_messages"](spark, str(tmp_path)).collect()
     assert len(got) > 500 and [r.ts_ms for r in got] == sorted(r.ts_ms for r in got)
     assert QUERIES["untagged_messages"](spark, str(tmp_path)).collect() == got
     m = spark.createDataFrame([("b", 1), ("a", 1), ("c", 0), ("d", 2)], "feedback_id string, ts_ms long")

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from feedlens.config import GAP_MS
-from feedlens.operators.sessionize import resession_touched, sessionize, sessionize_split
+from feedlens.operators.sessionize import sessionize, sessionize_split
 
 SCHEMA = "feedback_id string, user_vid string, ts_ms long"
 
@@ -44,7 +44,14 @@ def test_random_against_model(spark):
     assert found(sessionize_split(df, gap_ms=5_000_000, span_ms=1_000_000)) == model(rows, 5_000_000)
 
 
-def test_late_message_moves_the_start(spark):
-    history = spark.createDataFrame([("a", "u1", 5000), ("x", "u2", 1)], SCHEMA)
-    late = spark.createDataFrame([("b", "u1", 4000), ("a", "u1", 9_999_999_999)], SCHEMA)
-    assert found(resession_touched(history, late)) == model([("a", "u1", 5000), ("b", "u1", 4000)])
+def test_late_message_moves_the_start(spark, tmp_path):
+    """The conversation that began later is gone from the store, not left beside the new one."""
+    from feedlens import schemas
+    from feedlens.sources.store import LabelStore
+
+    full = lambda rows: schemas.conform(spark.createDataFrame(rows, SCHEMA), schemas.FEEDBACK)
+    store = LabelStore(str(tmp_path), buckets=2).create(full([("a", "u1", 5000), ("x", "u2", 1)]))
+    store.refresh(full([("b", "u1", 4000), ("a", "u1", 9_999_999_999)]))
+    want = model([("a", "u1", 5000), ("b", "u1", 4000), ("x", "u2", 1)])
+    assert found(store.messages(spark)) == want
+    assert {r.conversation_id for r in store.conversations(spark).collect()} == {c for c, _ in want.values()}

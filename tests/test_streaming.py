@@ -2,44 +2,11 @@ from datetime import datetime, timedelta
 
 
 
-from feedlens.operators.sessionize import sessionize
-from feedlens.sources.merge import insert_ignore
 from feedlens.streaming import messages as ST
 
 SCHEMA = "feedback_id string, user_vid string, ts_ms long"
 
 
-def test_incremental_equals_batch(spark, tmp_path):
-    rows = [("a", "u1", 10_000_000), ("b", "u1", 11_000_000), ("c", "u2", 5), ("d", None, 7), ("e", "u1", 9_000_000), ("a", "u1", 1), ("f", "u2", 6), ("g", None, 7)]
-    state = {"n": 0}
-
-    def read():
-        return spark.read.parquet(f"{tmp_path}/table-{state['n']}") if state["n"] else spark.createDataFrame([], SCHEMA + ", conversation_id string, msg_seq int")
-
-    def write(df, number):
-        df.write.mode("overwrite").parquet(f"{tmp_path}/table-{number + 1}")
-        state["n"] = number + 1
-
-    for k, part in enumerate((rows[:4], rows[4:])):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part-{k}")
-        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-        ST.run_available(stream, ST.recompute_users(read, write), f"{tmp_path}/log").awaitTermination()
-    once = spark.createDataFrame(rows[:5] + rows[6:], SCHEMA)
-    key = lambda df: sorted((r.feedback_id, r.conversation_id, r.msg_seq) for r in df.collect())
-    assert key(read()) == key(sessionize(once))
-    assert insert_ignore(read(), once, "feedback_id").count() == 0
-
-
-def test_redelivery_keeps_history(spark):
-    """A batch of known messages alone, and any batch again, changes nothing."""
-    table = {"df": spark.createDataFrame([("a", "u1", 1), ("b", "u1", 2), ("c", "u2", 3), ("n", None, 4)], SCHEMA + "").transform(sessionize)}
-    before = sorted(map(tuple, table["df"].collect()), key=str)
-    handle = ST.recompute_users(lambda: table["df"], lambda df, n: table.update(df=spark.createDataFrame(df.collect(), df.schema)))
-    for batch in ([("a", "u1", 1)], [("a", "u1", 1)], [("n", None, 4), ("c", "u2", 9)]):
-        handle(spark.createDataFrame(batch, SCHEMA), 0)
-        assert sorted(map(tuple, table["df"].select("feedback_id", "user_vid", "ts_ms", "conversation_id", "msg_seq").collect()), key=str) == before
-
-
 def test_label_store(spark, tmp_path):
     """Refreshed by late, repeated and unlabelled batches, twice each, a store is what one of all messages is; labels that are there stay."""
     from feedlens import schemas
