@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -71,13 +72,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system: worker processes live on, and the next stage shares their machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow in small batches; Arrow's unused memory goes back when a task ends."""
+    """mapInArrow in small batches; unused memory goes back when a task ends."""
     small_batches(df.sparkSession)
 
     def whole(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return df.mapInArrow(whole, schema)
 

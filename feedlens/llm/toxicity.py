@@ -15,13 +15,14 @@ can't be negative, turns them into a probability; it is fitted to texts scored b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
@@ -45,8 +46,8 @@ class ToxicRules:
     order: int = 7
     discount: float = 0.75
     strength: float = 20.0
-    sample: int = 8_000
-    sample_bytes: int = 32 << 20
+    sample: int = 4_000
+    sample_bytes: int = 16 << 20
     folds: int = 4
     toxic_weight: float = 3.0
     ridge: float = 0.001
@@ -98,10 +99,9 @@ class StoredRatios:
     column: str
 
     def load(self) -> ClassRatios:
-        """Read by each worker process, which keeps the last ones."""
+        """Read by each worker process, which keeps the last one."""
         if self not in _LOADED:
-            while len(_LOADED) > 1:
-                _LOADED.pop(next(iter(_LOADED)))
+            _LOADED.clear()
             found = []
             for folder, key in ((self.pairs, "gram"), (self.contexts, "context")):
                 fs, root = pafs.FileSystem.from_uri(folder)
@@ -336,8 +336,12 @@ def _sample(docs: DataFrame, labels: DataFrame, rules: ToxicRules, modulus: int,
     chosen = F.broadcast(pick(0).union(pick(1)))  # two times rules.sample rows at most
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sizes = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size"))
-    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # rows of the sample's bound
-    within = sizes.withColumn("size", before).where(F.col("size") <= rules.sample_bytes).select("doc_id", "toxic")
+    seen = sorted((r.toxic, r.hash, r.doc_id, r.size) for r in sizes.select("toxic", F.xxhash64("doc_id").alias("hash"), "doc_id", "size").collect())  # two times rules.sample rows at most
+    ids = []
+    for c in (0, 1):
+        mine = [r for r in seen if r[0] == c]
+        ids += [(r[2], c) for r, total in zip(mine, accumulate(r[3] for r in mine), strict=True) if total <= rules.sample_bytes]
+    within = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
     own = texts.join(F.broadcast(within), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     return settle(own.select(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(rules.folds)).cast("int").alias("fold"), "toxic", "text"), "toxic")
 
@@ -349,18 +353,18 @@ def _counts(texts: DataFrame, rules: ToxicRules) -> DataFrame:
     def count(batches):
         for batch in batches:
             fold, toxic = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(2), 1 << 20):
+            for lo, hi, buf, starts, ends, counts in _ink_words(batch.column(2), 2 << 20):
                 cell = np.repeat(np.where(toxic[lo:hi] == 1, fold[lo:hi], rules.folds + fold[lo:hi]), counts)
                 word, gram = letter_grams(buf, starts, ends, rules.order)
                 for kind, grams, at in ((False, gram, cell[word]), (True, word_pairs(spans.hash_spans(buf, starts, ends), counts), cell)):
                     both, back = np.unique(grams, return_inverse=True)
-                    n = np.bincount(back * cells + at, minlength=len(both) * cells).reshape(-1, cells)
+                    n = np.bincount(back * cells + at, minlength=len(both) * cells).reshape(-1, cells).astype(np.int32)
                     for k in range(0, len(both), 100_000):
                         part = slice(k, k + 100_000)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both[part]), kind)), pa.array(both[part].view(np.int64)), *map(pa.array, n[part].T.copy())], ["pair", "gram", *(f"n{c}" for c in range(cells))])
 
     names = [f"n{c}" for c in range(cells)]
-    found = arrow_map(texts, count, "pair boolean, gram long, " + ", ".join(f"{c} long" for c in names))
+    found = arrow_map(texts, count, "pair boolean, gram long, " + ", ".join(f"{c} int" for c in names))
     return found.groupBy("pair", "gram").agg(*(F.sum(c).cast("int").alias(c) for c in names))
 
 
@@ -376,14 +380,14 @@ def pair_ratios(table: DataFrame, rules: ToxicRules) -> tuple[DataFrame, DataFra
         keep = [k for k in range(rules.folds) if k != without]
         counts[f"t_{name}"] = sum((F.col(f"n{k}") for k in keep[1:]), F.col(f"n{keep[0]}"))
         counts[f"o_{name}"] = sum((F.col(f"n{rules.folds + k}") for k in keep[1:]), F.col(f"n{rules.folds + keep[0]}"))
-    grams = table.select("gram", F.shiftrightunsigned("gram", 32).alias("context"), F.col("gram").bitwiseAND(0xFFFFFFFF).alias("word"), *[c.cast("double").alias(n) for n, c in counts.items()])
-    n = lambda c, m: F.col(f"{c}_{m}")
+    grams = table.select("gram", F.shiftrightunsigned("gram", 32).alias("context"), F.col("gram").bitwiseAND(0xFFFFFFFF).alias("word"), *[f"n{k}" for k in range(2 * rules.folds)])
+    n = lambda c, m: counts[f"{c}_{m}"] if c in "to" else F.col(f"{c}_{m}")
     there = lambda m: n("t", m) + n("o", m) > 0
-    words = grams.groupBy("word").agg(*(F.count_if(there(m)).cast("double").alias(f"kinds_{m}") for m in names))
-    whole = words.agg(*(F.sum(f"kinds_{m}").alias(f"all_{m}") for m in names), *(F.count_if(F.col(f"kinds_{m}") > 0).cast("double").alias(f"words_{m}") for m in names))
+    words = grams.groupBy("word").agg(*(F.count_if(there(m)).cast("int").alias(f"kinds_{m}") for m in names))
+    whole = words.agg(*(F.sum(f"kinds_{m}").alias(f"all_{m}") for m in names), *(F.count_if(F.col(f"kinds_{m}") > 0).alias(f"words_{m}") for m in names))
     after = grams.groupBy("context").agg(
-        *(F.count_if(there(m)).cast("double").alias(f"types_{m}") for m in names),
-        *(F.sum(n(c, m)).alias(f"total_{c}_{m}") for m in names for c in "to"), *(F.count_if(n(c, m) > 0).cast("double").alias(f"types_{c}_{m}") for m in names for c in "to"),
+        *(F.count_if(there(m)).cast("int").alias(f"types_{m}") for m in names),
+        *(F.sum(n(c, m)).cast("int").alias(f"total_{c}_{m}") for m in names for c in "to"), *(F.count_if(n(c, m) > 0).cast("int").alias(f"types_{c}_{m}") for m in names for c in "to"),
     )
     rest = lambda c, m: F.lit(d) * F.col(f"types_{c}_{m}") + rules.strength
     both = grams.join(words, "word").join(after, "context").crossJoin(whole)  # the last of one row
