@@ -62,33 +62,53 @@ def signatures(rows: DataFrame, rules: C.SignatureRules = C.SignatureRules()) ->
     return named.where("group_id is not null")
 
 
-def score_groups(rows: DataFrame, *, now_ms: int, rules: C.SignatureRules = C.SignatureRules()) -> DataFrame:
-    """One scored row per signature.
+SIGNATURE = ("group_id", "primary_l2", "major_version")
 
-    Versions are counted first, so a signature's state is one entry for each
-    version however many conversations it has. Of equally sure conversations the
-    newest represents the group.
-    """
-    sig = ["group_id", "primary_l2", "major_version"]
+
+def signature_rows(rows: DataFrame, rules: C.SignatureRules = C.SignatureRules()) -> DataFrame:
+    """Candidates as what a signature is counted from: its parts, the version v, severity, and what is shown of the conversation."""
     known = F.coalesce(F.nullif(F.col("appversion"), F.lit("")), F.lit("_unknown"))
     head = F.col("head_text") if "head_text" in rows.columns else F.substring("full_text", 1, HEAD_CHARS)
-    shown = F.struct(F.when(F.col("top_conf_text") != "", F.col("top_conf_text")).otherwise(head).alias("text"), "conversation_id", "top_conf_feedback_id")
+    text = F.when(F.col("top_conf_text") != "", F.col("top_conf_text")).otherwise(head)
+    return signatures(rows, rules).select(*SIGNATURE, known.alias("v"), "severity", "confidence", "last_ts_ms", "conversation_id", text.alias("shown_text"), "top_conf_feedback_id")
+
+
+def signature_partials(rows: DataFrame, *more: str) -> DataFrame:
+    """Counts of ``signature_rows`` for each signature and version (and ``more`` columns): partials that ``merge_partials`` adds up.
+
+    Of equally sure conversations the newest is the best one.
+    """
+    shown = F.struct(F.col("shown_text").alias("text"), "conversation_id", "top_conf_feedback_id")
     sure = F.struct("confidence", "last_ts_ms", "conversation_id")
-    per = signatures(rows, rules).withColumn("v", known).groupBy(*sig, "v").agg(
+    return rows.groupBy(*more, *SIGNATURE, "v").agg(
         F.count("*").alias("c"), F.count_if(F.col("severity") == "P0").alias("p0"), F.max("last_ts_ms").alias("last"), F.max(F.struct(sure.alias("sure"), shown.alias("shown"))).alias("best")
     )
-    out = per.groupBy(*sig).agg(
+
+
+def merge_partials(partials: DataFrame, *, now_ms: int, rules: C.SignatureRules = C.SignatureRules()) -> DataFrame:
+    """One scored row per signature from its partials, of one or of several parts of the time."""
+    per = partials.groupBy(*SIGNATURE, "v").agg(F.sum("c").alias("c"), F.sum("p0").alias("p0"), F.max("last").alias("last"), F.max("best").alias("best"))
+    out = per.groupBy(*SIGNATURE).agg(
         F.sum("c").alias("dup_count"), F.sum("p0").alias("p0_count"), (F.count_if(F.col("v") != "_unknown") > 1).cast("int").alias("cross_version"),
         (F.max("last") >= now_ms - C.DAY_MS).cast("int").alias("recent_24h"), F.max("last").alias("last_ts_ms"), F.collect_list(F.struct("v", "c")).alias("versions"), F.max("best").alias("best"),
     )
     w = rules.weights
     score = F.col("dup_count") * w["dup"] + F.col("p0_count") * w["p0"] + F.col("cross_version") * w["cross"] + F.col("recent_24h") * w["recent"]
     return out.select(
-        F.concat_ws("|", *sig).alias("signature"), *sig, score.alias("score"), "dup_count", "p0_count", "cross_version", "recent_24h", "last_ts_ms", "versions",
+        F.concat_ws("|", *SIGNATURE).alias("signature"), *SIGNATURE, score.alias("score"), "dup_count", "p0_count", "cross_version", "recent_24h", "last_ts_ms", "versions",
         F.col("best.shown.text").alias("representative_text"), F.col("best.shown.conversation_id").alias("representative_conversation_id"), F.col("best.shown.top_conf_feedback_id").alias("representative_feedback_id"),
     )
 
 
+def score_groups(rows: DataFrame, *, now_ms: int, rules: C.SignatureRules = C.SignatureRules()) -> DataFrame:
+    """One scored row per signature of candidates.
+
+    Versions are counted first, so a signature's state is one entry for each
+    version however many conversations it has.
+    """
+    return merge_partials(signature_partials(signature_rows(rows, rules)), now_ms=now_ms, rules=rules)
+
+
 def top_groups(groups: DataFrame, n: int = TOP) -> DataFrame:
     """The best groups with their rank; of equal scores the group with the newest conversation comes first."""
     order = F.struct(-F.col("score"), -F.col("last_ts_ms"), "signature")

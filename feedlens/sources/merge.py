@@ -108,8 +108,8 @@ def csv_rows(items: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header; callers pass a page of bounded size."""
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One CSV file with a header, white space at the ends of texts kept; callers pass a page of bounded size."""
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def versions_text(entries: Column, *, pair: str = ":", sep: str = "|", close: str = "") -> Column:

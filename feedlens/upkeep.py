@@ -11,25 +11,32 @@ from pyspark.sql import functions as F
 
 from feedlens import adapters as A
 from feedlens import schemas
+from feedlens.config import DAY_MS
 from feedlens.functions import text as T
+from feedlens.operators import browse as B
 from feedlens.operators import filters as FL
 from feedlens.operators import jobs as J
 from feedlens.operators import posts as P
+from feedlens.operators import ranking as R
 from feedlens.operators import reports as RP
 from feedlens.operators import search as S
 from feedlens.operators import tagging
+from feedlens.operators.calls import CallLog, score_once
 from feedlens.operators.sessionize import sessionize_all
 from feedlens.plans import intent as I
-from feedlens.queries import END_MS, START_MS, _drained, _event_stream, _facts, _ids, _posts, joined, overlap_scorer, query
+from feedlens.queries import END_MS, START_MS, _drained, _event_stream, _facts, _groups, _ids, _posts, _samples, joined, overlap_scorer, query
 from feedlens.session import shared_root
 from feedlens.sources import merge as M
 from feedlens.sources import messages as SM
 from feedlens.sources.store import LabelStore
 from feedlens.sources.windows import resolve_window, time_ms
+from feedlens.sources.panes import Panes
+from feedlens.streaming import conversations as SC
 from feedlens.streaming import messages as ST
 
 TIMES = ("2024-01-05 08:30:15", "2024-01-05T08:30", " 2024-01-06 ", "soon", None, "2024-01-07 09:05", "2024-01-08T10:00:01")
 JSON_LISTS = ('["a","b"]', "broken", None, "[]", '{"a": 1}', '["ads", null]')
+SCORE_REPLIES = ('```json\n[{"score": 3, "reason": "a"}, {"score": 9}]\n```', '{"score": "2", "reason": "b"}', "no", None, "[]", '```\n{"score": 1}\n```')
 STATES = ("pending", "running", "failed", "succeeded")
 TARGETS = ("running", "succeeded", "failed", "pending", "running")
 
@@ -53,6 +60,65 @@ def late_recompute(spark, d):
     return store.conversations(spark).select("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_ms", "last_ts_ms", "user_vid", "appversion")
 
 
+@query
+def change_feed(spark, d):
+    """Conversations of all messages, as the store of those before errors came and the feed of what they changed give them."""
+    m = A.messages(spark, d).join(A.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("feedback_id"), "event_type"), "feedback_id")
+    store = LabelStore(_folder(spark, "fed"), buckets=8, gap_ms=A.LONG_GAP_MS).create(m.where("event_type <> 'error'").drop("event_type"))
+    log = store.log(spark)
+    copied = store.conversations(spark)
+    log.set_mark("copy", log.latest())
+    store.refresh(m.where("event_type = 'error'").drop("event_type"))
+    feed = log.changes("conversations", "conversation_id", log.mark("copy"))
+    kept = copied.join(feed.select("conversation_id"), "conversation_id", "left_anti").select(*copied.columns)
+    now = kept.unionByName(feed.where("op <> 'delete'").drop("op"))
+    return now.select("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_ms", "last_ts_ms", "user_vid", "appversion")
+
+
+# --- panes -------------------------------------------------------------------
+PANE_DAYS = (0, 3, 10)
+
+
+def _panes(spark, d) -> Panes:
+    panes = Panes(_folder(spark, "panes"), A.store(spark, d))
+    panes.refresh(spark)
+    return panes
+
+
+@query
+def pane_signatures(spark, d):
+    """Signatures of the last seven days, from panes, as of several times."""
+    panes, out = _panes(spark, d), None
+    for back in PANE_DAYS:
+        part = panes.signatures(spark, now_ms=A.NOW_MS - back * DAY_MS).select(F.lit(back).alias("days_back"), "signature", "score", "dup_count", "p0_count", "cross_version", "recent_24h", "representative_conversation_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def pane_trend(spark, d):
+    return _panes(spark, d).trend(spark)
+
+
+@query
+def pane_sliding(spark, d):
+    return _panes(spark, d).sliding(spark)
+
+
+# --- kept calls ---------------------------------------------------------------
+@query
+def relevance_once(spark, d):
+    """Relevance scores by kept calls, asked for a second time with a model that fails whatever it is asked."""
+    texts = RP.conversation_texts(_facts(spark, d)[0])
+    log = CallLog(_folder(spark, "calls"))
+
+    def gone(question: str, batch: list[tuple[str, str]]) -> list[dict]:
+        raise TimeoutError
+
+    score_once(texts, log, "卡顿", overlap_scorer)
+    return score_once(texts, log, "卡顿", gone).select("conversation_id", F.col("score").cast("long").alias("score"), "reason")
+
+
 @query
 def replace_users(spark, d):
     """Users with an error get their conversations found again with the usual gap; the rows of all others stay."""
@@ -91,6 +157,39 @@ def import_isolated(spark, d):
     return out.select("table", "written", "refused", F.col("error").isNotNull().alias("failed"))
 
 
+@query
+def csv_file(spark, d):
+    """The export written as one CSV file with a header, and read back; an empty text comes back as one."""
+    rows, conversations = _facts(spark, d)
+    items = B.list_conversations(conversations, rows, FL.Filters(L1="A.Bug"), limit=5000, most=5000)
+    path = _folder(spark, "csv")
+    M.write_csv(M.csv_rows(items), path)
+    back = spark.read.csv(path, header=True)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return back.select("conversation_id", "L1", text("L2"), "severity", F.col("msg_count").cast("long").alias("msg_count"), "first_ts_human", text("user_vid"), text("appversion"), text("preview_text"))
+
+
+@query
+def push_delivered(spark, d):
+    """Two days' pushes in the log, one of them marked as delivered."""
+    top = R.top_groups(_groups(spark, d))
+    days = [R.push_rows(top, push_date=day, created_at=1) for day in ("2024-01-29", "2024-01-30")]
+    done = R.mark_delivered(days[0].unionByName(days[1]), push_date="2024-01-30", delivered_at=77)
+    return done.select("push_date", F.col("rank").cast("long").alias("rank"), "signature", "delivered_at")
+
+
+@query
+def report_prompt(spark, d):
+    return RP.report_prompt(_samples(spark, d), "闪退")
+
+
+@query
+def score_replies(spark, d):
+    """Scores in a model's replies: objects and lists, in fences and bare, with scores that don't count."""
+    e = A.events(spark, d).select("event_id", RP.parse_score(A.pick(SCORE_REPLIES, F.col("event_id"))).alias("found"))
+    return e.select("event_id", F.posexplode_outer("found").alias("place", "x")).select("event_id", F.col("place").cast("long").alias("place"), F.col("x.score").cast("long").alias("score"), "x.reason")
+
+
 @query
 def mirror_tables(spark, d):
     path = _folder(spark, "mirror")
@@ -257,6 +356,19 @@ def stored_posts(spark, d):
 
 
 # --- streams ------------------------------------------------------------------
+@query
+def stream_labels(spark, d):
+    """Conversation labels by a stream of messages that starts twice, the second time for late ones and repeats."""
+    m = A.messages(spark, d).join(A.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("feedback_id"), "event_type"), "feedback_id")
+    inbox, out, log = (_folder(spark, name) for name in ("inbox", "changes", "changes-log"))
+    for k, part in enumerate((m.where("event_type <> 'error'"), m.where("event_type in ('error', 'purchase')"))):
+        part.drop("event_type").write.parquet(f"{inbox}/part-{k}")
+        stream = spark.readStream.schema(schemas.FEEDBACK).option("recursiveFileLookup", "true").parquet(inbox)
+        SC.keep_changes(SC.conversation_changes(stream, gap_ms=A.LONG_GAP_MS, late="60 days"), out, log).awaitTermination()
+    now = SC.current(spark.read.parquet(out))
+    return now.select("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_ms", "last_ts_ms", "user_vid", "appversion")
+
+
 @query
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     out = _drained(spark, ST.stream_trend(_event_stream(spark, d), bucket="7 days", slide="1 day"), "complete")

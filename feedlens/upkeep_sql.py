@@ -5,7 +5,7 @@ from __future__ import annotations
 from feedlens import adapters as A
 from feedlens import config as C
 from feedlens import upkeep as U
-from feedlens.oracles import _AT, _ID, _POSTS, CON, E0, M0, MSG, ORACLE_SQL, SESS, add, labels, pick, q, said, sessions, some
+from feedlens.oracles import _AT, _ID, _POSTS, _SAMPLES, _SIG, CON, E0, M0, MSG, ORACLE_SQL, SESS, add, labels, pick, q, said, sessions, some
 
 add("late_recompute", ORACLE_SQL["conversation_labels"])
 add("replace_users", f"""WITH a AS ({SESS} SELECT * FROM f), b AS (WITH {E0}, {M0}, {sessions(C.GAP_MS)} SELECT * FROM f), u AS (SELECT DISTINCT 'u' || user_id AS user_vid FROM events WHERE event_type = 'error')
@@ -43,3 +43,35 @@ add("stored_posts", f"SELECT event_id AS post_id, {pick(_LISTS, 'event_id')} AS
 add("stream_sliding", f"WITH {E0}, w AS (SELECT strftime(make_timestamp((ts_ms // 86400000 - i) * 86400000000), '%Y-%m-%d') AS bucket, event_type FROM ev, (SELECT unnest(range(7)) AS i)) SELECT bucket, event_type, count(*) AS n FROM w GROUP BY ALL")
 add("rules_from_file", f"""{MSG}, {labels('m')} SELECT feedback_id, 'P0' AS severity, 'P0 关键词 ' || CASE WHEN contains(s, '闪退') THEN '闪退' ELSE '^顶$' END AS reason FROM l WHERE rule NOT IN ('empty', 'too_short', 'pure_emoji', 'invalid_kw', 'emotion_pos', 'emotion_neg') AND (contains(s, '闪退') OR s = '顶')
  UNION ALL SELECT feedback_id, CASE WHEN regexp_matches(s, {q(C.UPLIFT_PATTERN)}) THEN 'P1' ELSE 'P2' END, 'Bug 关键词 卡.?顿' FROM l WHERE NOT contains(s, '闪退') AND regexp_matches(s, '卡.?顿') AND rule NOT IN ('suggest', 'question', 'empty', 'too_short', 'pure_emoji', 'invalid_kw', 'emotion_pos', 'emotion_neg')""")
+
+for name in ("change_feed", "stream_labels"):
+    add(name, ORACLE_SQL["conversation_labels"])
+add("relevance_once", ORACLE_SQL["relevance_batches"])
+
+
+def _as_of(back: int) -> str:
+    """The SQL of signatures with a time that is some days earlier."""
+    out = _SIG
+    for days in (7, 1):
+        out = out.replace(str(A.NOW_MS - days * C.DAY_MS), str(A.NOW_MS - (days + back) * C.DAY_MS))
+    return f"SELECT CAST({back} AS INTEGER) AS days_back, * FROM ({out} SELECT signature, score, dup_count, p0_count, cross_version, recent_24h, representative_conversation_id FROM sc)"
+
+
+add("pane_signatures", " UNION ALL ".join(map(_as_of, U.PANE_DAYS)))
+add("pane_trend", ORACLE_SQL["trend_day"])
+add("pane_sliding", f"""{CON}, dd AS (SELECT last_ts_ms // {C.DAY_MS} AS d, L1, count(*) AS n FROM c GROUP BY 1, 2), e AS (SELECT DISTINCT d AS e FROM dd)
+ SELECT strftime(make_timestamp(e * {C.DAY_MS * 1000}), '%Y-%m-%d') AS bucket, L1, CAST(sum(n) AS BIGINT) AS n FROM dd JOIN e ON d <= e AND d > e - 7 GROUP BY 1, 2""")
+add("csv_file", f"SELECT conversation_id, L1, L2, severity, msg_count, first_ts_human, user_vid, appversion, preview_text FROM ({ORACLE_SQL['csv_export']})")
+add("push_delivered", f"{_SIG}, pl AS (SELECT rank, signature FROM top UNION ALL SELECT 0, NULL WHERE NOT EXISTS (SELECT 1 FROM top)) SELECT day AS push_date, rank, signature, CASE WHEN day = '2024-01-30' THEN CAST(77 AS BIGINT) END AS delivered_at FROM pl, (SELECT unnest(['2024-01-29', '2024-01-30']) AS day)")
+_SCORES = "[[{'s': 3, 'r': 'a'}, {'s': 2, 'r': ''}], [{'s': 2, 'r': 'b'}], NULL, NULL, [], [{'s': 1, 'r': ''}]]"
+add("score_replies", f"""WITH p AS (SELECT event_id, {_SCORES}[event_id % 6 + 1] AS x FROM events), n AS (SELECT event_id, x, unnest(CASE WHEN len(x) > 0 THEN range(len(x)) ELSE [NULL] END) AS place FROM p)
+ SELECT event_id, place, CAST(x[place + 1].s AS BIGINT) AS score, x[place + 1].r AS reason FROM n""")
+
+
+def _said(title: str, c: str) -> str:
+    counts = f"SELECT COALESCE(NULLIF({c}, ''), '未知') AS v, count(*) AS n FROM sa GROUP BY 1 ORDER BY n DESC, v LIMIT 10"
+    return f"chr(10) || '{title}：' || COALESCE((SELECT string_agg(v || ' ' || n, '，' ORDER BY n DESC, v) FROM ({counts})), '无')"
+
+
+_LINES = ORACLE_SQL["report_lines"].split(" SELECT '- ", 1)[1].rsplit(" AS line FROM best", 1)[0]
+add("report_prompt", f"""{_SAMPLES} SELECT '# 用户反馈分析：闪退' || chr(10) || chr(10) || '样本数：' || (SELECT count(*) FROM sa) || {_said('分类', 'L1')} || {_said('严重度', 'severity')} || {_said('平台', 'platform')} || chr(10) || chr(10) || (SELECT string_agg('- {_LINES}, chr(10) ORDER BY snapshot_order) FROM best) AS prompt""")
