@@ -15,6 +15,7 @@ from feedlens import schemas
 from feedlens.operators import posts as P
 from feedlens.operators.sessionize import sessionize_all
 from feedlens.session import shared_root
+from feedlens.sources.poststore import PostStore
 from feedlens.sources.store import LabelStore
 from feedlens.sources.textindex import blocks_of, grams_of
 
@@ -163,3 +164,14 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as crawl runs."""
     return events(spark, sf_dir).where("event_type = 'purchase'").select(F.concat(F.lit("r"), "event_id").alias("run_id"), (F.col("ts_ms") * 1000 + F.col("event_id") % 1000).alias("started_at"), F.col("k").cast("long").alias("posts_found"))
+
+
+_POSTS: dict[tuple, PostStore] = {}
+
+
+def post_store(spark: SparkSession, sf_dir: str) -> PostStore:
+    """Posts, labels and hits after all hits, stored once in each session and for each state of the events."""
+    key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir, "events")
+    if key not in _POSTS:
+        _POSTS[key] = PostStore(f"{shared_root(spark)}/posts-{uuid.uuid4().hex}").take(post_hits(spark, sf_dir))
+    return _POSTS[key]

@@ -73,14 +73,63 @@ def _kind(pattern: str) -> tuple[str, str]:
     return ("regex", pattern) if _META.search(pattern) else ("part", pattern.lower())
 
 
-def sql_matches(column: str, patterns: Iterable[str], *, folded: str) -> str:
+class WordBits:
+    """All plain words that rules look for, found in one pass over a text.
+
+    One pattern looks, at each place, for the longest word that begins there. A word's
+    bits are its own and those of the words that it begins with; what is inside it
+    is found at its own place. ``columns`` gives the bits as numbers of 62 bits; ``test`` asks them for words.
+    """
+
+    def __init__(self, words: Iterable[str], name: str = "_bits", group: dict[str, int] | None = None):
+        """``group`` gives words a common bit; without it each has its own."""
+        self.words = list(dict.fromkeys(words))
+        self.name, self.bit = name, group or {w: k for k, w in enumerate(self.words)}
+
+    @classmethod
+    def of_patterns(cls, lists: Iterable[Iterable[str]], name: str = "_bits") -> WordBits:
+        """The plain words among the patterns, in lower case."""
+        return cls([w for patterns in lists for k, w in map(_kind, patterns) if k == "part"], name)
+
+    @property
+    def slots(self) -> int:
+        return max(self.bit.values(), default=-1) // 62 + 1
+
+    def found(self, column: str) -> str:
+        """SQL text: the longest words at all places of a column of text."""
+        ordered = sorted(self.words, key=lambda w: (-len(w), w))
+        first = "".join(dict.fromkeys(w[0] for w in ordered)).replace("\\", "\\\\").replace("]", "\\]").replace("^", "\\^").replace("-", "\\-").replace("[", "\\[").replace("&", "\\&")
+        return f"regexp_extract_all({column}, {literal(f'(?s)(?=[{first}])(?=(' + '|'.join(map(_quoted, ordered)) + '))')}, 1)"
+
+    def columns(self, found: str) -> dict[str, str]:
+        """SQL text by name of each number, from the column of what ``found`` gives."""
+        out = {}
+        for slot in range(self.slots):
+            own = {w: sum({1 << self.bit[v] % 62 for v in self.words if w.startswith(v) and self.bit[v] // 62 == slot}) for w in self.words}
+            pairs = ", ".join(f"{literal(w)}, {n}L" for w, n in own.items() if n)
+            out[f"{self.name}{slot}"] = f"aggregate({found}, 0L, (seen, w) -> seen | coalesce(try_element_at(map({pairs}), w), 0L))"
+        return out
+
+    def test(self, words: Iterable[str]) -> str:
+        """SQL text: one of the words is in the text."""
+        slots: dict[int, int] = {}
+        for w in words:
+            slots[self.bit[w] // 62] = slots.get(self.bit[w] // 62, 0) | 1 << self.bit[w] % 62
+        return " OR ".join(f"({self.name}{k} & {n}L) != 0" for k, n in slots.items()) or "false"
+
+
+def _quoted(word: str) -> str:
+    return _META.sub(lambda m: "\\" + m[0], word)
+
+
+def sql_matches(column: str, patterns: Iterable[str], *, folded: str, bits: WordBits) -> str:
     """SQL text: the text matches one of the patterns, without regard to case.
 
-    ``folded`` names the text in lower case. Plain words are looked for in it;
-    only what needs a regular expression is one, in one alternation.
+    ``folded`` names the text in lower case. Plain words are asked from its
+    ``bits``; only what needs a regular expression is one, in one alternation.
     """
     kinds = [_kind(p) for p in patterns]
-    tests = [f"contains({folded}, {literal(w)})" for k, w in kinds if k == "part"]
+    tests = [bits.test(w for k, w in kinds if k == "part")]
     if whole := [literal(w) for k, w in kinds if k == "whole"]:
         tests.append(f"{folded} IN ({', '.join(whole)})")
     if regex := [p for k, p in kinds if k == "regex"]:
@@ -88,9 +137,9 @@ def sql_matches(column: str, patterns: Iterable[str], *, folded: str) -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
-def sql_first_match(column: str, patterns: Iterable[str], *, folded: str) -> str:
+def sql_first_match(column: str, patterns: Iterable[str], *, folded: str, bits: WordBits) -> str:
     """SQL text: the first pattern of the list that the text matches, or null."""
-    return "CASE " + " ".join(f"WHEN {sql_matches(column, [p], folded=folded)} THEN {literal(p)}" for p in patterns) + " END"
+    return "CASE " + " ".join(f"WHEN {sql_matches(column, [p], folded=folded, bits=bits)} THEN {literal(p)}" for p in patterns) + " END"
 
 
 def contains_any(c: Column, terms: Iterable[str], *, fold: bool = False) -> Column:

@@ -20,12 +20,12 @@ RULE_L1 = {
 }
 
 
-def _rule_of(s: str, folded: str, r: C.TagRules) -> str:
+def _rule_of(s: str, folded: str, r: C.TagRules, bits: T.WordBits) -> str:
     """SQL text: the number, from 1, of the first rule that fits; null for no rule."""
     marks = f"rlike({s}, {T.literal(f'(?U)^[{EMOJI}{C.PUNCTUATION}]+' + chr(92) + 'z')})"
     short = f"length({s}) <= {C.EMOTION_MAX_LEN}"
     asks = f"(contains({s}, '?') OR contains({s}, '？') OR length({s}) <= {C.QUESTION_SHORT_LEN})"
-    match = lambda patterns: T.sql_matches(s, patterns, folded=folded)
+    match = lambda patterns: T.sql_matches(s, patterns, folded=folded, bits=bits)
     tests = {
         "empty": f"{s} = ''", "too_short": f"length({s}) <= {C.TOO_SHORT_LEN}", "pure_emoji": marks, "invalid_kw": match(r.invalid), "emotion_pos": f"{short} AND {match(r.pos)}",
         "emotion_neg": f"{short} AND {match(r.neg)}", "bug_p0": match(r.p0), "suggest": match(r.suggest), "question": f"{asks} AND {match(r.question)}", "bug_general": match(r.bug),
@@ -41,21 +41,32 @@ def _by_rule(values: dict[str, str]) -> str:
 def with_rule_label(rows: DataFrame, rules: C.TagRules = C.TagRules()) -> DataFrame:
     """Adds L1, L2, severity, confidence, reason, source and rule_name of the first rule that fits the text; nulls where none does.
 
-    A null text fits no rule. Plain words are looked for in the text in lower
-    case; only texts that a class of patterns claims look for its first pattern,
+    A null text fits no rule. All plain words of the rules are found by one pass
+    over the text in lower case, those of the tags by one over the text; bits tell which. Only texts that a class of patterns claims look for its first pattern,
     for the reason. The list of tags is built once for all rules.
     """
     s, folded = "_s", "_folded"
-    found = "array_compact(array(" + ", ".join(f"CASE WHEN {T.sql_contains(s, words)} THEN {T.literal(tag)} END" for tag, words in rules.l2.items()) + "))"
+    bits = T.WordBits.of_patterns((rules.invalid, rules.pos, rules.neg, rules.p0, rules.suggest, rules.question, rules.bug))
+    kinds: dict[str, set[str]] = {}
+    for tag, words in rules.l2.items():
+        for w in words:
+            kinds.setdefault(w, set()).add(tag)
+    alike = {frozenset(v): k for k, v in enumerate(dict.fromkeys(map(frozenset, kinds.values())))}  # words of the same tags share a bit
+    tag_bits = T.WordBits(kinds, "_tagged", {w: alike[frozenset(v)] for w, v in kinds.items()})
+    found = "array_compact(array(" + ", ".join(f"CASE WHEN {tag_bits.test(words)} THEN {T.literal(tag)} END" for tag, words in rules.l2.items()) + "))"
     other, none = "array('其他')", "CAST(array() AS array<string>)"
     first_tagged = list(RULE_L1).index("bug_p0") + 1  # this rule and those after it have tags
     l2 = dict.fromkeys(RULE_L1, none) | {"empty": other, "too_short": other, "pure_emoji": "array('符号表情')", "invalid_kw": other}
-    because = lambda words, patterns: f"concat({T.literal(words)}, {T.sql_first_match(s, patterns, folded=folded)})"
+    because = lambda words, patterns: f"concat({T.literal(words)}, {T.sql_first_match(s, patterns, folded=folded, bits=bits)})"
     reasons = {
         "empty": "'空文本'", "too_short": "'单字符无效内容'", "pure_emoji": "'纯表情或标点'", "invalid_kw": because("命中无效模式 ", rules.invalid), "emotion_pos": "'短句正向情绪'", "emotion_neg": "'短句负向情绪'",
         "bug_p0": because("P0 关键词 ", rules.p0), "suggest": because("建议关键词 ", rules.suggest), "question": because("咨询句式 ", rules.question), "bug_general": because("Bug 关键词 ", rules.bug),
     }
-    texts = rows.withColumn(s, T.strip(F.col("text"))).withColumn(folded, F.lower(s)).withColumn("_rule", F.expr(_rule_of(s, folded, rules)))
+    numbers = bits.columns("_words") | tag_bits.columns("_tag_words")
+    texts = rows.withColumn(s, T.strip(F.col("text"))).withColumn(folded, F.lower(s))
+    texts = texts.withColumns({"_words": F.expr(bits.found(folded)), "_tag_words": F.expr(tag_bits.found(s))}).withColumns({n: F.expr(c) for n, c in numbers.items()})
+    # a generated column: filters on labels stay above it, where one pushed down would find the words a second time
+    texts = texts.select("*", F.explode(F.array(F.expr(_rule_of(s, folded, rules, bits)))).alias("_rule"))
     claimed = texts.withColumn("_tags", F.expr(f"CASE WHEN _rule >= {first_tagged} THEN {found} END"))
     return claimed.withColumns({
         "L1": F.expr(_by_rule({k: T.literal(v) for k, v in RULE_L1.items()})),
@@ -65,7 +76,7 @@ def with_rule_label(rows: DataFrame, rules: C.TagRules = C.TagRules()) -> DataFr
         "reason": F.expr("CASE _rule " + " ".join(f"WHEN {k} THEN {reasons[name]}" for k, name in enumerate(RULE_L1, 1)) + " END"),
         "source": F.expr("CASE WHEN _rule IS NOT NULL THEN 'rule' END"),
         "rule_name": F.expr("'rule:' || " + _by_rule({k: T.literal(k) for k in RULE_L1})),
-    }).drop(s, folded, "_rule", "_tags")
+    }).drop(s, folded, "_words", "_tag_words", "_rule", "_tags", *numbers)
 
 
 def fallback_label(reason: Column | str) -> Column:

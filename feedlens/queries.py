@@ -411,8 +411,9 @@ def push_markdown(spark, d):
 
 # --- posts -------------------------------------------------------------------
 def _posts(spark, d):
-    posts = A.posts(spark, d)
-    return posts, P.classify_posts(posts), P.new_hits(A.post_hits(spark, d))
+    """Stored posts, labels and hits."""
+    store = A.post_store(spark, d)
+    return tuple(store.table(spark, name) for name in ("posts", "labels", "hits"))
 
 
 @query
