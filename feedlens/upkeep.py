@@ -79,10 +79,16 @@ def change_feed(spark, d):
 PANE_DAYS = (0, 3, 10)
 
 
+_PANES: dict[str, Panes] = {}
+
+
 def _panes(spark, d) -> Panes:
-    panes = Panes(_folder(spark, "panes"), A.store(spark, d))
-    panes.refresh(spark)
-    return panes
+    """Panes of the stored conversations, kept with them."""
+    store = A.store(spark, d)
+    if store.path not in _PANES:
+        _PANES[store.path] = Panes(_folder(spark, "panes"), store)
+    _PANES[store.path].refresh(spark)
+    return _PANES[store.path]
 
 
 @query

@@ -58,6 +58,9 @@ def test_regex(tables):
     assert ids(S.regex_search(*tables, S.PatternGroups([(["crash"], "OR")]))) == ["c3"]  # c4 is too long
     assert ids(S.regex_search(*tables, S.PatternGroups([(["键盘", "卡.?顿"], "AND"), (["^垃圾"], "AND")], "OR"))) == ["c3", "c6"]
     assert S.safe_patterns(["ok", "(", "x" * 201, "(a+)+", "a.*b.*c", ".**", 5, "a.*b"]) == ["ok", "a.*b"]
+    assert S.safe_patterns(["(ab)*", "(?:ab|c)+x", "(a{2,})?", "((a.+)b){3}", ".+?x.*", "(.*a|b.*)", "(?=.*a).*"]) == []
+    fine = ["a+b*c{3,}", "(ab)?c", "(a|b){2,4}", "(?:a|b)+x", "[.]*x[+]+.*", r"\(x\)", "(?i)voice.{0,9}bad", "(语音|键盘).*不好用", "^$"]
+    assert S.safe_patterns(fine) == fine
     with pytest.raises(ValueError):
         S.regex_search(*tables, S.PatternGroups([(["("], "OR")]))
 
