@@ -5,13 +5,15 @@ the first line of a turn or as a line inside one; lines are observed by a
 speaker marker at their start, their length, question marks, list and code
 marks. The most likely states are found by Viterbi and lines of one turn are
 merged. Long transcripts are decoded in chunks: the best score between every pair
-of states at both ends of a chunk is a small matrix, matrices are joined along
-the transcript, and each chunk is then decoded between its fixed ends, so no
-task holds a whole long transcript.
+of states at both ends of a chunk is a small matrix. Matrices are joined along
+the transcript in two steps, inside ranges of chunks and then over the ranges,
+and each chunk is then decoded between its fixed ends, so no task holds more of a transcript than a range of its chunks.
+Many transcripts are decoded side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import arrow_map, settle
 
 #: Speaker markers of each role, at the start of a line.
 MARKERS = {
@@ -119,20 +121,63 @@ def emissions(model: ChatModel, t: pa.Table) -> np.ndarray:
 
 def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, last: int | None = None) -> np.ndarray:
     """Most likely states; ``first`` are scores of the first state, ``last`` fixes the final one. Ties go to the lower state."""
-    score = first + emit[0]
-    back = np.zeros(emit.shape, np.int64)
-    for k in range(1, len(emit)):
-        ways = score[:, None] + move
-        back[k] = ways.argmax(axis=0)
-        score = ways.max(axis=0) + emit[k]
-    state = int(score.argmax()) if last is None else last
+    return viterbi_all(emit, np.array([len(emit)]), move, first[None], np.array([-1 if last is None else last]))
+
+
+def viterbi_all(emit: np.ndarray, sizes: np.ndarray, move: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """``viterbi`` of many sequences at once: their lines in a row, (sequences, states) scores of first states, and final states, -1 for any.
+
+    Step k is taken for all sequences that have a line k, the longest ones first.
+    """
+    begin = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    begin, long = begin[order], sizes[order]
+    score = first[order] + emit[begin]
+    back = np.zeros(emit.shape, np.int8)
+    for k in range(1, int(long[0]) if len(long) else 0):
+        live = int(np.searchsorted(-long, -k, side="left"))  # sequences of more than k lines
+        ways = score[:live, :, None] + move
+        back[begin[:live] + k] = ways.argmax(axis=1)
+        score[:live] = ways.max(axis=1) + emit[begin[:live] + k]
+    state = np.where(last[order] < 0, score.argmax(axis=1), last[order])
     out = np.zeros(len(emit), np.int64)
-    for k in range(len(emit) - 1, -1, -1):
-        out[k] = state
-        state = back[k, state]
+    for k in range(int(long[0]) - 1 if len(long) else -1, -1, -1):
+        live = int(np.searchsorted(-long, -k, side="left"))
+        at = begin[:live] + k
+        out[at] = state[:live]
+        state[:live] = back[at, state[:live]]
     return out
 
 
+def chunk_ends(best: np.ndarray, move: np.ndarray, start: np.ndarray, stop: int | None) -> list[tuple[int, int]]:
+    """The first and last state of each chunk on the best way through chunks in a row, whose (chunks, first, last) scores are ``best``."""
+    score, back = start, []
+    for k, m in enumerate(best):
+        enter = np.full(len(start), -1)
+        if k:
+            ways = score[:, None] + move
+            enter, score = ways.argmax(axis=0), ways.max(axis=0)
+        ways = score[:, None] + m
+        first, score = ways.argmax(axis=0), ways.max(axis=0)
+        back.append((enter, first))
+    state, found = int(score.argmax()) if stop is None else stop, []
+    for enter, first in reversed(back):
+        begin = int(first[state])
+        found.append((begin, state))
+        state = int(enter[begin])
+    return found[::-1]
+
+
+def joined_chunks(best: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The (first, last) scores through all chunks in a row: neighbours are joined pair by pair, as the join is associative."""
+    while len(best) > 1:
+        a, b = best[: len(best) // 2 * 2 : 2], best[1::2]
+        step = (a[:, :, :, None] + move).max(axis=2)
+        pairs = (step[:, :, :, None] + b[:, None]).max(axis=2)
+        best = np.concatenate([pairs, best[len(best) // 2 * 2 :]])
+    return best[0]
+
+
 def _placed(parts: DataFrame, rules: ChatRules) -> DataFrame:
     """Lines (conv, conv_id, chunk, sub, place, hash, line, text, copies): different rows, dealt into chunks that keep their order."""
     text = F.col("text").cast("string")
@@ -154,10 +199,6 @@ def _placed(parts: DataFrame, rules: ChatRules) -> DataFrame:
     return features(lines)
 
 
-def _ordered(t: pa.Table) -> pa.Table:
-    return t.sort_by([("place", "ascending"), ("hash", "ascending"), ("line", "ascending")])
-
-
 def parse_transcripts(parts: DataFrame, model: ChatModel) -> DataFrame:
     """Turns (conv_id, turn, piece, role_pred, n_lines, n_rows, text, opens, closes) of the transcripts of (conv_id, place, text).
 
@@ -175,65 +216,122 @@ def parse_transcripts(parts: DataFrame, model: ChatModel) -> DataFrame:
     key = ["conv", "chunk", "sub"]
     spread = base.groupBy("conv").agg(F.min(F.struct("chunk", "sub")).alias("low"), F.max(F.struct("chunk", "sub")).alias("high"))
     long = settle(spread.where("low <> high").select("conv"), "long")
-    n = 2 * S
+    fixed = settle(_fixed_ends(base.join(long, "conv", "left_semi"), model), "fixed")
+    shape = f"conv_id {kind}, conv string, chunk long, sub long, nth long, role_pred string, n_lines long, n_rows long, text string, opens boolean, closes boolean"
+    columns = ["conv_id", *key, "line", "copies", "text", "marker", "length", "signal", "begin", "stop", "going"]
+    dealt = base.join(fixed.drop("part"), key, "left").repartition(*key).sortWithinPartitions(*key, "place", "hash", "line").select(*columns)
+    turns = settle(arrow_map(dealt, _decoder(model), shape), "turns")
+    # pieces and turns before each chunk: inside its range of chunks, and before that range
+    of = fixed.select(*key, "part")
+    chunks = turns.join(of, key).groupBy(*key, "part").agg(F.max("nth").alias("n"))
+    per = chunks.groupBy("conv", "part").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    along, inside = Window.partitionBy("conv").orderBy("part"), Window.partitionBy("conv", "part").orderBy("chunk", "sub")
+    per = per.select("conv", "part", (F.sum("n").over(along) - F.col("n")).alias("before_n"), (F.sum("m").over(along) - F.col("m")).alias("before_m"))
+    before = chunks.select(*key, "part", (F.sum("n").over(inside) - F.col("n")).alias("own"), F.row_number().over(inside).alias("nth_chunk")).join(per, ["conv", "part"])
+    before = before.select(*key, (F.col("own") + F.col("before_n")).alias("before"), (F.col("nth_chunk") + F.col("before_m")).alias("piece"))
+    out = turns.join(before, key, "left").withColumn("turn", F.coalesce("before", F.lit(0)) + F.col("nth") - 1)
+    return out.select("conv_id", "turn", F.coalesce("piece", F.lit(1)).cast("long").alias("piece"), "role_pred", "n_lines", "n_rows", "text", "opens", "closes")
+
+
+def _fixed_ends(lines: DataFrame, model: ChatModel, *, range_chunks: int = 20_000, most_ranges: int = 10_000) -> DataFrame:
+    """(conv, chunk, sub, part, begin, stop, going) of every chunk of long transcripts: its range of chunks, its first and last state, and whether its last turn goes on.
+
+    Chunks are dealt by ranges of their order. Of a transcript there is one joined matrix for
+    each range that it reaches into, ``most_ranges`` at most; the ends of these are found first, then those of the chunks between them.
+    """
+    n, key = 2 * S, ["conv", "chunk", "sub"]
+    kinds = "conv string, chunk long, sub long"
 
     def matrix(t: pa.Table) -> pa.Table:
-        emit = emissions(model, _ordered(t))
-        best = np.where(np.eye(n, dtype=bool), 0.0, -np.inf) + emit[0]  # from a first state to itself
-        for e in emit[1:]:
-            best = (best[:, :, None] + model.move[None]).max(axis=1) + e
+        emit = emissions(model, t.sort_by([("place", "ascending"), ("hash", "ascending"), ("line", "ascending")]))
+        steps = np.where(np.eye(n, dtype=bool), 0.0, -np.inf)[None] + emit[:, None, :]  # a line alone: from its state to itself
+        best = joined_chunks(steps, model.move)
         return pa.table({c: t.column(c).slice(0, 1) for c in key} | {"best": pa.array([best.ravel().tolist()], pa.list_(pa.float64()))})
 
-    def ends(t: pa.Table) -> pa.Table:
+    def matrices(t: pa.Table) -> np.ndarray:
+        return np.array(t.column("best").to_pylist()).reshape(-1, n, n)
+
+    def total(t: pa.Table) -> pa.Table:
+        best = joined_chunks(matrices(t.sort_by([("chunk", "ascending"), ("sub", "ascending")])), model.move)
+        return pa.table({"conv": t.column("conv").slice(0, 1), "part": t.column("part").slice(0, 1), "best": pa.array([best.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def outer(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("part", "ascending")])
+        begin, stop = zip(*chunk_ends(matrices(t), model.move, model.start, None), strict=True)
+        after = pa.array([*begin[1:], None], pa.int32())
+        return pa.table({"conv": t.column("conv"), "part": t.column("part"), "from": pa.array(begin, pa.int32()), "to": pa.array(stop, pa.int32()), "after": after})
+
+    def inner(t: pa.Table) -> pa.Table:
         t = t.sort_by([("chunk", "ascending"), ("sub", "ascending")])
-        best = np.array(t.column("best").to_pylist()).reshape(-1, n, n)
-        score, back = model.start.copy(), []
-        for k, m in enumerate(best):
-            if k:
-                ways = score[:, None] + model.move
-                enter, score = ways.argmax(axis=0), ways.max(axis=0)
-            else:
-                enter = np.full(n, -1)
-            ways = score[:, None] + m
-            first, score = ways.argmax(axis=0), ways.max(axis=0)
-            back.append((enter, first))
-        state, found = int(score.argmax()), []
-        for enter, first in reversed(back):
-            begin = int(first[state])
-            found.append((begin, state))
-            state = int(enter[begin])
-        begin, stop = zip(*found[::-1], strict=True)
-        going = [b >= S for b in begin[1:]] + [False]
-        return pa.table({c: t.column(c) for c in key} | {"begin": pa.array(begin, pa.int32()), "stop": pa.array(stop, pa.int32()), "going": pa.array(going)})
+        first, last, after = (t.column(c)[0].as_py() for c in ("from", "to", "after"))
+        begin, stop = zip(*chunk_ends(matrices(t), model.move, np.where(np.arange(n) == first, 0.0, -np.inf), last), strict=True)
+        going = [b >= S for b in begin[1:]] + [after is not None and after >= S]
+        return pa.table({c: t.column(c) for c in (*key, "part")} | {"begin": pa.array(begin, pa.int32()), "stop": pa.array(stop, pa.int32()), "going": pa.array(going)})
+
+    pieces = settle(lines.groupBy(*key).applyInArrow(matrix, f"{kinds}, best array<double>"), "pieces")
+    (count,) = pieces.agg(F.count("*")).first()
+    ranges = max(1, min(-(-count // range_chunks), most_ranges))
+    placed = settle(pieces.repartitionByRange(ranges, *key).withColumn("part", F.spark_partition_id()), "placed")
+    ends = placed.groupBy("conv", "part").applyInArrow(total, "conv string, part int, best array<double>").groupBy("conv").applyInArrow(outer, "conv string, part int, from int, to int, after int")
+    found = placed.join(ends, ["conv", "part"]).groupBy("conv", "part").applyInArrow(inner, f"{kinds}, part int, begin int, stop int, going boolean")
+    return found
+
+
+def _decoder(model: ChatModel, run_lines: int = 20_000):
+    """A function for mapInArrow over lines in the order of their chunks: the turns of each chunk, many chunks at a time."""
+    n = 2 * S
 
-    kinds = "conv string, chunk long, sub long"
-    pieces = base.join(long, "conv", "left_semi").groupBy(*key).applyInArrow(matrix, f"{kinds}, best array<double>")
-    fixed = pieces.groupBy("conv").applyInArrow(ends, f"{kinds}, begin int, stop int, going boolean")  # one row for each chunk
-    joined = base.join(fixed, key, "left")
-
-    def decode(t: pa.Table) -> pa.Table:
-        t = _ordered(t)
-        begin, stop, going = (t.column(c)[0].as_py() for c in ("begin", "stop", "going"))
-        first = model.start if begin is None else np.where(np.arange(n) == begin, 0.0, -np.inf)
-        states = viterbi(emissions(model, t), model.move, first, stop)
+    def heads(t: pa.Table) -> np.ndarray:
+        """Whether each line is the first of its chunk."""
+        conv = t.column("conv").combine_chunks().dictionary_encode()
+        conv = conv.combine_chunks() if isinstance(conv, pa.ChunkedArray) else conv
+        code = [conv.indices.to_numpy(), t.column("chunk").to_numpy(), t.column("sub").to_numpy()]
+        new = np.ones(len(t), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in code], axis=0)
+        return new
+
+    def decode(t: pa.Table) -> pa.RecordBatch:
+        new = heads(t)
+        head = np.flatnonzero(new)
+        sizes = np.diff(np.append(head, len(t)))
+        ends = [np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False).astype(float)[head], nan=-1).astype(np.int64) for c in ("begin", "stop")]
+        first = np.where(ends[0][:, None] < 0, model.start[None], np.where(np.arange(n) == ends[0][:, None], 0.0, -np.inf))
+        states = viterbi_all(emissions(model, t), sizes, model.move, first, ends[1])
         opens = states < S
-        cut = np.flatnonzero(opens | (np.arange(len(states)) == 0))
-        end = np.append(cut[1:], len(states))
-        text = t.column("text").to_pylist()
+        cut = np.flatnonzero(opens | new)
+        end = np.append(cut[1:], len(t))
         rows = np.where(t.column("line").to_numpy() == 0, t.column("copies").to_numpy(), 0)
-        closes = np.arange(len(cut)) < len(cut) - 1 + (not going)
-        return pa.table({
-            "conv_id": t.column("conv_id").take(pa.array(cut)), "conv": t.column("conv").take(pa.array(cut)), "chunk": t.column("chunk").take(pa.array(cut)), "sub": t.column("sub").take(pa.array(cut)),
-            "nth": pa.array(np.cumsum(opens)[cut]), "role_pred": [ROLES[s % S] for s in states[cut]], "n_lines": pa.array(end - cut), "n_rows": pa.array(np.add.reduceat(rows, cut)),
-            "text": ["\n".join(text[a:b]) for a, b in zip(cut, end, strict=True)], "opens": pa.array(opens[cut]), "closes": pa.array(closes),
-        })
-
-    shape = f"conv_id {kind}, {kinds}, nth long, role_pred string, n_lines long, n_rows long, text string, opens boolean, closes boolean"
-    turns = settle(joined.groupBy(*key).applyInArrow(decode, shape), "turns")
-    chunks = turns.join(long, "conv", "left_semi").groupBy(*key).agg(F.max("nth").alias("n"))
-    before = chunks.select(*key, (F.sum("n").over(Window.partitionBy("conv").orderBy("chunk", "sub")) - F.col("n")).alias("before"), F.row_number().over(Window.partitionBy("conv").orderBy("chunk", "sub")).alias("piece"))
-    out = turns.join(before, key, "left").withColumn("turn", F.coalesce("before", F.lit(0)) + F.col("nth") - 1)
-    return out.select("conv_id", "turn", F.coalesce("piece", F.lit(1)).cast("long").alias("piece"), "role_pred", "n_lines", "n_rows", "text", "opens", "closes")
+        going = t.column("going").fill_null(False).to_numpy(zero_copy_only=False)
+        last = np.append(new[end[:-1]], True)  # the last turn of its chunk
+        before = np.cumsum(opens)
+        nth = before - np.repeat(before[head] - opens[head], sizes)
+        text = t.column("text").to_pylist()
+        take = pa.array(cut)
+        return pa.RecordBatch.from_arrays([
+            *(t.column(c).combine_chunks().take(take) for c in ("conv_id", "conv", "chunk", "sub")), pa.array(nth[cut]), pa.array([ROLES[s % S] for s in states[cut].tolist()]), pa.array(end - cut),
+            pa.array(np.add.reduceat(rows, cut)), pa.array(["\n".join(text[a:b]) for a, b in zip(cut.tolist(), end.tolist(), strict=True)]), pa.array(opens[cut]), pa.array(~last | ~going[end - 1]),
+        ], ["conv_id", "conv", "chunk", "sub", "nth", "role_pred", "n_lines", "n_rows", "text", "opens", "closes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, limit = 0, run_lines
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < limit:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            whole = int(np.flatnonzero(heads(t))[-1])  # lines before the last chunk, which may go on
+            if whole:
+                yield decode(t.slice(0, whole).combine_chunks())
+            held, size = t.slice(whole).to_batches(), len(t) - whole
+            limit = max(run_lines, 2 * size)
+        if held:
+            yield decode(pa.Table.from_batches(held).combine_chunks())
+
+    return run
 
 
 def render(turns: DataFrame) -> DataFrame:

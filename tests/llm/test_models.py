@@ -247,9 +247,42 @@ def test_viterbi_against_all_paths(chat_model):
         assert tuple(chat.viterbi(emit, chat_model.move, chat_model.start)) == best
 
 
+def test_many_sequences_at_once(chat_model):
+    """Side by side, in chunks with fixed ends and through joined matrices the states are those of one sequence alone."""
+    rng = np.random.default_rng(9)
+    sizes = np.array([3, 1, 7, 2, 7, 1])
+    emit, move = rng.normal(size=(sizes.sum(), 6)), chat_model.move
+    first = np.stack([chat_model.start] * len(sizes))
+    first[2] = np.where(np.arange(6) == 4, 0.0, -np.inf)
+    last = np.array([-1, -1, 1, -1, 5, -1])
+    got = chat.viterbi_all(emit, sizes, move, first, last)
+    for k, (a, b) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))):
+        assert (got[a:b] == chat.viterbi(emit[a:b], move, first[k], None if last[k] < 0 else int(last[k]))).all()
+    whole = chat.viterbi(emit, move, chat_model.start)
+    one = np.where(np.eye(6, dtype=bool), 0.0, -np.inf)[None] + emit[:, None, :]
+    stops = np.cumsum(sizes)
+    best = np.stack([chat.joined_chunks(one[a:b], move) for a, b in zip(stops - sizes, stops)])
+    assert chat.chunk_ends(best, move, chat_model.start, None) == [(whole[a], whole[b - 1]) for a, b in zip(stops - sizes, stops)]
+    assert np.allclose(chat.joined_chunks(best, move), chat.joined_chunks(one, move))
+
+
 PARTS = "conv_id long, place long, text string"
 
 
+def test_a_transcript_over_many_ranges(spark, chat_model, monkeypatch):
+    """Chunks of one transcript in ranges of two give what one range gives."""
+    rows = [(1, t, f"User: {t}?" if t % 3 else "yes") for t in range(90)] + [(2, t, "Assistant: x\ny") for t in range(9)]
+    from dataclasses import replace
+
+    small = replace(chat_model, rules=chat.ChatRules(places=2))
+    parts = spark.createDataFrame(rows, PARTS)
+    want = sorted(map(tuple, chat.parse_transcripts(parts, small).collect()))
+    ends = chat._fixed_ends
+    monkeypatch.setattr(chat, "_fixed_ends", lambda lines, model: ends(lines, model, range_chunks=2))
+    got = chat.parse_transcripts(parts, small)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 40
+
+
 def test_chunks_change_nothing(spark, chat_model):
     """Whole or in small chunks, with crowded places, rows without ids or places, repeats and a very long text."""
     from dataclasses import replace
