@@ -23,10 +23,10 @@ from .common import arrow_map, fresh_dir, map_batches, parts, settle
 from .tokenizing import chunk_ids
 
 BLOCK, LANES = 1024, 64
-MAGIC = b"FLPFOR1\0"
+MAGIC = b"FLPFOR2\0"
 _HEAD = struct.Struct("<8sQQQQ")  # magic, ids, documents, blocks, byte where the footer starts
 _BLOCK_HEAD = np.dtype([("base", "<u4"), ("width", "u1"), ("spare", "u1"), ("exceptions", "<u2")])
-_DOC = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("length", "<u8")])
+_DOC = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("length", "<u8"), ("has_id", "u1")])
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -54,8 +54,8 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(len(words), BLOCK)
 
 
-def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, percentile: float = 90.0) -> bytes:
-    """The bytes of one shard file."""
+def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, percentile: float = 90.0, has_id: np.ndarray | None = None) -> bytes:
+    """The bytes of one shard file; ``has_id`` is false for documents whose doc_id is null."""
     n_blocks = -(-len(ids) // BLOCK)
     padded = np.zeros(n_blocks * BLOCK, np.uint64)
     padded[: len(ids)] = ids
@@ -87,7 +87,7 @@ def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, perc
                 tail = np.concatenate([where.astype("<u2").view(np.uint8), v[r, where].astype("<u4").view(np.uint8)])
                 out[at + 8 + len(bits) : at + 8 + len(bits) + len(tail)] = tail
     docs = np.zeros(len(doc_ids), _DOC)
-    docs["doc_id"], docs["length"] = doc_ids, lengths
+    docs["doc_id"], docs["length"], docs["has_id"] = doc_ids, lengths, True if has_id is None else has_id
     docs["start"] = np.cumsum(lengths) - lengths
     head = _HEAD.pack(MAGIC, len(ids), len(doc_ids), n_blocks, end)
     out[: _HEAD.size] = np.frombuffer(head, np.uint8)
@@ -156,24 +156,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
         fs.create_dir(root, recursive=True)
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         table = chunk_ids(tokenizer)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         part = 0
 
         def flush():
-            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc_ids, has_id, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             name = f"{root}/shard-{task:06d}-{part:06d}"
             with fs.open_output_stream(f"{name}.{attempt}.tmp") as f:
-                f.write(encode_shard(doc_ids, lengths, ids, percentile))
+                f.write(encode_shard(doc_ids, lengths, ids, percentile, has_id))
             fs.move(f"{name}.{attempt}.tmp", f"{name}.bin")
             return pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "part": pa.array([part], pa.int64()), "path": [f"{path}/shard-{task:06d}-{part:06d}.bin"], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
 
         for batch in batches:
-            doc_id = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            doc_id, has_id = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for lo, hi, buf, offsets in spans.slices(batch.column(1)):
                 ids, lengths, _, _ = table.encode(buf, offsets)
                 with_end = np.insert(ids, np.cumsum(lengths), np.uint32(end_id))
-                held.append((doc_id[lo:hi], lengths + 1, with_end))
-                if sum(len(x[2]) for x in held) >= shard_ids:
+                held.append((doc_id[lo:hi], has_id[lo:hi], lengths + 1, with_end))
+                if sum(len(x[3]) for x in held) >= shard_ids:
                     yield flush()
                     held, part = [], part + 1
         if held:
@@ -206,7 +206,7 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
                 start, length = docs["start"].astype(np.int64), docs["length"].astype(np.int64)
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
                 doc_id = docs["doc_id"]
-                cols = [pa.array(doc_id, mask=doc_id == -(2**63)), pa.array(base + start), pa.array(length), pa.array(crc, pa.int64())]
+                cols = [pa.array(doc_id, mask=docs["has_id"] == 0), pa.array(base + start), pa.array(length), pa.array(crc, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 for lo in range(0, len(docs), 2000):  # batches of bounded size
                     part = [c.slice(lo, 2000) for c in cols]

@@ -136,8 +136,18 @@ def test_token_files(docs, texts):
 def test_token_files_of_nothing_and_repeats(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert token_binary.token_files(spark.createDataFrame([], DOCS), path).count() == 0
-    got = token_binary.token_files(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], DOCS), path).collect()
-    assert sorted((r.doc_id or -1, r.start, r.n_tokens) for r in got) == [(-1, 0, 2), (1, 2, 2), (1, 4, 2)]
+    got = token_binary.token_files(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (-(2**63), "c")], DOCS), path).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in got), key=lambda r: r[1]) == [(None, 0, 2), (-(2**63), 2, 2), (1, 4, 2), (1, 6, 2)]
+
+
+def test_columns_named_like_results(spark):
+    """Extra columns that clash with those of a result change nothing."""
+    rows = [(1, "some words here"), (2, None), (3, "and more of them"), (None, "x")]
+    plain = spark.createDataFrame(rows, DOCS)
+    clash = plain.selectExpr("'a' as start", "1.5 as n_tokens", "map('k', 1) as ids_crc32", "array(1) as n_ids", "'p' as parity", "doc_id", "'l' as length", "true as sequence_id", "text", "2 as offset", "3 as place", "'h' as hash", "4 as doc_tokens")
+    bytes_, words_, pieces = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+    for run in (lambda d: token_binary.token_files(d, bytes_), lambda d: packing.pack_documents(d, words_).drop("sequence_id"), lambda d: spm.sp_encode(d, pieces)):
+        assert sorted(map(str, run(clash).collect())) == sorted(map(str, run(plain).collect()))
 
 
 def test_many_ranges(spark):
