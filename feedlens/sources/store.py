@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from feedlens import config as C
 from feedlens import schemas
 from feedlens.operators.browse import PREVIEW_CHARS
+from feedlens.operators.filters import Filters, check_page, narrow
 from feedlens.operators.labels import aggregate_labelled
 from feedlens.operators.sessionize import sessionize_all
 from feedlens.operators.tagging import LABEL_COLUMNS, with_label
@@ -51,13 +52,26 @@ def conversations_of(rows: DataFrame) -> DataFrame:
     return aggregate_labelled(rows, extra={"_first": F.min_by(first, "msg_seq"), "bucket": F.min("bucket")}).select("*", "_first.*").drop("_first")
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """Where a list goes on: behind a conversation of one version of the store."""
+
+    version: int
+    last_ts_ms: int
+    conversation_id: str
+
+
 @dataclass(frozen=True)
 class LabelStore:
-    """Versions of both tables below ``path``. The number of buckets is set when the store is made: ``buckets``, or one for ``bucket_rows`` messages."""
+    """Versions of both tables below ``path``. The number of buckets is set when the store is made: ``buckets``, or one for ``bucket_rows`` messages.
+
+    A file holds at most ``file_rows`` rows, a range of the time of its bucket.
+    """
 
     path: str
     buckets: int | None = None
     bucket_rows: int = 250_000
+    file_rows: int = 1_000_000
     gap_ms: int = C.GAP_MS
     rules: C.TagRules = C.TagRules()
 
@@ -86,18 +100,16 @@ class LabelStore:
         log.commit(Version(base.number, n, {}, ()), added + more, list(base.files), list(range(n)), schema | also, n)
         return self
 
-    @staticmethod
-    def _stage(log: SnapshotLog, tables: dict[str, DataFrame]) -> tuple[list[DataFile], dict[str, str]]:
-        files = [f for name, df in tables.items() for f in log.stage(df, name, ORDER[name])]
+    def _stage(self, log: SnapshotLog, tables: dict[str, DataFrame]) -> tuple[list[DataFile], dict[str, str]]:
+        files = [f for name, df in tables.items() for f in log.stage(df, name, ORDER[name], self.file_rows)]
         return files, {name: df.drop("bucket").schema.json() for name, df in tables.items()}
 
-    @staticmethod
-    def _index(log: SnapshotLog, rows: DataFrame) -> tuple[list[DataFile], dict[str, str]]:
+    def _index(self, log: SnapshotLog, rows: DataFrame) -> tuple[list[DataFile], dict[str, str]]:
         """The index tables of messages with their bucket, which ``part`` repeats in the rows."""
         own = rows.select("bucket", F.col("bucket").alias("part"), "text", "conversation_id")
         texts = settle(textindex.blocks_of(own, bucket="part"), "texts")
         grams = textindex.grams_of(texts, bucket="part").withColumn("bucket", F.col("part"))
-        out = LabelStore._stage(log, {"texts": texts, "grams": grams})
+        out = self._stage(log, {"texts": texts, "grams": grams})
         forget(texts)
         return out
 
@@ -124,6 +136,33 @@ class LabelStore:
         out = log.read("conversations", now).join(found(groups), "conversation_id", "left_semi")
         return out.join(found([KeywordGroup(excludes, "OR")]), "conversation_id", "left_anti") if excludes else out
 
+    def page(self, spark: SparkSession, f: Filters = Filters(), *, after: Cursor | None = None, limit: int = 50, span_ms: int = C.DAY_MS) -> tuple[DataFrame, Cursor | None]:
+        """(a page of conversations that pass, newest first, equal times by id; where the next one begins, None at the end).
+
+        A page begins behind ``after``, in that version. The time before it is read
+        by spans, each four times as long as the one before, until the page is full: only files and row
+        groups of these times are opened, for a late page as few as for the first. Nothing
+        before the page is sorted again.
+        """
+        check_page(limit, 0)
+        log = self.log(spark)
+        now = log.version(after.version if after else None)
+        files = [x for x in now.files if x.table == "conversations"]
+        if not files:
+            return log.read("conversations", now), None
+        lowest, top = min(x.low for x in files), after.last_ts_ms if after else max(x.high for x in files)
+        messages, span = log.read("messages", now, until=top), span_ms
+        while True:
+            since = top - span
+            rows = log.read("conversations", now, since=since, until=top).where(F.col("last_ts_ms").between(since, top))
+            if after:
+                rows = rows.where((F.col("last_ts_ms") < top) | (F.col("conversation_id") > after.conversation_id))
+            best = narrow(rows, messages, f).orderBy(F.desc("last_ts_ms"), "conversation_id").limit(limit)
+            found = best.select("last_ts_ms", "conversation_id").collect()  # ``limit`` rows at most
+            if len(found) == limit or since <= lowest:
+                return best, Cursor(now.number, *found[-1]) if len(found) == limit else None
+            span *= 4
+
     def refresh(self, batch: DataFrame, *, tries: int = 5) -> LabelStore:
         """Take in a batch of messages: new, late, or delivered before.
 

@@ -125,6 +125,17 @@ def relevance_once(spark, d):
     return score_once(texts, log, "卡顿", gone).select("conversation_id", F.col("score").cast("long").alias("score"), "reason")
 
 
+@query
+def page_by_key(spark, d):
+    """The third page of forty conversations, reached by keys."""
+    store, after = A.store(spark, d), None
+    for _ in range(3):
+        found, after = store.page(spark, FL.Filters(L1="A.Bug"), after=after, limit=40)
+        if after is None:
+            break
+    return found.select("conversation_id", "L1", "last_ts_ms", "platform", "preview_text")
+
+
 @query
 def replace_users(spark, d):
     """Users with an error get their conversations found again with the usual gap; the rows of all others stay."""

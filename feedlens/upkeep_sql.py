@@ -44,6 +44,8 @@ add("stream_sliding", f"WITH {E0}, w AS (SELECT strftime(make_timestamp((ts_ms /
 add("rules_from_file", f"""{MSG}, {labels('m')} SELECT feedback_id, 'P0' AS severity, 'P0 关键词 ' || CASE WHEN contains(s, '闪退') THEN '闪退' ELSE '^顶$' END AS reason FROM l WHERE rule NOT IN ('empty', 'too_short', 'pure_emoji', 'invalid_kw', 'emotion_pos', 'emotion_neg') AND (contains(s, '闪退') OR s = '顶')
  UNION ALL SELECT feedback_id, CASE WHEN regexp_matches(s, {q(C.UPLIFT_PATTERN)}) THEN 'P1' ELSE 'P2' END, 'Bug 关键词 卡.?顿' FROM l WHERE NOT contains(s, '闪退') AND regexp_matches(s, '卡.?顿') AND rule NOT IN ('suggest', 'question', 'empty', 'too_short', 'pure_emoji', 'invalid_kw', 'emotion_pos', 'emotion_neg')""")
 
+add("page_by_key", f"""{CON}, b AS (SELECT *, row_number() OVER (ORDER BY last_ts_ms DESC, conversation_id) AS k, count(*) OVER () AS n FROM c WHERE L1 = 'A.Bug')
+ SELECT conversation_id, L1, last_ts_ms, platform, substr(first_text, 1, 80) AS preview_text FROM b WHERE k > 40 * LEAST(2, n // 40) AND k <= 40 * LEAST(2, n // 40) + 40""")
 for name in ("change_feed", "stream_labels"):
     add(name, ORACLE_SQL["conversation_labels"])
 add("relevance_once", ORACLE_SQL["relevance_batches"])

@@ -38,10 +38,10 @@ def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch):
     before, held = shown(store, spark), files(tmp_path)
     stage = SnapshotLog.stage
 
-    def broken(self, rows, table, order):
+    def broken(self, rows, table, order, file_rows):
         if table == "conversations":
             raise OSError("lost between two writes")
-        return stage(self, rows, table, order)
+        return stage(self, rows, table, order, file_rows)
 
     monkeypatch.setattr(SnapshotLog, "stage", broken)
     with pytest.raises(OSError):
@@ -113,3 +113,28 @@ def test_ranges_leave_files_out(spark, tmp_path):
     some = store.messages(spark, since=400_000_000)
     assert {r.feedback_id for r in some.where("ts_ms >= 400000000").collect()} == {f"m{k}" for k in range(500, 520)}
     assert store.messages(spark, since=600_000_000_000).count() == 0
+
+
+def test_pages_by_key(spark, tmp_path):
+    """A walk over all pages is the whole sort; a late page opens no more files than the first; a walk stays in its version."""
+    from feedlens.operators.filters import Filters
+
+    store = LabelStore(str(tmp_path), buckets=2, file_rows=40).create(messages(spark, range(0, 200_000, 400), users=500))
+    want = [tuple(r) for r in store.conversations(spark).orderBy("last_ts_ms", "conversation_id").select("last_ts_ms", "conversation_id").collect()]
+    want.sort(key=lambda r: (-r[0], r[1]))
+    every = sum(f.table == "conversations" for f in store.log(spark).version().files)
+    got, after, opened = [], None, []
+    while True:
+        found, after = store.page(spark, after=after, limit=30, span_ms=30 * 400_000_000)
+        got += [(r.last_ts_ms, r.conversation_id) for r in found.collect()]
+        opened.append(len(found.inputFiles()))
+        if len(opened) == 2:
+            store.refresh(messages(spark, [300_000]))  # a newer version, which the walk doesn't see
+        if after is None:
+            break
+    assert got == want and max(opened[:-1]) <= opened[0] + 2 < every / 2
+    bugs, _ = store.page(spark, Filters(L1="A.Bug", q="闪退"), limit=500)
+    every = [r.conversation_id for r in store.conversations(spark).where("L1 = 'A.Bug'").orderBy("last_ts_ms").collect()]
+    assert len(every) == 501 and {r.conversation_id for r in bugs.collect()} == set(every[1:])
+    none = LabelStore(f"{tmp_path}/none", buckets=2).create(messages(spark, []))
+    assert none.page(spark)[0].count() == 0 and none.page(spark)[1] is None
