@@ -20,6 +20,7 @@ from feedlens.operators import tagging
 from feedlens.operators.labels import aggregate_labelled
 from feedlens.operators.sessionize import conversation_spans, sessionize_all, sessionize_split
 from feedlens.plans import intent as I
+from feedlens.session import dealt
 from feedlens.sources import merge as M
 from feedlens.sources import messages as SM
 from feedlens.sources import textindex as TI
@@ -151,7 +152,7 @@ def integrity_orphans(spark, d):
 # --- labels ------------------------------------------------------------------
 @query
 def rule_tagger(spark, d):
-    found = tagging.with_rule_label(A.messages(spark, d).select("feedback_id", "text"))
+    found = tagging.with_rule_label(dealt(A.messages(spark, d).select("feedback_id", "text")))
     return found.where("rule_name is not null").select("feedback_id", "L1", joined("L2"), "severity", "confidence", "reason", "rule_name")
 
 

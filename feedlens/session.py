@@ -26,6 +26,15 @@ def spark_session(app: str = "feedlens", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, if their scan has fewer partitions than the session has cores: for work that costs more than an exchange of the rows.
+
+    Large tables have more partitions than cores and stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
