@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -16,6 +16,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: generated ones, which no later step or filter repeats as it would repeat an expression that it names more than once."""
+    for name, c in columns.items():
+        rows = rows.select("*", F.explode(F.array(c)).alias(name))
+    return rows
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

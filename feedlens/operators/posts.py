@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedlens import config as C
 from feedlens.functions import text as T
 from feedlens.operators.filters import check_page
+from feedlens.session import dealt
 from feedlens.sources.merge import insert_ignore
 from feedlens.sources.windows import parse_time
 
@@ -19,20 +20,29 @@ RISKS = ("normal", "watch", "high")
 HIDDEN = "llm_hidden"
 
 
+def _low(column: str) -> str:
+    """The name of a column's text in lower case, which is made once for all word lists."""
+    return f"{column}_low"
+
+
 def _says(column: str, terms) -> str:
-    return T.sql_contains(column, terms, fold=True)
+    return T.sql_contains(_low(column), [t.lower() for t in terms])
+
+
+def _near(brands: C.Brands) -> str:
+    return brands.own_near + ".{0,12}(?:" + "|".join(brands.own_what) + ")"
 
 
 def _mentions(column: str, brands: C.Brands) -> tuple[str, str]:
     """SQL text of (own product, rival product) is meant: by name, or by a short name beside a word of the field."""
-    near = f"rlike({column}, {T.literal(brands.own_near + '.{0,12}(?:' + '|'.join(brands.own_what) + ')')})"
+    near = f"rlike({column}, {T.literal(_near(brands))})"
     return f"({_says(column, brands.own)} OR {near})", f"({_says(column, brands.rival)} AND {_says(column, brands.rival_context)})"
 
 
 def relevant(column: str = "text", brands: C.Brands = C.Brands()) -> Column:
     """True if a post is about one of the products; a null text is not."""
-    own, rival = _mentions(column, brands)
-    return F.coalesce(F.expr(f"{own} OR {rival}"), F.lit(False))
+    near, said = F.col(column).rlike(_near(brands)), lambda terms: T.contains_any(F.lower(column), [t.lower() for t in terms])
+    return F.coalesce(said(brands.own) | near | (said(brands.rival) & said(brands.rival_context)), F.lit(False))
 
 
 def with_post_label(posts: DataFrame, brands: C.Brands = C.Brands()) -> DataFrame:
@@ -40,7 +50,8 @@ def with_post_label(posts: DataFrame, brands: C.Brands = C.Brands()) -> DataFram
     s = "_s"
     own, rival = _mentions(s, brands)
     flags = {"_own": own, "_rival": rival, "_good": _says(s, C.POSITIVE_TERMS), "_bad": _says(s, C.NEGATIVE_TERMS)}
-    base = posts.withColumn(s, T.strip(F.coalesce("text", F.lit("")))).withColumns({k: F.expr(v) for k, v in flags.items()})
+    base = T.once(T.once(posts, **{s: T.strip(F.coalesce("text", F.lit("")))}), **{_low(s): F.lower(s)})
+    base = base.withColumns({k: F.expr(v) for k, v in flags.items()})
     has = {t: _says(s, words) for t, words in C.TOPIC_TERMS.items()}
     has["feature_comparison"] = f"(_own AND _rival) OR {has['feature_comparison']}"
     topics = base.withColumn("_t", F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for t, c in has.items()) + "))"))
@@ -52,7 +63,7 @@ def with_post_label(posts: DataFrame, brands: C.Brands = C.Brands()) -> DataFram
         "post_type": F.expr(f"CASE {kinds} WHEN _bad AND NOT _good THEN 'complaint' ELSE 'other' END"),
         "risk_level": F.expr(f"CASE WHEN {_says(s, C.HIGH_RISK_TERMS)} THEN 'high' WHEN _bad AND NOT _good AND arrays_overlap(_t, array('privacy', 'ads', 'bug')) THEN 'watch' ELSE 'normal' END"),
         "confidence": F.lit(0.7), "reason": F.lit("规则命中：品牌、情绪、话题和风险关键词"), "label_source": F.lit("rule"),
-    }).drop(s, "_t", *flags)
+    }).drop(s, _low(s), "_t", *flags)
 
 
 def classify_posts(posts: DataFrame, brands: C.Brands = C.Brands(), *, labeled_at: int = 0) -> DataFrame:
@@ -69,7 +80,7 @@ def written_at(raw: Column, seen_at: Column, *, zone: str = "Asia/Shanghai") ->
     s = T.strip(raw)
     base = F.from_utc_timestamp(F.timestamp_seconds(seen_at), zone).cast("timestamp_ntz")
     part = lambda shape, k: F.regexp_extract(s, shape, k).try_cast("int")
-    clock = lambda y, mo, d, h, mi: F.expr("null").cast("timestamp_ntz") if y is None else F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d:00", y, mo, d, h, mi), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    clock = lambda y, mo, d, h, mi: F.when(y > 0, F.try_make_timestamp_ntz(y, mo, d, h, mi, F.lit(0)))
     today, ago, day, full = r"^今天\s*(\d{1,2}):(\d{2})$", r"^(\d+)\s*分钟前$", r"^(\d{1,2})月(\d{1,2})日\s+(\d{1,2}):(\d{2})$", r"^(\d{4})年(\d{1,2})月(\d{1,2})日\s+(\d{1,2}):(\d{2})$"
     of_day = lambda year: clock(year, part(day, 1), part(day, 2), part(day, 3), part(day, 4))
     this_year = of_day(F.year(base))
@@ -208,35 +219,41 @@ def to_label(posts: DataFrame, labels: DataFrame, *, limit: int = 50) -> DataFra
 REPLY = "is_relevant string, relevance_reason string, brand_focus string, sentiment string, topics string, post_type string, risk_level string, summary string, reason string, confidence string"
 
 
-def parse_post_reply(reply: Column) -> Column:
-    """Struct of a model's label of a post, with ``problem`` set where it can't be used.
+def with_parsed_reply(replies: DataFrame) -> DataFrame:
+    """Adds ``p``, the struct of a model's label of a post, with ``problem`` set where it can't be used.
 
     Enumerations are strict, truth values may be words, the confidence is clamped
-    or null, topics are cut down to known ones.
+    or null, topics are cut down to known ones. Each step is a generated column, so that a reply
+    is parsed once, however many of its values are asked for. The rows are dealt over all cores first: parsing costs more than an exchange.
     """
-    text = T.strip(F.coalesce(reply, F.lit("")))
-    fenced = F.nullif(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    obj = F.from_json(T.strip(F.coalesce(fenced, text)), REPLY)
-    said = lambda c: T.strip(F.coalesce(obj[c], F.lit("")))
-    truth = F.when(F.lower(said("is_relevant")).isin("true", "yes", "1"), True).when(F.lower(said("is_relevant")).isin("false", "no", "0"), False)
-    listed = F.coalesce(F.from_json(obj["topics"], "array<string>"), F.array(obj["topics"]))
-    topics = F.array_distinct(F.filter(F.transform(listed, T.strip), lambda t: t.isin(*TOPICS)))
-    sure = F.nullif(obj["confidence"], F.lit(""))
+    text = T.strip(F.coalesce("reply", F.lit("")))
+    rows = T.once(dealt(replies), _text=text)
+    fenced = F.nullif(F.regexp_extract("_text", r"(?is)```(?:json)?\s*(.*?)```", 1), F.lit(""))
+    rows = T.once(rows, _body=T.strip(F.coalesce(fenced, "_text")))
+    rows = T.once(rows, _o=F.from_json("_body", REPLY))
+    said = {c: T.strip(F.coalesce(F.col(f"_o.{c}"), F.lit(""))) for c in ("is_relevant", "brand_focus", "sentiment", "post_type", "risk_level", "summary", "reason", "relevance_reason")}
+    listed = F.coalesce(F.from_json("_o.topics", "array<string>"), F.array("_o.topics"))
+    rows = T.once(rows, _said=F.struct(*[c.alias(name) for name, c in said.items()], listed.alias("topics"), F.nullif("_o.confidence", F.lit("")).alias("sure")))
+    word, sure = F.lower("_said.is_relevant"), F.col("_said.sure")
+    truth = F.when(word.isin("true", "yes", "1"), True).when(word.isin("false", "no", "0"), False)
+    topics = F.array_distinct(F.filter(F.transform("_said.topics", T.strip), lambda t: t.isin(*TOPICS)))
+    rows = T.once(rows, _more=F.struct(truth.alias("truth"), topics.alias("topics"), sure.try_cast("double").alias("sure")))
     problem = F.coalesce(
-        F.when(obj.isNull() | ~F.coalesce(fenced, text).rlike(r"^\s*\{"), "json"), F.when(truth.isNull(), "is_relevant"),
-        *[F.when(~said(c).isin(*allowed), c) for c, allowed in (("brand_focus", FOCUS), ("sentiment", SENTIMENTS), ("post_type", POST_TYPES), ("risk_level", RISKS))],
-        F.when(sure.isNotNull() & sure.try_cast("double").isNull(), "confidence"),
+        F.when(F.col("_o").isNull() | ~F.col("_body").startswith("{"), "json"), F.when(F.col("_more.truth").isNull(), "is_relevant"),
+        *[F.when(~F.col(f"_said.{c}").isin(*allowed), c) for c, allowed in (("brand_focus", FOCUS), ("sentiment", SENTIMENTS), ("post_type", POST_TYPES), ("risk_level", RISKS))],
+        F.when(sure.isNotNull() & F.col("_more.sure").isNull(), "confidence"),
     )
-    return F.struct(
-        problem.alias("problem"), truth.alias("is_relevant"), said("brand_focus").alias("brand_focus"), said("sentiment").alias("sentiment"),
-        F.when(F.size(topics) > 0, topics).otherwise(F.array(F.lit("other"))).alias("topics"), said("post_type").alias("post_type"), said("risk_level").alias("risk_level"), said("summary").alias("summary"),
-        F.coalesce(F.nullif(said("reason"), F.lit("")), said("relevance_reason")).alias("reason"), F.when(sure.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure.try_cast("double")))).alias("confidence"),
+    found = F.struct(
+        problem.alias("problem"), F.col("_more.truth").alias("is_relevant"), "_said.brand_focus", "_said.sentiment",
+        F.when(F.size("_more.topics") > 0, F.col("_more.topics")).otherwise(F.array(F.lit("other"))).alias("topics"), "_said.post_type", "_said.risk_level", "_said.summary",
+        F.coalesce(F.nullif("_said.reason", F.lit("")), "_said.relevance_reason").alias("reason"), F.when(sure.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_more.sure"))).alias("confidence"),
     )
+    return T.once(rows, p=found).select(*replies.columns, "p")
 
 
 def reply_labels(replies: DataFrame, *, labeled_at: int = 0) -> tuple[DataFrame, DataFrame]:
     """(post labels, replies set aside) from (post_id, reply); what the model finds irrelevant is hidden."""
-    parsed = replies.withColumn("p", parse_post_reply(F.col("reply")))
+    parsed = with_parsed_reply(replies)
     reason = F.array_join(F.filter(F.array("p.summary", "p.reason"), lambda x: x != ""), "\n\n")
     good = parsed.where("p.problem is null").select(
         "post_id", "p.brand_focus", "p.sentiment", "p.topics", "p.post_type", "p.risk_level", "p.confidence", reason.alias("reason"),
@@ -247,7 +264,6 @@ def reply_labels(replies: DataFrame, *, labeled_at: int = 0) -> tuple[DataFrame,
 
 def reply_counts(replies: DataFrame) -> DataFrame:
     """One row: seen, labeled, hidden, failed."""
-    p = parse_post_reply(F.col("reply"))
-    rows = replies.select(p.alias("p"))
+    rows = with_parsed_reply(replies.select("reply"))
     good = F.col("p.problem").isNull()
     return rows.agg(F.count("*").alias("seen"), F.count_if(good).alias("labeled"), F.count_if(good & ~F.col("p.is_relevant")).alias("hidden"), F.count_if(~good).alias("failed"))

@@ -27,12 +27,12 @@ def spark_session(app: str = "feedlens", **conf: str) -> SparkSession:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """The rows over all cores, if their scan has fewer partitions than the session has cores: for work that costs more than an exchange of the rows.
+    """The rows over all cores, one after the other: for work that costs more than an exchange of the rows.
 
-    Large tables have more partitions than cores and stay as they are.
+    How many partitions a scan has doesn't tell over how many its rows are: those of a file lie in its row groups, of which there can be one.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -73,3 +73,30 @@ def test_replies(spark):
     assert (got["1"].topics, got["1"].confidence, got["1"].reason, got["1"].label_source) == (["ads"], 1.0, "s\n\nr", "llm") and got["2"].label_source == P.HIDDEN and got["2"].confidence is None
     assert {r.post_id: r.problem for r in bad.collect()} == {"3": "sentiment", "4": "json", "5": "json", "6": "confidence", "7": "is_relevant"}
     assert P.reply_counts(df).first().asDict() == {"seen": 7, "labeled": 2, "hidden": 1, "failed": 5}
+
+
+def test_a_reply_is_parsed_once(spark):
+    df = spark.createDataFrame([("1", "{}")], "post_id string, reply string")
+    for out in (P.reply_labels(df)[0], P.reply_counts(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 2  # the reply, and its list of topics
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
+    from feedlens.adapters import post_hits
+    from feedlens.session import dealt
+
+    spark.range(4000).coalesce(1).selectExpr("id AS event_id", "id % 9 AS user_id", "'view' AS event_type", "1.0D AS value", "timestamp_seconds(1704067200 + id) AS ts", "'{\"k\": 1}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        for df in (dealt(spark.read.parquet(f"{tmp_path}/events.parquet")), post_hits(spark, str(tmp_path))):
+            assert max(map(len, df.rdd.glom().collect())) < 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("raw", ["2025年13月03日 16:11", "0000年01月03日 16:11", "02月31日 10:00", "今天25:00", "2025年11月03日 16:60"])
+def test_no_time(spark, raw):
+    df = spark.createDataFrame([(raw, 1750000000)], "raw string, seen long")
+    assert df.select(P.written_at(F.col("raw"), F.col("seen"))).first()[0] is None
