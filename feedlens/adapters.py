@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from feedlens import schemas
 from feedlens.operators import posts as P
 from feedlens.operators.sessionize import sessionize_all
-from feedlens.session import shared_root
+from feedlens.session import dealt, shared_root
 from feedlens.sources.poststore import PostStore
 from feedlens.sources.store import LabelStore
 from feedlens.sources.textindex import blocks_of, grams_of
@@ -145,8 +145,8 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def post_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search hits of posts; three neighbouring events are hits of one post."""
-    e = events(spark, sf_dir)
+    """Search hits of posts; three neighbouring events are hits of one post. The scan is dealt over all cores before times are parsed."""
+    e = dealt(events(spark, sf_dir))
     post = F.floor(F.col("event_id") / 3).cast("long")
     return e.select(
         F.concat(F.lit("p"), post.cast("string")).alias("post_id"), F.concat(F.lit("https://posts.example/"), post.cast("string")).alias("url"), F.col("user_id").cast("string").alias("author_id"), F.lit("").alias("author_name"),

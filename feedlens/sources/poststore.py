@@ -70,7 +70,7 @@ class PostStore:
         ids = found.select("post_id").distinct()
 
         def make(base: Version, touched: list[int]):
-            posts = P.merge_posts(self._of(spark, "posts", base, touched), found, brands=self.brands)
+            posts = settle(P.merge_posts(self._of(spark, "posts", base, touched), found, skip_irrelevant=False), "merged")  # ``found`` holds relevant ones alone
             held = self._of(spark, "labels", base, touched)
             mine = P.classify_posts(posts.join(ids, "post_id", "left_semi"), self.brands)
             labels = held.join(ids, "post_id", "left_anti").select(*held.columns).unionByName(mine)
