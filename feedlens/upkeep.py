@@ -25,7 +25,7 @@ from feedlens.operators.calls import CallLog, score_once
 from feedlens.operators.sessionize import sessionize_all
 from feedlens.plans import intent as I
 from feedlens.queries import END_MS, START_MS, _drained, _event_stream, _facts, _groups, _ids, _posts, _samples, joined, overlap_scorer, query
-from feedlens.session import shared_root
+from feedlens.session import settle, shared_root
 from feedlens.sources import merge as M
 from feedlens.sources import messages as SM
 from feedlens.sources.store import LabelStore
@@ -325,7 +325,7 @@ def post_model(texts: list[str]) -> list[str]:
 @query
 def post_model_labels(spark, d):
     posts, _, _ = _posts(spark, d)
-    good, bad = P.reply_labels(tagging.model_replies(posts, post_model, key="post_id"))
+    good, bad = P.reply_labels(settle(tagging.model_replies(posts, post_model, key="post_id"), "replies"))  # both frames read what was asked once
     return good.select("post_id", "brand_focus", "label_source", "confidence").unionByName(bad.select("post_id", F.lit(None).cast("string").alias("brand_focus"), F.lit("failed").alias("label_source"), F.lit(None).cast("double").alias("confidence")))
 
 
