@@ -121,6 +121,7 @@ def score_in_turns(texts: DataFrame, query: str, ask: Callable[[str, list[tuple[
 
 def report_prompt(samples: DataFrame, question: str) -> DataFrame:
     """One row with the text that a model writes the report from: question, counts of each value, and the best samples."""
+    samples = settle(samples.drop("reason"), "samples")  # lines, counts and range read what is put together once
     best = best_samples(samples)
     lines = sample_lines(best).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("snapshot_order", "line"))), lambda x: x["line"]), "\n").alias("lines"))  # MAX_SAMPLES at most
     names = {"L1": "分类", "severity": "严重度", "platform": "平台"}

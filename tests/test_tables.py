@@ -113,3 +113,20 @@ def test_scores(spark):
     assert [reports.batch_size(n) for n in (50, 51, 201)] == [1, 2, 5] and reports.batch_size(10, 4) == 4
     replies = spark.createDataFrame([('{"score": 3, "reason": "a"}',), ('```json\n[{"score": 5}, {"score": 1}]\n```',), ("no",)], "r string")
     assert [[tuple(x) for x in r.s] if r.s else None for r in replies.select(reports.parse_score(F.col("r")).alias("s")).collect()] == [[(3, "a")], [(2, ""), (1, "")], None]
+
+
+def test_what_is_read_more_than_once_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([("1", "A.Bug"), ("2", "?"), ("3", "A.Bug")], "id string, L1 string").mapInPandas(counted, "id string, L1 string")
+    out = M.import_tables(spark, {"t": (rows, "id string, L1 string", F.when(F.col("L1") == "?", "L1"))}, str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [("t", 2, 1, None)] and seen.value == 3
+    shape = "conversation_id string, text string, platform string, appversion string, L1 string, L2 string, severity string, last_ts_ms long, ai_score int, reason string, snapshot_order long"
+    samples = spark.createDataFrame([("c", "t", "iOS", "1", "A.Bug", "x", "P0", 5, 3, "", 0), ("d", "t", "iOS", "1", "A.Bug", "x", "P0", 5, 3, "", 1)], shape)
+    seen.value = 0
+    assert reports.report_prompt(samples.mapInPandas(counted, shape), "q").first().prompt.count("会话") == 2 and seen.value == 2
