@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlens import config as C
 from feedlens import schemas
+from feedlens.session import forget, settle
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, *, order: str | None = None) -> DataFrame:
@@ -81,16 +82,17 @@ def mirror(tables: dict[str, DataFrame], path: str) -> None:
 def import_tables(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, Column]], path: str) -> DataFrame:
     """Write tables (rows, schema, problem) below ``path``, each on its own: (table, written, refused, error).
 
-    Columns that the schema lacks are dropped, missing ones are null. Rows with a
+    Columns that the schema lacks are dropped, missing ones are null. A table's rows are computed once and told apart as written. Rows with a
     problem go to a folder of their own beside the table, with the problem. A table that
     fails leaves its error and the others are written.
     """
     out = []
     for name, (rows, schema, problem) in tables.items():
         try:
-            good, bad = split_valid(schemas.conform(rows, schema), problem)
-            good.write.mode("overwrite").parquet(f"{path}/{name}")
-            bad.write.mode("overwrite").parquet(f"{path}/{name}_refused")
+            checked = settle(schemas.conform(rows, schema).withColumn("problem", problem), "checked")
+            checked.where("problem is null").drop("problem").write.mode("overwrite").parquet(f"{path}/{name}")
+            checked.where("problem is not null").write.mode("overwrite").parquet(f"{path}/{name}_refused")
+            forget(checked)
             out.append((name, *(spark.read.parquet(f"{path}/{name}{k}").count() for k in ("", "_refused")), None))
         except Exception as e:  # one table doesn't stop the others
             out.append((name, 0, 0, f"{type(e).__name__}: {e}"[:500]))

@@ -25,7 +25,7 @@ from feedlens.operators.calls import CallLog, score_once
 from feedlens.operators.sessionize import sessionize_all
 from feedlens.plans import intent as I
 from feedlens.queries import END_MS, START_MS, _drained, _event_stream, _facts, _groups, _ids, _posts, _samples, joined, overlap_scorer, query
-from feedlens.session import settle, shared_root
+from feedlens.session import dealt, settle, shared_root
 from feedlens.sources import merge as M
 from feedlens.sources import messages as SM
 from feedlens.sources.store import LabelStore
@@ -166,7 +166,7 @@ def json_round_trip(spark, d):
 @query
 def import_isolated(spark, d):
     """Three tables: one with rows to refuse, one that can't be read, one without a fault."""
-    labels = tagging.tag_messages(A.messages(spark, d)).withColumns({"extra": F.lit(1), "L1": F.when(F.col("rule_name") == "rule:suggest", "?").otherwise(F.col("L1"))})
+    labels = tagging.tag_messages(dealt(A.messages(spark, d).select("feedback_id", "text"))).withColumns({"extra": F.lit(1), "L1": F.when(F.col("rule_name") == "rule:suggest", "?").otherwise(F.col("L1"))})
     broken = A.posts(spark, d).withColumn("text", F.raise_error(F.lit("unreadable")))
     fine = F.lit(None).cast("string")
     tables = {"message_label": (labels, schemas.MESSAGE_LABEL, M.label_problem()), "post": (broken, schemas.POST, fine), "post_hit": (P.new_hits(A.post_hits(spark, d)), schemas.POST_HIT, fine)}
