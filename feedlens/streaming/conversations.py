@@ -23,6 +23,7 @@ from feedlens import config as C
 from feedlens.operators.labels import label_ranks, tags_of_bits
 from feedlens.operators.sessionize import user_key
 from feedlens.operators.tagging import with_label
+from feedlens.session import dealt
 
 META = "user_vid string, appversion string, channel string, service_vid long, external_chat_url string"
 LABEL = "rank int, L1 string, confidence double, reason string, source string, severity_rank int, severity string, bits int"
@@ -58,7 +59,7 @@ class OpenConversations(StatefulProcessor):
         self.handle = handle
         self.folded = handle.getValueState("folded", FOLDED)
         self.recent = handle.getListState("recent", MESSAGE)
-        self.shown = handle.getMapState("shown", "conversation_id string", "mark string")
+        self.shown = handle.getListState("shown", "conversation_id string, mark string")  # read and written as a whole: a call for each conversation takes most of a batch's time
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = [dict(zip(_MESSAGE, r, strict=True)) for r in (self.recent.get() if self.recent.exists() else ())]
@@ -79,13 +80,19 @@ class OpenConversations(StatefulProcessor):
             else:
                 left.append(m)
         found.append(open_)
-        yield from self._changes(key[0], found)
+        now = {self._id(key[0], c["first_ts_ms"]): c for c in found}
+        marks = {name: hashlib.sha1(json.dumps(c, sort_keys=True).encode()).hexdigest() for name, c in now.items()}
+        before = {r[0]: r[1] for r in (self.shown.get() if self.shown.exists() else ())}
+        for name in before.keys() - now.keys():
+            yield Row(op="delete", conversation_id=name, **dict.fromkeys(_FOLDED))
+        for name, c in now.items():
+            if before.get(name) != marks[name]:
+                yield Row(op="upsert", conversation_id=name, **c)
         if base is not None:
             self.folded.update(tuple(base[c] for c in _FOLDED))
-        self.recent.clear()
-        if left:
-            self.recent.put([tuple(m[c] for c in _MESSAGE) for m in left])
-        self._forget_shown(key[0], base, left)
+        self._put(self.recent, [tuple(m[c] for c in _MESSAGE) for m in left])
+        still = self._still(key[0], base, left)
+        self._put(self.shown, [(name, mark) for name, mark in marks.items() if name in still])
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(open_["last_ts_ms"] + self.gap + 1)
@@ -93,20 +100,14 @@ class OpenConversations(StatefulProcessor):
     def _id(self, key: str, first_ts_ms: int) -> str:
         return hashlib.sha1(f"{key}:{first_ts_ms}".encode()).hexdigest()[:12]
 
-    def _changes(self, key: str, found: list[dict]) -> Iterator[Row]:
-        now = {self._id(key, c["first_ts_ms"]): c for c in found}
-        before = {k[0]: v[0] for k, v in self.shown.iterator()} if self.shown.exists() else {}
-        for name in before.keys() - now.keys():
-            self.shown.removeKey((name,))
-            yield Row(op="delete", conversation_id=name, **dict.fromkeys(_FOLDED))
-        for name, c in now.items():
-            mark = hashlib.sha1(json.dumps(c, sort_keys=True).encode()).hexdigest()
-            if before.get(name) != mark:
-                self.shown.updateValue((name,), (mark,))
-                yield Row(op="upsert", conversation_id=name, **c)
+    def _put(self, state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
 
-    def _forget_shown(self, key: str, base: dict | None, left: list[dict]) -> None:
-        """Conversations before the one that is folded can't change: their ids needn't be known."""
+    def _still(self, key: str, base: dict | None, left: list[dict]) -> set[str]:
+        """The ids of conversations that can still change: none of those before the one that is folded."""
         still = {self._id(key, base["first_ts_ms"])} if base else set()
         last = base
         for m in left:
@@ -114,9 +115,7 @@ class OpenConversations(StatefulProcessor):
                 last = None
             last = fold(last, m)
             still.add(self._id(key, last["first_ts_ms"]))
-        for (name,) in list(self.shown.keys()):
-            if name not in still:
-                self.shown.removeKey((name,))
+        return still
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.folded.clear()
@@ -147,7 +146,7 @@ def conversation_changes(messages: DataFrame, *, gap_ms: int = C.GAP_MS, late: s
     as it is now, 'delete' for an id that is gone, at most one row of an id in a batch. Messages later than
     ``late`` behind the newest are dropped by the watermark. Start the stream inside ``rocks``.
     """
-    told = label_ranks(with_label(messages, rules))
+    told = label_ranks(with_label(dealt(messages), rules))
     keyed = told.select(user_key(F.col("user_vid"), F.col("feedback_id")).alias("_key"), F.timestamp_millis("ts_ms").alias("ts"), *_MESSAGE).withWatermark("ts", late)
     found = keyed.groupBy("_key").transformWithState(OpenConversations(gap_ms), outputStructType=CHANGE, outputMode="Update", timeMode="EventTime")
     return found.select("op", "conversation_id", "L1", tags_of_bits(F.col("bits")).alias("L2"), "severity", "confidence", "reason", "source", "msg_count", "first_ts_ms", "last_ts_ms", *_META)

@@ -67,3 +67,33 @@ def test_fold_is_the_aggregate():
     for x in (m(1, 2, 0.5, 1, 1), m(2, 3, 0.4, 0, 2), m(3, 3, 0.4, 3, 4), m(4, 1, 0.9, 2, 2)):
         out = SC.fold(out, x)
     assert (out["L1"], out["reason"], out["confidence"], out["severity"], out["bits"], out["msg_count"], out["first_ts_ms"], out["last_ts_ms"], out["user_vid"]) == ("L3", "r2", 0.4, "P3", 7, 4, 1, 4, "u1")
+
+
+def test_state_calls_do_not_grow_with_conversations():
+    from feedlens.streaming.conversations import _MESSAGE, OpenConversations
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (False if name == "exists" else iter(()))
+
+    class Handle(State):
+        getValueState = getListState = getMapState = lambda self, *a: State()
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    class Message(dict):
+        asDict = dict.copy
+
+    def needed(n):
+        calls.clear()
+        one = OpenConversations(10)
+        one.init(Handle())
+        fixed = dict.fromkeys(_MESSAGE) | {"rank": 1, "severity_rank": 1, "confidence": 0.5, "bits": 0}
+        out = list(one.handleInputRows(("u",), iter([Message(fixed, ts_ms=100 * k, feedback_id=str(k)) for k in range(n)]), Times()))
+        assert len(out) == n
+        return len(calls)
+
+    assert needed(1) == needed(50)
