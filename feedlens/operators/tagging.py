@@ -123,6 +123,16 @@ def with_label(messages: DataFrame, rules: C.TagRules = C.TagRules(), *, reply:
     return out.withColumns({c: F.when(open_, F.col(f"_other.{c}")).otherwise(F.col(c)) for c in LABEL_COLUMNS}).drop("_other")
 
 
+def with_label_once(messages: DataFrame, rules: C.TagRules = C.TagRules(), *, texts: DataFrame | None = None) -> DataFrame:
+    """The result of ``with_label`` without replies, each different text labelled once and its label joined: users say the same words, and the rules cost more than an exchange.
+
+    ``texts`` is a plainer frame that holds every text of the messages, to find the different ones in.
+    """
+    told = with_label((messages if texts is None else texts).select(F.col("text").alias("_text")).distinct().withColumnRenamed("_text", "text"), rules)
+    told = told.withColumnRenamed("text", "_text")
+    return messages.join(told, F.col("text").eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def tag_messages(messages: DataFrame, rules: C.TagRules = C.TagRules(), *, reply: Column | None = None, tagged_at: int = 0) -> DataFrame:
     """Labels of (feedback_id, text) as a table of their own."""
     return with_label(messages, rules, reply=reply).select("feedback_id", *LABEL_COLUMNS, "rule_name", F.lit(tagged_at).cast("long").alias("tagged_at"))

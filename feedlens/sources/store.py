@@ -21,7 +21,7 @@ from feedlens.operators.browse import PREVIEW_CHARS
 from feedlens.operators.filters import Filters, check_page, narrow
 from feedlens.operators.labels import aggregate_labelled
 from feedlens.operators.sessionize import sessionize_all
-from feedlens.operators.tagging import LABEL_COLUMNS, with_label
+from feedlens.operators.tagging import LABEL_COLUMNS, with_label_once
 from feedlens.session import forget, settle
 from feedlens.sources.merge import insert_ignore
 from feedlens.operators.search import KeywordGroup
@@ -93,7 +93,7 @@ class LabelStore:
         log = self.log(messages.sparkSession)
         base = log.version()
         n = self.buckets or max(1, -(-messages.count() // self.bucket_rows))
-        rows = with_label(sessionize_all(messages, gap_ms=self.gap_ms), self.rules).withColumn("bucket", _bucket(_owner(), n))
+        rows = with_label_once(sessionize_all(messages, gap_ms=self.gap_ms), self.rules, texts=messages).withColumn("bucket", _bucket(_owner(), n))
         added, schema = self._stage(log, {"messages": rows})
         talks = conversations_of(log.of("messages", schema["messages"], added).withColumn("bucket", _bucket(_owner(), n)))
         more, also = self._stage(log, {"conversations": talks})
@@ -200,7 +200,7 @@ class LabelStore:
         columns = [c for c in fresh.columns if c not in ("conversation_id", "msg_seq")]
         known = held.join(users, "user_vid", "left_semi").select(*columns, *LABELS)
         again = settle(sessionize_all(known.unionByName(fresh.select(*columns), allowMissingColumns=True), gap_ms=self.gap_ms), "again")
-        told = with_label(again.where("L1 is null").drop(*LABELS), self.rules).select(*held.columns)
+        told = with_label_once(again.where("L1 is null").drop(*LABELS), self.rules).select(*held.columns)
         new = again.where("L1 is not null").select(*held.columns).unionByName(told)
         new = settle(new.withColumn("bucket", _bucket(_owner(), n)), "labelled")
         rest = held.join(users, "user_vid", "left_anti").select(*held.columns).withColumn("bucket", _bucket(_owner(), n))

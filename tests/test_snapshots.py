@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedlens import schemas
 from feedlens.sources.snapshots import FULL_EVERY, Conflict, SnapshotLog
@@ -138,3 +139,23 @@ def test_pages_by_key(spark, tmp_path):
     assert len(every) == 501 and {r.conversation_id for r in bugs.collect()} == set(every[1:])
     none = LabelStore(f"{tmp_path}/none", buckets=2).create(messages(spark, []))
     assert none.page(spark)[0].count() == 0 and none.page(spark)[1] is None
+
+
+def test_a_text_is_labelled_once(spark, tmp_path, monkeypatch):
+    """The rules get the different texts of the messages, a null one among them, and give what they give to all rows."""
+    from feedlens.operators import tagging
+    from feedlens.sources import store as module
+
+    rows = messages(spark, range(300)).withColumn("text", F.when(F.col("ts_ms") % 3 == 0, F.col("text")))
+    plain, asked = tagging.with_label, []
+
+    def counted(df, *args, **named):
+        asked.append(df.count())
+        return plain(df, *args, **named)
+
+    for where in (tagging, module):
+        monkeypatch.setattr(where, "with_label", counted, raising=False)
+    store = LabelStore(str(tmp_path), buckets=4).create(rows)
+    assert asked == [rows.select("text").distinct().count()] and asked[0] < 300
+    own = ["feedback_id", *tagging.LABEL_COLUMNS, "rule_name"]
+    assert sorted(map(str, store.messages(spark).select(*own).collect())) == sorted(map(str, plain(rows).select(*own).collect()))
