@@ -108,7 +108,7 @@ class LabelStore:
         """The index tables of messages with their bucket, which ``part`` repeats in the rows."""
         own = rows.select("bucket", F.col("bucket").alias("part"), "text", "conversation_id")
         texts = settle(textindex.blocks_of(own, bucket="part"), "texts")
-        grams = textindex.grams_of(texts, bucket="part").withColumn("bucket", F.col("part"))
+        grams = textindex.grams_of(texts, bucket="part", repeated=True).withColumn("bucket", F.col("part"))
         out = self._stage(log, {"texts": texts, "grams": grams})
         forget(texts)
         return out

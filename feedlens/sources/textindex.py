@@ -35,11 +35,16 @@ def blocks_of(rows: DataFrame, *, block_rows: int = 512, bucket: str | None = No
     return dealt.withColumn("block", F.shiftright(F.monotonically_increasing_id(), (block_rows - 1).bit_length()))
 
 
-def grams_of(texts: DataFrame, *, bucket: str | None = None) -> DataFrame:
-    """(gram, block), with the bucket if there is one: the different grams of each block's texts, in lower case as to ASCII letters."""
+def grams_of(texts: DataFrame, *, bucket: str | None = None, repeated: bool = False) -> DataFrame:
+    """(gram, block), with the bucket if there is one: the different grams of each block's texts, in lower case as to ASCII letters.
+
+    Where texts are ``repeated`` much, as short messages are, a block's equal ones are brought together first, at the cost of an exchange of the different ones.
+    """
     t = F.coalesce(T.ascii_lower(F.col("text")), F.lit(""))
     each = F.concat(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1)))
     own = [bucket] if bucket else []
+    if repeated:
+        texts = texts.select(*own, "block", "text").distinct()
     return texts.select(*own, "block", F.explode(F.array_distinct(each)).alias("gram")).distinct()
 
 

@@ -70,3 +70,12 @@ def test_index_of_the_store(spark, tmp_path):
     for groups, excludes in (([G(["crash"])], []), ([G(["键盘", "rare"]), G(["闪退"])], ["again", "9"]), ([G(["rare160"])], []), ([G(["nothing"])], [])):
         assert {r.conversation_id for r in store.keyword_search(spark, groups, excludes).collect()} == scan(groups, excludes)
     assert before == {r.conversation_id for r in store.keyword_search(spark, [G(["rare120"])], version=2).collect()} and len(before) == 1
+
+
+def test_equal_texts_of_a_block_give_their_grams_once(stored):
+    """Repeated texts are brought together before they are taken apart, and leave the same grams."""
+    texts, grams = stored
+    own = TI.grams_of(texts, repeated=True)
+    assert sorted(map(tuple, own.select("block", "gram").collect())) == sorted(map(tuple, grams.select("block", "gram").collect()))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Generate")  # below the explode
