@@ -64,16 +64,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.get_json_object("props", "$.k").cast("int").alias("k"), "props")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a message of the feedback schema, sessions not yet found. Some have no user."""
+def messages(spark: SparkSession, sf_dir: str, *, kind: bool = False) -> DataFrame:
+    """Every event as a message of the feedback schema, sessions not yet found; with ``kind`` its event_type beside it. Some have no user."""
     e = events(spark, sf_dir)
     version = F.when(F.col("k") % 7 == 6, "").otherwise(F.concat_ws(".", (F.col("k") % 3 + 3).cast("string"), (F.col("k") % 4).cast("string"), (F.col("k") % 5).cast("string")))
     return schemas.conform(e.select(
         F.concat(F.lit("e"), "event_id").alias("feedback_id"), F.lit("pending").alias("conversation_id"), F.lit(0).alias("msg_seq"), F.lit("app").alias("channel"), "ts_ms",
         pick(PLATFORMS, F.col("user_id")).alias("platform"), version.alias("appversion"), F.when(F.col("user_id") % 29 != 3, F.concat(F.lit("u"), "user_id")).alias("user_vid"),
         F.when(F.col("k") % 11 != 0, F.lit(10000)).alias("service_vid"), pick(DEVICES, F.col("user_id")).alias("device_name"), F.lit("text").alias("msgtype"),
-        pick(PHRASES, F.col("event_id")).alias("text"), F.lit("").alias("tags"), F.concat(F.lit('{"service_vid": '), (F.col("k") + 20000).cast("string"), F.lit("}")).alias("raw_json"), F.lit(0).alias("pulled_at"),
-    ), schemas.FEEDBACK)
+        pick(PHRASES, F.col("event_id")).alias("text"), F.lit("").alias("tags"), F.concat(F.lit('{"service_vid": '), (F.col("k") + 20000).cast("string"), F.lit("}")).alias("raw_json"), F.lit(0).alias("pulled_at"), "event_type",
+    ), schemas.FEEDBACK + (", event_type string" if kind else ""))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

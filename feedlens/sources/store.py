@@ -166,11 +166,12 @@ class LabelStore:
     def refresh(self, batch: DataFrame, *, tries: int = 5) -> LabelStore:
         """Take in a batch of messages: new, late, or delivered before.
 
-        All users of the batch are sessionized again over their whole history.
-        Messages keep the label that they have, only those without one are
+        All users of whom the batch has a message that isn't stored yet are sessionized again over their whole history.
+        Messages keep the label that they have, only new ones are
         tagged; the conversations of these users are aggregated again, and stale
-        ones go. Files of the buckets that hold them are written anew; no others are read or
-        written. A batch that runs twice, or again after a failure, has the same result. If
+        ones go. Files of the buckets that hold them are written anew; of others only those that may hold
+        a message of the batch are read. A batch that runs twice, or again after a failure, has the same result,
+        and one of known messages alone makes no version. If
         another batch changed one of the buckets meanwhile, this one starts again
         from that version. A message's id belongs to its user: an id that comes again with another user isn't looked for among all others.
         """
@@ -191,17 +192,21 @@ class LabelStore:
         log = self.log(batch.sparkSession)
         base = log.version()
         n = base.buckets
-        touched = [r.bucket for r in batch.select(_bucket(_owner(), n).alias("bucket")).distinct().collect()]  # n numbers at most
-        if not touched:
+        buckets_of = lambda df: [r.bucket for r in df.select(_bucket(_owner(), n).alias("bucket")).distinct().collect()]  # noqa: E731 - n numbers at most
+        asked = buckets_of(batch)
+        if not asked:
+            return
+        fresh = settle(insert_ignore(log.read("messages", base, buckets=asked), batch, "feedback_id", order="ts_ms"), "fresh")
+        touched = buckets_of(fresh)
+        if not touched:  # all known: their users' sessions and labels stand as they are
+            forget(fresh)
             return
         held = log.read("messages", base, buckets=touched)
-        users = batch.where(~_nameless()).select("user_vid").distinct()
-        fresh = insert_ignore(held, batch, "feedback_id", order="ts_ms")
+        users = fresh.where(~_nameless()).select("user_vid").distinct()
         columns = [c for c in fresh.columns if c not in ("conversation_id", "msg_seq")]
         known = held.join(users, "user_vid", "left_semi").select(*columns, *LABELS)
-        again = settle(sessionize_all(known.unionByName(fresh.select(*columns), allowMissingColumns=True), gap_ms=self.gap_ms), "again")
-        told = with_label_once(again.where("L1 is null").drop(*LABELS), self.rules).select(*held.columns)
-        new = again.where("L1 is not null").select(*held.columns).unionByName(told)
+        told = settle(with_label_once(fresh.select(*columns), self.rules).select(*columns, *LABELS), "told")
+        new = sessionize_all(known.unionByName(told), gap_ms=self.gap_ms).select(*held.columns)
         new = settle(new.withColumn("bucket", _bucket(_owner(), n)), "labelled")
         rest = held.join(users, "user_vid", "left_anti").select(*held.columns).withColumn("bucket", _bucket(_owner(), n))
         stay = log.read("conversations", base, buckets=touched)
@@ -219,4 +224,4 @@ class LabelStore:
             added += self._index(log, whole.withColumn("bucket", _bucket(_owner(), n)))[0]
         gone = set(touched)
         log.commit(base, added, [f for f in base.files if f.bucket in gone], touched, {}, n)
-        forget(again, new)
+        forget(fresh, told, new)

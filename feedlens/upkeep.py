@@ -49,7 +49,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 @query
 def late_recompute(spark, d):
     """History without errors, then batches of errors (late), purchases (known) and errors again, by streams that deliver all of it twice."""
-    m = A.messages(spark, d).join(A.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("feedback_id"), "event_type"), "feedback_id")
+    m = A.messages(spark, d, kind=True)
     store = LabelStore(_folder(spark, "late"), gap_ms=A.LONG_GAP_MS).create(m.where("event_type <> 'error'").drop("event_type"))
     inbox = _folder(spark, "inbox")
     late = m.where("event_type = 'error'").drop("event_type")
@@ -63,7 +63,7 @@ def late_recompute(spark, d):
 @query
 def change_feed(spark, d):
     """Conversations of all messages, as the store of those before errors came and the feed of what they changed give them."""
-    m = A.messages(spark, d).join(A.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("feedback_id"), "event_type"), "feedback_id")
+    m = A.messages(spark, d, kind=True)
     store = LabelStore(_folder(spark, "fed"), buckets=8, gap_ms=A.LONG_GAP_MS).create(m.where("event_type <> 'error'").drop("event_type"))
     log = store.log(spark)
     copied = store.conversations(spark)
@@ -376,7 +376,7 @@ def stored_posts(spark, d):
 @query
 def stream_labels(spark, d):
     """Conversation labels by a stream of messages that starts twice, the second time for late ones and repeats."""
-    m = A.messages(spark, d).join(A.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("feedback_id"), "event_type"), "feedback_id")
+    m = A.messages(spark, d, kind=True)
     inbox, out, log = (_folder(spark, name) for name in ("inbox", "changes", "changes-log"))
     for k, part in enumerate((m.where("event_type <> 'error'"), m.where("event_type in ('error', 'purchase')"))):
         part.drop("event_type").write.parquet(f"{inbox}/part-{k}")

@@ -159,3 +159,24 @@ def test_a_text_is_labelled_once(spark, tmp_path, monkeypatch):
     assert asked == [rows.select("text").distinct().count()] and asked[0] < 300
     own = ["feedback_id", *tagging.LABEL_COLUMNS, "rule_name"]
     assert sorted(map(str, store.messages(spark).select(*own).collect())) == sorted(map(str, plain(rows).select(*own).collect()))
+
+
+def test_a_refresh_leaves_users_without_a_new_message(spark, tmp_path):
+    """Known messages make no version; beside new ones they don't have their own users' buckets written again."""
+    store = LabelStore(str(tmp_path), buckets=16).create(messages(spark, range(400), users=80))
+    log, before = store.log(spark), shown(store, spark)
+    store.refresh(messages(spark, range(400), users=80))
+    assert log.latest() == 1 and shown(store, spark) == before
+    store.refresh(messages(spark, [*range(300), 401], users=80))
+    assert log.latest() == 2 and len(log.version().touched) == 1
+    assert shown(store, spark) == shown(LabelStore(f"{tmp_path}/all", buckets=3).create(messages(spark, [*range(400), 401], users=80)), spark)
+
+
+def test_messages_with_their_kind_are_one_scan(spark, data):
+    """Queries that part messages by event_type don't join the events to themselves."""
+    from feedlens import adapters as A
+
+    typed = A.messages(spark, data, kind=True)
+    assert "Join" not in typed._jdf.queryExecution().optimizedPlan().toString()
+    want = A.messages(spark, data).join(A.events(spark, data).selectExpr("'e' || event_id AS feedback_id", "event_type"), "feedback_id")
+    assert typed.columns == [*A.messages(spark, data).columns, "event_type"] and typed.exceptAll(want.select(*typed.columns)).isEmpty() and typed.count() == want.count()
