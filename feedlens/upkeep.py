@@ -69,7 +69,7 @@ def change_feed(spark, d):
     copied = store.conversations(spark)
     log.set_mark("copy", log.latest())
     store.refresh(m.where("event_type = 'error'").drop("event_type"))
-    feed = log.changes("conversations", "conversation_id", log.mark("copy"))
+    feed = settle(log.changes("conversations", "conversation_id", log.mark("copy")), "feed")  # read for its keys and for its rows
     kept = copied.join(feed.select("conversation_id"), "conversation_id", "left_anti").select(*copied.columns)
     now = kept.unionByName(feed.where("op <> 'delete'").drop("op"))
     return now.select("conversation_id", "L1", "L2", "severity", "confidence", "reason", "msg_count", "first_ts_ms", "last_ts_ms", "user_vid", "appversion")
