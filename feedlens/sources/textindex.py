@@ -40,12 +40,15 @@ def grams_of(texts: DataFrame, *, bucket: str | None = None, repeated: bool = Fa
 
     Where texts are ``repeated`` much, as short messages are, a block's equal ones are brought together first, at the cost of an exchange of the different ones.
     """
-    t = F.coalesce(T.ascii_lower(F.col("text")), F.lit(""))
-    each = F.concat(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1)))
     own = [bucket] if bucket else []
     if repeated:
         texts = texts.select(*own, "block", "text").distinct()
-    return texts.select(*own, "block", F.explode(F.array_distinct(each)).alias("gram")).distinct()
+    t = F.col("_t")
+    cut = lambda s: F.regexp_extract_all(s, F.lit("(?s).."), F.lit(0))
+    pairs = F.concat(cut(t), cut(F.substring(t, 2, 2**30)))  # those that begin at odd places and at even ones
+    valid = texts.select(*own, "block", F.make_valid_utf8(F.coalesce(T.ascii_lower(F.col("text")), F.lit(""))).alias("_t"))  # a broken character swallows no other
+    taken = valid.select(*own, "block", F.explode(F.concat(F.array_distinct(F.split(t, "")), F.array_distinct(pairs))).alias("gram"))
+    return taken.where("gram <> ''").distinct()
 
 
 def _grams(term: str) -> list[str]:

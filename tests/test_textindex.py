@@ -79,3 +79,17 @@ def test_equal_texts_of_a_block_give_their_grams_once(stored):
     assert sorted(map(tuple, own.select("block", "gram").collect())) == sorted(map(tuple, grams.select("block", "gram").collect()))
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate") > plan.index("Generate")  # below the explode
+
+
+def test_grams_of_odd_texts(spark):
+    """A text is searched for half of its pairs at a time and split into characters, without a look ahead at each place, and loses none."""
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in enumerate([*ODD, "\n", "\n\n", "😀", "A", *("".join(rng.choice("aBÉ闪😀\n ") for _ in range(n)) for n in range(1, 60))])]
+    grams = TI.grams_of(spark.createDataFrame(rows, "block long, text string"))
+    fold = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    want = sorted({(i, g) for i, t in rows for s in (fold(t),) for g in [*s, *(s[k : k + 2] for k in range(len(s) - 1))]})
+    assert sorted((r.block, r.gram) for r in grams.collect()) == want
+    plan = grams._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and "(?=" not in plan
+    broken = spark.sql("SELECT 1L AS block, CAST(unhex('F061C3F09F986262') AS STRING) AS text")
+    assert {"a", "b", "bb"} <= {r.gram for r in TI.grams_of(broken).collect()}
