@@ -20,7 +20,7 @@ from feedlens.operators import tagging
 from feedlens.operators.labels import aggregate_labelled
 from feedlens.operators.sessionize import conversation_spans, sessionize_all, sessionize_split
 from feedlens.plans import intent as I
-from feedlens.session import dealt
+from feedlens.session import dealt, settle
 from feedlens.sources import merge as M
 from feedlens.sources import messages as SM
 from feedlens.sources import textindex as TI
@@ -526,7 +526,8 @@ def report_lines(spark, d):
 
 
 def _by_score(spark, d) -> DataFrame:
-    return B.by_score(_samples(spark, d), F.nullif(F.col("ai_score"), F.lit(0))).select("conversation_id", "last_ts_ms", F.col("ai_score").cast("long").alias("ai_score"))
+    scores = settle(_samples(spark, d).select("conversation_id", "last_ts_ms", "ai_score"), "scores")  # a sort by ranges reads its rows twice
+    return B.by_score(scores, F.nullif(F.col("ai_score"), F.lit(0))).select("conversation_id", "last_ts_ms", F.col("ai_score").cast("long").alias("ai_score"))
 
 
 @query

@@ -123,3 +123,10 @@ def test_rules_of_files(tmp_path):
     for k, (load, bad) in enumerate(((C.load_tag_rules, {"p1": []}), (C.load_tag_rules, {"p0": ["("]}), (C.load_topics, {"t": []}), (C.load_topics, []))):
         with pytest.raises(ValueError):
             load(put(f"bad{k}", bad))
+
+
+def test_scores_are_joined_before_the_sort(spark, data):
+    """A sort by ranges reads its rows for the ranges and for the sort: the joins aren't among what it reads."""
+    from feedlens.registry import QUERIES
+
+    assert "Join" not in QUERIES["score_sort"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
