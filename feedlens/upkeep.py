@@ -115,7 +115,7 @@ def pane_sliding(spark, d):
 @query
 def relevance_once(spark, d):
     """Relevance scores by kept calls, asked for a second time with a model that fails whatever it is asked."""
-    texts = RP.conversation_texts(_facts(spark, d)[0])
+    texts = settle(RP.conversation_texts(_facts(spark, d)[0]).select("conversation_id", "text"), "texts")  # both times read them twice
     log = CallLog(_folder(spark, "calls"))
 
     def gone(question: str, batch: list[tuple[str, str]]) -> list[dict]:

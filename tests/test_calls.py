@@ -68,3 +68,45 @@ def test_scores(spark, tmp_path):
     got = sorted(map(tuple, calls.score_once(texts, log, "q", ask, size=1).collect()))
     assert got == sorted(map(tuple, score_conversations(texts, "q", ask, size=1).collect()))
     assert {r.reason for r in calls.score_once(texts, log, "q2", ask, seconds=-1).collect()} == {"timeout"}
+
+
+def test_batches_become_one_file(spark, tmp_path):
+    """A log has a file for some thousand texts, however small the batches are; what a lost task and failed calls leave is read and asked as before."""
+    log, ask = calls.CallLog(f"file://{tmp_path}/log"), counting(f"{tmp_path}/seen")
+    rows = spark.createDataFrame([(i, f"t{i}" + " fail" * (i == 3)) for i in range(90)], "id long, text string")
+    got = calls.ask_once(rows, log, "p", ask, size=1, partitions=2)
+    assert got.where("answered").count() == 89 and len(os.listdir(f"{tmp_path}/log")) <= 2
+    calls.ask_once(rows, log, "p", ask, size=1)
+    assert len(asked(f"{tmp_path}/seen")) == 91  # the failed one again
+
+
+def test_a_lost_task_leaves_its_batches(spark, tmp_path):
+    """Another run reads them, also if the group is put together while they are read; the task that starts again asks the rest and what failed."""
+    import pyarrow as pa
+
+    folder, seen = f"{tmp_path}/log", f"{tmp_path}/seen"
+    log, ask = calls.CallLog(folder), counting(seen)
+    batch = pa.RecordBatch.from_pydict({"call": [f"c{i}" for i in range(10)], "text": [f"t{i}" for i in range(9)] + ["fail"]})
+    answers = lambda: {r.call: r.reply for r in log.answers(spark).collect()}
+    lost = calls._ask(log, ask, 2, None)(iter([batch]))
+    next(lost), next(lost)
+    early = log.answers(spark)
+    assert answers() == {f"c{i}": f"T{i}" for i in range(4)}
+    assert [b.column(0)[0].as_py() for b in calls._ask(log, ask, 2, None)(iter([batch]))] == ["known"] * 2 + ["answered"] * 2 + ["failed"]
+    assert len(os.listdir(folder)) == 1 and answers() == {f"c{i}": f"T{i}" for i in range(8)}
+    assert {r.call: r.reply for r in early.collect()} == answers()  # its files have gone
+    assert [b.column(0)[0].as_py() for b in calls._ask(log, lambda texts: ["late"] * 2, 2, None)(iter([batch]))] == ["known"] * 4 + ["answered"]
+    assert answers() == {f"c{i}": f"T{i}" for i in range(8)} | {"c8": "late", "c9": "late"}
+
+
+def test_groups_end_after_some_calls(spark, tmp_path, monkeypatch):
+    """Files hold FOLD calls, or one batch where that is larger; groups go over the batches that Arrow hands in."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(calls, "FOLD", 7)
+    part = lambda lo, hi: pa.RecordBatch.from_pydict({"call": [f"c{i}" for i in range(lo, hi)], "text": [f"t{i}" for i in range(lo, hi)]})
+    for size, files in ((3, 4), (9, 3)):
+        log = calls.CallLog(str(tmp_path / f"log{size}"))
+        told = list(calls._ask(log, lambda texts: [t.upper() for t in texts], size, None)(iter([part(0, 5), part(5, 20)])))
+        assert sum(b.column(1)[0].as_py() for b in told) == 20 and len(os.listdir(log.path)) == files
+        assert {r.call: r.reply for r in log.answers(spark).collect()} == {f"c{i}": f"T{i}" for i in range(20)}
